@@ -33,4 +33,82 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-ORACLES = {"op1_quality_ledger": OP1}
+
+def op3() -> str:
+    from inkwell.llm.license_scan import TEMPLATES, THRESHOLD, bigrams
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, bigrams(text)))}])" for name, text in TEMPLATES)
+    return rf"""
+WITH t(license, template) AS (VALUES {rows}),
+c AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS clean FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, unnest(list_concat(list_concat(string_split(clean, chr(10)), list_filter(string_split_regex(clean, '\n *\n'), lambda p: contains(p, chr(10)))),
+         CASE WHEN regexp_matches(clean, '\n *\n') THEN [clean] ELSE [] END)) AS segment FROM c),
+w AS (SELECT doc_id, list_filter(string_split_regex(segment, '[ \n]+'), lambda x: x <> '') AS ws FROM s),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 500),
+m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM g, t WHERE len(grams) BETWEEN 1 AND 200)
+SELECT doc_id, license, round(max(dice), 6) AS best, count(*) AS n_segments FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
+"""
+
+
+OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+raw AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d)),
+c AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos) AS k FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (
+  SELECT rid, doc_id, k, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS e FROM c WINDOW o AS (PARTITION BY rid ORDER BY k)),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b, e ORDER BY doc_id, k) AS nth FROM w WHERE e IS NOT NULL),
+gone AS (SELECT DISTINCT rid, unnest([k, k + 1, k + 2]) AS k FROM f WHERE nth > 1),
+runs AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (WHERE k - before > 1 OR before IS NULL) AS n_runs
+         FROM (SELECT rid, k, lag(k) OVER (PARTITION BY rid ORDER BY k) AS before FROM gone) GROUP BY rid),
+kept AS (SELECT raw.rid, string_agg(raw.line, chr(10) ORDER BY raw.pos) AS text FROM raw LEFT JOIN c ON raw.rid = c.rid AND raw.pos = c.pos
+         LEFT JOIN gone ON c.rid = gone.rid AND c.k = gone.k WHERE gone.k IS NULL GROUP BY raw.rid),
+n AS (SELECT rid, count(*) AS n_lines FROM c GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN runs USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+def op9() -> str:
+    from inkwell.llm import secret_scan as s
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def kind(name: str, rank: int, pattern: str, group: int, keep: str) -> str:
+        p = quote(pattern)
+        return rf"""SELECT rid, '{name}' AS kind, {rank} AS rank, start, start + length(m) AS "end" FROM (
+  SELECT rid, m, v, sum(length(gap)) OVER o + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT rid, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap FROM (
+    SELECT rid, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {group}) AS vs, string_split_regex(text, {p}) AS gaps FROM d WHERE regexp_matches(text, {p})))
+  WINDOW o AS (PARTITION BY rid ORDER BY i)) WHERE {keep}"""
+
+    parts = " UNION ALL ".join(
+        (
+            kind("assign", 0, s.ASSIGN, 2, "length(v) >= 12"),
+            kind("access", 1, s.ACCESS, 0, "true"),
+            kind("hex", 2, s.HEX, 0, "true"),
+            kind("secret", 3, s.RUN, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"),
+            kind("short", 4, s.ASSIGN, 2, "length(v) BETWEEN 6 AND 11"),
+            kind("user", 5, s.USER, 0, "true"),
+            kind("endpoint", 6, s.ENDPOINT, 0, "true"),
+        )
+    )
+    near = lambda kinds, scope: f"""EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND b.kind IN ({kinds}) AND a.start - {scope} < b."end" AND b.start < a."end" + {scope})"""
+    ids, values = "'access', 'user', 'endpoint'", "'assign', 'secret', 'short'"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p AS MATERIALIZED ({parts}),
+k AS (SELECT * FROM p a WHERE kind IN ('assign', 'access', 'hex')
+  OR (kind = 'secret' AND NOT {near("'assign', 'access', 'hex', 'short', 'endpoint'", 0)} AND {near(ids, s.SCOPE)})
+  OR (kind = 'short' AND {near(ids, s.SCOPE)}) OR (kind = 'user' AND {near(values, s.SCOPE)})
+  OR (kind = 'endpoint' AND {near(values, s.SCOPE)} AND {near("'access', 'user'", s.SCOPE)})),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op9_secret_links": op9()}
