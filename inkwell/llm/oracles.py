@@ -71,6 +71,21 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN runs USING (rid) LEFT JOIN kept USING (
 """
 
 
+_WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = rf"""
+WITH i AS (SELECT item_id, ws FROM (SELECT item_id, {_WORDS5} AS ws FROM benchmark) WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[k:k + 9], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS5} AS ws FROM documents),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT rid, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
+h AS (SELECT rid, k, iw.n AS n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM h) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
 def op9() -> str:
     from inkwell.llm import secret_scan as s
 
@@ -111,4 +126,4 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op9_secret_links": op9()}
+ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op5_benchmark_hits": OP5, "op9_secret_links": op9()}
