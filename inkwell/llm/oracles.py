@@ -86,6 +86,18 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, k, array_to_string(ws[k:k + 12], ' ') AS g FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM d WHERE len(ws) >= 13)),
+f AS (SELECT rid, k, doc_id > min(doc_id) OVER (PARTITION BY g) AS later FROM w),
+gone AS (SELECT rid, list(DISTINCT p) AS ps FROM (SELECT rid, unnest(range(k, k + 13)) AS p FROM f WHERE later) GROUP BY rid),
+gp AS (SELECT DISTINCT rid, unnest(ps) AS p FROM gone),
+kw AS (SELECT u.rid, string_agg(u.w, ' ' ORDER BY u.p) AS kept FROM (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d) u LEFT JOIN gp ON gp.rid = u.rid AND gp.p = u.p WHERE gp.p IS NULL GROUP BY u.rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kw USING (rid)
+"""
+
+
 def op9() -> str:
     from inkwell.llm import secret_scan as s
 
@@ -126,4 +138,4 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op5_benchmark_hits": OP5, "op9_secret_links": op9()}
+ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import byte_cnn, decontaminate, license_scan, line_winnow, packing, quality_ledger, secret_scan
+from inkwell.llm import byte_buckets, byte_cnn, decontaminate, license_scan, line_winnow, packing, quality_ledger, secret_scan, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,10 @@ def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 
 
+def op10_byte_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_buckets.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
