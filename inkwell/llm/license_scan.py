@@ -8,7 +8,8 @@ the Dice coefficient of their sets of word bigrams is at least the threshold.
 A Dice coefficient of t needs sizes within a factor of t / (2 - t) of each
 other, so a template is only compared with segments of sizes it can match:
 the templates, listed once per size they allow, are joined on that size.
-Segments without any template bigram are dropped before that.
+Segments without any guard word are dropped before that: a template's guard
+words stand in so many of its bigrams that no segment can match without one.
 
 Only DataFrame functions are used.  Segments stay on the executor that read
 the text; only matches (few) are shuffled to be summed up per document.  The
@@ -64,29 +65,41 @@ def size_bounds(size: int, threshold: float) -> range:
     return range(-(-int(size * threshold * 10**6) // int((2 - threshold) * 10**6)), int(size * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+def guards(grams: list[str], threshold: float) -> set[str]:
+    """Words of which every matching segment has one; long words first, as they are rarer."""
+    must_share = threshold * (min(size_bounds(len(grams), threshold)) + len(grams)) / 2
+    chosen: set[str] = set()
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(grams) - sum(1 for g in grams if chosen & set(g.split())) < must_share:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, best (highest coefficient), n_segments: one row per document and licence found."""
     spark = docs.sparkSession
     known = [(name, grams, n) for name, text in templates if (grams := bigrams(text)) for n in size_bounds(len(grams), threshold)]
     table = spark.createDataFrame(known, "license string, template array<string>, n_grams int")
-    every = F.array(*(F.lit(g) for g in sorted({g for _, grams, _ in known for g in grams})))
+    needed = F.array(*(F.lit(w) for w in sorted(set().union(*(guards(grams, threshold) for _, grams, _ in known)))))
     least, most = min((n for _, _, n in known), default=1), max((n for _, _, n in known), default=0)
 
     clean = F.regexp_replace(F.lower(F.col("text")), r"[^a-z0-9\n]+", " ")
     paragraphs = F.filter(F.split("clean", r"\n *\n"), lambda p: p.contains("\n"))
     whole = F.when(F.col("clean").rlike(r"\n *\n"), F.array("clean")).otherwise(F.array().cast("array<string>"))
     segments = F.concat(F.split("clean", "\n"), paragraphs, whole)
-    words = F.filter(F.split("segment", r"[ \n]+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate("segment", "\n", " "), " "), lambda w: w != "")
     n = F.size("words")
-    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    less = F.greatest(n - 1, F.lit(0))
+    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), less), F.slice("words", F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b)))
     found = (
         docs.select("doc_id", clean.alias("clean"))
         .where(F.col("clean").isNotNull())
         .select("doc_id", F.explode(segments).alias("segment"))
         .select("doc_id", words.alias("words"))
-        .where(n >= least + 1)
+        .where((n >= least + 1) & F.arrays_overlap("words", needed))
         .select("doc_id", grams.alias("grams"))
-        .where(F.size("grams").between(least, most) & F.arrays_overlap("grams", every))
+        .where(F.size("grams").between(least, most))
         .withColumn("n_grams", F.size("grams"))
         .join(F.broadcast(table), "n_grams")
         .withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "template")) / (F.size("grams") + F.size("template")))
