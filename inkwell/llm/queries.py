@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import byte_buckets, byte_cnn, decontaminate, license_scan, line_winnow, packing, quality_ledger, secret_scan, suffix_trees
+from inkwell.llm import byte_buckets, byte_cnn, decontaminate, license_scan, line_winnow, order_minhash, packing, quality_ledger, secret_scan, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = order_minhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("stays"))
+
+
 def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["rank"] < 3)
