@@ -35,7 +35,7 @@ def content_terms(text: Column | str, stopwords: Sequence[str] = lx.JUDGE_STOPWO
 
 def sentences(text: Column | str) -> Column:
     """Split after . ! or ? and white space; trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(_col(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_col(text), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def cut_sentences(text: Column | str) -> Column:
@@ -45,7 +45,7 @@ def cut_sentences(text: Column | str) -> Column:
 
 def claims(text: Column | str, markers: Sequence[str] = lx.CLAIM_MARKERS, limit: int = 6, lengths: tuple[int, int] = lx.CLAIM_LENGTHS) -> Column:
     """The first sentences of fitting length that hold a marker."""
-    stated = F.transform(cut_sentences(text), F.trim)
+    stated = F.transform(cut_sentences(text), lambda s: F.trim(s))
     has = lambda s: F.exists(strings(markers), lambda m: F.contains(F.lower(s), m))
     return F.slice(F.filter(stated, lambda s: F.length(s).between(*lengths) & has(s)), 1, limit)
 
