@@ -122,7 +122,8 @@ def refuses(text: Column | str, markers: Sequence[str] = lx.REFUSAL_MARKERS) ->
 
 
 def clamp_confidence(value: Column | str, default: float = 0.5) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _col(value).try_cast("double"))), F.lit(default))
+    number = _col(value).try_cast("double")
+    return F.when(number.isNull(), default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def json_object(raw: Column | str) -> Column:
