@@ -7,13 +7,18 @@ of LENGTH bytes that also starts anywhere else, in its own text or another.
 1. Initial buckets: q-grams at content-chosen positions (see repeats).  A
    bucket of one is finished; positions whose longer stretch of bytes falls
    into one bucket as well are finished too (they repeat).
-2. For the positions left, identifiers of 25-byte buckets are paired with the
-   identifier 25 bytes on, the pairs' identifiers with the one 50 bytes on,
-   and those with the one 100 bytes on: each step sorts twice the depth by
-   reusing the step before, until a bucket is a string of LENGTH bytes.
-3. The final buckets are sorted; positions in a bucket with another position
-   repeat.  Each task first settles equal positions of its own and sends one,
-   so a very frequent string is a row a task.
+2. Blocks of positions left are cut into steps of STEP positions at fixed
+   distances from their q-gram and refined the same way: by the bytes that all
+   strings of a step share, then by all bytes they cover.
+3. For the positions still left, identifiers of 25-byte buckets are paired
+   with the identifier 25 bytes on, the pairs' identifiers with the one 50
+   bytes on, and those with the one 100 bytes on: each pass sorts by twice the
+   depth and reuses the pass before, until a bucket is a string of LENGTH
+   bytes.  The final buckets are sorted; positions in a bucket with another
+   position repeat.
+
+In each round a task first settles equal positions of its own and sends one,
+so a very frequent string is a row a task.
 
 Identifiers are two independent 64-bit hashes (128 bits) of the content.
 
@@ -37,7 +42,8 @@ from inkwell.llm.repeats import ID, KEY
 
 LENGTH = 200
 GRAM = 40
-_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
+STEP = 8
+_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int16()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
 
 
 def final_buckets(data: np.ndarray, which: int, length: int = LENGTH) -> np.ndarray:
@@ -60,12 +66,13 @@ def _settle(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     hit = repeats._spread(size > 1, same, len(h1))
     lo, hi, row = _stretches(i[hit], t[hit], at[hit])
     pi, pt = i[hit][row], t[hit][row]
-    deal = textkit.mix(pt.view(np.uint64) + lo.astype(np.uint64))
+    deal = textkit.mix(pi.view(np.uint64))
     f = np.concatenate([np.where(size > 1, repeats.MULTI, repeats.CANDIDATE), np.full(len(lo), repeats.SETTLED)])
     arrays = [np.concatenate(x) for x in ((h1[ask], deal), (h2[ask], np.zeros(len(lo), np.uint64)), (i[ask], pi), (t[ask], pt), (at[ask], lo), (at[ask], hi))]
     kinds = [kind for _, kind in _FINAL]
-    made = [arrays[0].view(np.int64), arrays[1].view(np.int64), arrays[2], arrays[3], arrays[4].astype(np.int32), arrays[5].astype(np.int32), f.astype(np.int8)]
-    return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(made, kinds, strict=True)], [n for n, _ in _FINAL])
+    order = np.lexsort((arrays[4], arrays[2]))  # neighbours of one text together: they compress well
+    made = [x[order] for x in (arrays[0].view(np.int64), arrays[1].view(np.int64), *arrays[2:], f)]
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(k.to_pandas_dtype()), k) for a, k in zip(made, kinds, strict=True)], [n for n, _ in _FINAL])
 
 
 def _stretches(i: np.ndarray, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,23 +86,46 @@ def _stretches(i: np.ndarray, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return at[begin], at[np.concatenate([cut, [len(at) - 1]])], order[begin]
 
 
+def _steps(length: int):
+    """Open blocks in steps of STEP positions: (bytes that all strings of a step share, all bytes they cover)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = repeats.Held(lambda rows: repeats.settle_locally(rows, earlier=False))
+        for batch in batches:
+            ids, keys = (np.asarray(batch.column(c)) for c in (ID, KEY))
+            raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
+            for row, lo, hi, anchor in repeats.open_blocks(batch):
+                rolling = textkit.Rolling(textkit.byte_symbols(raw[off[row] : off[row + 1]]))
+                size = hi - lo + 1
+                block = np.repeat(np.arange(len(lo)), size)
+                starts = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size) + lo[block]
+                step = (anchor[block] - starts) // STEP
+                begin = repeats._runs(block, step)
+                u, v = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+                step, anchored = step[begin], anchor[block[begin]]
+                core = anchored - step * STEP
+                deal = step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                k = textkit.mix(rolling.spans(core, core + length - STEP + 1) + deal)
+                place = ((anchored - u) * 256 + (anchored - v)).astype(np.uint64)
+                s = textkit.mix(rolling.spans(u, v + length) + place * np.uint64(0xD6E8FEB86659FD93))
+                n = len(u)
+                yield from held.add(k, s, np.full(n, ids[row]), np.full(n, keys[row]), u, v, np.zeros(n, np.int64))
+        yield from held.rest()
+
+    return run
+
+
 def _refine(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
+        held = repeats.Held(_settle)
         for batch in batches:
             ids, keys = (np.asarray(batch.column(c)) for c in (ID, KEY))
             raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
             for row, starts in repeats.open_starts(batch):
                 data = raw[off[row] : off[row + 1]]
                 h1, h2 = (final_buckets(data, which, length)[starts] for which in (0, 1))
-                held.append((h1, h2, np.full(len(starts), ids[row]), np.full(len(starts), keys[row]), starts))
-                count += len(starts)
-                if count >= repeats.FLUSH_ROWS:
-                    yield _settle(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, count = [], 0
-        if count:
-            yield _settle(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from held.add(h1, h2, np.full(len(starts), ids[row]), np.full(len(starts), keys[row]), starts)
+        yield from held.rest()
 
     return run
 
@@ -115,24 +145,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], list(out))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per text __rp_hits: stretches [lo, hi] of offsets at which a repeated string of `length` bytes starts."""
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
-    source = repeats.identified(docs)
-    rounds = repeats.first_round(source, repeats.byte_rows, length, gram, earlier=False)
-    schema = f"h1 long, h2 long, {ID} long, {KEY} long, lo int, hi int, f byte"
-    final = repeats.open_texts(source, rounds).mapInArrow(_refine(length), schema)
-    later = final.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_compare, f"{ID} long, {KEY} long, lo int, hi int")
-    return repeats.all_stretches(rounds, later)
+def repeated_starts(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Per text of repeats.identified(), __rp_hits: stretches [lo, hi] of offsets at which a repeated string of `length` bytes starts."""
+    if length % 8 or length > 255:
+        raise ValueError("length must be a multiple of 8 below 256")
+    first = repeats.first_round(source, repeats.byte_rows, length, gram, earlier=False)
+    second = repeats.settle(repeats.open_texts(source, first).mapInArrow(_steps(length), repeats.ROWS), earlier=False)
+    schema = f"h1 long, h2 long, {ID} long, {KEY} short, lo int, hi int, f byte"
+    final = repeats.open_texts(source, second).mapInArrow(_refine(length), schema)
+    later = final.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_compare, f"{ID} long, {KEY} short, lo int, hi int")
+    return repeats.all_stretches(first, second, later)
 
 
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off, _ = textkit.column_bytes(batch.column("text"))
+            raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
             n, removed, spans, sha = [], [], [], []
-            for row, hits in enumerate(batch.column("__rp_hits").to_pylist()):
+            for row, hits in enumerate(batch.column("__rp_hits")):
                 data = raw[off[row] : off[row + 1]]
                 gone = repeats.hit_mask(hits, length, len(data))
                 n.append(len(data))
@@ -145,16 +175,16 @@ def _digest(length: int):
                     data = data[~gone]
                 sha.append(hashlib.sha256(data.tobytes()).hexdigest())
             own = [pa.array(x, pa.int64()) for x in (n, removed, spans)] + [pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("__rp_doc"), *own], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is left."""
-    docs = docs.select("doc_id", "text")
+    source = repeats.identified(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeats.with_hits(docs, repeated_starts(docs, length)).mapInArrow(_digest(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats.with_hits(source, repeated_starts(source, length)).mapInArrow(_digest(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -165,10 +195,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             raw, off, null = textkit.column_bytes(batch.column("text"))
             out = []
-            for row, hits in enumerate(batch.column("__rp_hits").to_pylist()):
+            for row, hits in enumerate(batch.column("__rp_hits")):
                 data = raw[off[row] : off[row + 1]]
                 gone = repeats.hit_mask(hits, length, len(data))
                 out.append(None if null[row] else (data if gone is None else data[~gone]).tobytes().decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], schema.names)
 
-    return repeats.with_hits(docs, repeated_starts(docs, length)).mapInArrow(run, schema)
+    return repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), length)).mapInArrow(run, schema)

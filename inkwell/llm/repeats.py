@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from inkwell.llm import textkit
 from inkwell.llm.durable import durable
 
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 19
 HOT_SPANS = 8
 _PLACE = np.uint64(2**24 - 1)
 CANDIDATE, MULTI, HOT, SETTLED, OPEN = range(5)
 ID, KEY = "__rp_id", "__rp_key"
-_FIELDS = (("k", pa.int64()), ("s", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
-ROWS = f"k long, s long, {ID} long, {KEY} long, lo int, hi int, f byte"
-BLOCKS = f"{ID} long, {KEY} long, lo int, hi int, f byte"
+_FIELDS = (("k", pa.int64()), ("s", pa.int64()), (ID, pa.int64()), (KEY, pa.int16()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int16()), ("f", pa.int8()))
+ROWS = f"k long, s long, {ID} long, {KEY} short, lo int, hi int, p short, f byte"
+BLOCKS = f"{ID} long, {KEY} short, lo int, hi int, p short, f byte"
 
 #: From one block of texts to (symbols of all rows, offset of each row among them).
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -54,17 +54,23 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return textkit.mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), words
 
 
+def _names(docs: DataFrame) -> DataFrame:
+    """docs plus doc_id as a number (null: below all others) and a small hash that tells different texts of one id apart."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.withColumn(ID, number).withColumn(KEY, F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(2**15)).cast("short"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id as a number (null: below all others), a hash that tells its texts apart, and the text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(ID), F.xxhash64(F.lit(3), F.col("text")).alias(KEY), F.col("text").alias("__rp_text"))
+    """The columns that every step reads; one shape, so that a plan shuffles the texts once."""
+    return _names(docs).select(ID, KEY, F.col("doc_id").alias("__rp_doc"), F.col("text").alias("__rp_text"))
 
 
 def blocks_of(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """(row, first start, last start, key, span) of every block of every row; starts count within the row."""
+    """(row, first start, last start, anchor, key, span) of every block of every row; places count within the row."""
     n, inner = len(symbols), width - gram + 1
     none = np.empty(0, np.int64)
     if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     rolling = textkit.Rolling(symbols)
     grams = textkit.mix(rolling.grams(gram))
     place = np.arange(len(grams), dtype=np.uint64)
@@ -76,13 +82,13 @@ def blocks_of(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     np.add.at(crossing, ends[sizes > 0], -1)
     starts = np.flatnonzero(np.cumsum(crossing[:-1])[: len(least)] == 0)
     if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     anchors = starts + ((least[starts] - starts.astype(np.uint64)) & _PLACE).astype(np.int64)
     begin = _runs(anchors)
     lo, hi, anchors = starts[begin], starts[np.append(begin[1:], len(starts)) - 1], anchors[begin]
     row = np.searchsorted(offsets, lo, side="right") - 1
     spans = textkit.mix(rolling.spans(lo, hi + width) + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return row, lo - offsets[row], hi - offsets[row], grams[anchors], spans
+    return row, lo - offsets[row], hi - offsets[row], anchors - offsets[row], grams[anchors], spans
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -99,16 +105,11 @@ def _spread(per_run: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(per_run, np.diff(np.append(starts, n)))
 
 
-def _batch(k, s, i, t, lo, hi, f) -> pa.RecordBatch:
-    arrays = [k.view(np.int64), s.view(np.int64), i, t, lo.astype(np.int32), hi.astype(np.int32), f.astype(np.int8)]
-    return pa.RecordBatch.from_arrays([pa.array(a, kind) for a, (_, kind) in zip(arrays, _FIELDS, strict=True)], [name for name, _ in _FIELDS])
-
-
 def settle_locally(rows: tuple[np.ndarray, ...], earlier: bool) -> pa.RecordBatch:
     """One task's blocks: what they settle among themselves, and one candidate for equal ones."""
-    k, s, i, t, lo, hi = rows
+    k, s, i, t, lo, hi, p = rows
     order = np.lexsort((lo, i, s, k))
-    k, s, i, t, lo, hi = (x[order] for x in (k, s, i, t, lo, hi))
+    k, s, i, t, lo, hi, p = (x[order] for x in rows)
     n = len(k)
     same = _runs(k, s)
     size = _spread(np.diff(np.append(same, n)), same, n)
@@ -120,36 +121,53 @@ def settle_locally(rows: tuple[np.ndarray, ...], earlier: bool) -> pa.RecordBatc
     else:
         f[size > 1] = SETTLED
     by_key = _runs(k)
-    hot = _spread(np.add.reduceat(first, by_key) if n else np.empty(0, np.int64), by_key, n) > HOT_SPANS
+    hot = _spread(np.add.reduceat(first, by_key), by_key, n) > HOT_SPANS
     f[hot & (f == CANDIDATE)] = OPEN
-    parts = [(k, s, i, t, lo, hi, f)]
+    rows = (k, s, i, t, lo, hi, p)
+    parts = [(*rows, f)]
     if not earlier:  # one of the equal ones stands for them; a hot key's are open as witnesses
         stand = first & (size > 1)
-        parts.append(tuple(x[stand] for x in (k, s, i, t, lo, hi)) + (np.where(hot[stand], OPEN, MULTI),))
+        parts.append((*(x[stand] for x in rows), np.where(hot[stand], OPEN, MULTI)))
     lead = np.zeros(n, bool)
     lead[by_key] = True
-    parts.append(tuple(x[lead & hot] for x in (k, s, i, t, lo, hi)) + (np.full(int((lead & hot).sum()), HOT),))
-    k, s, i, t, lo, hi, f = (np.concatenate(x) for x in zip(*parts, strict=True))
-    passing = f >= SETTLED  # settled rows only travel: deal them out evenly
-    k = np.where(passing, textkit.mix(t.view(np.uint64) + lo.astype(np.uint64)), k)
-    return _batch(k, np.where(passing, np.uint64(0), s), i, t, lo, hi, f)
+    lead &= hot
+    parts.append((*(x[lead] for x in rows), np.full(int(lead.sum()), HOT)))
+    k, s, i, t, lo, hi, p, f = (np.concatenate(x) for x in zip(*parts, strict=True))
+    passing = f >= SETTLED  # settled rows only travel: dealt out by text, in runs
+    k = np.where(passing, textkit.mix(i.view(np.uint64)), k)
+    s = np.where(passing, np.uint64(0), s)
+    order = np.lexsort((lo, i))  # neighbours of one text together: they compress well
+    arrays = [x[order] for x in (k.view(np.int64), s.view(np.int64), i, t, lo, hi, p, f)]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(kind.to_pandas_dtype()), kind) for x, (_, kind) in zip(arrays, _FIELDS, strict=True)], [name for name, _ in _FIELDS])
+
+
+class Held:
+    """Rows of a task, settled and handed on whenever enough have come."""
+
+    def __init__(self, settle, most: int = FLUSH_ROWS):
+        self.settle, self.most, self.rows, self.count = settle, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.rows.append(columns)
+        self.count += len(columns[0])
+        if self.count >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.count:
+            yield self.settle(tuple(np.concatenate(x) for x in zip(*self.rows, strict=True)))
+        self.rows, self.count = [], 0
 
 
 def _map(symbols: Symbols, width: int, gram: int, earlier: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
+        held = Held(lambda rows: settle_locally(rows, earlier))
         for batch in batches:
-            ids, keys = (np.asarray(batch.column(c)).astype(np.int64) for c in (ID, KEY))
+            ids, keys = (np.asarray(batch.column(c)) for c in (ID, KEY))
             for a, _, data, offsets in textkit.blocks(batch.column("__rp_text")):
-                row, lo, hi, k, s = blocks_of(*symbols(data, offsets), width, gram)
-                held.append((k, s, ids[a + row], keys[a + row], lo, hi))
-                count += len(row)
-                if count >= FLUSH_ROWS:
-                    yield settle_locally(tuple(np.concatenate(x) for x in zip(*held, strict=True)), earlier)
-                    held, count = [], 0
-        if count:
-            yield settle_locally(tuple(np.concatenate(x) for x in zip(*held, strict=True)), earlier)
+                row, lo, hi, at, k, s = blocks_of(*symbols(data, offsets), width, gram)
+                yield from held.add(k, s, ids[a + row], keys[a + row], lo, hi, at - lo)
+        yield from held.rest()
 
     return run
 
@@ -174,6 +192,9 @@ def by_whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) ->
         yield {c: np.concatenate([np.asarray(b.column(c)) for b in held]) for c in names}
 
 
+_KEPT = (ID, KEY, "lo", "hi", "p", "f")
+
+
 def _reduce(earlier: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_whole_keys(batches, tuple(name for name, _ in _FIELDS)):
@@ -200,34 +221,48 @@ def _reduce(earlier: bool):
             out = []
             for mask, role in ((settled, SETTLED), (is_open, OPEN)):
                 at = order[mask]
-                out.append([rows[c][at] for c in (ID, KEY, "lo", "hi")] + [np.full(len(at), role, np.int8)])
-            out.append([done[c] for c in (ID, KEY, "lo", "hi", "f")])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [ID, KEY, "lo", "hi", "f"])
+                out.append([rows[c][at] for c in _KEPT[:-1]] + [np.full(len(at), role, np.int8)])
+            out.append([done[c] for c in _KEPT])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], list(_KEPT))
 
     return run
 
 
+def settle(rows: DataFrame, earlier: bool) -> DataFrame:
+    """Rows of settle_locally() from all tasks, settled across tasks and kept in the shared folder."""
+    return durable(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_reduce(earlier), BLOCKS))
+
+
 def first_round(source: DataFrame, symbols: Symbols, width: int, gram: int, earlier: bool) -> DataFrame:
-    """Settled and open blocks (ID, KEY, lo, hi, f), kept in the shared folder.
+    """Settled and open blocks (ID, KEY, lo, hi, p, f).
 
     source comes from identified(); earlier: only occurrences in a document of
     a smaller id count, and the first document's blocks are not settled.
     """
-    rows = source.mapInArrow(_map(symbols, width, gram, earlier), ROWS)
-    return durable(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_reduce(earlier), BLOCKS))
+    return settle(source.mapInArrow(_map(symbols, width, gram, earlier), ROWS), earlier)
 
 
 def open_texts(source: DataFrame, rounds: DataFrame) -> DataFrame:
-    """The texts that have open blocks, with the blocks' stretches of window starts."""
-    opened = rounds.where(F.col("f") == OPEN).groupBy(ID, KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__rp_open"))
+    """The texts that have open blocks, with the blocks (lo, hi, anchor from lo)."""
+    opened = rounds.where(F.col("f") == OPEN).groupBy(ID, KEY).agg(F.collect_list(F.struct("lo", "hi", "p")).alias("__rp_open"))
     return source.join(opened, [ID, KEY])
 
 
+def open_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of open_texts: (row, first starts, last starts, anchors)."""
+    lists = batch.column("__rp_open")
+    flat = lists.flatten()
+    lo, hi, p = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "hi", "p"))
+    ends = np.cumsum(np.asarray(lists.value_lengths()))
+    for row, end in enumerate(ends):
+        begin = 0 if row == 0 else ends[row - 1]
+        some = slice(begin, end)
+        yield row, lo[some], hi[some], lo[some] + p[some]
+
+
 def open_starts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of open_texts its window starts, each once."""
-    for row, stretches in enumerate(batch.column("__rp_open").to_pylist()):
-        lo = np.array([x["lo"] for x in stretches], np.int64)
-        hi = np.array([x["hi"] for x in stretches], np.int64)
+    for row, lo, hi, _ in open_blocks(batch):
         yield row, np.flatnonzero(textkit.covered(lo, hi + 1, int(hi.max()) + 1))
 
 
@@ -239,22 +274,30 @@ def as_stretches(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
 
 
-def all_stretches(rounds: DataFrame, later: DataFrame) -> DataFrame:
-    """Per text all stretches of repeated window starts: __rp_hits."""
-    found = rounds.where(F.col("f") == SETTLED).select(ID, KEY, "lo", "hi").unionByName(later)
-    return found.groupBy(ID, KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__rp_hits"))
+def all_stretches(*found: DataFrame) -> DataFrame:
+    """Per text all stretches of repeated window starts: __rp_hits.  Rounds give what they settled."""
+    out = None
+    for rows in found:
+        rows = (rows.where(F.col("f") == SETTLED) if "f" in rows.columns else rows).select(ID, KEY, "lo", "hi")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy(ID, KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__rp_hits"))
+
+
+def with_hits(source: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every row of identified(), with __rp_hits (null: nothing repeated)."""
+    return source.join(hits, [ID, KEY], "left")
 
 
-def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Every row of docs, with __rp_hits (null: nothing repeated)."""
-    keyed = docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(KEY, F.xxhash64(F.lit(3), F.col("text")))
-    return keyed.join(hits, [ID, KEY], "left")
+def documents_with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The same for all columns of docs."""
+    return _names(docs).join(hits, [ID, KEY], "left")
 
 
-def hit_mask(hits: list[dict] | None, width: int, n: int) -> np.ndarray | None:
+def hit_mask(hits: pa.ListScalar, width: int, n: int) -> np.ndarray | None:
     """Which of n symbols a repeated window covers; None: none."""
-    if not hits:
+    if not hits.is_valid or not len(hits.values):
         return None
-    return textkit.covered(np.array([x["lo"] for x in hits], np.int64), np.array([x["hi"] for x in hits], np.int64) + width, n)
+    lo, hi = (np.asarray(hits.values.field(c)).astype(np.int64) for c in ("lo", "hi"))
+    return textkit.covered(lo, hi + width, n)
 
 

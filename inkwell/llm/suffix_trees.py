@@ -18,7 +18,7 @@ starts in a document with a smaller doc_id.
    leaf but those of the node's smallest doc_id starts a removed window.
    Windows of neighbouring suffixes merge into maximal repeats.
 
-Word identifiers are 64-bit hashes, so a suffix is compared by 832 bits.
+Word identifiers are 40-bit hashes, so a suffix is compared by 520 bits.
 
 Defined results: a null text has no words; rows that repeat a doc_id never
 remove each other; a null doc_id is smaller than all others; windows never
@@ -36,57 +36,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm import repeats, textkit
-from inkwell.llm.durable import durable
+from inkwell.llm import byte_buckets, repeats, textkit
 from inkwell.llm.repeats import ID, KEY
 
 DEPTH = 13
 GRAM = 5
 GROUP_SUFFIXES = 250_000
-_LEAVES = (("suffix", pa.binary()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))
-SCHEMA = f"suffix binary, {ID} long, {KEY} long, lo int, hi int"
+WORD_BYTES = 5
+_LEAVES = ("suffix", ID, KEY, "lo", "hi", "f")
+SCHEMA = f"suffix binary, {ID} long, {KEY} short, lo int, hi int, f byte"
 
 
-def _leaves(suffixes: np.ndarray, i: np.ndarray, t: np.ndarray, at: np.ndarray, depth: int) -> pa.RecordBatch:
-    """One task's suffixes: later documents' equal ones are settled (no suffix), the first one stays."""
+def _leaves(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """One task's suffixes: later documents' equal ones are settled, the first one stays and asks."""
+    suffixes, i, t, at = rows
     order = np.lexsort((at, i, suffixes))
-    suffixes, i, t, at = suffixes[order], i[order], t[order], at[order]
+    suffixes, i, t, at = (x[order] for x in rows)
     same = np.flatnonzero(np.concatenate([[True], suffixes[1:] != suffixes[:-1]]))
     gone = i > repeats._spread(i[same], same, len(i))
+    lo, hi, row = byte_buckets._stretches(i[gone], t[gone], at[gone])
+    # Settled stretches only travel; a hash of the text in place of a suffix deals them out.
+    deal = textkit.mix(i[gone][row].view(np.uint64)).byteswap().view("S8").tolist() if len(row) else []
+    asking = suffixes[~gone].view(np.uint8).reshape(-1, suffixes.itemsize)
+    kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(suffixes.itemsize), len(asking), [None, pa.py_buffer(np.ascontiguousarray(asking))]).cast(pa.binary())
     stay = ~gone
-    di, dt, dat = i[gone], t[gone], at[gone]
-    order = np.lexsort((dat, dt, di))
-    di, dt, dat = di[order], dt[order], dat[order]
-    cut = np.flatnonzero((di[1:] != di[:-1]) | (dt[1:] != dt[:-1]) | (dat[1:] > dat[:-1] + 1))
-    begin = np.concatenate([[0], cut + 1]) if len(dat) else np.empty(0, np.int64)
-    end = np.concatenate([cut, [len(dat) - 1]]) if len(dat) else begin
-    begin, end = begin.astype(np.int64), end.astype(np.int64)
-    kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * depth), int(stay.sum()), [None, pa.py_buffer(np.ascontiguousarray(suffixes[stay]))]).cast(pa.binary())
-    column = pa.concat_arrays([kept, pa.nulls(len(begin), pa.binary())])
-    rest = [np.concatenate(x) for x in ((i[stay], di[begin]), (t[stay], dt[begin]), (at[stay].astype(np.int32), dat[begin].astype(np.int32)), (at[stay].astype(np.int32), dat[end].astype(np.int32)))]
-    return pa.RecordBatch.from_arrays([column, *map(pa.array, rest)], [n for n, _ in _LEAVES])
+    rest = [np.concatenate(x) for x in ((i[stay], i[gone][row]), (t[stay], t[gone][row]), (at[stay].astype(np.int32), lo.astype(np.int32)), (at[stay].astype(np.int32), hi.astype(np.int32)))]
+    f = np.concatenate([np.full(int(stay.sum()), repeats.CANDIDATE, np.int8), np.full(len(lo), repeats.SETTLED, np.int8)])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([kept, pa.array(deal, pa.binary())]), *map(pa.array, rest), pa.array(f)], list(_LEAVES))
 
 
 def _suffixes(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
-        flush = lambda: _leaves(*(np.concatenate(x) for x in zip(*held, strict=True)), depth)
+        held = repeats.Held(_leaves, repeats.FLUSH_ROWS // 2)
+        size = WORD_BYTES * depth
         for batch in batches:
             ids, keys = (np.asarray(batch.column(c)) for c in (ID, KEY))
             raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
             for row, starts in repeats.open_starts(batch):
                 data = raw[off[row] : off[row + 1]]
                 words, _ = repeats.word_rows(data, np.array([0, len(data)]))
-                ordered = words.byteswap()  # big-endian: bytes sort as the numbers do
-                view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ordered, depth)[starts]).view(f"V{8 * depth}").ravel()
-                held.append((view.view(f"S{8 * depth}"), np.full(len(starts), ids[row]), np.full(len(starts), keys[row]), starts))
-                count += len(starts)
-                if count >= repeats.FLUSH_ROWS // 4:
-                    yield flush()
-                    held, count = [], 0
-        if count:
-            yield flush()
+                short = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).ravel()
+                view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(short, size)[starts * WORD_BYTES]).view(f"S{size}").ravel()
+                yield from held.add(view, np.full(len(starts), ids[row]), np.full(len(starts), keys[row]), starts)
+        yield from held.rest()
 
     return run
 
@@ -110,55 +102,58 @@ def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _subtrees(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        held = []
+        for batch in batches:
+            done = np.asarray(batch.column("f")) == repeats.SETTLED
+            yield batch.filter(pa.array(done)).select([ID, KEY, "lo", "hi"])
+            held.append(batch.filter(pa.array(~done)))
+        if not sum(b.num_rows for b in held):
             return
-        table = pa.Table.from_batches(held)
-        raw = b"".join(table.column("suffix").to_pylist())
-        suffixes = np.frombuffer(raw, ">u8").reshape(-1, depth)
+        table = pa.Table.from_batches(held)  # the group, in order: at most about GROUP_SUFFIXES leaves
+        suffixes = np.frombuffer(b"".join(table.column("suffix").to_pylist()), f"V{WORD_BYTES}").reshape(-1, depth)
         i, t, at = (np.asarray(table.column(c)) for c in (ID, KEY, "lo"))
+        common = common_prefixes(suffixes)
         gone = np.zeros(len(i), bool)
-        for begin, end in zip(*deep_nodes(common_prefixes(suffixes), depth), strict=True):
+        for begin, end in zip(*deep_nodes(common, depth), strict=True):
             gone[begin:end] = i[begin:end] > i[begin:end].min()
-        yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (i, t, at, at)], [ID, KEY, "lo", "hi"])
+        lo, hi, row = byte_buckets._stretches(i[gone], t[gone], at[gone].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[gone][row], t[gone][row], lo.astype(np.int32), hi.astype(np.int32))], [ID, KEY, "lo", "hi"])
 
     return run
 
 
-def repeated_starts(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP_SUFFIXES) -> DataFrame:
-    """Per text __rp_hits: stretches [lo, hi] of words at which a window starts that an earlier document has."""
-    source = repeats.identified(docs)
+def repeated_starts(source: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int = GROUP_SUFFIXES) -> DataFrame:
+    """Per text of repeats.identified(), __rp_hits: stretches [lo, hi] of words at which a window starts that an earlier document has."""
     rounds = repeats.first_round(source, repeats.word_rows, depth, gram, earlier=True)
-    leaves = durable(repeats.open_texts(source, rounds).mapInArrow(_suffixes(depth), SCHEMA))
-    settled = leaves.where(F.col("suffix").isNull()).select(ID, KEY, "lo", "hi")
-    asking = leaves.where(F.col("suffix").isNotNull())
-    groups = max(1, -(-asking.count() // group))
-    trees = asking.repartitionByRange(groups, "suffix").sortWithinPartitions("suffix").mapInArrow(_subtrees(depth), f"{ID} long, {KEY} long, lo int, hi int")
-    return repeats.all_stretches(rounds, settled.unionByName(trees))
+    leaves = repeats.open_texts(source, rounds).mapInArrow(_suffixes(depth), SCHEMA)
+    n_leaves = rounds.where(F.col("f") == repeats.OPEN).agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+    groups = max(1, -(-n_leaves // group))
+    trees = leaves.repartitionByRange(groups, "suffix").sortWithinPartitions("suffix").mapInArrow(_subtrees(depth), f"{ID} long, {KEY} short, lo int, hi int")
+    return repeats.all_stretches(rounds, trees)
 
 
 def _digest(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off, _ = textkit.column_bytes(batch.column("text"))
+            raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
             n, removed, sha = [], [], []
-            for row, hits in enumerate(batch.column("__rp_hits").to_pylist()):
+            for row, hits in enumerate(batch.column("__rp_hits")):
                 words = raw[off[row] : off[row + 1]].tobytes().split()
                 n.append(len(words))
                 gone = repeats.hit_mask(hits, depth, len(words))
                 removed.append(0 if gone is None else int(gone.sum()))
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("__rp_doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
 def digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_words, n_removed and the hash of the words left."""
-    docs = docs.select("doc_id", "text")
+    source = repeats.identified(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeats.with_hits(docs, repeated_starts(docs, depth)).mapInArrow(_digest(depth), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return repeats.with_hits(source, repeated_starts(source, depth)).mapInArrow(_digest(depth), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -169,11 +164,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             raw, off, _ = textkit.column_bytes(batch.column("text"))
             texts = batch.column("text").to_pylist()
-            for row, hits in enumerate(batch.column("__rp_hits").to_pylist()):
-                if hits:
-                    words = raw[off[row] : off[row + 1]].tobytes().split()
-                    gone = repeats.hit_mask(hits, depth, len(words))
+            for row, hits in enumerate(batch.column("__rp_hits")):
+                words = raw[off[row] : off[row + 1]].tobytes().split()
+                gone = repeats.hit_mask(hits, depth, len(words))
+                if gone is not None:
                     texts[row] = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], schema.names)
 
-    return repeats.with_hits(docs, repeated_starts(docs, depth)).mapInArrow(run, schema)
+    return repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), depth)).mapInArrow(run, schema)
