@@ -4,7 +4,7 @@ _RULES = {
     1: "n_words < 10",
     2: "100 * n_repeat_words > 20 * n_words",
     4: "10 * n_symbols > n_words",
-    8: "10 * n_dup_lines > 3 * n_lines",
+    8: "2 * n_dup_lines > n_lines",
     16: "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
     32: "n_words > 0 AND 5 * n_shouted > 2 * n_words",
     64: "n_words > 0 AND 2 * n_letter_words < n_words",

@@ -38,7 +38,7 @@ RULES = (
     Rule(0, "too_few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule(4, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     Rule(5, "shouting", "n_words > 0 AND 5 * n_shouted > 2 * n_words"),
     Rule(6, "few_letters", "n_words > 0 AND 2 * n_letter_words < n_words"),
