@@ -57,7 +57,8 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _names(docs: DataFrame) -> DataFrame:
     """docs plus doc_id as a number (null: below all others) and a small hash that tells different texts of one id apart."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.withColumn(ID, number).withColumn(KEY, F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(2**15)).cast("short"))
+    small = F.coalesce(F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(2**15)).cast("short"), F.lit(0).cast("short"))
+    return docs.withColumn(ID, number).withColumn(KEY, small)  # never null: inner and outer joins see one plan of the texts
 
 
 def identified(docs: DataFrame) -> DataFrame:
