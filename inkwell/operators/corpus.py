@@ -99,7 +99,7 @@ def progressions(results: DataFrame, papers: DataFrame, top_n: int = 6) -> DataF
 def numeric_conflicts(results: DataFrame, gap: float = lx.CONFLICT_GAP) -> DataFrame:
     """Pairs of papers whose last values for one (model, dataset, metric) differ by the relative gap or more."""
     keys = ["model_key", "dataset_key", "metric_key"]
-    last = results.where("dataset_key IS NOT NULL").groupBy(*keys, "paper_id").agg(F.max_by("value", "row_key").alias("value"))
+    last = results.where("dataset_key IS NOT NULL").groupBy(*keys, "paper_id").agg(F.max_by("value", F.struct("row_key", "value")).alias("value"))
     # Only values apart by the gap can pair; groups are (model, dataset, metric) cells, joined on all three keys.
     right = last.select(*keys, F.col("paper_id").alias("right_paper"), F.col("value").alias("right_value"))
     left = last.select(*keys, F.col("paper_id").alias("left_paper"), F.col("value").alias("left_value"))

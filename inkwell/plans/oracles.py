@@ -139,7 +139,7 @@ TREND = """y AS (SELECT label, name, published_year, count(DISTINCT paper_id) AS
  t AS (SELECT label, name, CAST(sum(n) AS BIGINT) AS total, min(published_year) AS first_year, count(*) AS years, coalesce(sum(n) FILTER (WHERE recent), 0) AS late, coalesce(sum(n) FILTER (WHERE NOT recent), 0) AS early FROM z GROUP BY label, name)"""
 TREND_OUT = """SELECT label, name, total, first_year, CASE WHEN years < 2 THEN 'new' WHEN early = 0 THEN 'emerging' WHEN late / early >= 1.5 THEN 'rising' WHEN late / early <= 0.5 THEN 'declining' ELSE 'steady' END AS direction
  FROM t ORDER BY total DESC, label, name LIMIT {n}"""
-CONFLICTS = """last AS (SELECT model_key, dataset_key, metric_key, paper_id, arg_max(value, (k1, k2, k3, k4)) AS value FROM results WHERE dataset_key IS NOT NULL GROUP BY ALL),
+CONFLICTS = """last AS (SELECT model_key, dataset_key, metric_key, paper_id, arg_max(value, (k1, k2, k3, k4, value)) AS value FROM results WHERE dataset_key IS NOT NULL GROUP BY ALL),
  conflicts AS (SELECT l.model_key, l.dataset_key, l.metric_key, l.paper_id AS left_paper, l.value AS left_value, r.paper_id AS right_paper, r.value AS right_value,
    round(abs(l.value - r.value) / greatest(abs(l.value), abs(r.value), 1e-9), 6) AS gap FROM last l JOIN last r USING (model_key, dataset_key, metric_key)
    WHERE l.paper_id < r.paper_id AND abs(l.value - r.value) / greatest(abs(l.value), abs(r.value), 1e-9) >= 0.05)"""
