@@ -16,20 +16,36 @@ from pyspark.sql import functions as F
 from inkwell.llm import byte_cnn, decontaminate, line_winnow, order_minhash, packing
 from inkwell.llm.durable import durable
 
+NEEDED = ("doc_id", "text")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with the columns that no operator needs under neutral names, so that none can clash with an operator's own."""
+    return docs.select(*NEEDED, *(F.col(f"`{c}`").alias(f"__pl_{i}") for i, c in enumerate(docs.columns) if c not in NEEDED))
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names and in their order."""
+    return rows.select(*(F.col(c if c in NEEDED else f"__pl_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score of at least the operator's threshold."""
     model = byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return byte_cnn.score(docs, model).where(F.col("score") >= byte_cnn.THRESHOLD).select(*docs.columns)
+    return _back(byte_cnn.score(_aside(docs), model).where(F.col("score") >= byte_cnn.THRESHOLD), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later repeated runs of lines; a document of which nothing is left by that goes."""
-    cut = line_winnow.dedup_lines(docs)
-    shorter = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return shorter.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    cut = line_winnow.dedup_lines(_aside(docs))
+    kept = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    if "n_chars" in docs.columns:
+        held = f"__pl_{docs.columns.index('n_chars')}"
+        kept = kept.withColumn(held, F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(held)).cast(docs.schema["n_chars"].dataType))
+    return _back(kept, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +57,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without any benchmark window."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hit_words") == 0).select(*docs.columns)
+    found = decontaminate.find_contamination(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(found.where(F.size("hit_words") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
