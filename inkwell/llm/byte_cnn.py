@@ -181,15 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs plus score; the model's few thousand weights travel with the task."""
-
-    schema = docs.select("*").schema
+    """All columns of docs plus score (an older one is replaced); the model's few thousand weights travel with the task."""
+    docs = docs.drop("score")
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.full(b - a, 0.5) if model is None else score_block(model, data, offsets) for a, b, data, offsets in textkit.blocks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], [*batch.schema.names, "score"])
 
-    if "score" in docs.columns:
-        raise ValueError("rename the column score first")
     return docs.mapInArrow(run, type(schema)([*schema.fields, *docs.sparkSession.createDataFrame([], "score double").schema.fields]))

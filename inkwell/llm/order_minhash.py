@@ -23,8 +23,10 @@ No bucket is expanded into all its pairs:
    components are formed;
 3. a bucket whose texts are by then in one component is done.  In the others,
    the texts outside the bucket's largest component are compared with all
-   texts of other components there.  Every candidate pair is then either in one
-   component or has been compared.
+   texts of other components there, unless a bound rules a pair out: only
+   shingles that some other text of such buckets has as well can be aligned,
+   and there must be enough of them on both sides.  Every candidate pair is
+   then in one component, has been compared, or cannot reach the threshold.
 
 Defined results: texts without words, and rows without doc_id, get no class
 (null); rows that share a doc_id are one document; extra columns are ignored;
@@ -144,19 +146,36 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(keep, np.int64)]), *map(pa.array, both), pa.array(n, pa.int32()), lists], ["id", "c1", "c2", "n", "sigs"])
 
 
-def _verify(threshold: float):
-    def shingles(text) -> np.ndarray:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        return labelled_shingles(repeats.word_rows(data, np.array([0, len(data)]))[0])
+def _labelled(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return labelled_shingles(repeats.word_rows(data, np.array([0, len(data)]))[0])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        some = [_labelled(t) for t in batch.column("text").to_pylist()]
+        at = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        flat = np.concatenate(some) if some else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(flat.view(np.int64))], ["id", "h"])
 
+
+def _alignable(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, shared: how many of a text's shingles another of these texts has."""
+    rows = durable(texts.join(ids, texts["doc_id"] == ids["id"]).select("doc_id", "text").mapInArrow(_shingle_rows, "id long, h long"))
+    known = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    return rows.join(known, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+
+
+def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None  # neighbouring pairs often share a text
         for batch in batches:
             ok = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b").to_pylist(), strict=True):
                 if a != last:
-                    last, held = a, shingles(ta.as_py())
-                ok.append(similarity(held, shingles(tb), threshold) >= threshold - 1e-9)
+                    last, held = a, _labelled(ta.as_py())
+                ok.append(similarity(held, _labelled(tb), threshold) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     return run
@@ -183,16 +202,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     links = _links(first, texts, threshold)
 
     label = components(links)
-    shared = buckets.join(centres, "b", "left_semi")
-    member = shared.join(label, shared["id"] == label["u"], "left").select("b", "id", size.alias("n"), F.coalesce("v", "id").alias("label"))
+    several = buckets.join(centres, "b", "left_semi")
+    member = several.join(label, several["id"] == label["u"], "left").select("b", "id", size.alias("n"), F.coalesce("v", "id").alias("label"))
     parts = member.groupBy("b", "label").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
     open_members = durable(member.join(mixed, "b"))
-    few = open_members.where("label <> main").select("b", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    rest = open_members.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
-    sized = (F.col("nx") >= threshold * F.col("ny") - 1e-6) & (F.col("ny") >= threshold * F.col("nx") - 1e-6)
+    shared = _alignable(open_members.select("id").distinct(), texts)
+    open_members = durable(open_members.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6))
+    few = open_members.where("label <> main").select("b", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("shared").alias("sx"))
+    rest = open_members.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("shared").alias("sy"), "main")
+    enough = F.least("nx", "ny", "sx", "sy") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
     once = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
-    second = few.join(rest, "b").where((F.col("lx") != F.col("ly")) & once & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    second = few.join(rest, "b").where((F.col("lx") != F.col("ly")) & once & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = durable(second.join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         more = _links(second, texts, threshold)

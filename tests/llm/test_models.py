@@ -210,6 +210,21 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_stages_on_odd_tables(spark, tmp_path, edge_docs, no_docs):
+    """Nulls, repeated rows and columns named as the operators' own come through every stage."""
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = edge_docs.withColumns({c: F.lit(7) for c in ("score", "n_words", "n_lines", "n_removed", "hit_words", "class_id", "length", "piece", "label")})
+    for docs in (odd, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert all(r["n_words"] == 7 and r["score"] == 7 for r in out.collect()) if docs is odd else out.count() == 0
+            else:
+                assert out.count() >= docs.count()
+
+
 def test_word_rows_do_not_cross():
     data = np.frombuffer(b"ab cd" + b"ef gh", np.uint8)
     _, at = repeats.word_rows(data, np.array([0, 5, 5, 10]))
