@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") > F.col("v")).distinct()
+    out = out.where(F.col("u") > F.col("v"))
+    return out if large else out.distinct()  # the small star that follows drops the large one's repeats
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,12 +19,13 @@ Classes are the connected components of verified links and of equal texts.
 No bucket is expanded into all its pairs:
 
 1. equal texts (equal word sequences) become one node;
-2. in each bucket every text is compared with the smallest id only, and
-   components are formed;
+2. in each bucket every text is compared with two others only, the smallest
+   id and one picked by a hash (another one in each bucket), and components are
+   formed; once more with two other picks in buckets that hold several;
 3. a bucket whose texts are by then in one component is done.  In the others,
    the texts outside the bucket's largest component are compared with all
    texts of other components there, unless a bound rules a pair out: only
-   shingles that some other text of such buckets has as well can be aligned,
+   shingles that a text of another component has as well can be aligned,
    and there must be enough of them on both sides.  Every candidate pair is
    then in one component, has been compared, or cannot reach the threshold.
 
@@ -47,7 +48,7 @@ from inkwell.llm import repeats, textkit
 from inkwell.llm.components import components
 from inkwell.llm.durable import durable
 
-SHINGLE, PICK, SKETCHES, TINY = 5, 5, 32, 10
+SHINGLE, PICK, SKETCHES, TINY = 5, 8, 64, 25
 THRESHOLD = 0.8
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,13 +158,14 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         some = [_labelled(t) for t in batch.column("text").to_pylist()]
         at = np.repeat(np.arange(len(some)), [len(x) for x in some])
         flat = np.concatenate(some) if some else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(flat.view(np.int64))], ["id", "h"])
+        at = pa.array(at)
+        yield pa.RecordBatch.from_arrays([ids.take(at), batch.column("label").take(at), pa.array(flat.view(np.int64))], ["id", "label", "h"])
 
 
 def _alignable(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, shared: how many of a text's shingles another of these texts has."""
-    rows = durable(texts.join(ids, texts["doc_id"] == ids["id"]).select("doc_id", "text").mapInArrow(_shingle_rows, "id long, h long"))
-    known = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    """id, shared: how many of a text's shingles a text of another label has."""
+    rows = durable(texts.join(ids, texts["doc_id"] == ids["id"]).select("doc_id", "label", "text").mapInArrow(_shingle_rows, "id long, label long, h long"))
+    known = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     return rows.join(known, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
 
 
@@ -181,6 +183,10 @@ def _verify(threshold: float):
     return run
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the threshold."""
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
@@ -197,28 +203,38 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     nodes = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep")).select("id", "n", F.explode("sigs").alias("b"))
     buckets = durable(nodes.distinct())
     size = F.col("n").cast("double")
-    centres = buckets.groupBy("b").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("b", "a")
-    first = durable(buckets.join(centres, "b").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    links = _links(first, texts, threshold)
-
+    pick = lambda n: F.min_by("id", F.xxhash64(F.lit(n), "b", "id"))
+    centres = buckets.groupBy("b").agg(F.min("id").alias("a"), F.max("id").alias("z"), pick(1).alias("h")).where("a < z")
+    starred = buckets.join(centres, "b").select("id", F.explode(F.array("a", "h")).alias("c"))
+    tried = durable(_pairs(starred.where("id <> c"), "id", "c"))
+    links = _links(tried, texts, threshold)
     label = components(links)
-    several = buckets.join(centres, "b", "left_semi")
-    member = several.join(label, several["id"] == label["u"], "left").select("b", "id", size.alias("n"), F.coalesce("v", "id").alias("label"))
-    parts = member.groupBy("b", "label").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
-    open_members = durable(member.join(mixed, "b"))
-    shared = _alignable(open_members.select("id").distinct(), texts)
-    open_members = durable(open_members.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6))
-    few = open_members.where("label <> main").select("b", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("shared").alias("sx"))
-    rest = open_members.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("shared").alias("sy"), "main")
-    enough = F.least("nx", "ny", "sx", "sy") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
-    once = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
-    second = few.join(rest, "b").where((F.col("lx") != F.col("ly")) & once & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = durable(second.join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = _links(second, texts, threshold)
-        if more.limit(1).count():
-            label = components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+
+    several = buckets.join(centres.select("b"), "b", "left_semi")
+    for last in (False, True):
+        member = several.join(label, several["id"] == label["u"], "left").select("b", "id", size.alias("n"), F.coalesce("v", "id").alias("label"))
+        parts = member.groupBy("b", "label").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
+        several = durable(member.join(mixed, "b"))
+        shared = durable(_alignable(several.select("id", "label").distinct(), texts))
+        able = several.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6)
+        few = able.select("b", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("shared").alias("sx"))
+        rest = able.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("shared").alias("sy"), "main")
+        enough = F.least("nx", "ny", "sx", "sy") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
+        if last:
+            few = few.join(mixed, "b").where("lx <> main").drop("main")
+            once = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
+        else:
+            picked = able.groupBy("b").agg(pick(2).alias("p"), pick(3).alias("q")).select("b", F.explode(F.array("p", "q")).alias("x")).distinct()
+            few, once = few.join(picked, ["b", "x"]), F.lit(True)
+        new = _pairs(few.join(rest, "b").where((F.col("lx") != F.col("ly")) & once & enough), "x", "y").join(tried, ["a", "b"], "left_anti")
+        new = durable(new)
+        if new.limit(1).count():
+            more = _links(new, texts, threshold)
+            tried = tried.unionByName(new)
+            if more.limit(1).count():
+                label = components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+        several = several.select("b", "id", F.col("n").cast("int").alias("n"))
     # A document's class is the class of its text; several texts of one id are one document.
     own = sketched.select("id", "c1", "c2").join(copies, ["c1", "c2"])
     classed = own.join(label, own["rep"] == label["u"], "left").groupBy("id").agg(F.min(F.coalesce("v", "rep")).alias("class_id"))
