@@ -216,18 +216,21 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         parts = member.groupBy("b", "label").agg(F.count("*").alias("size"))
         mixed = parts.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
         several = durable(member.join(mixed, "b"))
-        shared = durable(_alignable(several.select("id", "label").distinct(), texts))
-        able = several.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6)
-        few = able.select("b", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("shared").alias("sx"))
-        rest = able.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("shared").alias("sy"), "main")
-        enough = F.least("nx", "ny", "sx", "sy") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
+        side = lambda x, rows: rows.select("b", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), *([F.col("shared").alias(f"s{x}")] if last else []), "main")
         if last:
-            few = few.join(mixed, "b").where("lx <> main").drop("main")
-            once = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
+            shared = durable(_alignable(several.select("id", "label").distinct(), texts))
+            able = several.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6)
+            few, rest = side("x", able.where("label <> main")).drop("main"), side("y", able)
+            allowed = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
+            reach = F.least("nx", "ny", "sx", "sy")
         else:
-            picked = able.groupBy("b").agg(pick(2).alias("p"), pick(3).alias("q")).select("b", F.explode(F.array("p", "q")).alias("x")).distinct()
-            few, once = few.join(picked, ["b", "x"]), F.lit(True)
-        new = _pairs(few.join(rest, "b").where((F.col("lx") != F.col("ly")) & once & enough), "x", "y").join(tried, ["a", "b"], "left_anti")
+            picked = several.groupBy("b").agg(pick(2).alias("p"), pick(3).alias("q")).select("b", F.explode(F.array("p", "q")).alias("id")).distinct()
+            few, rest = side("x", several.join(picked, ["b", "id"])).drop("main"), side("y", several)
+            allowed, reach = F.lit(True), F.least("nx", "ny")
+        enough = reach >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
+        new = _pairs(few.join(rest, "b").where((F.col("lx") != F.col("ly")) & allowed & enough), "x", "y")
+        if last:
+            new = new.join(tried, ["a", "b"], "left_anti")
         new = durable(new)
         if new.limit(1).count():
             more = _links(new, texts, threshold)
