@@ -218,8 +218,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         several = durable(member.join(mixed, "b"))
         side = lambda x, rows: rows.select("b", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), *([F.col("shared").alias(f"s{x}")] if last else []), "main")
         if last:
-            shared = durable(_alignable(several.select("id", "label").distinct(), texts))
-            able = several.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6)
+            able = several
+            for _ in range(2):  # partners are among those able to pair, so the second count is over fewer texts
+                shared = _alignable(able.select("id", "label").distinct(), texts)
+                sizes = able.select("id", "n").distinct()
+                ids = durable(sizes.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6).select("id", "shared"))
+                able = several.join(ids, "id")
             few, rest = side("x", able.where("label <> main")).drop("main"), side("y", able)
             allowed = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
             reach = F.least("nx", "ny", "sx", "sy")
