@@ -12,6 +12,11 @@ stretch that equals an earlier one (a smaller doc_id, or further up in the
 same document) is removed; neighbouring and overlapping stretches merge, so a
 longer repeated run goes as a whole.  White-space lines stay where they are.
 
+A line may be a whole paragraph, so a run of one or two lines that holds WORDS
+words or more is a stretch as well, at every place: its lines are its
+fingerprint.  With the RUN-line stretches this is the guarantee: a run of
+lines goes if it has RUN lines or WORDS words and occurs earlier.
+
 Only DataFrame functions are used.  Counting and finding the first of equal
 stretches combine on the map side, so a line that is everywhere costs one row
 a task there; the joins that bring the answers back are plain equi-joins whose
@@ -29,20 +34,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = 3
+WORDS = 30
 CONTENT = r"[^\x20\x09-\x0D]"
 
 
+def _content_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(CONTENT))
+
+
 def _line_hashes(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(CONTENT))
-    return F.transform(lines, lambda x: F.xxhash64(x))
+    return F.transform(_content_lines(text), lambda x: F.xxhash64(x))
 
 
 def _identity(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").alias("__lw_doc"), F.xxhash64(F.lit(1), F.col("text")).alias("__lw_key")]
 
 
-def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """__lw_doc, __lw_key, __lw_at: where RUN lines start (counted from 0) that occur earlier as well."""
+def _rich_stretches(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """__lw_doc, __lw_key, at, n, h0, h1...: every stretch of n < run lines that holds `words` words (0: no line)."""
+    lines = F.transform(_content_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(f"{CONTENT}+")).alias("w")))
+    rows = docs.select(*_identity(docs), lines.alias("__lw_l")).where(F.size("__lw_l") > 0)
+    line = lambda i, k: F.get(F.col("__lw_l"), i + k)
+
+    def of(n: int) -> Column:
+        held = lambda i: sum((line(i, k)["w"] for k in range(1, n)), line(i, 0)["w"])
+        hashes = lambda i: (line(i, k)["h"] if k < n else F.lit(0).cast("long") for k in range(run))
+        starts = F.filter(F.sequence(F.lit(0), F.size("__lw_l") - 1), lambda i: (i + n <= F.size("__lw_l")) & (held(i) >= words))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), *(x.alias(f"h{k}") for k, x in enumerate(hashes(i)))))
+
+    found = F.concat(*(of(n) for n in range(1, run)))
+    return rows.select("__lw_doc", "__lw_key", F.explode(found).alias("w")).select("__lw_doc", "__lw_key", "w.*")
+
+
+def repeated_stretches(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
+    """__lw_doc, __lw_key, __lw_at, __lw_n: where n lines start (counted from 0) that occur earlier as well; words None: RUN lines only."""
     h = F.col("__lw_h")
     window_min = lambda i: F.array_min(F.slice(h, i + 1, run))
     last_of_equals = lambda i: i + run - F.array_position(F.reverse(F.slice(h, i + 1, run)), window_min(i)).cast("int")
@@ -54,26 +79,30 @@ def repeated_stretches(docs: DataFrame, run: int = RUN) -> DataFrame:
     )
     again = selected.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print")
     matched = selected.join(again, "print", "left_semi")
-    inner = F.transform(F.sequence(F.lit(0), F.size("around") - run), lambda i: F.struct((F.col("from") + i).alias("at"), *(F.element_at(F.col("around"), i + k + 1).alias(f"h{k}") for k in range(run))))
+    inner = F.transform(F.sequence(F.lit(0), F.size("around") - run), lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(run).alias("n"), *(F.element_at(F.col("around"), i + k + 1).alias(f"h{k}") for k in range(run))))
     stretches = matched.where(F.size("around") >= run).select("__lw_doc", "__lw_key", F.explode(inner).alias("w")).select("__lw_doc", "__lw_key", "w.*")
-    content = [f"h{k}" for k in range(run)]
+    if words is not None and run > 1:
+        stretches = stretches.unionByName(_rich_stretches(docs, run, words))
+    content = ["n", *(f"h{k}" for k in range(run))]
     place = F.struct("__lw_doc", "__lw_key", "at")
     firsts = stretches.groupBy(*content).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last")).select(*content, "first")
     later = stretches.join(firsts, content).where(place > F.col("first"))
-    return later.select("__lw_doc", "__lw_key", F.col("at").alias("__lw_at"))
+    return later.select("__lw_doc", "__lw_key", F.col("at").alias("__lw_at"), F.col("n").alias("__lw_n"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """docs with text shortened, and n_lines, n_removed, n_runs; one row per row of docs."""
-    starts = repeated_stretches(docs, run).groupBy("__lw_doc", "__lw_key").agg(F.sort_array(F.collect_set("__lw_at")).alias("__lw_starts"))
-    # Sorted starts become maximal runs [lo, hi) of removed lines.
+    starts = repeated_stretches(docs, run, words).groupBy("__lw_doc", "__lw_key").agg(F.sort_array(F.collect_set(F.struct("__lw_at", "__lw_n"))).alias("__lw_starts"))
+    # Sorted stretches become maximal runs [lo, hi) of removed lines.
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    end = lambda s: s["__lw_at"] + s["__lw_n"]
     runs = F.aggregate(
         F.col("__lw_starts"),
         F.array().cast("array<struct<lo:int,hi:int>>"),
         lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["hi"] >= s),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["lo"].alias("lo"), (s + run).alias("hi")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s.alias("lo"), (s + run).alias("hi"))))),
+            (F.size(acc) > 0) & (last(acc)["hi"] >= s["__lw_at"]),
+            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], end(s)).alias("hi")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(s["__lw_at"].alias("lo"), end(s).alias("hi"))))),
     )
     keyed = docs.withColumn("__lw_key", F.xxhash64(F.lit(1), F.col("text")))
     joined = keyed.join(starts.withColumnRenamed("__lw_key", "__lw_key2"), F.col("doc_id").eqNullSafe(F.col("__lw_doc")) & (F.col("__lw_key") == F.col("__lw_key2")), "left")

@@ -71,6 +71,29 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN runs USING (rid) LEFT JOIN kept USING (
 """
 
 
+#: The same with stretches of one or two lines that hold 30 words.
+OP4_CONTENT = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+raw AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d)),
+c AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (
+  SELECT rid, doc_id, k, nw, line AS a, lead(line) OVER o AS b, lead(nw) OVER o AS nb, lead(line, 2) OVER o AS e FROM c WINDOW o AS (PARTITION BY rid ORDER BY k)),
+s AS (SELECT rid, doc_id, k, 3 AS n, a, b, e FROM w WHERE e IS NOT NULL
+      UNION ALL SELECT rid, doc_id, k, 2, a, b, '' FROM w WHERE b IS NOT NULL AND nw + nb >= 30
+      UNION ALL SELECT rid, doc_id, k, 1, a, '', '' FROM w WHERE nw >= 30),
+f AS (SELECT *, row_number() OVER (PARTITION BY n, a, b, e ORDER BY doc_id, k) AS nth FROM s),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + n)) AS k FROM f WHERE nth > 1),
+runs AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (WHERE k - before > 1 OR before IS NULL) AS n_runs
+         FROM (SELECT rid, k, lag(k) OVER (PARTITION BY rid ORDER BY k) AS before FROM gone) GROUP BY rid),
+kept AS (SELECT raw.rid, string_agg(raw.line, chr(10) ORDER BY raw.pos) AS text FROM raw LEFT JOIN c ON raw.rid = c.rid AND raw.pos = c.pos
+         LEFT JOIN gone ON c.rid = gone.rid AND c.k = gone.k WHERE gone.k IS NULL GROUP BY raw.rid),
+n AS (SELECT rid, count(*) AS n_lines FROM c GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN runs USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 _WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5 = rf"""
 WITH i AS (SELECT item_id, ws FROM (SELECT item_id, {_WORDS5} AS ws FROM benchmark) WHERE len(ws) > 0),
@@ -138,4 +161,4 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9()}
+ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9()}

@@ -32,7 +32,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_winnow.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _lines_left(spark, sf_dir, None)
+
+
+def op4_line_winnow_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines_left(spark, sf_dir, line_winnow.WORDS)
+
+
+def _lines_left(spark: SparkSession, sf_dir: str, words: int | None) -> DataFrame:
+    docs = line_winnow.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=words)
     return docs.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -93,6 +93,42 @@ def test_line_runs(make, seed):
     assert got == brute_lines(docs)
 
 
+def brute_rich_lines(docs, run=3, words=30):
+    """Like brute_lines, and runs of fewer lines that hold `words` words."""
+    first = {}
+    content = {i: [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for i, t in docs}
+    wide = {}
+    for i, lines in sorted(content.items()):
+        wide[i] = [(k, n) for k in range(len(lines)) for n in range(1, run + 1) if k + n <= len(lines) and (n == run or sum(len(x.split()) for x in lines[k : k + n]) >= words)]
+        for k, n in wide[i]:
+            first.setdefault(tuple(lines[k : k + n]), (i, k))
+    out = {}
+    for i, t in docs:
+        gone = {p for k, n in wide[i] if first[tuple(content[i][k : k + n])] < (i, k) for p in range(k, k + n)}
+        kept, at = [], -1
+        for x in t.split("\n"):
+            blank = not x.strip(" \t\n\v\f\r")
+            at += not blank
+            if blank or at not in gone:
+                kept.append(x)
+        runs = sum(k - 1 not in gone for k in gone)
+        out[i] = (len(content[i]), len(gone), runs, "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_runs_of_one_or_two_lines(make, seed):
+    """Documents of one line, lines of 29 and 30 words, and pairs that reach 30 only together."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate([1, 5, 14, 15, 15, 16, 29, 29, 30, 31, 64])] + ["", " "]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))) for _ in range(50)]
+    docs = list(enumerate([*texts, lines[10], lines[10], f"{lines[3]}\n{lines[4]}", f"own\n{lines[3]}\n\n{lines[4]}", lines[6]], 1))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_runs"], r["text"]) for r in line_winnow.dedup_lines(make([t for _, t in docs])).collect()}
+    assert got == brute_rich_lines(docs)
+    fresh = {r["doc_id"]: r["n_removed"] for r in line_winnow.dedup_lines(make([lines[10], f"own\n{lines[10]}", lines[6], lines[6]])).collect()}
+    assert fresh == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_hot_passage(make):
     """A passage in every text, each in its own surroundings."""
     rng = random.Random(9)
