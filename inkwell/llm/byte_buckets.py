@@ -43,7 +43,7 @@ from inkwell.llm.repeats import ID, KEY
 LENGTH = 200
 GRAM = 40
 STEP = 8
-_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int16()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
+_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
 
 
 def final_buckets(data: np.ndarray, which: int, length: int = LENGTH) -> np.ndarray:
@@ -66,11 +66,11 @@ def _settle(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     hit = repeats._spread(size > 1, same, len(h1))
     lo, hi, row = _stretches(i[hit], t[hit], at[hit])
     pi, pt = i[hit][row], t[hit][row]
-    deal = textkit.mix(pi.view(np.uint64))
+    deal = repeats.dealt_by_text(pi, pt)
     f = np.concatenate([np.where(size > 1, repeats.MULTI, repeats.CANDIDATE), np.full(len(lo), repeats.SETTLED)])
     arrays = [np.concatenate(x) for x in ((h1[ask], deal), (h2[ask], np.zeros(len(lo), np.uint64)), (i[ask], pi), (t[ask], pt), (at[ask], lo), (at[ask], hi))]
     kinds = [kind for _, kind in _FINAL]
-    order = np.lexsort((arrays[4], arrays[2]))  # neighbours of one text together: they compress well
+    order = np.lexsort((arrays[4], arrays[3], arrays[2]))  # neighbours of one text together: they compress well
     made = [x[order] for x in (arrays[0].view(np.int64), arrays[1].view(np.int64), *arrays[2:], f)]
     return pa.RecordBatch.from_arrays([pa.array(a.astype(k.to_pandas_dtype()), k) for a, k in zip(made, kinds, strict=True)], [n for n, _ in _FINAL])
 
@@ -151,9 +151,9 @@ def repeated_starts(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         raise ValueError("length must be a multiple of 8 below 256")
     first = repeats.first_round(source, repeats.byte_rows, length, gram, earlier=False)
     second = repeats.settle(repeats.open_texts(source, first).mapInArrow(_steps(length), repeats.ROWS), earlier=False)
-    schema = f"h1 long, h2 long, {ID} long, {KEY} short, lo int, hi int, f byte"
+    schema = f"h1 long, h2 long, {ID} long, {KEY} long, lo int, hi int, f byte"
     final = repeats.open_texts(source, second).mapInArrow(_refine(length), schema)
-    later = final.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_compare, f"{ID} long, {KEY} short, lo int, hi int")
+    later = final.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_compare, f"{ID} long, {KEY} long, lo int, hi int")
     return repeats.all_stretches(first, second, later)
 
 

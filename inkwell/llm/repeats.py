@@ -36,9 +36,9 @@ HOT_SPANS = 8
 _PLACE = np.uint64(2**24 - 1)
 CANDIDATE, MULTI, HOT, SETTLED, OPEN = range(5)
 ID, KEY = "__rp_id", "__rp_key"
-_FIELDS = (("k", pa.int64()), ("s", pa.int64()), (ID, pa.int64()), (KEY, pa.int16()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int16()), ("f", pa.int8()))
-ROWS = f"k long, s long, {ID} long, {KEY} short, lo int, hi int, p short, f byte"
-BLOCKS = f"{ID} long, {KEY} short, lo int, hi int, p short, f byte"
+_FIELDS = (("k", pa.int64()), ("s", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int16()), ("f", pa.int8()))
+ROWS = f"k long, s long, {ID} long, {KEY} long, lo int, hi int, p short, f byte"
+BLOCKS = f"{ID} long, {KEY} long, lo int, hi int, p short, f byte"
 
 #: From one block of texts to (symbols of all rows, offset of each row among them).
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -55,10 +55,10 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _names(docs: DataFrame) -> DataFrame:
-    """docs plus doc_id as a number (null: below all others) and a small hash that tells different texts of one id apart."""
+    """docs plus doc_id as a number (null: below all others) and a 64-bit hash that tells different texts of one id apart."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    small = F.coalesce(F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(2**15)).cast("short"), F.lit(0).cast("short"))
-    return docs.withColumn(ID, number).withColumn(KEY, small)  # never null: inner and outer joins see one plan of the texts
+    key = F.coalesce(F.xxhash64(F.lit(3), F.col("text")), F.lit(0).cast("long"))
+    return docs.withColumn(ID, number).withColumn(KEY, key)  # never null: inner and outer joins see one plan of the texts
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -106,6 +106,11 @@ def _spread(per_run: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(per_run, np.diff(np.append(starts, n)))
 
 
+def dealt_by_text(i: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Where rows that only travel go: those of one text together, those of one id (or of none) apart."""
+    return textkit.mix(i.view(np.uint64) + t.view(np.uint64))
+
+
 def settle_locally(rows: tuple[np.ndarray, ...], earlier: bool) -> pa.RecordBatch:
     """One task's blocks: what they settle among themselves, and one candidate for equal ones."""
     k, s, i, t, lo, hi, p = rows
@@ -135,9 +140,9 @@ def settle_locally(rows: tuple[np.ndarray, ...], earlier: bool) -> pa.RecordBatc
     parts.append((*(x[lead] for x in rows), np.full(int(lead.sum()), HOT)))
     k, s, i, t, lo, hi, p, f = (np.concatenate(x) for x in zip(*parts, strict=True))
     passing = f >= SETTLED  # settled rows only travel: dealt out by text, in runs
-    k = np.where(passing, textkit.mix(i.view(np.uint64)), k)
+    k = np.where(passing, dealt_by_text(i, t), k)
     s = np.where(passing, np.uint64(0), s)
-    order = np.lexsort((lo, i))  # neighbours of one text together: they compress well
+    order = np.lexsort((lo, t, i))  # neighbours of one text together: they compress well
     arrays = [x[order] for x in (k.view(np.int64), s.view(np.int64), i, t, lo, hi, p, f)]
     return pa.RecordBatch.from_arrays([pa.array(x.astype(kind.to_pandas_dtype()), kind) for x, (_, kind) in zip(arrays, _FIELDS, strict=True)], [name for name, _ in _FIELDS])
 

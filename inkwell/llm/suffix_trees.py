@@ -44,7 +44,7 @@ GRAM = 5
 GROUP_SUFFIXES = 250_000
 WORD_BYTES = 5
 _LEAVES = ("suffix", ID, KEY, "lo", "hi", "f")
-SCHEMA = f"suffix binary, {ID} long, {KEY} short, lo int, hi int, f byte"
+SCHEMA = f"suffix binary, {ID} long, {KEY} long, lo int, hi int, f byte"
 
 
 def _leaves(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -56,7 +56,7 @@ def _leaves(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     gone = i > repeats._spread(i[same], same, len(i))
     lo, hi, row = byte_buckets._stretches(i[gone], t[gone], at[gone])
     # Settled stretches only travel; a hash of the text in place of a suffix deals them out.
-    deal = textkit.mix(i[gone][row].view(np.uint64)).byteswap().view("S8").tolist() if len(row) else []
+    deal = repeats.dealt_by_text(i[gone][row], t[gone][row]).byteswap().view("S8").tolist() if len(row) else []
     asking = suffixes[~gone].view(np.uint8).reshape(-1, suffixes.itemsize)
     kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(suffixes.itemsize), len(asking), [None, pa.py_buffer(np.ascontiguousarray(asking))]).cast(pa.binary())
     stay = ~gone
@@ -128,7 +128,7 @@ def repeated_starts(source: DataFrame, depth: int = DEPTH, gram: int = GRAM, gro
     leaves = repeats.open_texts(source, rounds).mapInArrow(_suffixes(depth), SCHEMA)
     n_leaves = rounds.where(F.col("f") == repeats.OPEN).agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
     groups = max(1, -(-n_leaves // group))
-    trees = leaves.repartitionByRange(groups, "suffix").sortWithinPartitions("suffix").mapInArrow(_subtrees(depth), f"{ID} long, {KEY} short, lo int, hi int")
+    trees = leaves.repartitionByRange(groups, "suffix").sortWithinPartitions("suffix").mapInArrow(_subtrees(depth), f"{ID} long, {KEY} long, lo int, hi int")
     return repeats.all_stretches(rounds, trees)
 
 

@@ -2,12 +2,12 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 from inkwell.llm import byte_buckets, line_winnow, suffix_trees
-from tests_llm_helpers import random_texts
+from tests_llm_helpers import SCHEMA, random_texts, rows_of
 
 
 def brute_windows(docs, depth=13):
@@ -139,6 +139,19 @@ def test_hot_passage(make):
     assert {r[0]: tuple(r)[1:] for r in byte_buckets.digest(make(texts)).collect()} == brute_bytes(docs)
 
 
+def test_many_texts_of_one_id(spark):
+    """Thousands of different texts without an id, or with the same one: each gets its own hits."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{k}" for k in range(60))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [" ".join([word() for _ in range(rng.randint(1, 30))] + [passage] * (k % 2) + [word() for _ in range(rng.randint(1, 30))]) for k in range(3000)]
+    without = spark.createDataFrame([(None, *r[1:]) for r in rows_of(texts)], SCHEMA).repartition(3)
+    assert Counter(tuple(r)[1:] for r in byte_buckets.digest(without).collect()) == Counter(brute_bytes(list(enumerate(texts))).values())
+    same = spark.createDataFrame([(1, *rows_of([passage])[0][1:]), *((5, *r[1:]) for r in rows_of(texts))], SCHEMA).repartition(3)
+    want = Counter([brute_windows([(1, passage)])[1], *(brute_windows([(1, passage), (5, t)])[5] for t in texts)])  # texts of one id never remove each other
+    assert Counter(tuple(r)[1:] for r in suffix_trees.digest(same).collect()) == want
+
+
 def test_edges(edge_docs, no_docs):
     n = edge_docs.count()
     for f in (suffix_trees.digest, byte_buckets.digest):
