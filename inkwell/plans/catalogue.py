@@ -82,6 +82,25 @@ def incremental_frequencies(spark, d):
     return retrieval.merge_frequencies(retrieval.document_frequencies(even), odd, third).where("df >= 5")
 
 
+@query
+def term_document_frequency_whole(spark, d):
+    return retrieval.document_frequencies(_docs(spark, d))
+
+
+@query
+def postings_whole(spark, d):
+    """Every posting, as one hash of each document's sorted list."""
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat("term", F.lit(":"), F.col("tf").cast("string")))), " ")
+    return retrieval.postings(_docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.md5(listed).alias("postings_md5"))
+
+
+@query
+def incremental_frequencies_whole(spark, d):
+    docs = _docs(spark, d)
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    return retrieval.merge_frequencies(retrieval.document_frequencies(even), odd, docs.where("doc_id % 6 = 0"))
+
+
 @query
 def bm25_search(spark, d):
     return _rounded(retrieval.bm25(_docs(spark, d), QUESTION, 10))
@@ -257,6 +276,18 @@ def evaluation_gaps(spark, d):
     return corpus.evaluation_gaps(v.results(spark, d).where("paper_id < 300"))
 
 
+def _fine_results(spark, d) -> DataFrame:
+    """Results with brand and type as the dataset: fine enough to leave pairs untested in the whole table."""
+    kinds = v.table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("kind"))
+    rows = v.results(spark, d)
+    return rows.join(kinds, rows["row_key"]["l_partkey"] == kinds["p_partkey"]).withColumn("dataset_key", F.concat("dataset_key", F.lit(" / "), "kind"))
+
+
+@query
+def evaluation_gaps_whole(spark, d):
+    return corpus.evaluation_gaps(_fine_results(spark, d))
+
+
 @query
 def stated_gaps(spark, d):
     out = corpus.stated_gaps(v.chunks(spark, d), MARKERS)
@@ -269,6 +300,12 @@ def structural_gaps(spark, d):
     return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(r.where("paper_id < 300")), corpus.numeric_conflicts(r))
 
 
+@query
+def structural_gaps_whole(spark, d):
+    r, e, p = v.results(spark, d), v.entities(spark, d), v.papers(spark, d)
+    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(_fine_results(spark, d)), corpus.numeric_conflicts(r))
+
+
 @query
 def review_sources(spark, d):
     return corpus.review_sources(v.papers(spark, d))
@@ -511,6 +548,12 @@ def eval_case_hits(spark, d):
     return words.join(cases, "w").where(F.contains("text", F.col("head"))).select("item_id", "doc_id").distinct()
 
 
+@query
+def eval_case_hits_whole(spark, d):
+    """Which documents hold a benchmark item's whole text."""
+    return judging.case_hits(_docs(spark, d), v.table(spark, d, "benchmark"))
+
+
 # ---- library and operations
 
 

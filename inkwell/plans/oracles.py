@@ -153,6 +153,11 @@ EVALUATION = """tested AS (SELECT DISTINCT model_key, dataset_key FROM results W
  un AS (SELECT model_key, list_sort(list(dataset_key)) AS lack FROM (SELECT model_key, dataset_key FROM ms, ds EXCEPT SELECT * FROM tested) GROUP BY model_key),
  evaluation AS (SELECT model_key, len(lack) AS untested, round(1 - len(lack) / (SELECT count(*) FROM ds), 6) AS strength, array_to_string(lack[1:5], ',') AS missing
    FROM un WHERE (SELECT count(*) FROM ds) >= 2 AND (SELECT count(*) FROM ms) >= 2 AND len(lack) < (SELECT count(*) FROM ds) ORDER BY strength DESC, model_key LIMIT 12)"""
+#: Over all papers, with brand and type as the dataset.
+EVALUATION_WHOLE = EVALUATION.replace(
+    "SELECT DISTINCT model_key, dataset_key FROM results WHERE dataset_key IS NOT NULL AND paper_id < 300",
+    "SELECT DISTINCT model_key, dataset_key || ' / ' || lower(p_type) AS dataset_key FROM results JOIN part ON k3 = p_partkey WHERE dataset_key IS NOT NULL",
+)
 CLAIMS = rf"""cl AS (SELECT paper_id, claim_no, claim FROM (
    SELECT paper_id, claim, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index, pos) AS claim_no FROM (
      SELECT paper_id, chunk_index, unnest(range(len(c))) AS pos, unnest(c) AS claim FROM (
@@ -230,6 +235,9 @@ ORACLES = {
     "sentence_counts": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, len({cut('text')}) AS n_cut, greatest(1, length(text) // 4) AS token_estimate FROM documents",
     "corpus_stats": f"SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, round(avg(len(w)), 6) AS avg_tokens FROM (SELECT {tokens('text')} AS w FROM documents)",
     "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term HAVING count(*) >= 5",
+    "term_document_frequency_whole": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term",
+    "postings_whole": f"SELECT doc_id, count(*) AS n_terms, md5(string_agg(term || ':' || tf, ' ' ORDER BY term || ':' || tf)) AS postings_md5 FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY doc_id",
+    "incremental_frequencies_whole": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents WHERE doc_id % 6 <> 0) GROUP BY term",
     "postings_of_frequent_terms": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 5",
     "incremental_frequencies": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents WHERE doc_id % 6 <> 0) GROUP BY term HAVING count(*) >= 5",
     "bm25_search": f"WITH {TK} {_ROUNDED} ({bm25(QUESTION, 10)})",
@@ -276,6 +284,7 @@ ORACLES = {
         "chunks", extra=CLAIMS + r", lw AS (SELECT paper_id, claim_no, list_distinct(list_filter(string_split_regex(lower(claim), '\s+'), lambda w: length(w) > 4)) AS w FROM cl)"),
     "coverage_gaps": sql("SELECT * FROM coverage", "papers", "entities", extra=COVERAGE),
     "evaluation_gaps": sql("SELECT * FROM evaluation", "results", extra=EVALUATION),
+    "evaluation_gaps_whole": sql("SELECT * FROM evaluation", "results", extra=EVALUATION_WHOLE),
     "stated_gaps": sql(
         rf"""SELECT paper_id, chunk_index, gap_no, marker, md5(trim(regexp_replace(substring(content, greatest(1, pos - 80), pos + 320 - greatest(1, pos - 80)), '\s+', ' ', 'g'))) AS excerpt_md5 FROM (
         SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index DESC) AS gap_no FROM (
@@ -286,6 +295,10 @@ ORACLES = {
         """SELECT 'coverage' AS kind, label || ' / ' || name AS subject, ratio AS strength FROM coverage UNION ALL SELECT 'evaluation', model_key, strength FROM evaluation UNION ALL
         SELECT 'unresolved_conflict', model_key || ' / ' || dataset_key || ' / ' || metric_key || ' / ' || left_paper || ' / ' || right_paper, least(1.0, gap) FROM (SELECT * FROM conflicts ORDER BY gap DESC, model_key, dataset_key, metric_key, left_paper, right_paper LIMIT 5)""",
         "papers", "results", "entities", extra=", ".join((COVERAGE, EVALUATION, CONFLICTS))),
+    "structural_gaps_whole": sql(
+        """SELECT 'coverage' AS kind, label || ' / ' || name AS subject, ratio AS strength FROM coverage UNION ALL SELECT 'evaluation', model_key, strength FROM evaluation UNION ALL
+        SELECT 'unresolved_conflict', model_key || ' / ' || dataset_key || ' / ' || metric_key || ' / ' || left_paper || ' / ' || right_paper, least(1.0, gap) FROM (SELECT * FROM conflicts ORDER BY gap DESC, model_key, dataset_key, metric_key, left_paper, right_paper LIMIT 5)""",
+        "papers", "results", "entities", extra=", ".join((COVERAGE, EVALUATION_WHOLE, CONFLICTS))),
     "review_sources": sql("SELECT row_number() OVER (ORDER BY coalesce(published_year, 0) DESC, paper_id) AS source_index, paper_id, title FROM papers ORDER BY source_index LIMIT 40", "papers"),
     "coauthorship_nodes": sql("SELECT * FROM an", "authors", extra=AUTHORS),
     "coauthorship_edges": sql('SELECT l.author AS "left", r.author AS "right", count(*) AS weight FROM authors l JOIN authors r ON l.paper_id = r.paper_id AND l.author < r.author WHERE l.author IN (SELECT author FROM an) AND r.author IN (SELECT author FROM an) GROUP BY ALL', "authors", extra=AUTHORS),
@@ -333,6 +346,7 @@ ORACLES = {
     "eval_report": f"""WITH {JUDGED}, {GATED}, gr AS (SELECT *, conv_id % 7 <> 0 AS graded FROM ga) SELECT count(*) FILTER (WHERE graded) AS graded, count(*) FILTER (WHERE graded AND failures = '') AS n_passed, count(*) FILTER (WHERE NOT graded) AS n_skipped,
  count(*) FILTER (WHERE graded) > 0 AND count(*) FILTER (WHERE graded AND failures <> '') = 0 AS all_passed, {', '.join(f"round(coalesce(avg({m}) FILTER (WHERE graded), 0.0), 4) AS {m}" for m in ('faithfulness', 'answer_relevancy', 'context_precision', 'context_recall', 'citation_validity', 'overall'))} FROM gr""",
     "eval_case_hits": r"""SELECT DISTINCT item_id, doc_id FROM documents d JOIN (SELECT item_id, string_split_regex(text, '\s+')[1] AS w, array_to_string(string_split_regex(text, '\s+')[1:8], ' ') AS head FROM benchmark) b ON contains(d.text, head) AND list_contains(string_split_regex(d.text, '\s+'), w)""",
+    "eval_case_hits_whole": "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "paper_status_counts": sql("SELECT status, count(*) AS n FROM papers GROUP BY status", "papers"),
     "corpus_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "pages", "embeddings", "conversations", "benchmark", "labels")),
     "papers_page": sql("SELECT *, (SELECT count(*) FROM papers) AS total FROM papers ORDER BY coalesce(published_year, 0) DESC, paper_id DESC LIMIT 25 OFFSET 20", "papers"),

@@ -1,6 +1,7 @@
 """Small literal fixtures for behaviour that the tables do not exercise."""
 
 import json
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
 from inkwell.operators import assistant, corpus, documents, graph, judging, library, retrieval
+from inkwell.plans import catalogue
 from inkwell.streaming import ingest, metrics
 
 
@@ -353,3 +355,22 @@ def test_research(spark):
 
 def test_legal_edges_cover_relations():
     assert set(lx.RELATION_OF_LABEL.values()) <= set(lx.LEGAL_EDGES)
+
+
+def test_case_hits_need_the_whole_text(spark):
+    item = "a b c d e f g h last words"
+    docs = spark.createDataFrame([(1, f"so ({item}) it is"), (2, "a b c d e f g h other words"), (3, "two words"), (4, None)], "doc_id long, text string")
+    cases = spark.createDataFrame([(1, item), (2, "two wo"), (3, None)], "item_id long, text string")
+    assert sorted(map(tuple, judging.case_hits(docs, cases).collect())) == [(1, 1), (2, 3)]
+
+
+def test_whole_queries_leave_nothing_out(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    run = lambda name: catalogue.QUERIES[name](spark, sf)
+    assert run("term_document_frequency_whole").where("df < 5").count() > 0
+    assert run("incremental_frequencies_whole").where("df < 5").count() > 0
+    one = run("postings_whole").agg({"n_terms": "sum"}).first()[0]
+    assert one == run("term_document_frequency_whole").agg({"df": "sum"}).first()[0]
+    assert run("evaluation_gaps_whole").count() > 0
