@@ -106,10 +106,11 @@ def all_markers(answer: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(answer), F.lit(r"\[(\d+)\]"), F.lit(1)))
 
 
-def sanitize(text: Column | str, limit: int = 2000) -> Column:
-    """Hidden characters removed, white space collapsed, length capped."""
+def sanitize(text: Column | str, limit: int | None = 2000) -> Column:
+    """Hidden characters removed, white space collapsed, length capped; limit None: the whole text."""
     shown = F.regexp_replace(_col(text), lx.INVISIBLE, "")
-    return F.substring(F.trim(F.regexp_replace(shown, r"\s+", " ")), 1, limit)
+    plain = F.trim(F.regexp_replace(shown, r"\s+", " "))
+    return plain if limit is None else F.substring(plain, 1, limit)
 
 
 def injection_match(text: Column | str, patterns: Sequence[str] = lx.INJECTION_PATTERNS) -> Column:

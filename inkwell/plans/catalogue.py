@@ -465,6 +465,16 @@ def default_gazetteer_counts(spark, d):
     return documents.gazetteer(_docs(spark, d)).groupBy("label", "name").agg(F.count("*").alias("n"))
 
 
+@query
+def gazetteer_entities_whole(spark, d):
+    return documents.gazetteer(_docs(spark, d), TERMS, limit=None).select("doc_id", "label", "name", F.md5("evidence").alias("evidence_md5"))
+
+
+@query
+def default_gazetteer_counts_whole(spark, d):
+    return documents.gazetteer(_docs(spark, d), limit=None).groupBy("label", "name").agg(F.count("*").alias("n"))
+
+
 @query
 def nearest_caption(spark, d):
     line = v.table(spark, d, "lineitem")
@@ -504,7 +514,22 @@ def title_from_html(spark, d):
 
 @query
 def injection_flags(spark, d):
-    found = tx.injection_match(documents.html_text("html"), (r"\bthe\s+of\b", r"<\s*/?\s*(?:system|assistant)\s*>", r"ertion"))
+    return _flags(spark, d, documents.html_text("html"))
+
+
+@query
+def sanitize_pages_whole(spark, d):
+    text = documents.html_text("html", None)
+    return v.table(spark, d, "pages").select("page_id", F.md5(text).alias("snippet_md5"), F.length(text).alias("n_chars"))
+
+
+@query
+def injection_flags_whole(spark, d):
+    return _flags(spark, d, documents.html_text("html", None))
+
+
+def _flags(spark, d, text) -> DataFrame:
+    found = tx.injection_match(text, (r"\bthe\s+of\b", r"<\s*/?\s*(?:system|assistant)\s*>", r"ertion"))
     return v.table(spark, d, "pages").select("page_id", F.coalesce(found, F.lit("")).alias("reason"))
 
 

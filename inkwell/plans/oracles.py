@@ -211,6 +211,9 @@ HTML = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(sc
 SNIPPET = rf"left(trim(regexp_replace(regexp_replace({HTML}, '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '\s+', ' ', 'g')), 2000)"
 
 
+SNIPPET_WHOLE = SNIPPET.removeprefix("left(").removesuffix(", 2000)")
+
+
 def _first_match(text: str, patterns) -> str:
     return "coalesce(" + ", ".join(f"nullif(left(regexp_extract({text}, {quote('(?i)(' + p + ')')}, 1), 60), '')" for p in patterns) + ")"
 
@@ -222,6 +225,10 @@ def _gaz(terms_by_label: dict, out: str) -> str:
 h AS (SELECT doc_id, label, name, t, {at} AS pos FROM l, g WHERE contains(low, name) AND regexp_matches(low, pattern)) {out}"""
 
 
+def _gaz_whole(terms_by_label: dict, out: str) -> str:
+    return _gaz(terms_by_label, out).replace("left(text, 12000)", "text")
+
+
 def _escape(x: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != " " else c for c in x)
 
@@ -324,6 +331,8 @@ ORACLES = {
     "graph_dangling": sql("SELECT type, count(*) AS n FROM edges WHERE split_part(dst, ':', 1) <> 'Venue' GROUP BY type", "edges"),
     "chunk_token_stats": sql("SELECT kind, count(*) AS n, CAST(sum(greatest(1, length(content) // 4)) AS BIGINT) AS tokens, max(length(content)) AS longest FROM chunks GROUP BY kind", "chunks"),
     "default_gazetteer_counts": _gaz(lx.ENTITY_TERMS, "SELECT label, name, count(*) AS n FROM h GROUP BY ALL"),
+    "default_gazetteer_counts_whole": _gaz_whole(lx.ENTITY_TERMS, "SELECT label, name, count(*) AS n FROM h GROUP BY ALL"),
+    "gazetteer_entities_whole": _gaz_whole(TERMS, "SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"),
     "gazetteer_entities": _gaz(TERMS, "SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"),
     "breadcrumbs": sql(
         """SELECT paper_id, chunk_index, level, concat_ws(' > ', CASE WHEN level >= 1 THEN t1 END, CASE WHEN level >= 2 AND (c2 IS NULL OR c2 < o2) THEN t2 END, CASE WHEN level >= 3 AND (c3 IS NULL OR c3 < o3) THEN t3 END) AS path FROM (
@@ -340,6 +349,8 @@ ORACLES = {
     "sanitize_pages": f"SELECT page_id, md5({SNIPPET}) AS snippet_md5, length({SNIPPET}) AS n_chars FROM pages",
     "title_from_html": r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '')) AS title FROM pages""",
     "injection_flags": rf"SELECT page_id, coalesce({_first_match('s', (chr(92) + 'bthe' + chr(92) + 's+of' + chr(92) + 'b', '<' + chr(92) + 's*/?' + chr(92) + 's*(?:system|assistant)' + chr(92) + 's*>', 'ertion'))}, '') AS reason FROM (SELECT page_id, {SNIPPET} AS s FROM pages)",
+    "sanitize_pages_whole": f"SELECT page_id, md5({SNIPPET_WHOLE}) AS snippet_md5, length({SNIPPET_WHOLE}) AS n_chars FROM pages",
+    "injection_flags_whole": rf"SELECT page_id, coalesce({_first_match('s', (chr(92) + 'bthe' + chr(92) + 's+of' + chr(92) + 'b', '<' + chr(92) + 's*/?' + chr(92) + 's*(?:system|assistant)' + chr(92) + 's*>', 'ertion'))}, '') AS reason FROM (SELECT page_id, {SNIPPET_WHOLE} AS s FROM pages)",
     "checksums": "SELECT doc_id, sha256(text) AS checksum, 'papers/' || sha256(text)[1:2] || '/' || sha256(text)[3:4] || '/' || sha256(text) || '.' || lower(lang) AS storage_key FROM documents",
     "eval_scores": f"WITH {JUDGED} SELECT conv_id, turn, faithfulness, answer_relevancy, context_precision, context_recall, citation_validity, overall FROM sc",
     "eval_gate": f"WITH {JUDGED}, {GATED} SELECT conv_id, turn, failures = '' AS passed, failures FROM ga",

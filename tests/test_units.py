@@ -374,3 +374,13 @@ def test_whole_queries_leave_nothing_out(spark):
     one = run("postings_whole").agg({"n_terms": "sum"}).first()[0]
     assert one == run("term_document_frequency_whole").agg({"df": "sum"}).first()[0]
     assert run("evaluation_gaps_whole").count() > 0
+
+
+def test_whole_texts_are_read(spark):
+    docs = spark.createDataFrame([(1, "word " * 4000 + "coco " + "word " * 20)], "doc_id long, text string")
+    terms = {"Dataset": ("coco",)}
+    assert documents.gazetteer(docs, terms).count() == 0
+    assert documents.gazetteer(docs, terms, limit=None).count() == 1
+    html = "<p>" + "word " * 1000 + "end</p>"
+    assert one(spark, F.length(documents.html_text("h")), h=html) == 2000
+    assert one(spark, documents.html_text("h", None), h=html).endswith("end")
