@@ -56,9 +56,19 @@ def markdown(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*columns, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def _firsts(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
+    """keys, firsts (sorted): the k smallest values of each group.  Tasks keep k of each group before they shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    kept = rows.where(F.col(value).isNotNull()).select(*keys, value).withColumn("__rank", rank).where(F.col("__rank") <= k)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("firsts"))
+
+
 def timeline(papers: DataFrame, titles: int = 20) -> DataFrame:
     """Papers per year with the first titles; undated papers are a row of their own (null year)."""
-    return papers.groupBy("published_year").agg(F.count("*").alias("n_papers"), F.array_join(F.slice(F.array_sort(F.collect_list("title")), 1, titles), "|").alias("titles"))
+    years = papers.groupBy("published_year").agg(F.count("*").alias("n_papers"))
+    firsts = _firsts(papers, ["published_year"], "title", titles).withColumnRenamed("published_year", "__year")
+    both = years.join(firsts, F.col("published_year").eqNullSafe(F.col("__year")), "left")
+    return both.select("published_year", "n_papers", F.coalesce(F.array_join("firsts", "|"), F.lit("")).alias("titles"))
 
 
 def entity_trends(entities: DataFrame, papers: DataFrame, labels: Sequence[str] = (), top_n: int = 15) -> DataFrame:
@@ -146,7 +156,7 @@ def coverage_gaps(entities: DataFrame, papers: DataFrame, labels: Sequence[str],
     # At most top_n names times the papers: the anti join finds what is missing, five ids are kept.
     have = entities.select("paper_id", "label", "name")
     missing = scope.crossJoin(F.broadcast(top.select("label", "name"))).join(have, ["paper_id", "label", "name"], "left_anti")
-    five = missing.groupBy("label", "name").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("paper_id")), 1, 5), lambda x: x.cast("string")), ",").alias("missing"))
+    five = _firsts(missing, ["label", "name"], "paper_id", 5).select("label", "name", F.array_join(F.transform("firsts", lambda x: x.cast("string")), ",").alias("missing"))
     return top.join(five, ["label", "name"]).select("label", "name", "covered", F.round("ratio", 6).alias("ratio"), "missing")
 
 

@@ -384,3 +384,17 @@ def test_whole_texts_are_read(spark):
     html = "<p>" + "word " * 1000 + "end</p>"
     assert one(spark, F.length(documents.html_text("h")), h=html) == 2000
     assert one(spark, documents.html_text("h", None), h=html).endswith("end")
+
+
+def test_first_values_are_cut_in_each_task(spark):
+    papers = spark.createDataFrame([(k, f"t{k % 7}" if k % 3 else None, 2000 if k % 2 else None) for k in range(60)] + [(99, None, 1999)], "paper_id long, title string, published_year int")
+    want = {}
+    for r in papers.collect():
+        want.setdefault(r["published_year"], []).append(r["title"])
+    got = corpus.timeline(papers, 4)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == {y: (len(ts), "|".join(sorted(t for t in ts if t)[:4])) for y, ts in want.items()}
+    entities = spark.createDataFrame([(k, "Task", "qa") for k in range(40)], "paper_id long, label string, name string")
+    gaps = corpus.coverage_gaps(entities, papers, ["Task"])
+    assert [r["missing"] for r in gaps.collect()] == ["40,41,42,43,44"]
+    for rows in (got, gaps):
+        assert "WindowGroupLimit" in rows._jdf.queryExecution().toString()
