@@ -1,114 +1,150 @@
 """Operator 8: near duplicates by Order MinHash and banded alignment.
 
-A text is the sequence of its SHINGLE-word shingles, each labelled with its
-occurrence number (so all are different).  A sketch takes, under one hash
+A text is the sequence of its SHINGLE-word shingles (both ends are padded with
+marks), each labelled with its occurrence number (so all are different).  A sketch takes, under one hash
 function, the PICK smallest labelled shingles and keeps them in text order;
 equal sketches need the same shingles in the same order, so they follow edit
-similarity, not only overlap.  SKETCHES sketches are taken; texts that share
-one are candidates.  Texts of TINY shingles or fewer also share a bucket for
-each of their shingles, since they have too few to sample from.
+similarity, not only overlap.  SKETCHES sketches are taken of every text, and
+texts that share one are candidates.
 
-A candidate is verified by aligning the two shingle sequences within the band
-that the threshold leaves (shingles further apart cannot be part of an
-alignment that is good enough): with L shingles aligned in order, the
-similarity is L / (|A| + |B| - L), and it must reach the threshold.  As
-labelled shingles are unique, the longest alignment is the longest increasing
-run of matched positions.
+A candidate is verified by aligning the two word sequences within the band
+that the threshold leaves: with L words aligned in order, the similarity is
+L / (|A| + |B| - L), and it must reach the threshold.  So one changed word
+costs one symbol, not all the shingles it lies in.
 
 Classes are the connected components of verified links and of equal texts.
 No bucket is expanded into all its pairs:
 
 1. equal texts (equal word sequences) become one node;
-2. in each bucket every text is compared with two others only, the smallest
-   id and one picked by a hash (another one in each bucket), and components are
-   formed; once more with two other picks in buckets that hold several;
-3. a bucket whose texts are by then in one component is done.  In the others,
-   the texts outside the bucket's largest component are compared with all
-   texts of other components there, unless a bound rules a pair out: only
-   shingles that a text of another component has as well can be aligned,
-   and there must be enough of them on both sides.  Every candidate pair is
-   then in one component, has been compared, or cannot reach the threshold.
+2. in each bucket every text is compared with the smallest id only, and
+   components are formed; in buckets that hold several components, the texts
+   outside the largest one are compared with one text of it, picked by a hash
+   that differs from bucket to bucket, and components are formed again;
+3. texts that are then still outside their bucket's largest component are
+   compared with that component's texts, and with each other, through an exact
+   prefix filter: two texts that reach the threshold share so many labelled
+   words that they share one among the rarest of each, wherever "rare" is
+   measured.  Words of a passage that is in many texts are frequent there and
+   join nobody; a copy with too many edits has its own edits as its rarest
+   words.  So the pairs follow real likeness, not the square of a bucket.
+
+Before texts are fetched for a pair it must pass two bounds on data that each
+node carries: the numbers of words, and 64 one-bit minima over labelled words.
+Texts at the threshold differ in 6 of these bits on average; a pair that
+differs in more than BITS is left out (for a pair at the threshold the chance
+of that is below one in a hundred thousand).
 
 Defined results: texts without words, and rows without doc_id, get no class
-(null); rows that share a doc_id are one document; extra columns are ignored;
-ties go to the smaller id; an empty table gives an empty result.
+(null); rows that share a doc_id are one document; ids that are no integers
+raise an error; extra columns are ignored; ties go to the smaller id; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from inkwell.llm import repeats, textkit
+from inkwell.llm import textkit
 from inkwell.llm.components import components
 from inkwell.llm.durable import durable
 
-SHINGLE, PICK, SKETCHES, TINY = 5, 8, 64, 25
+SHINGLE, PICK, SKETCHES = 5, 2, 64
 THRESHOLD = 0.8
+BITS = 18
+COMPONENT_WEIGHT = 100
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def labelled(symbols: np.ndarray) -> np.ndarray:
+    """Symbols told apart by their occurrence numbers, in text order."""
+    order = np.argsort(symbols, kind="stable")
+    ranked = symbols[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.zeros(len(symbols), np.uint64)
+    if not new.all():
+        at = np.arange(len(symbols))
+        number[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return textkit.mix(symbols + number * np.uint64(0x9E3779B97F4A7C15))
+
+
 def labelled_shingles(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of the shingles with their occurrence numbers, in text order; a short text is one shingle."""
+    """Hashes of the labelled shingles in text order; both ends are padded, so that a word lies in as many shingles anywhere."""
     if not len(words):
         return words
-    grams = textkit.mix(textkit.Rolling(words).grams(min(shingle, len(words))))
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    if not new.all():
-        at = np.arange(len(grams))
-        number = np.empty(len(grams), np.uint64)
-        number[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-        grams = textkit.mix(grams + number * np.uint64(0x9E3779B97F4A7C15))
-    return grams
+    start, end = (np.full(shingle - 1, mark, np.uint64) for mark in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
+    return labelled(textkit.chained(np.concatenate([start, words, end]), shingle))
 
 
-def sketches(labelled: np.ndarray, count: int = SKETCHES, pick: int = PICK) -> np.ndarray:
+def sketches(shingles: np.ndarray, count: int = SKETCHES, pick: int = PICK) -> np.ndarray:
     """The hashes of `count` order sketches."""
-    n = len(labelled)
-    take = min(pick, n)
+    n = len(shingles)
+    take = min(pick, n)  # padded texts have more shingles than that
     out = np.empty(count, np.uint64)
-    step = max(1, (1 << 20) // n)
+    step = max(1, (1 << 18) // n)
     for at in range(0, count, step):
         some = _MULTIPLIERS[at : min(at + step, count), None]
-        values = labelled[None, :] * some
+        values = shingles[None, :] * some
         values ^= values >> np.uint64(32)
         values *= some
-        chosen = np.argpartition(values, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), values.shape)
-        kept = labelled[np.sort(chosen, axis=1)]
-        out[at : at + len(some)] = (kept * _PLACES[:take]).sum(axis=1, dtype=np.uint64)
+        rows = np.arange(len(some))
+        chosen = np.empty((len(some), take), np.int64)
+        for k in range(take):
+            chosen[:, k] = values.argmin(axis=1)
+            values[rows, chosen[:, k]] = np.uint64(2**64 - 1)
+        kept = shingles[np.sort(chosen, axis=1)]
+        out[at : at + len(some)] = (textkit.mix(kept * _PLACES[:take])).sum(axis=1, dtype=np.uint64)
     return textkit.mix(out + np.arange(count, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def bits(words: np.ndarray) -> int:
+    """64 bits: one of the smallest labelled word in each of 64 bins (0 in an empty bin)."""
+    values = textkit.mix(words ^ np.uint64(0x8EBC6AF09C88C6E3))
+    least = np.full(64, 2**64 - 1, np.uint64)
+    np.minimum.at(least, (values >> np.uint64(58)).astype(np.int64), values)
+    odd = textkit.mix(least) & np.uint64(1)
+    odd[least == np.uint64(2**64 - 1)] = 0
+    return int(np.packbits(odd.astype(np.uint8)).view(">u8")[0])
+
+
+def _common(a: list, b: list, band: int) -> int:
+    """The longest common subsequence of matches (i, j) with |i - j| <= band: a row of the alignment is one number of len(b) bits."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row, reach = every, (1 << 2 * band + 1) - 1
+    for i, x in enumerate(a):
+        met = places.get(x)
+        if met:
+            met &= reach << i - band if i >= band else reach >> band - i
+            met &= row
+            row = (row + met | row - met) & every
+    return len(b) - row.bit_count()
+
+
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
-    """The longest common subsequence of two sequences of unique symbols within the band; 0 if it cannot do."""
+    """The longest common subsequence of two sequences within the band; 0 if it cannot reach the threshold."""
     total = len(a) + len(b)
     least = threshold * total / (1 + threshold) - 1e-9
-    if min(len(a), len(b)) < least:
-        return 0
-    order = np.argsort(b)
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    match = b[order[at]] == a
-    i, j = np.flatnonzero(match), order[at[match]]
-    band = total - 2 * least
-    near = np.abs(i - j) <= band
-    j = j[near]
-    if len(j) < least:
+    short = min(len(a), len(b))
+    if short < least:
         return 0
-    if (np.diff(j) > 0).all():
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
+    differs = a[:short] != b[:short]
+    head = int(differs.argmax()) if differs.any() else short
+    differs = a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1]
+    tail = int(differs.argmax()) if differs.any() else short - head
+    # Equal ends are always part of a longest alignment; what lies between is aligned within the band.
+    length = head + tail + _common(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist(), int(total - 2 * least))
+    return length if length >= least else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -117,56 +153,33 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return length / (len(a) + len(b) - length) if length else 0.0
 
 
-_SKETCHED = "id long, c1 long, c2 long, n int, sigs array<long>"
+def _words(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return textkit.word_hashes(raw, *textkit.word_spans(raw, np.array([0, len(raw)]))[:2])
+
+
+_NODE = "id long, c1 long, c2 long, n int, bits long, sigs array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = np.asarray(batch.column("doc_id")).astype(np.int64)
-        keep, c1, c2, n, sigs, sizes = [], [], [], [], [], []
+        keep, whole, n, marks, sigs = [], [], [], [], []
         for first, _, data, offsets in textkit.blocks(batch.column("text")):
-            words, at = repeats.word_rows(data, offsets)
-            other = textkit.mix(words ^ np.uint64(0xA0761D6478BD642F))
-            begin, end = at[:-1], at[1:]
-            one, two = (textkit.mix(textkit.Rolling(x, which).spans(begin, end) + (end - begin).astype(np.uint64)) for which, x in ((0, words), (1, other)))
-            for row in np.flatnonzero(end > begin):
-                labelled = labelled_shingles(words[begin[row] : end[row]])
-                own = sketches(labelled)
-                if len(labelled) <= TINY:
-                    own = np.concatenate([own, textkit.mix(labelled ^ np.uint64(0xE7037ED1A0B428DB))])
+            starts, ends, at = textkit.word_spans(data, offsets)
+            words, raw = textkit.word_hashes(data, starts, ends), data.tobytes()
+            for row in np.flatnonzero(at[1:] > at[:-1]):
+                own = words[at[row] : at[row + 1]]
                 keep.append(first + row)
-                n.append(len(labelled))
-                sigs.append(own)
-                sizes.append(len(own))
-            some = end > begin
-            c1.append(one[some])
-            c2.append(two[some])
+                whole.append(hashlib.md5(b" ".join(raw[offsets[row] : offsets[row + 1]].split()), usedforsecurity=False).digest())
+                n.append(len(own))
+                marks.append(bits(labelled(own)))
+                sigs.append(sketches(labelled_shingles(own)))
+        both = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
         flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-        both = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (c1, c2)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(keep, np.int64)]), *map(pa.array, both), pa.array(n, pa.int32()), lists], ["id", "c1", "c2", "n", "sigs"])
-
-
-def _labelled(text: str | None) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return labelled_shingles(repeats.word_rows(data, np.array([0, len(data)]))[0])
-
-
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id")
-        some = [_labelled(t) for t in batch.column("text").to_pylist()]
-        at = np.repeat(np.arange(len(some)), [len(x) for x in some])
-        flat = np.concatenate(some) if some else np.empty(0, np.uint64)
-        at = pa.array(at)
-        yield pa.RecordBatch.from_arrays([ids.take(at), batch.column("label").take(at), pa.array(flat.view(np.int64))], ["id", "label", "h"])
-
-
-def _alignable(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, shared: how many of a text's shingles a text of another label has."""
-    rows = durable(texts.join(ids, texts["doc_id"] == ids["id"]).select("doc_id", "label", "text").mapInArrow(_shingle_rows, "id long, label long, h long"))
-    known = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    return rows.join(known, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * SKETCHES), pa.array(flat))
+        columns = [ids[np.array(keep, np.int64)], both[:, 0].copy(), both[:, 1].copy(), np.array(n, np.int32), np.array(marks, np.uint64).view(np.int64)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["id", "c1", "c2", "n", "bits", "sigs"])
 
 
 def _verify(threshold: float):
@@ -176,15 +189,55 @@ def _verify(threshold: float):
             ok = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b").to_pylist(), strict=True):
                 if a != last:
-                    last, held = a, _labelled(ta.as_py())
-                ok.append(similarity(held, _labelled(tb), threshold) >= threshold - 1e-9)
+                    last, held = a, _words(ta.as_py().encode())
+                ok.append(similarity(held, _words(tb.encode()), threshold) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     return run
 
 
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        some = [labelled(_words(t.encode())) for t in batch.column("text").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(some)), [len(x) for x in some]))
+        flat = np.concatenate(some) if some else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("label").take(at), pa.array(flat.view(np.int64))], ["id", "label", "w"])
+
+
+def _prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """id, n, bits, label, w, rank: of each node the rarest labelled words (counted over these nodes), one of which every partner has too."""
+    some = nodes.select("id", "n", "bits", "label").distinct()
+    words = durable(texts.join(some.select("id", "label"), texts["doc_id"] == F.col("id")).select("id", "label", "text").mapInArrow(_word_rows, "id long, label long, w long"))
+    # Any order of the words is exact.  In this one, words that make up a component come last, so that what sets a text apart from it is rare.
+    counts = words.groupBy("w", "label").agg(F.count("*").alias("n"))
+    known = counts.groupBy("w").agg((F.sum("n") + COMPONENT_WEIGHT * F.max("n")).alias("df"), F.sum("n").alias("times")).where("times > 1").drop("times")
+    listed = words.drop("label").join(known, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws")).join(some, "id")
+    # A partner has at least threshold * n of the n words.  Words that nobody else has come first, and join nobody.
+    alone = F.col("n") - F.size("ws")
+    spare = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - alone
+    cut = F.slice("ws", F.lit(1), F.greatest(spare, F.lit(0)).cast("int"))
+    return listed.select("id", "n", "bits", "label", alone.alias("alone"), F.posexplode(cut).alias("at", "s")).select("id", "n", "bits", "label", F.col("s.w").alias("w"), (F.col("at") + F.col("alone") + 1).alias("rank"))
+
+
+def _able(x: str, y: str, threshold: float):
+    """Bounds that two nodes have to meet before their texts are compared."""
+    n = lambda s: F.col(f"n{s}").cast("double")
+    sizes = F.least(n(x), n(y)) >= threshold * F.greatest(n(x), n(y)) - 1e-6
+    return sizes & (F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}"))) <= BITS)
+
+
+def _in_prefixes(x: str, y: str, threshold: float):
+    """The shared word is early enough in both orders for two nodes of these sizes."""
+    least = F.ceil((F.col(f"n{x}") + F.col(f"n{y}")) * (threshold / (1 + threshold)) - 1e-9)
+    return (F.col(f"rank{x}") <= F.col(f"n{x}") - least + 1) & (F.col(f"rank{y}") <= F.col(f"n{y}") - least + 1)
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}{x}") for c in rows.columns))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -194,54 +247,60 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return durable(both.mapInArrow(_verify(threshold), "a long, b long"))
 
 
+def _unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with label and main, the bucket's largest one."""
+    member = buckets.join(label, buckets["id"] == label["u"], "left").select("b", "id", "n", "bits", F.coalesce("v", "id").alias("label"))
+    sizes = member.groupBy("b", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
+    return member.join(main, "b")
+
+
+def _more(label: DataFrame, links: DataFrame) -> DataFrame:
+    return components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links)) if links.limit(1).count() else label
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class): one row per row of docs."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer column; give other ids a number first")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sketched = durable(texts.mapInArrow(_sketch, _SKETCHED))
+    sketched = durable(texts.mapInArrow(_sketch, _NODE))
     # Equal texts: the smallest id stands for them.
     copies = durable(sketched.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
-    nodes = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep")).select("id", "n", F.explode("sigs").alias("b"))
-    buckets = durable(nodes.distinct())
-    size = F.col("n").cast("double")
-    pick = lambda n: F.min_by("id", F.xxhash64(F.lit(n), "b", "id"))
-    centres = buckets.groupBy("b").agg(F.min("id").alias("a"), F.max("id").alias("z"), pick(1).alias("h")).where("a < z")
-    starred = buckets.join(centres, "b").select("id", F.explode(F.array("a", "h")).alias("c"))
-    tried = durable(_pairs(starred.where("id <> c"), "id", "c"))
-    links = _links(tried, texts, threshold)
-    label = components(links)
-
-    several = buckets.join(centres.select("b"), "b", "left_semi")
-    for last in (False, True):
-        member = several.join(label, several["id"] == label["u"], "left").select("b", "id", size.alias("n"), F.coalesce("v", "id").alias("label"))
-        parts = member.groupBy("b", "label").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
-        several = durable(member.join(mixed, "b"))
-        side = lambda x, rows: rows.select("b", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), *([F.col("shared").alias(f"s{x}")] if last else []), "main")
-        if last:
-            able = several
-            for _ in range(2):  # partners are among those able to pair, so the second count is over fewer texts
-                shared = _alignable(able.select("id", "label").distinct(), texts)
-                sizes = able.select("id", "n").distinct()
-                ids = durable(sizes.join(shared, "id").where(F.col("shared") >= threshold * F.col("n") - 1e-6).select("id", "shared"))
-                able = several.join(ids, "id")
-            few, rest = side("x", able.where("label <> main")).drop("main"), side("y", able)
-            allowed = (F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))
-            reach = F.least("nx", "ny", "sx", "sy")
-        else:
-            picked = several.groupBy("b").agg(pick(2).alias("p"), pick(3).alias("q")).select("b", F.explode(F.array("p", "q")).alias("id")).distinct()
-            few, rest = side("x", several.join(picked, ["b", "id"])).drop("main"), side("y", several)
-            allowed, reach = F.lit(True), F.least("nx", "ny")
-        enough = reach >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-6
-        new = _pairs(few.join(rest, "b").where((F.col("lx") != F.col("ly")) & allowed & enough), "x", "y")
-        if last:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = durable(new)
-        if new.limit(1).count():
-            more = _links(new, texts, threshold)
-            tried = tried.unionByName(new)
-            if more.limit(1).count():
-                label = components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
-        several = several.select("b", "id", F.col("n").cast("int").alias("n"))
+    nodes = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep"))
+    rows = nodes.select("id", "n", "bits", F.explode("sigs").alias("b")).distinct()
+    shared = rows.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("b")
+    buckets = durable(rows.join(shared, "b", "left_semi"))
+
+    # Every text with the smallest id of its bucket.
+    centres = buckets.groupBy("b").agg(F.min(F.struct("id", "n", "bits")).alias("c")).select("b", "c.*")
+    met = _side(buckets, "x").join(_side(centres, "y"), F.col("bx") == F.col("by"))
+    tried = durable(_pairs(met.where((F.col("idx") != F.col("idy")) & _able("x", "y", threshold))))
+    label = components(_links(tried, texts, threshold))
+    buckets = durable(_unsettled(buckets, label))
+
+    # Texts outside a bucket's main component with one text of it, another one in each bucket.
+    few = buckets.where("label <> main")
+    picked = F.min_by(F.struct("id", "n", "bits"), F.xxhash64(F.lit(1), "b", "id"))
+    centres = buckets.where("label = main").groupBy("b").agg(picked.alias("c")).select("b", "c.*")
+    met = _side(few, "x").join(_side(centres, "y"), F.col("bx") == F.col("by"))
+    new = durable(_pairs(met.where(_able("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionByName(new)
+    label = _more(label, _links(new, texts, threshold))
+    buckets = durable(_unsettled(buckets.drop("label", "main"), label))
+
+    # What is left, exactly: with other components' texts of the same bucket, and with the main component.
+    prefix = durable(_prefixes(buckets, texts, threshold))
+    few = buckets.where("label <> main").select("b", "id", "main").distinct()
+    apart = (F.col("labelx") != F.col("labely")) & _able("x", "y", threshold) & _in_prefixes("x", "y", threshold)
+    inner = prefix.join(few.select("b", "id"), "id")
+    within = _side(inner, "x").join(_side(inner, "y"), (F.col("bx") == F.col("by")) & (F.col("wx") == F.col("wy")) & (F.col("idx") < F.col("idy")) & apart)
+    outer = prefix.join(few.select("id", "main").distinct(), "id")
+    mains = prefix.join(few.select(F.col("main").alias("label")).distinct(), "label", "left_semi")
+    across = _side(outer, "x").join(_side(mains, "y"), (F.col("mainx") == F.col("labely")) & (F.col("wx") == F.col("wy")) & apart)
+    new = durable(_pairs(within).unionByName(_pairs(across)).distinct().join(tried, ["a", "b"], "left_anti"))
+    label = _more(label, _links(new, texts, threshold))
+
     # A document's class is the class of its text; several texts of one id are one document.
     own = sketched.select("id", "c1", "c2").join(copies, ["c1", "c2"])
     classed = own.join(label, own["rep"] == label["u"], "left").groupBy("id").agg(F.min(F.coalesce("v", "rep")).alias("class_id"))

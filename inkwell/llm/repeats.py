@@ -50,8 +50,7 @@ def byte_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, words = textkit.word_spans(data, offsets)
-    hashes = textkit.Rolling(textkit.byte_symbols(data)).spans(starts, ends)
-    return textkit.mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), words
+    return textkit.word_hashes(data, starts, ends), words
 
 
 def _names(docs: DataFrame) -> DataFrame:

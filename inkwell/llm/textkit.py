@@ -8,6 +8,7 @@ whatever the batch size is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LANE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 512
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, end) of bytes.
+
+    Eight bytes at a time go through the finaliser, so no arrangement of the
+    bytes cancels out (as it would in a sum of powers modulo 2**64).
+    """
+    sizes = (ends - starts).astype(np.int64)
+    out = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at, off = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD)), 0
+    while len(at):
+        rest = sizes[at] - off
+        lane = lanes[starts[at] + off] & _LANE_MASKS[np.minimum(rest, 8)]
+        out[at] = mix((out[at] ^ lane) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(off))
+        off += 8
+        at = at[rest > 8]
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+_CHAIN = np.random.default_rng(31).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def chained(symbols: np.ndarray, width: int) -> np.ndarray:
+    """The hash of symbols[i : i + width] for every i that has them all; each place has a multiplier of its own."""
+    n = len(symbols) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = symbols[:n] * _CHAIN[0]
+    for k in range(1, width):
+        out += symbols[k : k + n] * _CHAIN[k]
+    return mix(out)
+
+
 def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
     """The best of values[i : i + width] for every i that has them all, in linear time."""
     n = len(values)
