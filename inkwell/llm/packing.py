@@ -47,11 +47,19 @@ from inkwell.llm.durable import durable
 CAPACITY = 4096
 END_ID = 1
 GROUPS = 200
-CACHE_WORDS = 700_000
-CHUNK_BYTES = 4 << 20
-#: Fixed value: how the tokenizer splits lower-case ASCII before its merges.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,!?;:%$&*#|]*)").fullmatch
+CACHE_WORDS = 600_000  # of each of two generations
+CACHE_PARTS = 1_000_000
+CHUNK_BYTES = 8 << 20
+#: Lower-case Latin letters up to U+017F, and all characters whose normal form, class and lower case are those of the
+#: tokenizer letter by letter.  A word with any other character is left to the tokenizer itself.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = "\t\n\r\x20-\x7e\u00a1\u00ab\u00bb\u00bf\u00c0-\u012f\u0131-\u017f\u2010-\u2027"
+_odd = re.compile(f"[^{_PLAIN}]").search
+#: Fixed value: how the tokenizer splits lower-case text before its merges; a line end is a part of its own here.
+_parts = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r0-9{_LETTERS}]+").findall
+_words = re.compile("[^ \t\n\r]+").findall
+#: Never inside a list of ids, whose upper bytes are zero.
+_BREAK = b"\xff\xff\xff\xff"
 
 
 def default_tokenizer() -> str:
@@ -64,9 +72,9 @@ class WordIds:
     """Ids of white-space separated words, kept in a bounded cache.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are its words' ids one after another.  It also splits a word into parts
-    before its merges, so words share their parts' ids whatever their case and
-    the marks after them.
+    ids are its words' ids one after another.  It also lowers a word and splits
+    it into parts before its merges, so words share their parts' ids whatever
+    their case and the marks after them.
     """
 
     def __init__(self, path: str):
@@ -74,8 +82,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": _BREAK}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -98,40 +107,36 @@ class WordIds:
                 self.parts.update(zip(some, self._encode(some), strict=True))
 
     @staticmethod
-    def _split(word: bytes) -> list[str] | None:
-        """The parts of a word, or None if only the tokenizer itself knows them."""
-        if word.isalpha():  # of bytes: ASCII letters only
-            return [word.lower().decode()]
-        if word[:-1].isalpha() and word[-1] < 128:
-            return [word[:-1].lower().decode(), word[-1:].decode()]
-        if word.isascii():
-            return None if b"<|" in word else _ASCII_PARTS(word.decode().lower())
-        found = _WORD_AND_MARKS(word.decode())
-        if found and found[1].isalpha() and max(found[1]) < "\u0250":  # composed Latin letters: lower case is letter by letter
-            return [found[1].lower(), found[2]] if found[2] else [found[1].lower()]
-        return None
-
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        words = list(missing)
-        split = list(map(self._split, words))
-        odd = [word for word, parts in zip(words, split, strict=True) if parts is None]
-        self._encode_parts(list({p for parts in split if parts for p in parts}.difference(self.parts)))
-        self.words.update(zip(odd, self._encode([w.decode() for w in odd]), strict=True))
-        part = self.parts
-        self.words.update((w, part[p[0]] if len(p) == 1 else b"".join(map(part.__getitem__, p))) for w, p in zip(words, split, strict=True) if p is not None)
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def _split(text: str) -> list[str]:
+        """The words of a text, in lower case unless only the tokenizer itself knows how to lower and split one."""
+        if not _odd(text) and "<|" not in text:
+            return text.lower().split()
+        return [w if _odd(w) or "<|" in w else w.lower() for w in _words(text)]
+
+    def learn(self, missing: set[str]) -> None:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"\n": _BREAK}
+        seen = missing.intersection(self.old)
+        self.words.update((w, self.old[w]) for w in seen)
+        words = missing.difference(seen)
+        odd = [w for w in words if (not w.isascii() and _odd(w)) or "<|" in w or (w.isascii() and not w.isprintable())]
+        if odd:
+            self.words.update(zip(odd, self._encode(odd), strict=True))
+            words.difference_update(odd)
+        if words:
+            plain = list(words)
+            parts = _parts("\n".join(plain))
+            self._encode_parts(list(set(parts).difference(self.parts)))
+            found = b"".join(map(self.parts.__getitem__, parts)).split(_BREAK)
+            self.words.update(zip(plain, found, strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; texts of a few megabytes together."""
-        words = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for some in words:
-            missing.update(set(some).difference(self.words))
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            missing = {w for some in words for w in some}
+        words = list(map(self._split, texts))
+        every = set().union(*words)
+        missing = every.difference(self.words)
+        if len(self.words) + len(missing) > CACHE_WORDS:  # the last generation stays at hand until the next one is full
+            self.old, self.words, missing = self.words, {}, every
         if missing:
             self.learn(missing)
         word = self.words.__getitem__
@@ -149,9 +154,9 @@ def _tokenise(path: str, capacity: int):
         gc.disable()  # short-lived lists of words only; without cycles there is nothing to search for
         for batch in batches:
             rows, piece, length, crc = [], [], [], []
-            texts = batch.column("text").cast(pa.binary())
+            texts = batch.column("text")
             for first, last, _, _ in textkit.blocks(texts, CHUNK_BYTES):
-                for i, ids in enumerate(coder.ids([t or b"" for t in texts.slice(first, last - first).to_pylist()]), first):
+                for i, ids in enumerate(coder.ids([t or "" for t in texts.slice(first, last - first).to_pylist()]), first):
                     buf = ids + end
                     for k, at in enumerate(range(0, len(buf), 4 * capacity)):
                         part = buf[at : at + 4 * capacity]
