@@ -247,12 +247,27 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return durable(both.mapInArrow(_verify(threshold), "a long, b long"))
 
 
-def _unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with label and main, the bucket's largest one."""
+def _outside(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """b, id, n, bits, label, main, pick: the texts outside the largest component of their bucket (main) and one text of it, another one in each bucket."""
     member = buckets.join(label, buckets["id"] == label["u"], "left").select("b", "id", "n", "bits", F.coalesce("v", "id").alias("label"))
-    sizes = member.groupBy("b", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("b").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("b", "main")
-    return member.join(main, "b")
+    pick = F.min_by(F.struct("id", "n", "bits"), F.xxhash64(F.lit(1), "b", "id"))
+    parts = member.groupBy("b", "label").agg(F.count("*").alias("size"), pick.alias("pick"))
+    largest = F.max_by(F.struct(F.col("label").alias("main"), "pick"), F.struct("size", "label"))
+    mains = parts.groupBy("b").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1").select(F.col("b").alias("bm"), "m.*")
+    return member.join(mains, (F.col("b") == F.col("bm")) & (F.col("label") != F.col("main"))).drop("bm")
+
+
+def _beside(rows: DataFrame, other: str, threshold: float) -> DataFrame:
+    """The rows whose text may reach the threshold with the one in the struct column `other`."""
+    flat = rows.select(*(F.col(c).alias(f"{c}x") for c in ("id", "n", "bits")), *(F.col(f"{other}.{c}").alias(f"{c}y") for c in ("id", "n", "bits")))
+    return flat.where((F.col("idx") != F.col("idy")) & _able("x", "y", threshold))
+
+
+def _relabelled(few: DataFrame, label: DataFrame) -> DataFrame:
+    """b, id, label, main by the components of now; rows whose text has joined the main one go."""
+    own, mains = (label.select(F.col("u").alias(u), F.col("v").alias(v)) for u, v in (("u1", "v1"), ("u2", "v2")))
+    now = few.join(own, F.col("id") == F.col("u1"), "left").join(mains, F.col("main") == F.col("u2"), "left")
+    return now.select("b", "id", F.coalesce("v1", "id").alias("label"), F.coalesce("v2", "main").alias("main")).where("label <> main")
 
 
 def _more(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,33 +282,28 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     sketched = durable(texts.mapInArrow(_sketch, _NODE))
     # Equal texts: the smallest id stands for them.
     copies = durable(sketched.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
-    nodes = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep"))
-    rows = nodes.select("id", "n", "bits", F.explode("sigs").alias("b")).distinct()
-    shared = rows.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("b")
-    buckets = durable(rows.join(shared, "b", "left_semi"))
-
-    # Every text with the smallest id of its bucket.
-    centres = buckets.groupBy("b").agg(F.min(F.struct("id", "n", "bits")).alias("c")).select("b", "c.*")
-    met = _side(buckets, "x").join(_side(centres, "y"), F.col("bx") == F.col("by"))
-    tried = durable(_pairs(met.where((F.col("idx") != F.col("idy")) & _able("x", "y", threshold))))
+    kept = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep"))
+    nodes = kept.select("id", "n", "bits").distinct()
+    # One shuffle brings a bucket's rows together; those alone in theirs go, the others get the smallest id as their centre.
+    rows = kept.select("id", "n", "bits", F.explode("sigs").alias("b")).repartition("b")
+    centres = rows.groupBy("b").agg(F.min(F.struct("id", "n", "bits")).alias("c"), F.max(F.struct("id", "n", "bits")).alias("z")).where("c.id < z.id").select("b", "c")
+    buckets = durable(rows.join(centres, "b").select("b", "id", "n", "bits", "c"))
+
+    tried = durable(_pairs(_beside(buckets, "c", threshold)))
     label = components(_links(tried, texts, threshold))
-    buckets = durable(_unsettled(buckets, label))
-
-    # Texts outside a bucket's main component with one text of it, another one in each bucket.
-    few = buckets.where("label <> main")
-    picked = F.min_by(F.struct("id", "n", "bits"), F.xxhash64(F.lit(1), "b", "id"))
-    centres = buckets.where("label = main").groupBy("b").agg(picked.alias("c")).select("b", "c.*")
-    met = _side(few, "x").join(_side(centres, "y"), F.col("bx") == F.col("by"))
-    new = durable(_pairs(met.where(_able("x", "y", threshold))).join(tried, ["a", "b"], "left_anti"))
+    few = durable(_outside(buckets, label))
+
+    new = durable(_pairs(_beside(few, "pick", threshold)).join(tried, ["a", "b"], "left_anti"))
     tried = tried.unionByName(new)
     label = _more(label, _links(new, texts, threshold))
-    buckets = durable(_unsettled(buckets.drop("label", "main"), label))
+    few = durable(_relabelled(few.select("b", "id", "main"), label))
 
-    # What is left, exactly: with other components' texts of the same bucket, and with the main component.
-    prefix = durable(_prefixes(buckets, texts, threshold))
-    few = buckets.where("label <> main").select("b", "id", "main").distinct()
+    # What is left, exactly: with the texts outside of the same bucket, and with the texts of the main component.
+    named = nodes.join(label, nodes["id"] == label["u"], "left").select("id", "n", "bits", F.coalesce("v", "id").alias("label"))
+    asked = few.select(F.col("main").alias("label")).unionByName(few.select("label")).distinct()
+    prefix = durable(_prefixes(named.join(asked, "label", "left_semi"), texts, threshold))
     apart = (F.col("labelx") != F.col("labely")) & _able("x", "y", threshold) & _in_prefixes("x", "y", threshold)
-    inner = prefix.join(few.select("b", "id"), "id")
+    inner = prefix.join(few.select("b", "id").distinct(), "id")
     within = _side(inner, "x").join(_side(inner, "y"), (F.col("bx") == F.col("by")) & (F.col("wx") == F.col("wy")) & (F.col("idx") < F.col("idy")) & apart)
     outer = prefix.join(few.select("id", "main").distinct(), "id")
     mains = prefix.join(few.select(F.col("main").alias("label")).distinct(), "label", "left_semi")
