@@ -32,6 +32,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -80,31 +81,24 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"\n": _BREAK}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0x80, 0x2028) if not _odd(chr(c))}
+        self.merge = self.tokenizer.model.tokenize
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Parts are merged one by one, so many are encoded as one text and told apart by their last tokens."""
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some) and (not len(ids) or last[-1] == len(ids)):
-                raw, begin = ids.tobytes(), 0
-                for part, end in zip(some, (4 * last).tolist(), strict=True):
-                    self.parts[part] = raw[begin:end]
-                    begin = end
-            else:
-                self.parts.update(zip(some, self._encode(some), strict=True))
+    def _encode_parts(self, parts: set[str]) -> None:
+        """Lowering and splitting are done, so the merges alone are left; they want bytes spelled as letters."""
+        for part in parts:
+            tokens = self.merge(part if part.isascii() else part.translate(self.spelling))
+            self.parts[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -126,7 +120,7 @@ class WordIds:
         if words:
             plain = list(words)
             parts = _parts("\n".join(plain))
-            self._encode_parts(list(set(parts).difference(self.parts)))
+            self._encode_parts(set(parts).difference(self.parts))
             found = b"".join(map(self.parts.__getitem__, parts)).split(_BREAK)
             self.words.update(zip(plain, found, strict=True))
 
