@@ -8,8 +8,10 @@ the Dice coefficient of their sets of word bigrams is at least the threshold.
 A Dice coefficient of t needs sizes within a factor of t / (2 - t) of each
 other, so a template is only compared with segments of sizes it can match:
 the templates, listed once per size they allow, are joined on that size.
-Segments without any guard word are dropped before that: a template's guard
-words stand in so many of its bigrams that no segment can match without one.
+Texts, and then segments, without any guard word are dropped before that: a
+template's guard words stand in so many of its bigrams that no segment can
+match without one.  They are looked for before a text is normalised, which
+costs far more, and normalising only cuts words apart, so none is lost.
 
 Only DataFrame functions are used.  Segments stay on the executor that read
 the text; only matches (few) are shuffled to be summed up per document.  The
@@ -24,6 +26,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +81,21 @@ def guards(grams: list[str], threshold: float) -> set[str]:
     return chosen
 
 
+def _stems(words: list[str]) -> list[str]:
+    """The words of which no other one is a part: a text that holds any word holds one of these."""
+    return [w for w in words if not any(v != w and v in w for v in words)]
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, best (highest coefficient), n_segments: one row per document and licence found."""
     spark = docs.sparkSession
     known = [(name, grams, n) for name, text in templates if (grams := bigrams(text)) for n in size_bounds(len(grams), threshold)]
     table = spark.createDataFrame(known, "license string, template array<string>, n_grams int")
-    needed = F.array(*(F.lit(w) for w in sorted(set().union(*(guards(grams, threshold) for _, grams, _ in known)))))
+    guard = sorted(set().union(*(guards(grams, threshold) for _, grams, _ in known)))
+    any_guard = lambda x: reduce(or_, (x.contains(w) for w in _stems(guard)), F.lit(False))
     least, most = min((n for _, _, n in known), default=1), max((n for _, _, n in known), default=0)
 
-    clean = F.regexp_replace(F.lower(F.col("text")), r"[^a-z0-9\n]+", " ")
+    clean = F.regexp_replace("low", r"[^a-z0-9\n]+", " ")
     paragraphs = F.filter(F.split("clean", r"\n *\n"), lambda p: p.contains("\n"))
     whole = F.when(F.col("clean").rlike(r"\n *\n"), F.array("clean")).otherwise(F.array().cast("array<string>"))
     segments = F.concat(F.split("clean", "\n"), paragraphs, whole)
@@ -93,11 +104,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     less = F.greatest(n - 1, F.lit(0))
     grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), less), F.slice("words", F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b)))
     found = (
-        docs.select("doc_id", clean.alias("clean"))
-        .where(F.col("clean").isNotNull())
+        docs.select("doc_id", F.lower("text").alias("low"))
+        .where(any_guard(F.col("low")))
+        .select("doc_id", clean.alias("clean"))
         .select("doc_id", F.explode(segments).alias("segment"))
+        .where(any_guard(F.col("segment")))
         .select("doc_id", words.alias("words"))
-        .where((n >= least + 1) & F.arrays_overlap("words", needed))
+        .where(n >= least + 1)
         .select("doc_id", grams.alias("grams"))
         .where(F.size("grams").between(least, most))
         .withColumn("n_grams", F.size("grams"))

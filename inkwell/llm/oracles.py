@@ -46,8 +46,8 @@ s AS (
   SELECT doc_id, unnest(list_concat(list_concat(string_split(clean, chr(10)), list_filter(string_split_regex(clean, '\n *\n'), lambda p: contains(p, chr(10)))),
          CASE WHEN regexp_matches(clean, '\n *\n') THEN [clean] ELSE [] END)) AS segment FROM c),
 w AS (SELECT doc_id, list_filter(string_split_regex(segment, '[ \n]+'), lambda x: x <> '') AS ws FROM s),
-g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 500),
-m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM g, t WHERE len(grams) BETWEEN 1 AND 200)
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) >= 2),
+m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM g, t)
 SELECT doc_id, license, round(max(dice), 6) AS best, count(*) AS n_segments FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
 """
 
