@@ -8,9 +8,9 @@ the Dice coefficient of their sets of word bigrams is at least the threshold.
 A Dice coefficient of t needs sizes within a factor of t / (2 - t) of each
 other, so a template is only compared with segments of sizes it can match:
 the templates, listed once per size they allow, are joined on that size.
-Texts, and then segments, without any guard word are dropped before that: a
-template's guard words stand in so many of its bigrams that no segment can
-match without one.  They are looked for before a text is normalised, which
+Texts, and then segments, without the two words of any guard are dropped before
+that: guards are so many of a template's bigrams that no segment can match
+without one.  Their words are looked for before a text is normalised, which
 costs far more, and normalising only cuts words apart, so none is lost.
 
 Only DataFrame functions are used.  Segments stay on the executor that read
@@ -26,10 +26,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The wording of common licence notices.
@@ -70,20 +71,26 @@ def size_bounds(size: int, threshold: float) -> range:
     return range(-(-int(size * threshold * 10**6) // int((2 - threshold) * 10**6)), int(size * (2 - threshold) / threshold + 1e-9) + 1)
 
 
-def guards(grams: list[str], threshold: float) -> set[str]:
-    """Words of which every matching segment has one; long words first, as they are rarer."""
+def guards(grams: list[str], threshold: float) -> list[tuple[str, str]]:
+    """Bigrams of which every matching segment has one, as (longer word, other word).
+
+    So many of them that the others are too few for the threshold; those with
+    the longest words, as they are rarest.
+    """
     must_share = threshold * (min(size_bounds(len(grams), threshold)) + len(grams)) / 2
-    chosen: set[str] = set()
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-        if len(grams) - sum(1 for g in grams if chosen & set(g.split())) < must_share:
-            break
-        chosen.add(word)
-    return chosen
+    pairs = [tuple(sorted(g.split(), key=lambda w: (-len(w), w))) for g in grams]
+    pairs.sort(key=lambda p: (-len(p[0]), -len(p[1]), p))
+    return pairs[: len(grams) + 1 - math.ceil(must_share - 1e-9)]
 
 
-def _stems(words: list[str]) -> list[str]:
-    """The words of which no other one is a part: a text that holds any word holds one of these."""
-    return [w for w in words if not any(v != w and v in w for v in words)]
+def _any_guard(text: Column, pairs: set[tuple[str, str]]) -> Column:
+    """Whether text holds both words of a guard; "license" also stands for the words it is a part of."""
+    stems = [w for w in sorted({a for a, _ in pairs}) if not any(v != w and v in w for v, _ in pairs)]
+    by_stem: dict[str, set[str]] = {}
+    for a, b in pairs:
+        by_stem.setdefault(next(w for w in stems if w in a), set()).add(b)
+    met = lambda bs: reduce(or_, (text.contains(b) for b in sorted(bs, key=lambda w: (-len(w), w))))
+    return reduce(or_, (text.contains(w) & met(bs) for w, bs in by_stem.items()), F.lit(False))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,8 +98,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
     known = [(name, grams, n) for name, text in templates if (grams := bigrams(text)) for n in size_bounds(len(grams), threshold)]
     table = spark.createDataFrame(known, "license string, template array<string>, n_grams int")
-    guard = sorted(set().union(*(guards(grams, threshold) for _, grams, _ in known)))
-    any_guard = lambda x: reduce(or_, (x.contains(w) for w in _stems(guard)), F.lit(False))
+    pairs = {p for _, text in templates if (grams := bigrams(text)) for p in guards(grams, threshold)}
     least, most = min((n for _, _, n in known), default=1), max((n for _, _, n in known), default=0)
 
     clean = F.regexp_replace("low", r"[^a-z0-9\n]+", " ")
@@ -105,10 +111,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), less), F.slice("words", F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b)))
     found = (
         docs.select("doc_id", F.lower("text").alias("low"))
-        .where(any_guard(F.col("low")))
+        .where(_any_guard(F.col("low"), pairs))
         .select("doc_id", clean.alias("clean"))
         .select("doc_id", F.explode(segments).alias("segment"))
-        .where(any_guard(F.col("segment")))
+        .where(_any_guard(F.col("segment"), pairs))
         .select("doc_id", words.alias("words"))
         .where(n >= least + 1)
         .select("doc_id", grams.alias("grams"))
