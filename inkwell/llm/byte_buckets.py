@@ -24,7 +24,7 @@ Identifiers are two independent 64-bit hashes (128 bits) of the content.
 
 Defined results: a null text is empty; rows that repeat a document count as
 two places, so both go; a null doc_id is an id like another; matches never
-cross documents; other columns are kept, none may start with __rp_; an empty
+cross documents; other columns are kept whatever their names; an empty
 table gives an empty result.
 """
 
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import repeats, textkit
+from inkwell.llm.columns import aside, back
 from inkwell.llm.repeats import ID, KEY
 
 LENGTH = 200
@@ -189,6 +190,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut out of text; a character cut in half is dropped."""
+    given, docs = docs, aside(docs, "doc_id", "text")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +203,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(None if null[row] else (data if gone is None else data[~gone]).tobytes().decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], schema.names)
 
-    return repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), length)).mapInArrow(run, schema)
+    return back(repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), length)).mapInArrow(run, schema), given, ("doc_id", "text"))

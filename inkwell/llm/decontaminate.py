@@ -16,7 +16,9 @@ blocks' hits are united per document.
 Defined results: a null text or item has no words; an item without words never
 hits; equal items each count; a null item_id counts as an item of no name and
 is left out of items; rows that repeat a document are each judged by
-themselves; an empty table of items hits nothing.
+themselves; an empty table of items hits nothing; other columns pass through
+whatever their names, except that the result's own n_words, hit_words, items
+and hit_offsets replace columns of those names in any case.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.columns import aside, back
+
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -127,6 +131,7 @@ def _scanner(shared, size: int, with_offsets: bool):
 
 
 _SPANS = "array<struct<start:long,end:long>>"
+OWN = ("n_words", "hit_words", "items", "hit_offsets")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -135,17 +140,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, bl
     items = items.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    clash = {"n_words", "hit_words", "items", "hit_offsets"} & set(docs.columns)
-    docs = docs.drop(*clash)
+    given, docs = docs, aside(docs, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", n_words long, hit_words {_SPANS}, items array<string>, hit_offsets {_SPANS}"
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     passes = []
     for b in range(blocks):
         rows = dealt.where(F.col("block") == b).collect()  # block_bytes of text at most, up to the luck of the deal
         passes.append(docs.mapInArrow(_scanner(spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows]), size, True), schema))
-    if blocks == 1:
-        return passes[0]
-    return _unite(docs, passes)
+    found = passes[0] if blocks == 1 else _unite(docs, passes)
+    return back(found, given, ("text",), OWN)
 
 
 def _unite(docs: DataFrame, passes: list[DataFrame]) -> DataFrame:

@@ -25,7 +25,8 @@ hot partitions adaptive execution splits.
 Defined results: a null text stays null and has no lines; rows with one doc_id
 and one text are one document (all get its result); a null doc_id counts as
 the smallest; an empty table gives an empty result; other columns pass
-through untouched, and none may start with __lw_.
+through untouched whatever their names, except that the result's own n_lines,
+n_removed and n_runs replace columns of those names in any case.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.columns import aside, back, once
+
+NEEDED = ("doc_id", "text")
 RUN = 3
 WORDS = 30
 CONTENT = r"[^\x20\x09-\x0D]"
@@ -73,10 +77,9 @@ def repeated_stretches(docs: DataFrame, run: int = RUN, words: int | None = WORD
     last_of_equals = lambda i: i + run - F.array_position(F.reverse(F.slice(h, i + 1, run)), window_min(i)).cast("int")
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - run), last_of_equals))
     rows = docs.select(*_identity(docs), _line_hashes(F.col("text")).alias("__lw_h")).where(F.size(h) >= run)
-    first_line = F.greatest(F.lit(0), F.col("place") - (run - 1))
-    selected = rows.select("__lw_doc", "__lw_key", "__lw_h", F.explode(places).alias("place")).select(
-        "__lw_doc", "__lw_key", F.element_at(h, F.col("place") + 1).alias("print"), first_line.alias("from"), F.slice(h, first_line + 1, F.col("place") - first_line + run).alias("around")
-    )
+    first_line = lambda p: F.greatest(F.lit(0), p - (run - 1))
+    prints = F.transform(places, lambda p: F.struct(F.get(h, p).alias("print"), first_line(p).alias("from"), F.slice(h, first_line(p) + 1, p - first_line(p) + run).alias("around")))
+    selected = rows.select("__lw_doc", "__lw_key", F.explode(prints).alias("p")).select("__lw_doc", "__lw_key", "p.*")
     again = selected.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print")
     matched = selected.join(again, "print", "left_semi")
     inner = F.transform(F.sequence(F.lit(0), F.size("around") - run), lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(run).alias("n"), *(F.element_at(F.col("around"), i + k + 1).alias(f"h{k}") for k in range(run))))
@@ -92,39 +95,27 @@ def repeated_stretches(docs: DataFrame, run: int = RUN, words: int | None = WORD
 
 def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """docs with text shortened, and n_lines, n_removed, n_runs; one row per row of docs."""
-    starts = repeated_stretches(docs, run, words).groupBy("__lw_doc", "__lw_key").agg(F.sort_array(F.collect_set(F.struct("__lw_at", "__lw_n"))).alias("__lw_starts"))
-    # Sorted stretches become maximal runs [lo, hi) of removed lines.
-    last = lambda acc: F.get(acc, F.size(acc) - 1)
-    end = lambda s: s["__lw_at"] + s["__lw_n"]
-    runs = F.aggregate(
-        F.col("__lw_starts"),
-        F.array().cast("array<struct<lo:int,hi:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (last(acc)["hi"] >= s["__lw_at"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], end(s)).alias("hi")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["__lw_at"].alias("lo"), end(s).alias("hi"))))),
-    )
-    keyed = docs.withColumn("__lw_key", F.xxhash64(F.lit(1), F.col("text")))
-    joined = keyed.join(starts.withColumnRenamed("__lw_key", "__lw_key2"), F.col("doc_id").eqNullSafe(F.col("__lw_doc")) & (F.col("__lw_key") == F.col("__lw_key2")), "left")
-    lines = F.split("text", "\n", -1)
-    is_line = lambda x: x.rlike(CONTENT).cast("int")
-    # Each line with its number among the lines that hold something; -1 for white space.
-    numbers = F.transform(lines, is_line)
-    numbered = F.aggregate(numbers, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["n"] + b).alias("n"), F.array_append(acc["out"], F.when(b == 1, acc["n"]).otherwise(-1)).alias("out")), lambda acc: acc["out"])
-    gone = lambda k: F.exists(F.col("__lw_runs"), lambda r: (k >= r["lo"]) & (k < r["hi"]))
-    kept = F.transform(F.filter(F.arrays_zip(F.col("__lw_lines").alias("line"), F.col("__lw_numbers").alias("k")), lambda z: ~gone(z["k"])), lambda z: z["line"])
+    rows = aside(docs, *NEEDED)
+    starts = repeated_stretches(rows, run, words).groupBy("__lw_doc", "__lw_key").agg(F.collect_set(F.struct("__lw_at", "__lw_n")).alias("__lw_starts"))
+    keyed = rows.withColumn("__lw_key2", F.xxhash64(F.lit(1), F.col("text")))
+    joined = keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("__lw_doc")) & (F.col("__lw_key2") == F.col("__lw_key")), "left")
+    gone = F.array_distinct(F.flatten(F.transform("__lw_starts", lambda s: F.sequence(s["__lw_at"], s["__lw_at"] + s["__lw_n"] - 1))))
+
+    def rest(lines: Column) -> Column:
+        """The lines that stay.  Every step is linear: places of lines that hold something, those removed, all others."""
+        places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(CONTENT))
+        removed = once(places, lambda at: F.transform("__lw_gone", lambda k: F.get(at, k)))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.get(lines, i))
+
     hit = F.col("__lw_starts").isNotNull()
-    n_removed = F.aggregate(F.col("__lw_runs"), F.lit(0), lambda a, r: a + r["hi"] - r["lo"])
+    lines = F.split("text", "\n", -1)
+    begins = F.size(F.array_except("__lw_gone", F.transform("__lw_gone", lambda k: k + 1)))
     shaped = (
-        joined.withColumn("__lw_runs", F.when(hit, runs))
-        .withColumn("__lw_lines", F.when(hit, lines))
-        .withColumn("__lw_numbers", F.when(hit, numbered))
-        .withColumn("n_lines", F.coalesce(F.aggregate(F.transform(lines, is_line), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(n_removed, F.lit(0)).cast("long"))
-        .withColumn("n_runs", F.coalesce(F.size("__lw_runs"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")))
+        joined.withColumn("__lw_gone", F.when(hit, gone))
+        .withColumn("n_lines", F.coalesce(F.size(_content_lines(F.col("text"))), F.lit(0)).cast("long"))
+        .withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+        .withColumn("n_removed", F.when(hit, F.size("__lw_gone")).otherwise(0).cast("long"))
+        .withColumn("n_runs", F.when(hit, begins).otherwise(0).cast("long"))
+        .withColumn("text", F.when(hit, F.array_join(once(lines, rest), "\n")).otherwise(F.col("text")))
     )
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    return shaped.select(*others, "n_lines", "n_removed", F.when(hit, F.col("n_runs")).otherwise(F.lit(0)).cast("long").alias("n_runs"))
-
-
+    return back(shaped, docs, NEEDED, ("n_lines", "n_removed", "n_runs"))

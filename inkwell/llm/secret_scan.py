@@ -19,15 +19,20 @@ source costs no more than its texts.
 Positions are code points, end exclusive.  Matches of a kind are leftmost and
 do not overlap; positions come from the lengths of the pieces between matches.
 Defined results: a null or empty text has no spans; repeated rows each get
-their own result; other columns pass through; a clash with the names of the
-result's own columns is resolved in favour of the result.
+their own result; other columns pass through whatever their names, except that
+the result's own secrets replaces a column of that name in any case.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.columns import aside, back, running_sums
+
 SCOPE = 200
 
 
@@ -50,14 +55,9 @@ def _spans(text: Column, pattern: str, keep=None) -> Column:
     """The intervals of the matches; keep: a predicate over (match, its second group)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("len"))
-    start = lambda acc, s: acc["at"] + s["gap"]
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, s: F.struct((start(acc, s) + s["len"]).alias("at"), F.array_append(acc["out"], F.struct(start(acc, s).alias("start"), (start(acc, s) + s["len"]).alias("end"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    gaps, sizes = F.transform(F.slice(between, F.lit(1), F.size(found)), lambda x: F.length(x)), F.transform(found, lambda x: F.length(x))
+    ends = running_sums(F.zip_with(gaps, sizes, lambda g, n: g + n))
+    placed = F.zip_with(ends, sizes, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
     if keep is not None:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if "](" in pattern or "?(" in pattern else found
         both = F.arrays_zip(placed.alias("span"), values.alias("value"))
@@ -65,16 +65,31 @@ def _spans(text: Column, pattern: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_SPANS))
 
 
-def _near(a: Column, b: Column, scope: int) -> Column:
-    return (a["start"] - scope < b["end"]) & (b["start"] < a["end"] + scope)
+def _near(x: Column, spans: Column, scope: int) -> Column:
+    """Whether x, widened by scope, meets one of the spans, which are in order and apart.
+
+    Of those that start before x ends, the last one ends last; it is found by
+    halving, so a text's candidates are never compared all with all.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+    halve = lambda at: F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+    before = lambda at: F.get(spans, halve(at))["start"] < x["end"] + scope
+    last = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")),
+        lambda at, _: F.when(at["lo"] >= at["hi"], at).when(before(at), F.struct((halve(at) + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), halve(at).alias("hi"))),
+        lambda at: at["lo"] - 1,
+    )
+    return F.coalesce(F.get(spans, last)["end"] > x["start"] - scope, F.lit(False))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs plus secrets: array of (start, end, kind number, kind) in order of start, then kind."""
+    rows = aside(docs, "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     long_enough = lambda v: F.length(v) >= 12
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
-    parts = docs.select(
+    parts = rows.select(
         "*",
         F.struct(
             _spans(text, ASSIGN, long_enough).alias("assign"),
@@ -87,8 +102,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         ).alias("__ss"),
     )
     p = lambda kind: F.col(f"__ss.{kind}")
-    met = lambda x, *kinds: F.exists(F.concat(*map(p, kinds)), lambda y: _near(x, y, scope))
-    apart = lambda x: ~F.exists(F.concat(p("assign"), p("access"), p("hex"), p("short"), p("endpoint")), lambda y: _near(x, y, 0))
+    met = lambda x, *kinds: reduce(or_, (_near(x, p(kind), scope) for kind in kinds))
+    apart = lambda x: ~reduce(or_, (_near(x, p(kind), 0) for kind in ("assign", "access", "hex", "short", "endpoint")))
     linked = {
         "assign": p("assign"), "access": p("access"), "hex": p("hex"),
         "secret": F.filter(p("secret"), lambda x: apart(x) & met(x, "access", "user", "endpoint")),
@@ -101,8 +116,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     anything = F.exists(F.array(*(F.size(p(k)) for k in KINDS)), lambda n: n > 0)
     in_order = F.array_sort(F.concat(*labelled), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"])), -1).when((a["start"] == b["start"]) & (a["rank"] == b["rank"]), 0).otherwise(1))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
-    return parts.select(*others, F.when(anything, in_order).otherwise(none).alias("secrets"))
+    return back(parts.withColumn("secrets", F.when(anything, in_order).otherwise(none)), docs, ("text",), ("secrets",))
 
 
 def listed(spans: Column) -> Column:

@@ -22,7 +22,7 @@ Word identifiers are 40-bit hashes, so a suffix is compared by 520 bits.
 
 Defined results: a null text has no words; rows that repeat a doc_id never
 remove each other; a null doc_id is smaller than all others; windows never
-cross documents; other columns are kept, none may start with __rp_; an empty
+cross documents; other columns are kept whatever their names; an empty
 table gives an empty result.
 """
 
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import byte_buckets, repeats, textkit
+from inkwell.llm.columns import aside, back
 from inkwell.llm.repeats import ID, KEY
 
 DEPTH = 13
@@ -158,6 +159,7 @@ def digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs with the repeated words cut out of text; changed texts have single spaces between words."""
+    given, docs = docs, aside(docs, "doc_id", "text")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +173,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     texts[row] = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields], schema.names)
 
-    return repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), depth)).mapInArrow(run, schema)
+    return back(repeats.documents_with_hits(docs, repeated_starts(repeats.identified(docs), depth)).mapInArrow(run, schema), given, ("doc_id", "text"))
