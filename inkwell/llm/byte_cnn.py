@@ -7,14 +7,16 @@ each filter keeps its maximum per chunk.  A document's vector is the maximum
 and the mean of its chunks' vectors, from which a logistic layer makes one
 probability.  All weights are learned by back-propagation.
 
-Training uses a bounded sample: at most `per_class` labelled documents of each
-label and `train_chunks` evenly spread chunks of each (both are parameters), so
-what reaches the driver is at most 2 * per_class * train_chunks * CHUNK bytes,
-whatever the table holds.  Scoring uses every byte of every document.
+Training reads the whole texts of a bounded sample: at most `per_class`
+labelled documents of each label, the only bound there is.  It always takes
+STEPS steps of BATCH documents with classes weighted alike; then the share of
+each label in the whole table of usable labels (counted, not sampled) becomes
+the prior, so a score means the same whatever the sample or the table's size.
 
 Defined results: a null or empty text is scored as one chunk of zero bytes;
-repeated rows are scored alike; without any usable label every score is 0.5;
-an empty table gives an empty result.
+repeated rows are scored alike; without any usable label every score is 0.5; a
+document's older score (a column of that name in any case) is replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from inkwell.llm import textkit
+from inkwell.llm.columns import aside, back
 
 CHUNK, STRIDE = 512, 448
-DIM, WIDTH, HOP, FILTERS = 8, 8, 4, 32
+DIM, WIDTH, HOP, FILTERS = 8, 8, 2, 32
+STEPS, BATCH = 350, 32
 THRESHOLD = 0.3
 
 
@@ -50,19 +55,20 @@ def fresh(seed: int) -> Model:
 
 
 def _responses(model: Model, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(embedded chunks as HOP-byte rows, filter responses): WIDTH is two hops, so two products make a response."""
-    rows = model.embed[chunks].reshape(len(chunks), CHUNK // HOP, HOP * DIM)
-    half = HOP * DIM
-    low = rows.reshape(-1, half) @ model.kernel[:half]
-    high = rows.reshape(-1, half) @ model.kernel[half:]
-    shape = (len(chunks), CHUNK // HOP, FILTERS)
-    return rows, low.reshape(shape)[:, :-1] + high.reshape(shape)[:, 1:]
+    """(embedded chunks as HOP-byte rows, filter responses): WIDTH is a few hops, so as many products make a response."""
+    hops, places, part = WIDTH // HOP, CHUNK // HOP, HOP * DIM
+    rows = model.embed[chunks].reshape(len(chunks), places, part)
+    flat, last = rows.reshape(-1, part), places - hops + 1
+    out = (flat @ model.kernel[:part]).reshape(len(chunks), places, FILTERS)[:, :last].copy()
+    for k in range(1, hops):
+        out += (flat @ model.kernel[k * part : (k + 1) * part]).reshape(len(chunks), places, FILTERS)[:, k : k + last]
+    return rows, out
 
 
 def chunk_vectors(model: Model, chunks: np.ndarray) -> np.ndarray:
     out = np.empty((len(chunks), FILTERS), np.float32)
-    for i in range(0, len(chunks), 256):
-        out[i : i + 256] = np.maximum(_responses(model, chunks[i : i + 256])[1].max(axis=1) + model.bias, 0)
+    for i in range(0, len(chunks), 64):
+        out[i : i + 64] = np.maximum(_responses(model, chunks[i : i + 64])[1].max(axis=1) + model.bias, 0)
     return out
 
 
@@ -93,96 +99,89 @@ def score_block(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
 
-def fit(chunks: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Model:
-    """Adam over documents; first has the start of each document's chunks."""
+def loss_and_slopes(model: Model, chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean weighted log loss of some documents (sizes: chunks of each) and its slopes."""
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    best, where = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+    for i in range(0, len(chunks), 64):
+        response = _responses(model, chunks[i : i + 64])[1]
+        where[i : i + 64] = at = response.argmax(axis=1)  # the place of each filter's maximum in each chunk
+        best[i : i + 64] = np.take_along_axis(response, at[:, None], 1)[:, 0] + model.bias
+    vectors = np.maximum(best, 0)
+    docs = _document_vectors(vectors, begin)
+    p = 1 / (1 + np.exp(-(docs @ model.dense + model.offset)))
+    share = weight[labels] / len(labels)
+    loss = -float(np.sum(share * np.log(np.clip(np.where(labels == 1, p, 1 - p), 1e-12, 1))))
+    slope = ((p - labels) * share).astype(np.float32)
+    d_docs = slope[:, None] * model.dense
+    is_max = vectors == docs[owner, :FILTERS]
+    ties = np.add.reduceat(is_max.astype(np.float32), begin)
+    d_vec = is_max * (d_docs[:, :FILTERS] / ties)[owner] + (d_docs[:, FILTERS:] / sizes[:, None])[owner]
+    d_vec *= best > 0
+    slopes = {"dense": docs.T @ slope, "offset": np.float32(slope.sum()), "bias": d_vec.sum(axis=0)}
+    kernel, embed = np.zeros_like(model.kernel), np.zeros_like(model.embed)
+    for f in range(FILTERS):  # a maximum sends its slope to the WIDTH bytes it came from
+        used = np.flatnonzero(d_vec[:, f])
+        byte = chunks[used[:, None], where[used, f, None] * HOP + np.arange(WIDTH)]
+        kernel[:, f] = d_vec[used, f] @ model.embed[byte].reshape(len(used), WIDTH * DIM)
+        pull = np.zeros((256, WIDTH), np.float32)  # how strongly each byte is met at each place of the filter
+        np.add.at(pull, (byte, np.arange(WIDTH)), d_vec[used, f, None])
+        embed += pull @ model.kernel[:, f].reshape(WIDTH, DIM)
+    return loss, slopes | {"kernel": kernel, "embed": embed}
+
+
+def fit(chunks: np.ndarray, first: np.ndarray, labels: np.ndarray, counts: tuple[int, int] | None = None, steps: int = STEPS, batch: int = BATCH, rate: float = 4e-3, seed: int = 7) -> Model:
+    """Adam over documents; first: where each document's chunks begin; counts: how many documents of each label there are in all."""
     model, rng = fresh(seed), np.random.default_rng(seed)
     last = np.append(first, len(chunks))
     params = {k: np.asarray(getattr(model, k), np.float32) for k in ("embed", "kernel", "bias", "dense", "offset")}
     m1 = {k: np.zeros_like(v) for k, v in params.items()}
     m2 = {k: np.zeros_like(v) for k, v in params.items()}
-    counts = np.maximum(np.bincount(labels, minlength=2), 1)
-    weight = (len(labels) / (2 * counts)).astype(np.float32)
-    half, t = HOP * DIM, 0
-    for _ in range(max(epochs, min(40, 4000 // max(len(labels), 1)))):
-        for at in np.array_split(order := rng.permutation(len(labels)), max(1, len(order) // batch)):
-            take = np.concatenate([np.arange(last[i], last[i + 1]) for i in at])
-            sizes = (last[at + 1] - last[at]).astype(np.int64)
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            part = chunks[take]
-            rows, response = _responses(model, part)
-            where = response.argmax(axis=1)  # the place of each filter's maximum in each chunk
-            best = np.take_along_axis(response, where[:, None], 1)[:, 0] + model.bias
-            vectors = np.maximum(best, 0)
-            docs = _document_vectors(vectors, begin)
-            p = 1 / (1 + np.exp(-(docs @ model.dense + model.offset)))
-            slope = ((p - labels[at]) * weight[labels[at]] / len(at)).astype(np.float32)
-            d_docs = slope[:, None] * model.dense
-            owner = np.repeat(np.arange(len(at)), sizes)
-            is_max = vectors == docs[owner, :FILTERS]
-            ties = np.add.reduceat(is_max.astype(np.float32), begin)
-            d_vec = is_max * (d_docs[:, :FILTERS] / ties)[owner] + (d_docs[:, FILTERS:] / sizes[:, None])[owner]
-            d_vec *= best > 0
-            flat = np.arange(len(part))[:, None]
-            grads = {"dense": docs.T @ slope, "offset": np.float32(slope.sum()), "bias": d_vec.sum(axis=0)}
-            kernel, embed = np.zeros_like(model.kernel), np.zeros_like(model.embed)
-            for f in range(FILTERS):  # a maximum sends its slope to the WIDTH bytes it came from
-                seen = np.concatenate([rows[flat[:, 0], where[:, f]], rows[flat[:, 0], where[:, f] + 1]], axis=1)
-                kernel[:, f] = d_vec[:, f] @ seen
-                byte = part[flat, where[:, f : f + 1] * HOP + np.arange(WIDTH)]
-                share = d_vec[:, f, None, None] * model.kernel[:, f].reshape(WIDTH, DIM)
-                np.add.at(embed, byte.ravel(), share.reshape(-1, DIM))
-            grads |= {"kernel": kernel, "embed": embed}
-            t += 1
-            for k, g in grads.items():
-                m1[k] = 0.9 * m1[k] + 0.1 * g
-                m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                params[k] = (params[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-            model = Model(params["embed"], params["kernel"], params["bias"], params["dense"], float(params["offset"]))
-    model.offset += float(np.log(counts[1] / counts[0])) if min(np.bincount(labels, minlength=2)) else 0.0
+    weight = (len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))).astype(np.float32)
+    queue = np.empty(0, np.int64)
+    for t in range(1, steps + 1):
+        while len(queue) < batch:
+            queue = np.concatenate([queue, rng.permutation(len(labels))])
+        at, queue = queue[:batch], queue[batch:]
+        part = chunks[np.concatenate([np.arange(last[i], last[i + 1]) for i in at])]
+        _, slopes = loss_and_slopes(model, part, (last[at + 1] - last[at]).astype(np.int64), labels[at], weight)
+        for k, g in slopes.items():
+            m1[k] = 0.9 * m1[k] + 0.1 * g
+            m2[k] = 0.999 * m2[k] + 0.001 * g * g
+            params[k] = (params[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        model = Model(params["embed"], params["kernel"], params["bias"], params["dense"], float(params["offset"]))
+    zero, one = counts or np.bincount(labels, minlength=2)
+    model.offset += float(np.log(one / zero)) if zero and one else 0.0
     return model
 
 
-def _sample_chunks(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = batch.column("label").to_pylist()
-            ids, out, ys = batch.column("doc_id").to_pylist(), [], []
-            for a, b, data, offsets in textkit.blocks(batch.column("text")):
-                chunks, first = cut(data, offsets)
-                for row, (lo, hi) in enumerate(zip(first, np.append(first[1:], len(chunks)), strict=True)):
-                    take = np.unique(np.linspace(lo, hi - 1, limit).round().astype(np.int64))
-                    out.append(chunks[take].tobytes())
-                    ys.append(labels[a + row])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ys, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
-
-    return run
-
-
 def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 700, train_chunks: int = 6, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 700, seed: int = 7) -> Model | None:
     """Learns from rows that are not held out; None if no label can be used."""
     usable = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # Two top-k sorts with a fixed k: each keeps k rows per task and per class.
     chosen = [usable.where(F.col("label") == y).orderBy(mixed, "doc_id").limit(per_class) for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
-    # The sample has at most 2 * per_class rows of two numbers, which bounds this broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label")
-    rows = texts.mapInArrow(_sample_chunks(train_chunks), "doc_id string, label int, chunks binary").dropDuplicates(["doc_id"]).collect()
+    # The sample has at most 2 * per_class rows of two numbers, which bounds this broadcast and the rows that come back.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r")).select("doc_id", "r.*").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: r.doc_id)
-    sizes = np.array([len(r.chunks) // CHUNK for r in rows])
-    chunks = np.frombuffer(b"".join(bytes(r.chunks) for r in rows), np.uint8).reshape(-1, CHUNK)
-    return fit(chunks, np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([r.label for r in rows]), seed=seed)
+    rows.sort(key=lambda r: str(r.doc_id))
+    counted = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    raw = [r.text.encode() for r in rows]
+    chunks, first = cut(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return fit(chunks, first, np.array([r.label for r in rows]), (counted.get(0, 0), counted.get(1, 0)), seed=seed)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs plus score (an older one is replaced); the model's few thousand weights travel with the task."""
-    docs = docs.drop("score")
+    """All columns of docs plus score; the model's few thousand weights travel with the task."""
+    given, docs = docs, aside(docs, "text")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +189,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             got = [np.full(b - a, 0.5) if model is None else score_block(model, data, offsets) for a, b, data, offsets in textkit.blocks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, type(schema)([*schema.fields, *docs.sparkSession.createDataFrame([], "score double").schema.fields]))
+    scored = docs.mapInArrow(run, type(schema)([*schema.fields, StructField("score", DoubleType())]))
+    return back(scored, given, ("text",), ("score",))

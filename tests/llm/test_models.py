@@ -52,6 +52,59 @@ def test_classifier_edges(spark, edge_docs, no_docs):
     assert all(0 <= r["score"] <= 1 for r in out.collect())
 
 
+def brute_score(model, data):
+    """The forward pass in plain loops: chunks, filters at every HOP bytes, maxima, maximum and mean, one probability."""
+    n = max(1, -(-(len(data) - (byte_cnn.CHUNK - byte_cnn.STRIDE)) // byte_cnn.STRIDE))
+    vectors = []
+    for k in range(n):
+        chunk = data[k * byte_cnn.STRIDE : k * byte_cnn.STRIDE + byte_cnn.CHUNK]
+        chunk = chunk + bytes(byte_cnn.CHUNK - len(chunk))
+        windows = [np.concatenate([model.embed[b] for b in chunk[at : at + byte_cnn.WIDTH]]) for at in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.HOP)]
+        vectors.append([max(0.0, max(float(w @ model.kernel[:, f]) for w in windows) + float(model.bias[f])) for f in range(byte_cnn.FILTERS)])
+    v = np.array(vectors)
+    logit = float(np.concatenate([v.max(axis=0), v.mean(axis=0)]) @ model.dense + model.offset)
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_forward_pass_against_loops():
+    rng = np.random.default_rng(3)
+    model = byte_cnn.fresh(5)
+    for size in (0, 1, 511, 513, 1500):
+        data = rng.integers(0, 255, size).astype(np.uint8)
+        got = byte_cnn.score_block(model, data, np.array([0, size]))
+        assert abs(float(got[0]) - brute_score(model, data.tobytes())) < 1e-4
+
+
+def test_slopes_against_differences():
+    rng = np.random.default_rng(4)
+    model = byte_cnn.fresh(9)
+    sizes, labels, weight = np.array([1, 3, 2]), np.array([0, 1, 1]), np.array([1.5, 0.75], np.float32)
+    chunks = rng.integers(60, 90, (6, byte_cnn.CHUNK)).astype(np.uint8)
+    _, slopes = byte_cnn.loss_and_slopes(model, chunks, sizes, labels, weight)
+    wide = byte_cnn.Model(*(np.asarray(getattr(model, k), np.float64) for k in ("embed", "kernel", "bias", "dense", "offset")))
+    for name in ("embed", "kernel", "bias", "dense", "offset"):
+        values = getattr(wide, name)
+        for place in np.argsort(-np.abs(np.ravel(slopes[name])))[:6]:
+            losses = []
+            for step in (1e-4, -1e-4):
+                moved = values.copy()
+                moved.reshape(-1)[place] += step
+                other = byte_cnn.Model(**{**wide.__dict__, name: moved})
+                losses.append(brute_loss(other, chunks, sizes, labels, weight))
+            assert abs((losses[0] - losses[1]) / 2e-4 - np.ravel(slopes[name])[place]) < 2e-3 * max(1.0, abs(np.ravel(slopes[name])[place])), (name, place)
+
+
+def brute_loss(model, chunks, sizes, labels, weight):
+    total, at = 0.0, 0
+    for n, y in zip(sizes, labels, strict=True):
+        rows = np.stack([[np.concatenate(model.embed[c[k : k + byte_cnn.WIDTH]]) for k in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.HOP)] for c in chunks[at : at + n]])
+        v = np.maximum((rows @ model.kernel).max(axis=1) + model.bias, 0)
+        p = 1 / (1 + np.exp(-(np.concatenate([v.max(axis=0), v.mean(axis=0)]) @ model.dense + float(model.offset))))
+        total -= weight[y] / len(sizes) * np.log(p if y else 1 - p)
+        at += n
+    return total
+
+
 def test_gradient_step_lowers_loss():
     rng = np.random.default_rng(2)
     chunks = rng.integers(97, 122, (40, byte_cnn.CHUNK)).astype(np.uint8)
