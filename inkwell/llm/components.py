@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.durable import durable
+from inkwell.llm.durable import durable, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,8 +39,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(edges)
     state = _state(edges)
     while state[0]:
-        edges = durable(_star(_star(edges, large=True), large=False))
-        before, state = state, _state(edges)
+        before, older = state, edges
+        edges = durable(_star(_star(older, large=True), large=False))
+        state = _state(edges)
+        release(older)
         if state == before:
             break
     return edges
