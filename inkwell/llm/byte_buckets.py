@@ -5,27 +5,29 @@ bucket identifiers of later offsets.  A byte is removed if it lies in a string
 of LENGTH bytes that also starts anywhere else, in its own text or another.
 
 1. Initial buckets: q-grams at content-chosen positions (see repeats).  A
-   bucket of one is finished; positions whose longer stretch of bytes falls
-   into one bucket as well are finished too (they repeat).
+   bucket of one is finished; equal longer stretches of one bucket are counted
+   as one with a number of copies, as they are copies whole.
 2. Blocks of positions left are cut into steps of STEP positions at fixed
    distances from their q-gram and refined the same way: by the bytes that all
    strings of a step share, then by all bytes they cover.
-3. For the positions still left, identifiers of 25-byte buckets are paired
-   with the identifier 25 bytes on, the pairs' identifiers with the one 50
-   bytes on, and those with the one 100 bytes on: each pass sorts by twice the
-   depth and reuses the pass before, until a bucket is a string of LENGTH
-   bytes.  The final buckets are sorted; positions in a bucket with another
-   position repeat.
+3. Positions still left go, with their strings, to the task of their string's
+   hash.  There buckets of 8-byte grams are numbered, and each pass sorts the
+   positions of a bucket by the bucket number one depth further on, which
+   doubles the depth; numbers of one pass are the keys of the next, so each is
+   reused by all positions before it, and a position alone in its bucket is
+   finished.  Buckets of LENGTH bytes with another position repeat.  This step
+   compares bytes, not hashes.
 
 In each round a task first settles equal positions of its own and sends one,
-so a very frequent string is a row a task.
-
-Identifiers are two independent 64-bit hashes (128 bits) of the content.
+so a very frequent string is a row a task.  Steps 1 and 2 compare 64-bit hashes
+within a bucket of equal 64-bit q-gram hashes; a sum of powers modulo 2**64
+cannot cancel out over the at most 2 * LENGTH - GRAM bytes that a stretch has
+(arrangements that do so are 512 bytes long at least).
 
 Defined results: a null text is empty; rows that repeat a document count as
-two places, so both go; a null doc_id is an id like another; matches never
-cross documents; other columns are kept whatever their names; an empty
-table gives an empty result.
+two places, so both go; a null doc_id is an id like another; ids that are no
+integers raise an error; matches never cross documents; other columns are kept
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,11 +46,12 @@ from inkwell.llm.repeats import ID, KEY
 LENGTH = 200
 GRAM = 40
 STEP = 8
-_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()))
+_FINAL = (("h1", pa.int64()), ("h2", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int8()), ("s", pa.binary()))
+COMPARED_ROWS = 1 << 16
 
 
 def final_buckets(data: np.ndarray, which: int, length: int = LENGTH) -> np.ndarray:
-    """The identifier of the string of `length` bytes at every offset, by doubling the depth three times."""
+    """A hash of the string of `length` bytes at every offset, by doubling the depth three times; it says which task a position goes to."""
     depth = length // 8
     ids = textkit.mix(textkit.Rolling(textkit.byte_symbols(data, which), which).grams(depth))
     while depth < length:
@@ -58,7 +61,7 @@ def final_buckets(data: np.ndarray, which: int, length: int = LENGTH) -> np.ndar
 
 
 def _settle(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    h1, h2, i, t, at = rows
+    h1, h2, i, t, at, strings = rows
     order = np.lexsort((h2, h1))
     h1, h2, i, t, at = (x[order] for x in (h1, h2, i, t, at))
     same = repeats._runs(h1, h2)
@@ -70,10 +73,61 @@ def _settle(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     deal = repeats.dealt_by_text(pi, pt)
     f = np.concatenate([np.where(size > 1, repeats.MULTI, repeats.CANDIDATE), np.full(len(lo), repeats.SETTLED)])
     arrays = [np.concatenate(x) for x in ((h1[ask], deal), (h2[ask], np.zeros(len(lo), np.uint64)), (i[ask], pi), (t[ask], pt), (at[ask], lo), (at[ask], hi))]
-    kinds = [kind for _, kind in _FINAL]
+    kinds = [kind for _, kind in _FINAL[:-1]]
+    own = np.ascontiguousarray(strings[order[ask]])
+    sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(own.shape[1]), len(own), [None, pa.py_buffer(own)]).cast(pa.binary())
+    asked = pa.concat_arrays([sent, pa.array([b""] * len(lo), pa.binary())])
     order = np.lexsort((arrays[4], arrays[3], arrays[2]))  # neighbours of one text together: they compress well
     made = [x[order] for x in (arrays[0].view(np.int64), arrays[1].view(np.int64), *arrays[2:], f)]
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(k.to_pandas_dtype()), k) for a, k in zip(made, kinds, strict=True)], [n for n, _ in _FINAL])
+    columns = [pa.array(a.astype(k.to_pandas_dtype()), k) for a, k in zip(made, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, asked.take(pa.array(order))], [n for n, _ in _FINAL])
+
+
+def _numbered(own: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Bucket numbers of pairs (own bucket, bucket of a later offset), by sorting."""
+    order = np.lexsort((later, own))
+    new = np.ones(len(own), bool)
+    new[1:] = (own[order][1:] != own[order][:-1]) | (later[order][1:] != later[order][:-1])
+    out = np.empty(len(own), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def refined(strings: np.ndarray) -> np.ndarray:
+    """Which rows of a matrix of bytes (its width a multiple of 8) equal another row.
+
+    Column j of a pass holds the buckets of the grams that start 8 * j bytes
+    in; a pass sorts them by the buckets one depth further on.
+    """
+    n, lanes = len(strings), strings.shape[1] // 8
+    out, left = np.zeros(n, bool), np.arange(n)
+    grams = np.unique(strings.view("<u8").ravel(), return_inverse=True)[1].reshape(n, lanes)
+    levels = {1: grams}  # depth in lanes -> buckets at every multiple of that depth
+    depth, whole, covered = 1, grams[:, 0], 1
+
+    def alone(buckets: np.ndarray) -> np.ndarray:
+        return np.bincount(buckets, minlength=1)[buckets] == 1
+
+    while len(left) and covered < lanes:
+        stay = ~alone(whole)  # a position alone in its bucket is finished
+        left, whole = left[stay], whole[stay]
+        levels = {d: x[stay] for d, x in levels.items()}
+        if not len(left):
+            return out
+        if covered == depth and 2 * depth <= lanes:
+            held = levels[depth]
+            pairs = held.shape[1] // 2
+            made = [_numbered(held[:, 2 * j], held[:, 2 * j + 1]) for j in range(1, pairs)]
+            own = _numbered(held[:, 0], held[:, 1])
+            # Numbers of one column mean nothing in another, but rows are compared column by column only.
+            depth *= 2
+            levels[depth] = np.stack([own, *made], axis=1)
+            whole, covered = own, depth
+        else:  # the rest of the width, by the deepest buckets that fit
+            d = max(d for d in levels if covered + d <= lanes and covered % d == 0)
+            whole, covered = _numbered(whole, levels[d][:, covered // d]), covered + d
+    out[left[~alone(whole)]] = True
+    return out
 
 
 def _stretches(i: np.ndarray, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,30 +172,32 @@ def _steps(length: int):
 
 def _refine(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = repeats.Held(_settle)
+        held = repeats.Held(_settle, COMPARED_ROWS)
         for batch in batches:
             ids, keys = (np.asarray(batch.column(c)) for c in (ID, KEY))
             raw, off, _ = textkit.column_bytes(batch.column("__rp_text"))
             for row, starts in repeats.open_starts(batch):
                 data = raw[off[row] : off[row + 1]]
                 h1, h2 = (final_buckets(data, which, length)[starts] for which in (0, 1))
-                yield from held.add(h1, h2, np.full(len(starts), ids[row]), np.full(len(starts), keys[row]), starts)
+                for k in range(0, len(starts), COMPARED_ROWS):
+                    some = slice(k, k + COMPARED_ROWS)
+                    part = starts[some]
+                    strings = np.lib.stride_tricks.sliding_window_view(data, length)[part]
+                    yield from held.add(h1[some], h2[some], np.full(len(part), ids[row]), np.full(len(part), keys[row]), part, strings)
         yield from held.rest()
 
     return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in repeats.by_whole_keys(batches, tuple(n for n, _ in _FINAL)):
+    for rows in repeats.by_whole_keys(batches, tuple(n for n, _ in _FINAL), COMPARED_ROWS):
         asks = rows["f"] < repeats.SETTLED
-        order = np.flatnonzero(asks)
-        order = order[np.lexsort((rows["h2"][order], rows["h1"][order]))]
-        h1, h2, f = (rows[c][order] for c in ("h1", "h2", "f"))
-        same = repeats._runs(h1, h2)
-        several = repeats._spread(np.diff(np.append(same, len(h1))) > 1, same, len(h1))
-        new = order[several & (f == repeats.CANDIDATE)]
+        order, done = np.flatnonzero(asks), np.flatnonzero(~asks)
+        new = order[:0]
+        if len(order):
+            strings = np.frombuffer(b"".join(rows["s"][order]), np.uint8).reshape(len(order), -1)
+            new = order[refined(strings) & (rows["f"][order] == repeats.CANDIDATE)]
         lo, hi, row = _stretches(rows[ID][new], rows[KEY][new], rows["lo"][new].astype(np.int64))
-        done = np.flatnonzero(~asks)
         out = {ID: (rows[ID][new][row], rows[ID][done]), KEY: (rows[KEY][new][row], rows[KEY][done]), "lo": (lo.astype(np.int32), rows["lo"][done]), "hi": (hi.astype(np.int32), rows["hi"][done])}
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], list(out))
 
@@ -152,9 +208,9 @@ def repeated_starts(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         raise ValueError("length must be a multiple of 8 below 256")
     first = repeats.first_round(source, repeats.byte_rows, length, gram, earlier=False)
     second = repeats.settle(repeats.open_texts(source, first).mapInArrow(_steps(length), repeats.ROWS), earlier=False)
-    schema = f"h1 long, h2 long, {ID} long, {KEY} long, lo int, hi int, f byte"
+    schema = f"h1 long, h2 long, {ID} long, {KEY} long, lo int, hi int, f byte, s binary"
     final = repeats.open_texts(source, second).mapInArrow(_refine(length), schema)
-    later = final.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_compare, f"{ID} long, {KEY} long, lo int, hi int")
+    later = final.repartition("h1").sortWithinPartitions("h1").mapInArrow(_compare, f"{ID} long, {KEY} long, lo int, hi int")
     return repeats.all_stretches(first, second, later)
 
 

@@ -180,24 +180,28 @@ def _map(symbols: Symbols, width: int, gram: int, earlier: bool):
     return run
 
 
-def by_whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+def _array(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def by_whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int = FLUSH_ROWS) -> Iterator[dict[str, np.ndarray]]:
     """Columns of rows sorted by names[0], in pieces that never cut a key."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        if count >= FLUSH_ROWS:
+        if count >= most:
             keys = np.asarray(batch.column(names[0]))
             cut = int(np.searchsorted(keys, np.asarray(held[-1].column(names[0]))[-1], side="right"))
             if cut < batch.num_rows:
                 held.append(batch.slice(0, cut))
-                yield {c: np.concatenate([np.asarray(b.column(c)) for b in held]) for c in names}
+                yield {c: np.concatenate([_array(b.column(c)) for b in held]) for c in names}
                 held, count, batch = [], 0, batch.slice(cut)
         held.append(batch)
         count += batch.num_rows
     if held:
-        yield {c: np.concatenate([np.asarray(b.column(c)) for b in held]) for c in names}
+        yield {c: np.concatenate([_array(b.column(c)) for b in held]) for c in names}
 
 
 _KEPT = (ID, KEY, "lo", "hi", "p", "f")

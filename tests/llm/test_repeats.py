@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkwell.llm import byte_buckets, line_winnow, suffix_trees
+from inkwell.llm import byte_buckets, byte_cnn, decontaminate, line_winnow, secret_scan, suffix_trees
 from tests_llm_helpers import SCHEMA, random_texts, rows_of
 
 
@@ -152,6 +154,62 @@ def test_many_texts_of_one_id(spark):
     assert Counter(tuple(r)[1:] for r in suffix_trees.digest(same).collect()) == want
 
 
+@pytest.mark.parametrize("width", [8, 24, 40, 200])
+def test_refinement_finds_equal_rows(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 2, 50, 400):
+        rows = rng.integers(97, 99, (n, width)).astype(np.uint8)
+        for k in range(0, n - 1, 3):
+            rows[k + 1] = rows[k]
+            if k % 2:
+                rows[k + 1, rng.integers(width)] ^= 1
+        seen = Counter(r.tobytes() for r in rows)
+        assert byte_buckets.refined(rows).tolist() == [seen[r.tobytes()] > 1 for r in rows]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("size", [256, 512, 1024, 2048])
+def test_arrangements_that_cancel_out(make, size):
+    """Words and byte strings whose sums of powers modulo 2**64 are equal, though they differ everywhere."""
+    one, two = thue_morse(size), thue_morse(size, "b", "a")
+    words = [" ".join([*(f"c{k}" for k in range(12)), w]) for w in (one, two)]
+    assert [r["n_removed"] for r in suffix_trees.digest(make(words)).orderBy("doc_id").collect()] == [0, 0]
+    docs = list(enumerate([f"x{one}y", f"z{two}w", f"{thue_morse(size, 'cd', 'dc')}q"], 1))
+    assert {r[0]: tuple(r)[1:] for r in byte_buckets.digest(make([t for _, t in docs])).collect()} == brute_bytes(docs)
+
+
+def test_column_names_and_ids(spark, make):
+    """Columns named like an operator's own, in any case, and ids that are no integers."""
+    odd = {"__rp_hits": 7, "__RP_ID": 7, "__lw_doc": 7, "N_LINES": 7, "N_Words": 7, "SECRETS": 7, "__aside_0": 7, "Hit_Words": 7, "SCORE": 7}
+    docs = make(["same old line\n" * 3, "same old line\n" * 3, "password=abcdefghijklmnop"]).withColumns({c: F.lit(x) for c, x in odd.items()})
+    items = spark.createDataFrame([(1, "same old line")], "item_id long, text string")
+    for f, own in (
+        (suffix_trees.remove_repeats, ()), (byte_buckets.remove_repeats, ()), (line_winnow.dedup_lines, ("n_lines", "n_removed", "n_runs")), (secret_scan.find_secrets, ("secrets",)),
+        (lambda d: decontaminate.find_contamination(d, items), ("n_words", "hit_words", "items", "hit_offsets")), (lambda d: byte_cnn.score(d, None), ("score",)),
+    ):
+        out = f(docs)
+        assert out.columns == [c for c in docs.columns if c.lower() not in own] + list(own)
+        kept = [c for c in odd if c.lower() not in own]
+        assert all(r[c] == 7 for r in out.collect() for c in kept)
+    names = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for f in (suffix_trees.digest, byte_buckets.digest):
+        with pytest.raises(TypeError):
+            f(names)
+
+
+def test_very_long_rows(make):
+    """A text of 200,000 lines and one of 60,000 secrets take time in proportion."""
+    lines = "\n".join(f"line {k % 90_000}" for k in range(200_000))
+    out = line_winnow.dedup_lines(make([lines])).first()
+    assert out["n_lines"] == 200_000 and out["n_removed"] == 110_000 and out["n_runs"] == 1
+    text = " ".join(f"user=u{k:05d} token=abcdef{k % 10}" for k in range(60_000))
+    found = secret_scan.find_secrets(make([text])).select(F.size("secrets").alias("n")).first()
+    assert found["n"] == 120_000
+
+
 def test_edges(edge_docs, no_docs):
     n = edge_docs.count()
     for f in (suffix_trees.digest, byte_buckets.digest):
