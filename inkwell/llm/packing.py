@@ -48,8 +48,8 @@ from inkwell.llm.durable import durable
 CAPACITY = 4096
 END_ID = 1
 GROUPS = 200
-CACHE_WORDS = 600_000  # of each of two generations
-CACHE_PARTS = 1_000_000
+CACHE_WORDS = 350_000  # of each of two generations
+CACHE_PARTS = 500_000
 CHUNK_BYTES = 8 << 20
 #: Lower-case Latin letters up to U+017F, and all characters whose normal form, class and lower case are those of the
 #: tokenizer letter by letter.  A word with any other character is left to the tokenizer itself.
