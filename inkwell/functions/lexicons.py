@@ -136,4 +136,15 @@ DOI_PATTERN = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)"
 ARXIV_PATTERN = r"(?i)\barXiv[:\s]\s*((?:\d{4}\.\d{4,5}(?:v\d+)?)|(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?))"
 YEAR_PATTERN = r"\b(1[89]\d{2}|20[0-4]\d)\b"
 JUNK_TITLE = r"(?i)^(untitled|microsoft word|document\d*|paper|manuscript|\d+|.*\.(dvi|tex|doc|docx|pdf|indd))$"
+#: Headings: numbered, Roman, and known words; bibliography heads, what ends a bibliography, and how an entry starts.
+NUMBERED_HEADING = r"^[ \t]*(\d{1,2}(?:\.\d{1,2}){0,2})\.?[ \t]+([A-Z].{2,80})[ \t]*$"
+ROMAN_HEADING = r"^[ \t]*[IVXLC]{1,5}\.[ \t]+([A-Z].{2,80})[ \t]*$"
+REFERENCES_PATTERN = r"(?s)(?:.*)(?:^|\n)[ \t]*(?:(?:[IVXLC]+|\d+)[.)]?[ \t]*)?(?:REFERENCES|References|REFERENCE|Bibliography|BIBLIOGRAPHY|Works Cited)[ \t]*(?:\n|$)(.*)"
+AFTERWARDS_PATTERN = r"(?:^|\n)\s*(?:(?:[IVXLC]+|\d+|[A-Z])[.)]?\s*)?(?:APPENDIX|Appendix|APPENDICES|Supplementary|SUPPLEMENTARY)\b"
+ENTRY_PATTERN = r"(?m)^\s*(?:\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)\s+"
+INITIAL_PATTERN = r"\b[A-Z]\."
+ET_AL_PATTERN = r"(?i)\bet al\.?"
+VENUE_PATTERN = r"^(In|Proceedings|Proc\.|Journal|Trans\.|Advances|IEEE|ACM|Vol\.?|pp\.?)\b"
+#: A figure smaller than this (in points squared) is a rule, a logo or a separator.
+MIN_FIGURE_AREA = 5000.0
 # End of fixed values.

@@ -32,11 +32,11 @@ def comparison(results: DataFrame, min_papers: int = 1) -> DataFrame:
 
 
 def comparison_rows(results: DataFrame, min_papers: int = 1) -> DataFrame:
-    """One row per (dataset, metric), widest first: cells, papers, spread, and the best cell."""
+    """One row per (dataset, metric), most cells first, then the widest: cells, papers, spread, and the best cell."""
     keyed = results.where(F.col("dataset_key").isNotNull() & (F.col("dataset_key") != ""))
     best = F.max(F.struct(_signed().alias("s"), F.struct(*(-F.col(f"row_key.{c}") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("k"), F.col("model_key").alias("model"), F.col("value").alias("value")))
     rows = keyed.groupBy("dataset_key", "metric_key").agg(F.count("*").alias("n_cells"), F.countDistinct("paper_id").alias("n_papers"), (F.max("value") - F.min("value")).alias("spread"), best.alias("b"))
-    return rows.where(F.col("n_papers") >= min_papers).select("dataset_key", "metric_key", "n_cells", "n_papers", "spread", F.col("b.model").alias("best_model"), F.col("b.value").alias("best_value"))
+    return rows.where(F.col("n_papers") >= min_papers).select("dataset_key", "metric_key", "n_cells", "n_papers", "spread", F.col("b.model").alias("best_model"), F.col("b.value").alias("best_value")).orderBy(F.desc("n_cells"), F.desc("spread"), "dataset_key", "metric_key")
 
 
 def ungrouped(results: DataFrame) -> DataFrame:

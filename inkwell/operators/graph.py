@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
+from inkwell.operators.lineage import cut
 
 
 def label_of(uid: str) -> Column:
@@ -73,13 +74,15 @@ def neighbors(edges: DataFrame, start: str, depth: int = 1, types: Sequence[str]
     """
     used = edges.where(F.col("type").isin(*types)) if types else edges
     step = used.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("out").alias("direction")).unionByName(used.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit("in").alias("direction")))
-    # The frontier of a hop is joined from the edges' side; the first hop is a pushed-down filter.
+    # The first hop is a pushed-down filter.  More hops read the edges and the frontier before again, so both are kept.
+    step = cut(step) if depth > 1 else step
     frontier = step.where(F.col("at") == start).where(F.col("to") != start).groupBy(F.col("to").alias("uid")).agg(F.max("direction").alias("direction")).withColumn("distance", F.lit(1))
+    frontier = cut(frontier) if depth > 1 else frontier
     seen = frontier
     for hop in range(2, depth + 1):
         reached = step.join(frontier.select(F.col("uid").alias("at")), "at").where(F.col("to") != start)
         found = reached.groupBy(F.col("to").alias("uid")).agg(F.max("direction").alias("direction"))
-        frontier = found.join(seen.select("uid"), "uid", "left_anti").withColumn("distance", F.lit(hop))
+        frontier = cut(found.join(seen.select("uid"), "uid", "left_anti").withColumn("distance", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen if limit is None else seen.orderBy("distance", "uid").limit(limit)
 
@@ -159,7 +162,7 @@ def seeds(entities: DataFrame, query: str, limit: int = 8) -> DataFrame:
 
 def expand(entities: DataFrame, seed: DataFrame, exclude: Sequence = (), limit: int = 12) -> DataFrame:
     """Papers that share seeds: paper_id, strength.  Each seed offers its first `limit` papers before any are excluded."""
-    shared = entities.join(F.broadcast(seed.select("label", "key")), ["label", "key"]).select("label", "key", "paper_id").distinct()
+    shared = entities.join(seed.select("label", "key").distinct(), ["label", "key"]).select("label", "key", "paper_id").distinct()
     offered = shared.withColumn("n", F.row_number().over(Window.partitionBy("label", "key").orderBy("paper_id"))).where(F.col("n") <= limit)
     kept = offered.where(~F.col("paper_id").isin(*exclude)) if exclude else offered
     return kept.groupBy("paper_id").agg(F.count("*").alias("strength")).orderBy(F.desc("strength"), "paper_id").limit(limit)
@@ -178,5 +181,29 @@ def resolve_relations(relations: DataFrame, papers: DataFrame, entities: DataFra
     return legal(both.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "type", "dst")).distinct()
 
 
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "src string, type string, dst string")
+def build_papers(papers: DataFrame, mentions: DataFrame, references: DataFrame, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of whole papers: authors, venue, mentioned entities, stated relations and citations.
+
+    papers: paper_id, title, authors (one string), venue; mentions: paper_id,
+    label, name; references: paper_id, title; relations: paper_id, type,
+    source, target.  Edges that the schema does not allow are dropped, and
+    every end of an edge is a node; so is each paper and entity by itself.
+    """
+    uid = F.concat(F.lit("Paper:"), F.col("paper_id").cast("string"))
+    named = mentions.select("paper_id", "label", tx.normalize_key("name").alias("key")).where("key <> ''").distinct()
+    kind = F.create_map(*(F.lit(x) for pair in lx.RELATION_OF_LABEL.items() for x in pair))[F.col("label")]
+    parts = [
+        papers.select(uid.alias("src"), F.explode(tx.authors("authors")).alias("author")).select("src", F.lit("AUTHORED_BY").alias("type"), F.concat(F.lit("Author:"), tx.normalize_key("author")).alias("dst")),
+        papers.where("venue <> ''").select(uid.alias("src"), F.lit("PUBLISHED_IN").alias("type"), F.concat(F.lit("Venue:"), tx.normalize_key("venue")).alias("dst")),
+        named.select(uid.alias("src"), kind.alias("type"), F.concat("label", F.lit(":"), "key").alias("dst")),
+        citation_edges(references, papers).select(F.concat(F.lit("Paper:"), F.col("src_paper").cast("string")).alias("src"), F.lit("CITES").alias("type"), F.concat(F.lit("Paper:"), F.col("dst_paper").cast("string")).alias("dst")),
+    ]
+    if relations is not None:
+        parts.append(resolve_relations(relations, papers, named))
+    edges = parts[0]
+    for more in parts[1:]:
+        edges = edges.unionByName(more)
+    edges = legal(edges).distinct()
+    alone = papers.select(uid.alias("uid")).unionByName(named.select(F.concat("label", F.lit(":"), "key").alias("uid")))
+    nodes = nodes_of(edges).unionByName(alone.select("uid", label_of("uid").alias("label"))).distinct()
+    return nodes, edges

@@ -35,9 +35,42 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str = "paper_id") -> Dat
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def write_replacing(new: DataFrame, path: str, key: str = "paper_id") -> None:
-    """Overwrites just the partitions that new has."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first in this order: retried or repeated results merge without one replacing an earlier one."""
+    kept = F.min(F.struct(*(F.col(c) for c in (*order, *(c for c in rows.columns if c not in order and c not in keys))))).alias("__first")
+    return rows.groupBy(*keys).agg(kept).select(*(F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in rows.columns))
+
+
+def untrusted_blocks(found: DataFrame, group: str, order: str = "n") -> DataFrame:
+    """group, block: each group's results (title, url, snippet) as numbered, delimited data."""
+    numbered = found.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    part = F.format_string("<<<EXTERNAL_RESULT %d>>>\ntitle: %s\nurl: %s\ncontent: %s\n<<<END_EXTERNAL_RESULT %d>>>", "__n", "title", "url", "snippet", "__n")
+    listed = numbered.select(group, F.struct("__n", part.alias("part")).alias("z")).groupBy(group).agg(F.array_sort(F.collect_list("z")).alias("l"))
+    return listed.select(group, F.array_join(F.transform("l", lambda z: z["part"]), "\n\n").alias("block"))
+
+
+def write_replacing(new: DataFrame, path: str, key: str = "paper_id", buckets: int = 64) -> None:
+    """A store of rows in a bounded number of folders; the rows of the keys that new has are replaced.
+
+    A folder holds the keys of one hash bucket, so their number does not grow
+    with the papers.  Only the buckets that new touches are read and written,
+    through a copy beside the store, as Spark does not overwrite what it reads.
+    """
+    spark = new.sparkSession
+    placed = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(*touched))
+        placed = replace_by_key(old.select(placed.columns), placed, key)
+    beside = f"{path.rstrip('/')}.next"
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    files.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
 def delete_papers(tables: dict[str, DataFrame], gone: DataFrame, key: str = "paper_id") -> dict[str, DataFrame]:

@@ -7,12 +7,14 @@ ranks travel until the last step, which fetches texts of the hits.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,25 +133,55 @@ def dense(vectors: DataFrame, query: Sequence[float], limit: int = 10, key: str
 
 
 def hash_embedding(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 384) -> DataFrame:
-    """key, bucket, weight: signed counts of hashed words, scaled to length 1."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    counted = docs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    digest = F.sha2("word", 256)
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    summed = counted.select(key, bucket.alias("bucket"), (sign * F.col("n")).alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("w")).where("w <> 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return summed.select(key, "bucket", F.round(F.col("w") / norm, 6).alias("weight"))
+    """key, bucket, weight: signed counts of hashed words, scaled to length 1; made row by row in Arrow batches, without a shuffle."""
+    lowered = docs.select(F.col(key).alias("key"), F.lower(text).alias("low"))
+    kind = lowered.schema["key"].dataType.simpleString()
+    rows = lowered.mapInArrow(_hashed(dim), f"key {kind}, bucket long, w long, squares long")
+    return rows.select(F.col("key").alias(key), "bucket", F.round(F.col("w") / F.sqrt("squares"), 6).alias("weight"))
+
+
+_places: dict[str, tuple[int, int]] = {}
+
+
+def _place(word: str) -> tuple[int, int]:
+    """(number of 32 bits, sign) of a word; a bounded number of words is remembered."""
+    found = _places.get(word)
+    if found is None:
+        if len(_places) > 500_000:
+            _places.clear()
+        h = hashlib.sha256(word.encode()).digest()
+        found = _places[word] = int.from_bytes(h[:4], "big"), 1 - 2 * (h[4] % 2)
+    return found
+
+
+def _hashed(dim: int):
+    words = re.compile("[^ \t\n\v\f\r]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, buckets, weights, squares = [], [], [], []
+            for row, low in enumerate(batch.column("low").to_pylist()):
+                sums: Counter = Counter()
+                for word, n in Counter(words(low or "")).items():
+                    number, sign = _place(word)
+                    sums[number % dim] += sign * n
+                some = [(b, w) for b, w in sums.items() if w]
+                at += [row] * len(some)
+                buckets += [b for b, _ in some]
+                weights += [w for _, w in some]
+                squares += [sum(w * w for _, w in some)] * len(some)
+            columns = [batch.column("key").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (buckets, weights, squares))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "bucket", "w", "squares"])
+
+    return run
 
 
 def hash_vector(query: str, dim: int = 384) -> list[float]:
     """The same embedding of one query string."""
-    import hashlib
-
     out = [0.0] * dim
     for word in query.lower().split():
-        h = hashlib.sha256(word.encode()).digest()
-        out[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] % 2 == 0 else -1.0
+        number, sign = _place(word)
+        out[number % dim] += sign
     norm = math.sqrt(sum(x * x for x in out))
     return [x / norm for x in out] if norm else out
 
@@ -164,14 +196,15 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, key: str, limit: int = 1
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def rerank(candidates: DataFrame, query: str, key: str = "doc_id", text: str = "text", phrase_bonus: float = lx.PHRASE_BONUS) -> DataFrame:
-    """candidates (key, text, score, rank) plus rerank_score and new_rank.
+def rerank(candidates: DataFrame, query: str, key: str = "doc_id", text: str = "text", phrase_bonus: float = lx.PHRASE_BONUS, most: int = lx.CANDIDATE_CAP) -> DataFrame:
+    """The `most` best candidates (key, text, score, rank) plus rerank_score and new_rank.
 
     Query terms weigh the inverse of how many candidates hold them; a query
     that stands in a text word for word adds the bonus.  An empty query keeps
     the given scores.
     """
     terms = list(dict.fromkeys(query_terms(query)))
+    candidates = candidates.orderBy("rank", key).limit(most)  # so the windows over all of them are bounded
     every = Window.partitionBy(F.lit(0))
     if terms:
         counted = candidates.withColumn("__tokens", tx.tokens(text))

@@ -40,6 +40,34 @@ def histogram(events: DataFrame, bounds: Sequence[float] = BUCKETS) -> DataFrame
     return wide.select("route", F.inline(pairs))
 
 
+def histogram_quantile(events: DataFrame, probabilities: Sequence[float] = (0.5, 0.95, 0.99), bounds: Sequence[float] = BUCKETS) -> DataFrame:
+    """route and quantiles from bucket counts, so no value is kept.
+
+    Within the bucket that holds the rank, values are taken as spread evenly
+    (the first bucket starts at 0); beyond the last bound, it is the answer.
+    """
+    counts = [F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    wide = events.groupBy(F.col("event_type").alias("route")).agg(F.count("value").alias("n"), *counts)
+    listed = F.array(*(F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)))
+
+    def quantile(p: float):
+        rank = F.lit(float(p)) * F.col("n")
+        hit = F.get(F.filter(listed, lambda x: x["n"] >= rank), F.lit(0))
+        below = F.filter(listed, lambda x: x["n"] < rank)
+        last = F.get(below, F.size(below) - 1)
+        low, under = F.coalesce(last["le"], F.lit(0.0)), F.coalesce(last["n"], F.lit(0))
+        inside = low + (hit["le"] - low) * (rank - under) / F.nullif(hit["n"] - under, F.lit(0))
+        return F.when(hit.isNull(), float(bounds[-1])).otherwise(F.coalesce(inside, low))
+
+    return wide.select("route", *(F.round(quantile(p), 6).alias(f"p{round(100 * p)}") for p in probabilities))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """model, calls, prompt_tokens, completion_tokens, total_tokens: what each model was asked and answered."""
+    sums = calls.groupBy("model").agg(F.count("*").alias("calls"), *(F.sum(c).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")))
+    return sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
 def over_baseline(events: DataFrame, every: str = "1 day", before: int = 3, factor: float = 1.0) -> DataFrame:
     """Windows whose sum of value exceeds factor times the mean of the windows before."""
     sums = events.groupBy(F.window("ts", every).alias("w")).agg(F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "total")

@@ -3,13 +3,15 @@
 import json
 import os
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import assistant, corpus, documents, graph, judging, library, retrieval
+from inkwell.operators import assistant, corpus, documents, graph, index, judging, library, retrieval
 from inkwell.plans import catalogue
 from inkwell.streaming import ingest, metrics
 
@@ -106,6 +108,114 @@ def test_chunks(spark):
     assert all(f"number {k} " in " ".join(r["content"] for r in rows) for k in range(200))
 
 
+def brute_chunks(body, most, overlap, least=80):
+    """Chunking by its rules, one character budget at a time: what is over the budget stands apart."""
+    state = {"out": [], "held": ""}
+
+    def flush():
+        state["out"].append(state["held"])
+        state["held"] = ""
+
+    for para in re.split(r"\n[ \t]*\n", body):
+        para = para.strip()
+        if para and len(para) <= most:
+            if state["held"] and len(state["held"] + "\n\n" + para) > most:
+                flush()
+            state["held"] = state["held"] + "\n\n" + para if state["held"] else para
+        elif para:
+            flush()
+            for sentence in re.split(r"(?<=[.!?])\s+", para):
+                if len(sentence) > most:
+                    flush()
+                while len(sentence) > most:
+                    state["out"].append(sentence[:most])
+                    sentence = sentence[max(1, most - overlap) :]
+                if state["held"] and len(state["held"] + " " + sentence) > most:
+                    state["out"].append(state["held"])
+                    state["held"] = state["held"][-overlap:] if overlap else ""
+                state["held"] = (state["held"] + " " + sentence).strip()
+            flush()
+    flush()
+    out = [p.strip() for p in state["out"] if p.strip()]
+    return out if len(out) < 2 else [p for p in out if len(p) >= least]
+
+
+def test_chunks_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.choice([1, 3, 7, 7, 40])))
+    sentence = lambda: " ".join(word() for _ in range(rng.choice([1, 5, 20, 60]))) + rng.choice([".", "!", "?", ""])
+    bodies = ["\n\n".join(rng.choice([" ", "\n"]).join(sentence() for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    for tokens, overlap in ((50, 8), (100, 0), (25, 30)):
+        one = documents.chunk_pieces(tokens, overlap)
+        got = next(one(iter([pd.Series(bodies)])))
+        assert got.tolist() == [brute_chunks(b, 4 * tokens, 4 * overlap) for b in bodies]
+
+
+def test_packed_lines(spark):
+    texts = ["a\nbb\n\nccc", "x" * 700 + "\ny", "", None, "\n".join("z" * 100 for _ in range(13))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in documents.pack_paragraphs(docs).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    assert got == {0: ["a\nbb\nccc"], 1: ["x" * 700, "y"], 4: ["\n".join(["z" * 100] * 5)] * 2 + ["\n".join(["z" * 100] * 3)]}
+
+
+def test_kept_index(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"alpha beta {'gamma ' * (k % 4)}w{k}") for k in range(40)], "doc_id long, text string")
+    for path in ("a", "b"):
+        index.add(docs.where("doc_id < 30"), f"{tmp_path}/{path}", 0)
+    index.add(docs.where("doc_id >= 20"), f"{tmp_path}/a", 1)
+    index.remove(docs.where("doc_id % 7 = 0"), f"{tmp_path}/a", 2)
+    left = docs.where("doc_id % 7 <> 0")
+    want = [tuple(r) for r in retrieval.bm25(left, "gamma w11 beta", 8).collect()]
+    index.compact(spark, f"{tmp_path}/a", f"{tmp_path}/c")
+    for path in ("a", "c"):
+        got = [tuple(r) for r in index.search(spark, f"{tmp_path}/{path}", "gamma w11 beta", 8).collect()]
+        assert [(k, r) for k, _, r in got] == [(k, r) for k, _, r in want]
+        assert all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert index.search(spark, f"{tmp_path}/a", "the of").count() == 0
+    plan = index.search(spark, f"{tmp_path}/a", "gamma")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan and "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_small_operators(spark):
+    """Abstract, fallback titles, merges, asset chunks, status classes and the extraction text."""
+    rows = spark.createDataFrame([("1", "m", 1, "late"), ("1", "m", 0, "early"), ("2", "m", 5, "x")], "paper string, metric string, n int, v string")
+    assert {tuple(r) for r in library.keep_first(rows, ["paper", "metric"], ["n"]).collect()} == {("1", "m", 0, "early"), ("2", "m", 5, "x")}
+    first = spark.createDataFrame([(1, "accuracy", 1.0)], "doc_id long, metric string, value double")
+    second = spark.createDataFrame([(1, "accuracy", 2.0), (1, "f1", 3.0), (2, "accuracy", 4.0)], "doc_id long, metric string, value double")
+    assert {tuple(r) for r in documents.merge_results(first, second).collect()} == {(1, "accuracy", 1.0), (1, "f1", 3.0), (2, "accuracy", 4.0)}
+    a = spark.createDataFrame([(1, "Task", "x", 0.9)], "paper_id long, label string, key string, confidence double")
+    b = spark.createDataFrame([(1, "Task", "x", 0.1), (1, "Task", "y", 0.2), (1, "Task", "y", 0.2)], "paper_id long, label string, key string, confidence double")
+    assert sorted(tuple(r) for r in documents.merge_entities(a, b).collect()) == [(1, "Task", "x", 0.9), (1, "Task", "y", 0.2)]
+    body, path = documents.asset_chunk(F.lit("Table 1: Scores"), F.lit("| a |"))
+    assert tuple(spark.range(1).select(body, path).first()) == ("Table 1: Scores\n\n| a |", "Table 1")
+    papers = spark.createDataFrame([(1, "About it."), (2, "")], "paper_id long, abstract string")
+    chunks = spark.createDataFrame([(1, 1, "two"), (1, 0, "one"), (2, 0, "only"), (2, 40, "late")], "paper_id long, chunk_index int, content string")
+    assert {r["paper_id"]: r["text"] for r in documents.extraction_text(papers, chunks).collect()} == {1: "About it.\n\none\n\ntwo", 2: "only"}
+    titles = spark.createDataFrame([("T", "f"), ("", "f"), (None, None)], "title string, filename string")
+    assert [r[0] for r in titles.select(library.display_title()).collect()] == ["T", "f", "Untitled"]
+    tables = library.delete_papers({"chunks": chunks}, spark.createDataFrame([(1,)], "paper_id long"))
+    assert {r["paper_id"] for r in tables["chunks"].collect()} == {2}
+    found = spark.createDataFrame([(1, 2, "b", "u2", "s2"), (1, 1, "a", "u1", "s1")], "g int, n int, title string, url string, snippet string")
+    block = library.untrusted_blocks(found, "g").first()["block"]
+    assert block.startswith("<<<EXTERNAL_RESULT 1>>>\ntitle: a\nurl: u1\ncontent: s1\n<<<END_EXTERNAL_RESULT 1>>>\n\n<<<EXTERNAL_RESULT 2>>>")
+
+
+def test_captions_in_bins(spark):
+    rng = random.Random(6)
+    boxes = [(rng.randint(0, 2), k, float(t := rng.randint(0, 900)), float(t + rng.randint(1, 200))) for k in range(60)]
+    caps = [(rng.randint(0, 2), k, float(t := rng.randint(0, 900)), float(t + 10)) for k in range(60)]
+    want = {}
+    for page, box, top, bottom in boxes:
+        near = sorted((min(abs(ct - bottom), abs(top - cb)), cap) for p, cap, ct, cb in caps if p == page)
+        if near and near[0][0] <= 60:
+            want[box] = near[0]
+    schema = "page int, {} int, top double, bottom double"
+    got = documents.nearest_captions(spark.createDataFrame(boxes, schema.format("box_id")), spark.createDataFrame(caps, schema.format("cap_id")))
+    assert {r["box_id"]: (r["distance"], r["cap_id"]) for r in got.collect()} == want
+
+
 REFS = """Body cites references here.
 References
 [1] A. Vaswani, N. Shazeer. Attention over everything we know. In Proceedings, 2017. doi:10.1000/xyz.1.
