@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import corpus, documents, graph, judging, library, retrieval
+from inkwell.operators import corpus, documents, graph, index, judging, library, retrieval
+from inkwell.operators.lineage import checkpoint_folder
 from inkwell.sources import views as v
 from inkwell.streaming import metrics
 
@@ -116,6 +118,18 @@ def bm25_repeated_term(spark, d):
     return _rounded(retrieval.bm25(_docs(spark, d), "thtion thtion ertion", 20))
 
 
+@query
+def bm25_from_index(spark, d):
+    """The index after adding half of the table, then the other half, writing a third again and removing and adding a tenth; as a whole it is the table."""
+    docs, path = _docs(spark, d), f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.add(docs.where("doc_id % 2 = 0"), path, 0)
+    index.add(docs.where("doc_id % 2 = 1"), path, 1)
+    index.add(docs.where("doc_id % 3 = 0"), path, 2)
+    index.remove(docs.where("doc_id % 10 = 1"), path, 3)
+    index.add(docs.where("doc_id % 10 = 1"), path, 4)
+    return _rounded(index.search(spark, path, QUESTION, 10)).withColumnRenamed("key", "doc_id")
+
+
 def _rounded(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
@@ -360,6 +374,15 @@ def graph_counts(spark, d):
     return graph.counts(graph.nodes_of(e), e)
 
 
+@query
+def paper_graph(spark, d):
+    """Nodes by label and edges by relation of graphs built from whole papers."""
+    names = v.authors(spark, d).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_set("author")), "; ").alias("authors"))
+    papers = v.papers(spark, d).join(names, "paper_id", "left")
+    nodes, edges = graph.build_papers(papers, v.entities(spark, d), v.references(spark, d))
+    return nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")))
+
+
 @query
 def graph_neighbors_depth1(spark, d):
     return graph.neighbors(v.edges(spark, d), "Paper:1", 1)
@@ -382,7 +405,7 @@ def graph_find_nodes(spark, d):
 
 @query
 def graph_pattern(spark, d):
-    return graph.read_only_query(v.edges(spark, d), "MATCH (p:Paper)-[:CITES]->(q:Paper) RETURN p, q LIMIT 50")
+    return graph.match_pattern(v.edges(spark, d), "Paper", "CITES", "Paper", 50)
 
 
 @query
@@ -483,6 +506,47 @@ def nearest_caption(spark, d):
     return documents.nearest_captions(box, cap)
 
 
+@query
+def reported_results(spark, d):
+    """Result sentences made of every line item, read back."""
+    metric = F.create_map(*map(F.lit, ("A", "accuracy of", "N", "F1 score:", "R", "perplexity =")))[F.col("l_returnflag")]
+    set_ = F.when(F.col("l_linenumber") % 2 == 0, "SQuAD").otherwise("coco")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    text = F.concat(F.lit("On "), set_, F.lit(" the model has "), metric, F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linestatus") == "O", "%").otherwise(""), F.lit(" in all."))
+    line = v.table(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select(key.alias("doc_id"), text.alias("text"))
+    out = documents.reported_results(line, ("coco", "squad"))
+    return out.select("doc_id", "metric", "value", F.coalesce("unit", F.lit("")).alias("unit"), "dataset", "confidence")
+
+
+@query
+def parsed_references(spark, d):
+    """A bibliography of each customer's orders, read back."""
+    entry = F.concat(F.lit("A. Smith and B. Jones. Study of item p"), F.col("o_orderkey").cast("string"), F.lit(" in depth. Proceedings of X, "), F.year("o_orderdate").cast("string"), F.lit(". doi:10.5555/ord"), F.col("o_orderkey").cast("string"))
+    listed = v.table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda z, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), z["e"])).alias("l"))
+    text = F.concat(F.lit("Some prose.\nReferences\n"), F.array_join("l", "\n"), F.lit("\nAppendix\n[99] This is not an entry of the list at all."))
+    return documents.references(listed.where(F.size("l") >= 2).select(F.col("o_custkey").alias("doc_id"), text.alias("text"))).select("doc_id", "order", "doi", "year", "title")
+
+
+@query
+def figure_blocks(spark, d):
+    line = v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_quantity") * 4).alias("x1"), (F.col("l_discount") * 1000).alias("y1"))
+    return documents.figures(line).groupBy("l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query
+def external_blocks(spark, d):
+    pages = v.table(spark, d, "pages").select((F.col("page_id") % 20).alias("batch"), F.col("page_id").alias("n"), F.coalesce(documents.html_title("html"), F.lit("")).alias("title"), "url", F.substring("html", 1, 40).alias("snippet"))
+    return library.untrusted_blocks(pages, "batch").select("batch", F.md5("block").alias("block_md5"))
+
+
+@query
+def first_extractions(spark, d):
+    """Each paper's entity rows over repeated extractions: the first line that names it stays."""
+    line, part = v.table(spark, d, "lineitem"), v.table(spark, d, "part")
+    rows = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("paper_id"), F.lower("p_brand").alias("key"), "l_linenumber", "l_partkey", "l_suppkey")
+    return library.keep_first(rows, ["paper_id", "key"], ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
 @query
 def split_author_strings(spark, d):
     raw = F.concat_ws("; ", "c_name", F.concat(F.lit("A and "), F.col("c_mktsegment")), F.lit("12"), F.lit("Li & Wu Wei"))
@@ -633,6 +697,20 @@ def latency_quantiles(spark, d):
     return metrics.quantiles(v.table(spark, d, "events"))
 
 
+@query
+def latency_bucket_quantiles(spark, d):
+    return metrics.histogram_quantile(v.table(spark, d, "events"))
+
+
+@query
+def usage_totals(spark, d):
+    """Tokens asked and answered; every turn is a call, and conversations are dealt over three models."""
+    talk = v.table(spark, d, "conversations")
+    size = tx.estimate_tokens("text")
+    calls = talk.select((F.concat(F.lit("m"), F.col("conv_id") % 3)).alias("model"), F.when(F.col("role") == "assistant", 0).otherwise(size).alias("prompt_tokens"), F.when(F.col("role") == "assistant", size).otherwise(0).alias("completion_tokens"))
+    return metrics.usage(calls)
+
+
 @query
 def bucket_histogram(spark, d):
     return metrics.histogram(v.table(spark, d, "events"))

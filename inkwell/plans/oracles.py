@@ -236,6 +236,17 @@ def _escape(x: str) -> str:
 _ROUNDED = "SELECT * REPLACE (round(score, 6) AS score) FROM"
 _QUANT = ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(100 * p)}" for p in (0.5, 0.95, 0.99))
 
+BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
+
+
+def _bucket_quantile(p: float) -> str:
+    """Interpolated within the first bucket whose cumulative count reaches the rank."""
+    return f"""(SELECT round(CASE WHEN count(*) FILTER (WHERE c.n >= {p} * t.n) = 0 THEN {BOUNDS[-1]} ELSE
+      coalesce(max(c.le) FILTER (WHERE c.n < {p} * t.n), 0) + (min(c.le) FILTER (WHERE c.n >= {p} * t.n) - coalesce(max(c.le) FILTER (WHERE c.n < {p} * t.n), 0))
+      * ({p} * t.n - coalesce(max(c.n) FILTER (WHERE c.n < {p} * t.n), 0)) / (min(c.n) FILTER (WHERE c.n >= {p} * t.n) - coalesce(max(c.n) FILTER (WHERE c.n < {p} * t.n), 0)) END, 6)
+      FROM c WHERE c.route = t.route) AS p{round(100 * p)}"""
+
+
 ORACLES = {
     "tokenize_terms": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_terms, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)",
     "content_term_sets": f"SELECT doc_id, md5(array_to_string(list_sort({terms('text')}), ' ')) AS terms_md5 FROM documents",
@@ -379,3 +390,24 @@ ORACLES = {
 }
 
 assert math.isclose(lx.BM25_K1 + 1, 2.5)
+
+ORACLES["bm25_from_index"] = ORACLES["bm25_search"]
+ORACLES["paper_graph"] = sql(
+    """SELECT label AS kind, count(*) AS n FROM (SELECT uid, label FROM nodes UNION SELECT 'Paper:' || paper_id, 'Paper' FROM papers) GROUP BY label
+    UNION ALL SELECT type, count(*) FROM (SELECT DISTINCT * FROM edges) GROUP BY type""",
+    "nodes",
+)
+ORACLES["reported_results"] = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS doc_id,
+    CASE any_value(l_returnflag) WHEN 'A' THEN 'accuracy' WHEN 'N' THEN 'f1' ELSE 'perplexity' END AS metric, any_value(CAST(CAST(l_quantity AS INTEGER) AS DOUBLE)) AS value,
+    any_value(CASE WHEN l_linestatus = 'O' THEN '%' ELSE '' END) AS unit, CASE WHEN l_linenumber % 2 = 0 THEN 'squad' ELSE 'coco' END AS dataset, 0.5::DOUBLE AS confidence
+    FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey"""
+ORACLES["parsed_references"] = """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS "order", '10.5555/ord' || o_orderkey AS doi,
+    CAST(year(o_orderdate) AS INTEGER) AS year, 'Study of item p' || o_orderkey || ' in depth' AS title FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 2)"""
+ORACLES["figure_blocks"] = f"SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity * 4 * (l_discount * 1000) >= {lx.MIN_FIGURE_AREA} GROUP BY l_linenumber"
+ORACLES["first_extractions"] = """SELECT l_orderkey AS paper_id, lower(p_brand) AS key, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(p_brand) ORDER BY l_linenumber, l_partkey, l_suppkey) = 1"""
+ORACLES["latency_bucket_quantiles"] = f"""WITH t AS (SELECT event_type AS route, count(value) AS n FROM events GROUP BY event_type),
+    c AS (SELECT event_type AS route, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (SELECT unnest({list(BOUNDS)}::DOUBLE[]) AS le) GROUP BY event_type, le)
+    SELECT route, {", ".join(map(_bucket_quantile, (0.5, 0.95, 0.99)))} FROM t"""
+ORACLES["usage_totals"] = """SELECT model, count(*) AS calls, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE k END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN k ELSE 0 END) AS BIGINT) AS completion_tokens,
+    CAST(sum(k) AS BIGINT) AS total_tokens FROM (SELECT 'm' || (conv_id % 3) AS model, role, greatest(1, length(text) // 4) AS k FROM conversations) GROUP BY model"""
