@@ -161,4 +161,22 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9()}
+#: Bytes as pairs of hexadecimal digits; a window of 200 bytes is 400 of them.
+OP10 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, k, md5_number(substring(h, 2 * k + 1, 400)) AS g FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS k FROM d WHERE length(h) >= 400)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT rid, k, k - row_number() OVER (PARTITION BY rid ORDER BY k) AS run FROM w WHERE g IN (SELECT g FROM again)),
+stretch AS (SELECT rid, min(k) AS lo, max(k) + 200 AS hi FROM hit GROUP BY rid, run),
+marked AS (SELECT rid, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY rid ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM stretch),
+spans AS (SELECT rid, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY lo) AS s FROM marked) GROUP BY rid, s),
+cuts AS (SELECT rid, hi AS a, lead(lo, 1) OVER (PARTITION BY rid ORDER BY lo) AS b, lo FROM spans),
+pieces AS (SELECT rid, a, b FROM cuts UNION ALL SELECT rid, 0, min(lo) FROM spans GROUP BY rid),
+kept AS (SELECT p.rid, string_agg(substring(h, 2 * a + 1, coalesce(2 * b, length(h)) - 2 * a), '' ORDER BY a) AS h FROM pieces p JOIN d USING (rid) GROUP BY p.rid),
+n AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10}
