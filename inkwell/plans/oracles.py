@@ -411,3 +411,7 @@ ORACLES["latency_bucket_quantiles"] = f"""WITH t AS (SELECT event_type AS route,
     SELECT route, {", ".join(map(_bucket_quantile, (0.5, 0.95, 0.99)))} FROM t"""
 ORACLES["usage_totals"] = """SELECT model, count(*) AS calls, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE k END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN k ELSE 0 END) AS BIGINT) AS completion_tokens,
     CAST(sum(k) AS BIGINT) AS total_tokens FROM (SELECT 'm' || (conv_id % 3) AS model, role, greatest(1, length(text) // 4) AS k FROM conversations) GROUP BY model"""
+ORACLES["external_blocks"] = f"""WITH titles AS ({ORACLES["title_from_html"]}),
+    p AS (SELECT page_id % 20 AS batch, page_id, coalesce(title, '') AS title, url, substring(html, 1, 40) AS snippet, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages JOIN titles USING (page_id))
+    SELECT batch, md5(string_agg('<<<EXTERNAL_RESULT ' || n || '>>>' || chr(10) || 'title: ' || title || chr(10) || 'url: ' || url || chr(10) || 'content: ' || snippet || chr(10) || '<<<END_EXTERNAL_RESULT ' || n || '>>>',
+      chr(10) || chr(10) ORDER BY n)) AS block_md5 FROM p GROUP BY batch"""
