@@ -1,11 +1,14 @@
-"""Text functions as Column expressions: no Python runs on the data path."""
+"""Text functions as Column expressions; Python runs for nfkc only, which Spark has no function for."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkwell.functions import lexicons as lx
 
@@ -153,6 +156,20 @@ def storage_key(checksum: Column, filename: Column) -> Column:
     return F.concat(F.lit("papers/"), F.substring(checksum, 1, 2), F.lit("/"), F.substring(checksum, 3, 2), F.lit("/"), checksum, F.when(ext == "", ".bin").otherwise(ext))
 
 
+@F.pandas_udf(StringType())
+def nfkc(name: pd.Series) -> pd.Series:
+    """Compatibility forms (full-width letters, slashes, dots) as the plain characters they stand for."""
+    return name.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def general(value: Column | str) -> Column:
+    """A number in six significant digits without trailing zeros, in scientific form from a million and below 0.0001."""
+    digits = F.format_string("%.5e", _col(value))
+    number, power = digits.cast("double"), F.element_at(F.split(digits, "e"), 2).cast("int")
+    plain = F.regexp_replace(number.cast("decimal(24,10)").cast("string"), r"\.?0+$", "")
+    return F.when(number == 0, "0").when(power.between(-4, 5), plain).otherwise(F.regexp_replace(digits, r"\.?0+e", "e"))
+
+
 def safe_filename(name: Column, limit: int = 255) -> Column:
     """Base name only, unusual characters to _, runs of dots to one, reserved device names prefixed."""
     base = F.element_at(F.split(name, r"[/\\]"), -1)

@@ -56,6 +56,14 @@ def markdown(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*columns, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def comparison_lines(cells: DataFrame, titles: DataFrame, unit: Column | None = None) -> DataFrame:
+    """Per cell of comparison() its Markdown line with the paper's title: the value in six digits with its unit, the best one in bold."""
+    value = F.concat(tx.general("value"), F.coalesce(unit if unit is not None else F.lit(""), F.lit("")))
+    shown = F.when(F.col("is_best"), F.concat(F.lit("**"), value, F.lit("**"))).otherwise(value)
+    row = F.concat_ws(" | ", "dataset_key", "metric_key", "model_key", shown, "title")
+    return cells.join(titles.select("paper_id", "title"), "paper_id").select("dataset_key", "metric_key", "rank", F.concat(F.lit("| "), row, F.lit(" |")).alias("line"))
+
+
 def _firsts(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     """keys, firsts (sorted): the k smallest values of each group.  Tasks keep k of each group before they shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
@@ -197,6 +205,38 @@ def structural_gaps(coverage: DataFrame, evaluation: DataFrame, conflicts: DataF
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def all_gaps(structural: DataFrame, stated: DataFrame) -> DataFrame:
+    """kind, subject, strength: the structural gaps, and what papers state themselves (without a strength)."""
+    said = stated.select(F.lit("stated").alias("kind"), F.concat_ws(" / ", F.col("paper_id").cast("string"), F.col("chunk_index").cast("string"), "excerpt").alias("subject"), F.lit(None).cast("double").alias("strength"))
+    return structural.select("kind", "subject", F.col("strength").cast("double").alias("strength")).unionByName(said)
+
+
+def cited_sections(sections: DataFrame, sources: DataFrame, key: str = "review_id") -> DataFrame:
+    """sections (key, section_no, heading, text, available) with cited: markers of sources that the review has and the section was given."""
+    n = sources.groupBy(key).agg(F.max("source_index").alias("__n"))
+    known = sections.join(n, key, "left").withColumn("cited", tx.cited("text", F.coalesce("__n", F.lit(0))))
+    return known.withColumn("cited", F.array_intersect("cited", "available")).drop("__n")
+
+
+def review_markdown(sections: DataFrame, sources: DataFrame, key: str = "review_id") -> DataFrame:
+    """key, n_words, n_cited, markdown: the sections in order, then the sources that any of them cites.
+
+    A review has few sections and at most the sources of review_sources(), so
+    one review is a small group whatever the number of reviews.
+    """
+    checked = cited_sections(sections, sources, key)
+    body = F.trim(F.coalesce("text", F.lit("")), F.lit(" \n\t"))
+    part = F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.when(body == "", "_No supporting sources were found._").otherwise(body))
+    words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
+    in_order = lambda pairs: F.array_join(F.transform(F.array_sort(pairs), lambda z: z["line"]), "\n\n")
+    texts = checked.groupBy(key).agg(in_order(F.collect_list(F.struct("section_no", part.alias("line")))).alias("texts"), F.sum(words).alias("n_words"), F.array_distinct(F.flatten(F.collect_list("cited"))).alias("used"))
+    named = sources.join(texts.select(key, "used"), key).where(F.array_contains("used", F.col("source_index")))
+    entry = F.concat(F.col("source_index").cast("string"), F.lit(". "), F.col("citation"))
+    listed = named.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_index", entry.alias("line")))), lambda z: z["line"]), "\n").alias("listed"))
+    refs = F.when(F.col("listed").isNotNull(), F.concat(F.lit("\n\n## References\n\n"), F.col("listed"))).otherwise("")
+    return texts.join(listed, key, "left").select(key, "n_words", F.size("used").alias("n_cited"), F.concat("texts", refs).alias("markdown"))
+
+
 def review_sources(papers: DataFrame, limit: int = 40) -> DataFrame:
     """source_index (from 1), paper_id, title: newest first."""
     order = [F.desc(F.coalesce("published_year", F.lit(0))), F.col("paper_id")]

@@ -26,7 +26,7 @@ def accept_uploads(existing: DataFrame, uploads: DataFrame, most_bytes: int = 10
     fine = judged.where("reason IS NULL").withColumn("n", first)
     fresh = fine.where("n = 1").join(existing.select(*keys), keys, "left_anti")
     again = fine.where("n > 1").unionByName(fine.where("n = 1").join(existing.select(*keys), keys, "left_semi")).withColumn("reason", F.lit("already there"))
-    new = fresh.select(*keys, tx.safe_filename(F.col("filename")).alias("filename"), "size_bytes", tx.storage_key(F.col("checksum"), F.col("filename")).alias("storage_key"), F.lit("pending").alias("status"))
+    new = fresh.select(*keys, tx.safe_filename(tx.nfkc("filename")).alias("filename"), "size_bytes", tx.storage_key(F.col("checksum"), F.col("filename")).alias("storage_key"), F.lit("pending").alias("status"))
     return new, judged.where("reason IS NOT NULL").select(*keys, "filename", "reason").unionByName(again.select(*keys, "filename", "reason"))
 
 

@@ -228,6 +228,12 @@ def comparison_markdown(spark, d):
     return corpus.markdown(corpus.comparison_rows(v.results(spark, d)), ["dataset_key", "metric_key", "best_value"])
 
 
+@query
+def comparison_lines(spark, d):
+    unit = F.when(F.col("metric_key") == "accuracy", "%")
+    return corpus.comparison_lines(corpus.comparison(v.results(spark, d)), v.papers(spark, d), unit)
+
+
 @query
 def ungrouped_results(spark, d):
     return corpus.ungrouped(v.results(spark, d))
@@ -320,6 +326,22 @@ def structural_gaps_whole(spark, d):
     return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(_fine_results(spark, d)), corpus.numeric_conflicts(r))
 
 
+@query
+def all_gaps(spark, d):
+    stated = corpus.stated_gaps(v.chunks(spark, d), MARKERS).withColumn("excerpt", F.md5("excerpt"))
+    return corpus.all_gaps(structural_gaps_whole(spark, d), stated)
+
+
+@query
+def review_markdown(spark, d):
+    """Conversations as reviews: a turn is a section that names sources 1, 3 and 9 and its own number."""
+    turns = v.table(spark, d, "conversations")
+    sections = turns.select(F.col("conv_id").alias("review_id"), F.col("turn").alias("section_no"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("heading"), F.concat("text", F.lit(" [1] [3] [9] ["), F.col("turn").cast("string"), F.lit("]")).alias("text"), F.array(F.lit(1), F.col("turn").cast("int"), F.lit(9)).alias("available"))
+    sources = turns.select(F.col("conv_id").alias("review_id")).distinct().select("review_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("source_index")).withColumn("citation", F.concat(F.lit("Paper "), F.col("source_index").cast("string")))
+    out = corpus.review_markdown(sections, sources)
+    return out.select("review_id", F.col("n_words").cast("long").alias("n_words"), "n_cited", F.md5("markdown").alias("markdown_md5"))
+
+
 @query
 def review_sources(spark, d):
     return corpus.review_sources(v.papers(spark, d))

@@ -415,3 +415,78 @@ ORACLES["external_blocks"] = f"""WITH titles AS ({ORACLES["title_from_html"]}),
     p AS (SELECT page_id % 20 AS batch, page_id, coalesce(title, '') AS title, url, substring(html, 1, 40) AS snippet, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages JOIN titles USING (page_id))
     SELECT batch, md5(string_agg('<<<EXTERNAL_RESULT ' || n || '>>>' || chr(10) || 'title: ' || title || chr(10) || 'url: ' || url || chr(10) || 'content: ' || snippet || chr(10) || '<<<END_EXTERNAL_RESULT ' || n || '>>>',
       chr(10) || chr(10) ORDER BY n)) AS block_md5 FROM p GROUP BY batch"""
+
+#: A fold over the lines of each document: a line that does not fit opens the next group.
+PACKED = r"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, line, CAST(length(line) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+   FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''),
+ f(doc_id, i, grp, used) AS (SELECT doc_id, i, CAST(0 AS BIGINT), n FROM l WHERE i = 1
+   UNION ALL SELECT l.doc_id, l.i, CASE WHEN used + 1 + n > 600 THEN grp + 1 ELSE grp END, CASE WHEN used + 1 + n > 600 THEN n ELSE used + 1 + n END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+ SELECT doc_id, CAST(grp AS INTEGER) AS chunk_index, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS content_md5 FROM (SELECT f.doc_id, grp, string_agg(line, chr(10) ORDER BY f.i) AS c FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY f.doc_id, grp)"""
+
+_KNOWN = "^[ \\t]*(" + "|".join(lx.HEADING_WORDS) + ")[ \\t]*$"
+#: Lines with their headings, headings numbered, bodies put together, and the titles of the open levels.
+SECTIONS = rf"""m AS (SELECT doc_id, pos, line, regexp_extract(line, '{lx.NUMBERED_HEADING}', 1) AS num, regexp_matches(line, '{lx.ROMAN_HEADING}') AS roman, regexp_matches(line, '{_KNOWN}') AS known
+   FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+ h AS (SELECT doc_id, pos, line, CASE WHEN num <> '' THEN len(string_split(num, '.')) WHEN roman OR known THEN 1 END AS level,
+   CASE WHEN num <> '' THEN trim(regexp_extract(line, '{lx.NUMBERED_HEADING}', 2)) WHEN roman THEN trim(regexp_extract(line, '{lx.ROMAN_HEADING}', 1))
+     WHEN known THEN array_to_string(list_transform(string_split(lower(trim(line, ' ' || chr(9))), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS title FROM m),
+ n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS no FROM h),
+ g AS (SELECT doc_id, no, max(level) AS level, max(title) AS title, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level IS NULL), ''), ' ' || chr(10) || chr(9)) AS body FROM n GROUP BY doc_id, no),
+ b AS (SELECT doc_id, no, body, coalesce(level, 1) AS level, CASE WHEN no > 0 THEN title WHEN last_no > 0 THEN 'Front Matter' ELSE 'Document' END AS title
+   FROM (SELECT *, max(no) OVER (PARTITION BY doc_id) AS last_no FROM g) WHERE body <> ''),
+ o AS (SELECT *, max(CASE WHEN level = 1 THEN no END) OVER w AS o1, max(CASE WHEN level = 2 THEN no END) OVER w AS o2, max(CASE WHEN level = 3 THEN no END) OVER w AS o3 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)),
+ sections AS (SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.no) - 1 AS section_no, o.title, o.level, o.body,
+   concat_ws(' > ', t1.title, CASE WHEN o.level >= 2 AND (o1 IS NULL OR o1 < o2) THEN t2.title END, CASE WHEN o.level >= 3 AND coalesce(greatest(o1, o2), -1) < o3 THEN t3.title END) AS path
+   FROM o LEFT JOIN b t1 ON t1.doc_id = o.doc_id AND t1.no = o1 LEFT JOIN b t2 ON t2.doc_id = o.doc_id AND t2.no = o2 LEFT JOIN b t3 ON t3.doc_id = o.doc_id AND t3.no = o3)"""
+
+SPLIT = f"WITH {SECTIONS} SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, title, CAST(level AS INTEGER) AS level, path, CAST(length(body) AS INTEGER) AS n_chars FROM sections"
+
+#: Steps: P a paragraph that fits, S a sentence of one that does not, C a cut of a sentence over the budget, E an end of what is held.
+CHUNKED = rf"""WITH RECURSIVE {SECTIONS},
+ p AS (SELECT doc_id, section_no, k, trim(q, ' ' || chr(10) || chr(9) || chr(13)) AS q FROM (SELECT doc_id, section_no, unnest(range(len(ps))) AS k, unnest(ps) AS q FROM (SELECT doc_id, section_no, string_split_regex(body, '\n[ \t]*\n') AS ps FROM sections))),
+ s AS (SELECT doc_id, section_no, k, unnest(range(len(ss))) AS j, unnest(ss) AS t FROM (
+   SELECT *, string_split(regexp_replace(q, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM p WHERE length(q) > 2048)),
+ cut AS (SELECT doc_id, section_no, k, j, t, unnest(range(CAST(1 + greatest(0, ceil((length(t) - 2048) / 1792.0)) AS BIGINT))) AS c FROM s),
+ steps AS (SELECT doc_id, section_no, k, -1 AS j, 0 AS c, 'P' AS op, q AS t FROM p WHERE length(q) BETWEEN 1 AND 2048
+   UNION ALL SELECT doc_id, section_no, k, -1, 0, 'E', '' FROM p WHERE length(q) > 2048
+   UNION ALL SELECT doc_id, section_no, k, j, c, CASE WHEN length(t) - c * 1792 > 2048 THEN 'C' ELSE 'S' END, CASE WHEN length(t) - c * 1792 > 2048 THEN substring(t, c * 1792 + 1, 2048) ELSE substring(t, c * 1792 + 1) END FROM cut
+   UNION ALL SELECT doc_id, section_no, k, 1000000000, 0, 'E', '' FROM p WHERE length(q) > 2048
+   UNION ALL SELECT doc_id, section_no, 1000000000, 0, 0, 'E', '' FROM sections),
+ step AS MATERIALIZED (SELECT doc_id, section_no, op, t, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY k, j, c) AS i FROM steps),
+ f(doc_id, section_no, i, held, o1, o2) AS (SELECT doc_id, section_no, CAST(0 AS BIGINT), '', '', '' FROM sections
+   UNION ALL SELECT doc_id, section_no, i,
+     CASE op WHEN 'P' THEN CASE WHEN held = '' OR full_p THEN t ELSE held || chr(10) || chr(10) || t END WHEN 'S' THEN trim(CASE WHEN full_s THEN right(held, 256) ELSE held END || ' ' || t) ELSE '' END,
+     CASE WHEN op IN ('E', 'C') OR op = 'P' AND full_p OR op = 'S' AND full_s THEN held ELSE '' END, CASE WHEN op = 'C' THEN t ELSE '' END
+   FROM (SELECT f.doc_id, f.section_no, step.i, op, t, held, held <> '' AND length(held) + 2 + length(t) > 2048 AS full_p, held <> '' AND length(held) + 1 + length(t) > 2048 AS full_s
+     FROM f JOIN step ON step.doc_id = f.doc_id AND step.section_no = f.section_no AND step.i = f.i + 1)),
+ made AS (SELECT doc_id, section_no, i, 1 AS half, trim(o1, ' ' || chr(10) || chr(9) || chr(13)) AS content FROM f UNION ALL SELECT doc_id, section_no, i, 2, trim(o2, ' ' || chr(10) || chr(9) || chr(13)) FROM f),
+ kept AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section_no) AS n_pieces FROM made WHERE content <> '')
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, i, half) - 1 AS INTEGER) AS chunk_index, path AS section_path, md5(content) AS content_md5, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_estimate
+ FROM kept JOIN sections USING (doc_id, section_no) WHERE n_pieces = 1 OR length(content) >= 80"""
+
+#: Each query's hits are folded in order; a chunk that does not fit is cut to the first supporting sentences that do.
+CONTEXT = f"""WITH RECURSIVE {TK}, hits AS ({bm25(QUESTION, 200)}),
+ r AS MATERIALIZED (SELECT lang AS query_id, rank AS pos, text, greatest(1, length(text) // 4) AS need, {supporting('text', 6)} AS short, row_number() OVER (PARTITION BY lang ORDER BY rank) AS i FROM hits JOIN documents USING (doc_id)),
+ sums AS MATERIALIZED (SELECT query_id, i, n, sum(k) OVER (PARTITION BY query_id, i ORDER BY n) AS upto FROM (SELECT query_id, i, unnest(range(1, len(short) + 1)) AS n, greatest(1, length(unnest(short).sentence) // 4) AS k FROM r)),
+ f(query_id, i, remaining, action, tokens, n) AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT), CAST(4800 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM r
+   UNION ALL SELECT query_id, i, remaining - CASE WHEN need <= remaining THEN need WHEN remaining >= 40 THEN coalesce(fits, 0) ELSE 0 END, CASE WHEN need <= remaining THEN 'kept' WHEN remaining >= 40 AND fits > 0 THEN 'compressed' ELSE 'dropped' END,
+     CASE WHEN need <= remaining THEN need WHEN remaining >= 40 THEN coalesce(fits, 0) ELSE 0 END, coalesce(n_fit, 0)
+   FROM (SELECT f.query_id, r.i, need, remaining, max(upto) FILTER (WHERE upto <= remaining) AS fits, max(sums.n) FILTER (WHERE upto <= remaining) AS n_fit
+     FROM f JOIN r ON r.query_id = f.query_id AND r.i = f.i + 1 LEFT JOIN sums ON sums.query_id = r.query_id AND sums.i = r.i GROUP BY f.query_id, r.i, need, remaining))
+ SELECT query_id, CAST(pos AS INTEGER) AS "at", action, CAST(tokens AS INTEGER) AS tokens, md5(CASE action WHEN 'kept' THEN text WHEN 'compressed' THEN array_to_string(list_transform(short[1:n], lambda x: x.sentence), ' ') ELSE '' END) AS content_md5
+ FROM f JOIN r USING (query_id, i)"""
+
+ORACLES |= {"pack_paragraphs": PACKED, "split_sections": SPLIT, "chunk_documents": CHUNKED, "context_packing": CONTEXT}
+
+ORACLES["comparison_lines"] = sql(
+    """SELECT dataset_key, metric_key, rank, '| ' || concat_ws(' | ', dataset_key, metric_key, model_key, CASE WHEN rank = 1 THEN '**' || shown || '**' ELSE shown END, title) || ' |' AS line
+    FROM (SELECT *, printf('%g', value::DOUBLE) || CASE WHEN metric_key = 'accuracy' THEN '%' ELSE '' END AS shown FROM c) JOIN papers USING (paper_id)""",
+    "papers", "results", extra=f"c AS ({CELLS.format(more='')})")
+ORACLES["all_gaps"] = f"""SELECT kind, subject, strength::DOUBLE AS strength FROM ({ORACLES["structural_gaps_whole"]})
+    UNION ALL SELECT 'stated', concat_ws(' / ', paper_id, chunk_index, excerpt_md5), NULL FROM ({ORACLES["stated_gaps"]})"""
+ORACLES["review_markdown"] = r"""WITH s AS (SELECT conv_id, turn, text || ' [1] [3] [9] [' || turn || ']' AS t, '## ' || role || ' ' || turn AS h, [1, turn, 9] AS available FROM conversations),
+    u AS (SELECT DISTINCT conv_id, CAST(unnest(regexp_extract_all(t, '\[(\d{1,2})\]', 1)) AS BIGINT) AS i, available FROM s),
+    cited AS (SELECT DISTINCT conv_id, i FROM u WHERE i BETWEEN 1 AND 4 AND list_contains(available, i)),
+    l AS (SELECT conv_id, count(*) AS n_cited, string_agg(i || '. Paper ' || i, chr(10) ORDER BY i) AS listed FROM cited GROUP BY conv_id),
+    b AS (SELECT conv_id, string_agg(h || chr(10) || chr(10) || trim(t, ' ' || chr(10) || chr(9)), chr(10) || chr(10) ORDER BY turn) AS texts, sum(len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> ''))) AS n_words FROM s GROUP BY conv_id)
+    SELECT conv_id AS review_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_cited AS INTEGER) AS n_cited, md5(texts || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || listed) AS markdown_md5 FROM b JOIN l USING (conv_id)"""

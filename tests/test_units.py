@@ -5,14 +5,15 @@ import os
 import random
 import re
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import assistant, corpus, documents, graph, index, judging, library, retrieval
-from inkwell.plans import catalogue
+from inkwell.operators import assistant, corpus, documents, graph, index, judging, library, payloads, retrieval
+from inkwell.plans import catalogue, oracles
 from inkwell.streaming import ingest, metrics
 
 
@@ -202,6 +203,56 @@ def test_small_operators(spark):
     assert block.startswith("<<<EXTERNAL_RESULT 1>>>\ntitle: a\nurl: u1\ncontent: s1\n<<<END_EXTERNAL_RESULT 1>>>\n\n<<<EXTERNAL_RESULT 2>>>")
 
 
+def test_small_columns(spark, tmp_path):
+    """Status classes, answer confidence, the better of two, numbers in six digits, paragraphs, file names, relations, saved cases."""
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(tx.status_class(F.lit(c))) for c in (200, 404, 503)] == ["2xx", "4xx", "5xx"]
+    confidence = lambda n, enough, cited, supported, verified: one(tx.answer_confidence(*map(F.lit, (n, enough, cited, supported, verified))))
+    assert [confidence(0, True, 1, True, 1.0), confidence(2, True, 1, True, 0.3), confidence(2, False, 0, True, 0.9), confidence(2, True, 1, False, 0.9)] == [0.0, 0.8, 0.9, 0.35]
+    assert (one(tx.better_of(F.lit("accuracy"), F.lit(1), F.lit(2))), one(tx.better_of(F.lit("loss"), F.lit(1), F.lit(2)))) == (2, 1)
+    numbers = [17.0, 0.5, 91.25, 123456.7, 999999.5, 1234567.0, 0.0001, 0.00001234, -2.5, 0.0, 1e20, 100000.0]
+    assert [one(tx.general(F.lit(x))) for x in numbers] == [f"{x:g}" for x in numbers]
+    assert one(documents.paragraphs(F.lit("a\nb\n \n\n c \n\t\n"))) == ["a\nb", "c"]
+    names = spark.createDataFrame([("dir\uff0fa\uff0eb.pdf",), ("x/CON.pdf",), (None,), ("a..b",)], "n string")
+    assert [r[0] for r in names.select(tx.safe_filename(tx.nfkc("n"))).collect()] == ["a.b.pdf", "_CON.pdf", None, "a.b"]
+    found = spark.createDataFrame([(1, "Dataset", "SQuAD"), (2, "Task", "QA")], "doc_id long, label string, name string")
+    papers = spark.createDataFrame([(1, "T"), (2, "")], "doc_id long, title string")
+    assert [tuple(r) for r in documents.gazetteer_relations(found, papers).collect()] == [("Paper:1", "USES_DATASET", "Dataset:squad")]
+    payloads.save_cases(found, f"{tmp_path}/cases")
+    assert spark.read.json(f"{tmp_path}/cases").count() == 2
+
+
+def test_review_markdown(spark):
+    sections = spark.createDataFrame([(1, 1, "B", "later [2] [7]", [2]), (1, 0, "A", " first words [1] [2] ", [1]), (2, 0, "C", None, [])], "review_id int, section_no int, heading string, text string, available array<int>")
+    sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (1, 3, "Three")], "review_id int, source_index int, citation string")
+    got = {r["review_id"]: r for r in corpus.review_markdown(sections, sources).collect()}
+    assert got[1]["markdown"] == "## A\n\nfirst words [1] [2]\n\n## B\n\nlater [2] [7]\n\n## References\n\n1. One\n2. Two" and (got[1]["n_words"], got[1]["n_cited"]) == (7, 2)
+    assert got[2]["markdown"] == "## C\n\n_No supporting sources were found._" and got[2]["n_cited"] == 0
+
+
+def test_chunking_sql_on_headings(spark):
+    """The SQL of sections and chunks on texts with headings, blank lines and sentences over the budget, which the tables lack."""
+    rng = random.Random(11)
+    heads = ["1 Intro part", "1.1 Data set", "2. Models used", "2.1.3 Deep part", "IV. Results here", "  RELATED WORK", "METHODS "]
+    sentence = lambda: "".join(rng.choice("abc d") for _ in range(rng.choice([30, 200, 900, 5000]))) + rng.choice([".", "!", "?", ""])
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            lines += [rng.choice(heads)] * rng.randint(0, 1) + [rng.choice([" ", "\n"]).join(sentence() for _ in range(rng.randint(0, 6)))] + [""] * rng.randint(0, 2)
+        texts.append("\n".join(lines))
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    c = duckdb.connect()
+    c.register("documents", frame)
+    docs = spark.createDataFrame(frame)
+    cut = documents.sections(docs).select("doc_id", "section_no", "title", "level", "path", F.length("body"))
+    chunks = documents.chunk_documents(docs).select("doc_id", "chunk_index", "section_path", F.md5("content"), "token_estimate")
+    packed = documents.pack_paragraphs(docs).select("doc_id", "chunk_index", F.length("content"), F.md5("content"))
+    for name, got in (("split_sections", cut), ("chunk_documents", chunks), ("pack_paragraphs", packed)):
+        want = sorted(c.sql(oracles.ORACLES[name]).fetchall())
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 60, name
+
+
 def test_captions_in_bins(spark):
     rng = random.Random(6)
     boxes = [(rng.randint(0, 2), k, float(t := rng.randint(0, 900)), float(t + rng.randint(1, 200))) for k in range(60)]
