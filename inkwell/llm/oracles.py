@@ -10,7 +10,7 @@ _RULES = {
     64: "n_words > 0 AND 2 * n_letter_words < n_words",
 }
 
-OP1 = r"""
+_LEDGER = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 win AS (
@@ -29,18 +29,47 @@ m AS (
          len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words
   FROM w LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
 b AS (SELECT *, CAST(""" + " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for v, c in _RULES.items()) + r""" AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+"""
+OP1 = (
+    _LEDGER
+    + """SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
-
-
-def op3() -> str:
-    from inkwell.llm.license_scan import TEMPLATES, THRESHOLD, bigrams
-
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, bigrams(text)))}])" for name, text in TEMPLATES)
-    return rf"""
-WITH t(license, template) AS (VALUES {rows}),
+)
+
+#: Each policy as a whole (no rule left out), and without each of its rules.
+ABLATIONS = (
+    _LEDGER
+    + """, r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('shouting', 32), ('few_letters', 64)),
+p AS (SELECT 'base' AS policy, 1 AS version, rule, bit FROM r WHERE bit IN (1, 2) UNION ALL SELECT 'strict', 1, rule, bit FROM r WHERE bit NOT IN (16, 64) UNION ALL SELECT 'strict', 2, rule, bit FROM r),
+c AS (SELECT policy, version, '' AS without_rule, sum(bit) AS mask FROM p GROUP BY policy, version
+      UNION ALL SELECT a.policy, a.version, a.rule, coalesce(sum(b.bit), 0) FROM p a LEFT JOIN p b ON a.policy = b.policy AND a.version = b.version AND a.rule <> b.rule GROUP BY a.policy, a.version, a.rule)
+SELECT policy, CAST(version AS INTEGER) AS version, without_rule, count(*) AS n_docs, count(*) FILTER (WHERE (fail_bits & CAST(mask AS BIGINT)) = 0) AS n_kept FROM b, c GROUP BY policy, version, without_rule
+"""
+)
+
+
+#: The SQL's own list of templates and its own threshold: it takes nothing from the module it checks.
+OP3 = r"""
+WITH raw(license, template) AS (VALUES
+  ('apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  ('apache-2.0', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+  ('mit', 'Released under the MIT License.'),
+  ('mit', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+  ('gpl-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('gpl-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
+  ('gpl-3.0', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+  ('lgpl-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3.'),
+  ('agpl-3.0', 'This work is licensed under the GNU Affero General Public License, version 3.'),
+  ('mpl-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  ('bsd-3-clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:'),
+  ('cc-by-nc-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('cc-by-4.0', 'Licensed under CC BY 4.0.'),
+  ('cc-by-sa-4.0', 'Licensed under CC BY-SA 4.0.'),
+  ('cc-by-nc-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
+  ('cc-by-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.')),
+tw AS (SELECT license, string_split(trim(regexp_replace(lower(template), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM raw),
+t AS (SELECT license, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS template FROM tw),
 c AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS clean FROM documents WHERE text IS NOT NULL),
 s AS (
   SELECT doc_id, unnest(list_concat(list_concat(string_split(clean, chr(10)), list_filter(string_split_regex(clean, '\n *\n'), lambda p: contains(p, chr(10)))),
@@ -48,7 +77,7 @@ s AS (
 w AS (SELECT doc_id, list_filter(string_split_regex(segment, '[ \n]+'), lambda x: x <> '') AS ws FROM s),
 g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) >= 2),
 m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(grams, template)) / (len(grams) + len(template)) AS dice FROM g, t)
-SELECT doc_id, license, round(max(dice), 6) AS best, count(*) AS n_segments FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
+SELECT doc_id, license, round(max(dice), 6) AS best, count(*) AS n_segments FROM m WHERE dice >= 0.8 GROUP BY doc_id, license
 """
 
 
@@ -121,9 +150,14 @@ FROM d LEFT JOIN gone USING (rid) LEFT JOIN kw USING (rid)
 """
 
 
-def op9() -> str:
-    from inkwell.llm import secret_scan as s
+#: The SQL's own patterns and scope, as the contract words them; lengths are filters.
+_ASSIGN = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_USER = "(" + "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("username", "user", "login")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
+_ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
+_SCOPE = 200
 
+
+def op9() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def kind(name: str, rank: int, pattern: str, group: int, keep: str) -> str:
@@ -136,13 +170,13 @@ def op9() -> str:
 
     parts = " UNION ALL ".join(
         (
-            kind("assign", 0, s.ASSIGN, 2, "length(v) >= 12"),
-            kind("access", 1, s.ACCESS, 0, "true"),
-            kind("hex", 2, s.HEX, 0, "true"),
-            kind("secret", 3, s.RUN, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"),
-            kind("short", 4, s.ASSIGN, 2, "length(v) BETWEEN 6 AND 11"),
-            kind("user", 5, s.USER, 0, "true"),
-            kind("endpoint", 6, s.ENDPOINT, 0, "true"),
+            kind("assign", 0, _ASSIGN, 2, "length(v) >= 12"),
+            kind("access", 1, "AKIA[A-Z0-9]+", 0, "length(m) >= 18"),
+            kind("hex", 2, "[0-9a-f]+", 0, "length(m) >= 16"),
+            kind("secret", 3, "[A-Za-z0-9+/_=-]+", 0, "length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"),
+            kind("short", 4, _ASSIGN, 2, "length(v) BETWEEN 6 AND 11"),
+            kind("user", 5, _USER, 0, "true"),
+            kind("endpoint", 6, _ENDPOINT, 0, "true"),
         )
     )
     near = lambda kinds, scope: f"""EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND b.kind IN ({kinds}) AND a.start - {scope} < b."end" AND b.start < a."end" + {scope})"""
@@ -151,9 +185,9 @@ def op9() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 p AS MATERIALIZED ({parts}),
 k AS (SELECT * FROM p a WHERE kind IN ('assign', 'access', 'hex')
-  OR (kind = 'secret' AND NOT {near("'assign', 'access', 'hex', 'short', 'endpoint'", 0)} AND {near(ids, s.SCOPE)})
-  OR (kind = 'short' AND {near(ids, s.SCOPE)}) OR (kind = 'user' AND {near(values, s.SCOPE)})
-  OR (kind = 'endpoint' AND {near(values, s.SCOPE)} AND {near("'access', 'user'", s.SCOPE)})),
+  OR (kind = 'secret' AND NOT {near("'assign', 'access', 'hex', 'short', 'endpoint'", 0)} AND {near(ids, _SCOPE)})
+  OR (kind = 'short' AND {near(ids, _SCOPE)}) OR (kind = 'user' AND {near(values, _SCOPE)})
+  OR (kind = 'endpoint' AND {near(values, _SCOPE)} AND {near("'access', 'user'", _SCOPE)})),
 g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM k GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
@@ -179,4 +213,4 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "op3_license_scan": op3(), "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10}
+ORACLES = {"op1_quality_ledger": OP1, "quality_ablations": ABLATIONS, "op3_license_scan": OP3, "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10}

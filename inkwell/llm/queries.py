@@ -20,6 +20,11 @@ def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1's ledger asked what each policy keeps, whole ('') and without each of its rules."""
+    return quality_ledger.ablations(quality_ledger.ledger(_table(spark, sf_dir, "documents"))).fillna("", ["without_rule"])
+
+
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = byte_cnn.train(docs, _table(spark, sf_dir, "labels"))
@@ -76,7 +81,7 @@ def op10_byte_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
