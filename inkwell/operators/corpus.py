@@ -114,15 +114,48 @@ def progressions(results: DataFrame, papers: DataFrame, top_n: int = 6) -> DataF
     return points.join(F.broadcast(top), ["dataset_key", "metric_key"])
 
 
+_CELL = ("model_key", "dataset_key", "metric_key")
+
+
+def _last_values(results: DataFrame) -> DataFrame:
+    return results.where("dataset_key IS NOT NULL").groupBy(*_CELL, "paper_id").agg(F.max_by("value", F.struct("row_key", "value")).alias("value"))
+
+
 def numeric_conflicts(results: DataFrame, gap: float = lx.CONFLICT_GAP) -> DataFrame:
-    """Pairs of papers whose last values for one (model, dataset, metric) differ by the relative gap or more."""
-    keys = ["model_key", "dataset_key", "metric_key"]
-    last = results.where("dataset_key IS NOT NULL").groupBy(*keys, "paper_id").agg(F.max_by("value", F.struct("row_key", "value")).alias("value"))
-    # Only values apart by the gap can pair; groups are (model, dataset, metric) cells, joined on all three keys.
-    right = last.select(*keys, F.col("paper_id").alias("right_paper"), F.col("value").alias("right_value"))
-    left = last.select(*keys, F.col("paper_id").alias("left_paper"), F.col("value").alias("left_value"))
+    """Pairs of papers whose last values for one (model, dataset, metric) differ by the relative gap or more: all of them."""
+    last = _last_values(results)
+    right = last.select(*_CELL, F.col("paper_id").alias("right_paper"), F.col("value").alias("right_value"))
+    left = last.select(*_CELL, F.col("paper_id").alias("left_paper"), F.col("value").alias("left_value"))
     relative = tx.relative_gap(F.col("left_value"), F.col("right_value"))
-    return left.join(right, keys).where((F.col("left_paper") < F.col("right_paper")) & (relative >= gap)).withColumn("gap", F.round(relative, 6))
+    return left.join(right, list(_CELL)).where((F.col("left_paper") < F.col("right_paper")) & (relative >= gap)).withColumn("gap", F.round(relative, 6))
+
+
+def top_conflicts(results: DataFrame, top: int = 5, gap: float = lx.CONFLICT_GAP) -> DataFrame:
+    """The first `top` of numeric_conflicts by gap, cell and papers, without forming the pairs of a cell.
+
+    A cell's widest pair joins its lowest and highest value, so only the `top`
+    cells with the widest pairs can hold a result.  In these, a low value whose
+    gap to the highest is below that of top + 1 others cannot be in one, nor a
+    high value likewise; what is left of both sides is joined (with ties, which
+    papers decide).  With values of both signs the gap does not grow with the
+    distance; such cells keep all their values.
+    """
+    last = _last_values(results)
+    ends = last.groupBy(*_CELL).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    apart = lambda a, b: F.round(tx.relative_gap(F.col(a), F.col(b)), 6)
+    wide = ends.withColumn("mixed", (F.col("lo") < 0) & (F.col("hi") > 0)).where((F.col("n") > 1) & (F.col("mixed") | (tx.relative_gap(F.col("lo"), F.col("hi")) >= gap)))
+    cells = wide.where("NOT mixed").orderBy(F.desc(apart("lo", "hi")), *_CELL).limit(top).unionByName(wide.where("mixed"))
+    cell = Window.partitionBy(*_CELL)
+    cut = lambda rank, end, pick: pick(F.when(F.col(rank) <= top + 1, F.col("value"))).over(cell).alias(end)
+    ranked = last.join(cells, list(_CELL)).withColumn("low", F.row_number().over(cell.orderBy("value"))).withColumn("high", F.row_number().over(cell.orderBy(F.desc("value"))))
+    sides = ranked.select(*_CELL, "paper_id", "value", "lo", "hi", "mixed", cut("low", "low_cut", F.max), cut("high", "high_cut", F.min))
+    low = sides.where(F.col("mixed") | (apart("value", "hi") >= apart("low_cut", "hi"))).select(*_CELL, F.col("paper_id").alias("a"), F.col("value").alias("x"))
+    high = sides.where(F.col("mixed") | (apart("lo", "value") >= apart("lo", "high_cut"))).select(*_CELL, F.col("paper_id").alias("b"), F.col("value").alias("y"))
+    pairs = low.join(high, list(_CELL)).where((F.col("x") < F.col("y")) & (tx.relative_gap(F.col("x"), F.col("y")) >= gap))
+    first = F.col("a") < F.col("b")
+    side = lambda yes, no, name: F.when(first, F.col(yes)).otherwise(F.col(no)).alias(name)
+    out = pairs.select(*_CELL, side("a", "b", "left_paper"), side("x", "y", "left_value"), side("b", "a", "right_paper"), side("y", "x", "right_value"), apart("x", "y").alias("gap"))
+    return out.orderBy(F.desc("gap"), *_CELL, "left_paper", "right_paper").limit(top)
 
 
 def claims(chunks: DataFrame, per_paper: int = 6, first_chunks: int = 30, markers: Sequence[str] = lx.CLAIM_MARKERS, lengths: tuple[int, int] = lx.CLAIM_LENGTHS) -> DataFrame:

@@ -317,13 +317,13 @@ def stated_gaps(spark, d):
 @query
 def structural_gaps(spark, d):
     r, e, p = v.results(spark, d), v.entities(spark, d), v.papers(spark, d)
-    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(r.where("paper_id < 300")), corpus.numeric_conflicts(r))
+    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(r.where("paper_id < 300")), corpus.top_conflicts(r))
 
 
 @query
 def structural_gaps_whole(spark, d):
     r, e, p = v.results(spark, d), v.entities(spark, d), v.papers(spark, d)
-    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(_fine_results(spark, d)), corpus.numeric_conflicts(r))
+    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(_fine_results(spark, d)), corpus.top_conflicts(r))
 
 
 @query

@@ -222,6 +222,17 @@ def test_small_columns(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/cases").count() == 2
 
 
+@pytest.mark.parametrize("values", [(0, 9), (-3, 9), (-9, 0), (1, 2), (100, 107), (40, 90)])
+def test_top_conflicts_are_the_first_of_all(spark, values):
+    rng = random.Random(sum(values) + 20)
+    rows = [(f"m{rng.randint(0, 6)}", f"d{rng.randint(0, 1)}", "f1", rng.randint(0, 30), i, float(rng.randint(*values))) for i in range(260)]
+    df = spark.createDataFrame(rows, "model_key string, dataset_key string, metric_key string, paper_id int, n int, value double").withColumn("row_key", F.struct("n"))
+    keys = ["model_key", "dataset_key", "metric_key", "left_paper", "right_paper"]
+    for top in (1, 5, 12):
+        want = corpus.numeric_conflicts(df).orderBy(F.desc("gap"), *keys).limit(top).collect()
+        assert [tuple(r) for r in corpus.top_conflicts(df, top).collect()] == [tuple(r) for r in want] and want
+
+
 def test_review_markdown(spark):
     sections = spark.createDataFrame([(1, 1, "B", "later [2] [7]", [2]), (1, 0, "A", " first words [1] [2] ", [1]), (2, 0, "C", None, [])], "review_id int, section_no int, heading string, text string, available array<int>")
     sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (1, 3, "Three")], "review_id int, source_index int, citation string")
