@@ -233,6 +233,23 @@ def test_top_conflicts_are_the_first_of_all(spark, values):
         assert [tuple(r) for r in corpus.top_conflicts(df, top).collect()] == [tuple(r) for r in want] and want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_claim_pairs_against_all_pairs(spark, seed):
+    """Copied claims, claims of one paper with equal words, ties; against every pair."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice(["alphas", "bravos", "charlie", "deltas", "echoes", "foxtrot", "golfer", "hotels", "x"]) for _ in range(rng.randint(1, 7))) for _ in range(25)]
+    rows = [(rng.randint(0, 9), n, rng.choice(pool)) for n in range(70)]
+    sets = {(p, n): {w for w in c.split() if len(w) > 4} for p, n, c in rows}
+    for limit, overlap in ((5, 0.25), (24, 0.5), (400, 0.6)):
+        every = []
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if a[0] < b[0] and x and y and len(x & y) / len(x | y) >= overlap:
+                    every.append((-round(len(x & y) / len(x | y), 6), *a, *b))
+        got = corpus.claim_pairs(spark.createDataFrame(rows, "paper_id int, claim_no int, claim string"), overlap, limit).collect()
+        assert [(-r["overlap"], *tuple(r)[:4]) for r in got] == sorted(every)[:limit]
+
+
 def test_review_markdown(spark):
     sections = spark.createDataFrame([(1, 1, "B", "later [2] [7]", [2]), (1, 0, "A", " first words [1] [2] ", [1]), (2, 0, "C", None, [])], "review_id int, section_no int, heading string, text string, available array<int>")
     sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (1, 3, "Three")], "review_id int, source_index int, citation string")
