@@ -18,7 +18,8 @@ starts in a document with a smaller doc_id.
    leaf but those of the node's smallest doc_id starts a removed window.
    Windows of neighbouring suffixes merge into maximal repeats.
 
-Word identifiers are 40-bit hashes, so a suffix is compared by 520 bits.
+Word identifiers are 64-bit hashes, so windows that differ in one word only are
+still told apart by 64 bits.
 
 Defined results: a null text has no words; rows that repeat a doc_id never
 remove each other; a null doc_id is smaller than all others; windows never
@@ -43,7 +44,7 @@ from inkwell.llm.repeats import ID, KEY
 DEPTH = 13
 GRAM = 5
 GROUP_SUFFIXES = 250_000
-WORD_BYTES = 5
+WORD_BYTES = 8
 _LEAVES = ("suffix", ID, KEY, "lo", "hi", "f")
 SCHEMA = f"suffix binary, {ID} long, {KEY} long, lo int, hi int, f byte"
 
