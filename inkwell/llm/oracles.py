@@ -213,4 +213,81 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "quality_ablations": ABLATIONS, "op3_license_scan": OP3, "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10}
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a string's UTF-8 bytes."""
+    table = []
+    for row in range(256):
+        for _ in range(8):
+            row = (row >> 1) ^ (0xEDB88320 if row & 1 else 0)
+        table.append(row)
+    byte = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: 16 * (instr('0123456789ABCDEF', hex(encode({text}))[i]) - 1) + instr('0123456789ABCDEF', hex(encode({text}))[i + 1]) - 1)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte}), lambda a, b: xor(({table}::BIGINT[])[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT)"
+
+
+_FIELD = lambda c, value=None: f"coalesce(octet_length(encode(CAST({value or c} AS VARCHAR))) || ':' || CAST({value or c} AS VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD(c, text if c == "text" else None) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The trees are recursions over levels; every leaf then folds its own list of siblings.
+OP11 = f"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS rid, *, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0, false) AS touched FROM documents),
+f AS (SELECT rid, doc_id, coalesce('1' || lang, '0') AS key, {_LEAF("text")} AS leaf, CASE WHEN touched THEN {_LEAF(_LOWERED.format("text"))} ELSE {_LEAF("text")} END AS changed FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM f),
+nodes(key, level, pos, h, n) AS (
+  SELECT key, 0, pos, leaf, n FROM leaves
+  UNION ALL
+  SELECT key, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY key, level, pos // 8, n),
+subroots AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+sides AS (
+  SELECT key, level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY key, level, pos // 8 ORDER BY pos)),
+top_sides AS (
+  SELECT level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tops WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+steps AS (
+  SELECT rid, s.level, s.l, s.r FROM leaves JOIN sides s ON s.key = leaves.key AND s.pos = leaves.pos // CAST(8 ** s.level AS BIGINT)
+  UNION ALL
+  SELECT rid, 1000 + t.level, t.l, t.r FROM leaves JOIN subroots ON subroots.key = leaves.key JOIN top_sides t ON t.pos = subroots.pos // CAST(8 ** t.level AS BIGINT)),
+listed AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS k FROM steps),
+proofs AS (SELECT rid, string_agg(l || r, '' ORDER BY k) AS proof, max(k) AS last FROM listed GROUP BY rid),
+folds(rid, k, h) AS (
+  SELECT rid, 0::BIGINT, changed FROM f
+  UNION ALL
+  SELECT folds.rid, listed.k, sha256(listed.l || folds.h || listed.r) FROM folds JOIN listed ON listed.rid = folds.rid AND listed.k = folds.k + 1),
+root AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroots.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folds.h AS folded_root, folds.h = root AS verified
+FROM leaves JOIN subroots ON subroots.key = leaves.key CROSS JOIN root LEFT JOIN proofs ON proofs.rid = leaves.rid JOIN folds ON folds.rid = leaves.rid AND folds.k = coalesce(last, 0)
+"""
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWERED.format("coalesce(text, '')")} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST, rid DESC) = 1 AS kept, sha256(norm) AS text_sha256
+FROM d
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+df AS (SELECT rid, unnest(ws) AS f FROM d UNION ALL SELECT rid, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM d),
+bf AS (SELECT unnest(ws) AS f FROM b UNION ALL SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM b),
+dc AS (SELECT rid, f, count(*) AS n FROM df GROUP BY ALL), bc AS (SELECT f, count(*) AS n FROM bf GROUP BY ALL),
+place AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM dc UNION SELECT f FROM bc)),
+s AS (SELECT bucket, sum(n) AS n FROM dc JOIN place USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS n FROM bc JOIN place USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(n), 0) FROM s) AS DOUBLE) + 10000) / ((CAST(s.n AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(n), 0) FROM t) AS DOUBLE) + 10000)))) AS gain
+         FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM dc JOIN place USING (f) JOIN gain USING (bucket) GROUP BY rid),
+h AS (SELECT rid, CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) AS h FROM d),
+r AS (SELECT d.rid, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+      FROM d LEFT JOIN w USING (rid) JOIN h USING (rid)),
+o AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, rid) AS place, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r LEFT JOIN o USING (rid)
+"""
+
+
+ORACLES = {"op1_quality_ledger": OP1, "quality_ablations": ABLATIONS, "op3_license_scan": OP3, "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10, "op11_merkle_manifest": OP11, "op12_exact_dedup": OP12, "op13_importance_resampling": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import byte_buckets, byte_cnn, decontaminate, license_scan, line_winnow, order_minhash, packing, quality_ledger, secret_scan, suffix_trees
+from inkwell.llm import byte_buckets, byte_cnn, decontaminate, exact_dedup, license_scan, line_winnow, merkle, order_minhash, packing, quality_ledger, resample, secret_scan, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,18 @@ def op10_byte_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_buckets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"quality_ablations": quality_ablations}
 
