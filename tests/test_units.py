@@ -109,36 +109,34 @@ def test_chunks(spark):
     assert all(f"number {k} " in " ".join(r["content"] for r in rows) for k in range(200))
 
 
+def brute_packed(units, glue, most, overlap=0):
+    """Every way to end a chunk is tried, longest first; what is left is packed the same way."""
+    out, carried = [], ""
+    while units:
+        if len(units[0]) > most:
+            out.append(units[0][:most])
+            units, carried = [units[0][max(1, most - overlap) :], *units[1:]], ""
+            continue
+        ways = [glue.join([*([carried] if carried else []), *units[:k]]).strip() for k in range(1, len(units) + 1)]
+        k = max([k for k, chunk in enumerate(ways, 1) if len(chunk) <= most], default=1)
+        out.append(ways[k - 1])
+        units, carried = units[k:], ways[k - 1][-overlap:].lstrip() if overlap else ""
+    return out
+
+
 def brute_chunks(body, most, overlap, least=80):
-    """Chunking by its rules, one character budget at a time: what is over the budget stands apart."""
-    state = {"out": [], "held": ""}
-
-    def flush():
-        state["out"].append(state["held"])
-        state["held"] = ""
-
-    for para in re.split(r"\n[ \t]*\n", body):
-        para = para.strip()
-        if para and len(para) <= most:
-            if state["held"] and len(state["held"] + "\n\n" + para) > most:
-                flush()
-            state["held"] = state["held"] + "\n\n" + para if state["held"] else para
-        elif para:
-            flush()
-            for sentence in re.split(r"(?<=[.!?])\s+", para):
-                if len(sentence) > most:
-                    flush()
-                while len(sentence) > most:
-                    state["out"].append(sentence[:most])
-                    sentence = sentence[max(1, most - overlap) :]
-                if state["held"] and len(state["held"] + " " + sentence) > most:
-                    state["out"].append(state["held"])
-                    state["held"] = state["held"][-overlap:] if overlap else ""
-                state["held"] = (state["held"] + " " + sentence).strip()
-            flush()
-    flush()
-    out = [p.strip() for p in state["out"] if p.strip()]
-    return out if len(out) < 2 else [p for p in out if len(p) >= least]
+    paragraphs = [p.strip() for p in re.split(r"\n[ \t]*\n", body) if p.strip()]
+    out = []
+    while paragraphs:
+        if len(paragraphs[0]) > most:
+            out += brute_packed(re.split(r"(?<=[.!?])\s+", paragraphs.pop(0)), " ", most, overlap)
+        else:
+            small = [*paragraphs, "x" * (most + 1)]
+            n = next(k for k, p in enumerate(small) if len(p) > most)
+            out += brute_packed(paragraphs[:n], "\n\n", most)
+            paragraphs = paragraphs[n:]
+    out = [c.strip() for c in out if c.strip()]
+    return out if len(out) < 2 else [c for c in out if len(c) >= least]
 
 
 def test_chunks_against_brute_force(spark):
