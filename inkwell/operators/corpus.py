@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
+from inkwell.operators.lineage import cut
 
 
 def _signed(metric: str = "metric_key", value: str = "value") -> Column:
@@ -158,6 +159,62 @@ def top_conflicts(results: DataFrame, top: int = 5, gap: float = lx.CONFLICT_GAP
     return out.orderBy(F.desc("gap"), *_CELL, "left_paper", "right_paper").limit(top)
 
 
+def _below(value: Column, gap: float) -> Column:
+    """Up to about which value the smaller partners of a value reach whose relative gap to it is `gap` or more."""
+    tiny = 1e-9
+    near = value - gap * F.greatest(value, F.lit(tiny))
+    far = value / (1 - gap)
+    return F.when((value <= 0) & (far <= -tiny), far).otherwise(near)
+
+
+def _lower_partners(classes: DataFrame, gap: float) -> DataFrame:
+    """Per class (cell, value, n) the number of rows of smaller conflicting values and the largest of these values.
+
+    The conflicting smaller values are the first ones of a cell's order, so
+    one sort of values and bounds together and one sweep find where they end.
+    The bound is taken a little too high, and the values before it are tested
+    by the gap itself, so rounding decides nothing.
+    """
+    cell = Window.partitionBy(*_CELL)
+    upto = cell.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = classes.select(*_CELL, F.col("value").alias("x"), F.sum("n").over(upto).alias("upto"))
+    known = F.struct(F.col("x").alias("value"), "upto")
+    values = counted.select(*_CELL, "x", F.lit(0).alias("kind"), known.alias("last"), F.lag(known).over(cell.orderBy("x")).alias("before"), F.lit(None).cast("double").alias("of"))
+    bound = _below(F.col("value"), gap)
+    bounds = classes.select(*_CELL, (bound + F.abs(bound) * 1e-12 + 1e-21).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("struct<value:double,upto:bigint>").alias("last"), F.lit(None).cast("struct<value:double,upto:bigint>").alias("before"), F.col("value").alias("of"))
+    sweep = cell.orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = values.unionByName(bounds).withColumns({"last": F.last("last", ignorenulls=True).over(sweep), "two": F.last(F.when(F.col("kind") == 0, F.struct("before")), ignorenulls=True).over(sweep)}).where("kind = 1")
+    conflicts = lambda w: w.isNotNull() & (w["value"] < F.col("of")) & (tx.relative_gap(w["value"], F.col("of")) >= gap)
+    edge = F.when(conflicts(F.col("last")), F.col("last")).when(conflicts(F.col("two.before")), F.col("two.before"))
+    return swept.select(*_CELL, F.col("of").alias("value"), F.coalesce(edge["upto"], F.lit(0)).alias("n_below"), edge["value"].alias("highest_below"))
+
+
+def conflict_ranges(results: DataFrame, gap: float = lx.CONFLICT_GAP) -> DataFrame:
+    """numeric_conflicts() without its pairs: one row for each paper's last value in a cell, with its links.
+
+    n_below and n_above count the papers it conflicts with on either side;
+    these are all whose value is at most highest_below or at least
+    lowest_above.  Equal values of a cell are one class, so a cell costs a sort
+    of its different values, and the result grows with the rows, not with
+    their pairs.  gap is below 1.
+    """
+    last = _last_values(results).withColumn("value", F.col("value").cast("double"))
+    classes = last.groupBy(*_CELL, "value").agg(F.count("*").alias("n"))
+    below = _lower_partners(classes, gap)
+    turned = _lower_partners(classes.withColumn("value", -F.col("value")), gap)
+    above = turned.select(*_CELL, (-F.col("value")).alias("value"), F.col("n_below").alias("n_above"), (-F.col("highest_below")).alias("lowest_above"))
+    on = [*_CELL, "value"]
+    return last.join(below.join(above, on), on).select(*_CELL, "paper_id", "value", "n_below", "highest_below", "n_above", "lowest_above")
+
+
+def conflicts_of(ranges: DataFrame, papers: DataFrame) -> DataFrame:
+    """All conflicts of some papers (paper_id), from conflict_ranges(): paper_id, value, other_paper, other_value by cell."""
+    asked = ranges.join(papers.select("paper_id").distinct(), "paper_id", "left_semi").where("n_below + n_above > 0")
+    other = ranges.select(*_CELL, F.col("paper_id").alias("other_paper"), F.col("value").alias("other_value"))
+    within = (F.col("other_value") <= F.col("highest_below")) | (F.col("other_value") >= F.col("lowest_above"))
+    return asked.join(other, list(_CELL)).where(within).select(*_CELL, "paper_id", "value", "other_paper", "other_value")
+
+
 def claims(chunks: DataFrame, per_paper: int = 6, first_chunks: int = 30, markers: Sequence[str] = lx.CLAIM_MARKERS, lengths: tuple[int, int] = lx.CLAIM_LENGTHS) -> DataFrame:
     """paper_id, claim_no, claim: the first claims of each paper's first chunks."""
     early = chunks.where(F.col("chunk_index") < first_chunks)
@@ -216,17 +273,40 @@ def coverage_gaps(entities: DataFrame, papers: DataFrame, labels: Sequence[str],
     return top.join(five, ["label", "name"]).select("label", "name", "covered", F.round("ratio", 6).alias("ratio"), "missing")
 
 
+#: Numbers of a bitmap (the size of Spark's own).
+_BITS = 15
+
+
 def evaluation_gaps(results: DataFrame, top_n: int = lx.TOP_GAPS) -> DataFrame:
-    """Models that lack some datasets but not all: model_key, untested, strength, missing (first five)."""
-    tested = results.where("dataset_key IS NOT NULL").select("model_key", "dataset_key").distinct()
-    datasets = tested.select("dataset_key").distinct()
-    size = tested.agg(F.countDistinct("dataset_key").alias("n_datasets"), F.countDistinct("model_key").alias("n_models"))
-    every = datasets.agg(F.array_sort(F.collect_set("dataset_key")).alias("all"))  # the datasets, one row
-    per_model = tested.groupBy("model_key").agg(F.collect_set("dataset_key").alias("have"))
-    rows = per_model.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(size)).where("n_datasets >= 2 AND n_models >= 2")
-    gap = rows.withColumn("lack", F.array_sort(F.array_except("all", "have"))).withColumn("untested", F.size("lack")).where("untested > 0 AND untested < n_datasets")
-    strength = F.round(1 - F.col("untested") / F.col("n_datasets"), 6)
-    return gap.select("model_key", F.col("untested").cast("long").alias("untested"), strength.alias("strength"), F.array_join(F.slice("lack", 1, 5), ",").alias("missing")).orderBy(F.desc("strength"), "model_key").limit(top_n)
+    """Models that lack some datasets but not all: model_key, untested, strength, missing (first five).
+
+    Datasets get ascending numbers, and what a model has tested is a few
+    bitmaps of them, made in the tasks that read the rows and united after the
+    shuffle.  How much a model lacks is a difference of counts.  Only for the
+    top_n models it is asked which datasets these are: bitmap by bitmap
+    against the counts of all datasets, and bit by bit in the first ones that
+    differ.
+    """
+    tested = results.where("dataset_key IS NOT NULL").select("model_key", "dataset_key")
+    # Numbers depend on where a row is read, so they are kept.
+    ids = cut(tested.select("dataset_key").distinct().repartitionByRange("dataset_key").sortWithinPartitions("dataset_key").withColumn("id", F.monotonically_increasing_id()))
+    placed = tested.join(ids, "dataset_key").select("model_key", F.shiftright("id", _BITS).alias("block"), F.col("id").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("bit"))
+    maps = placed.groupBy("model_key", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    counted = maps.select("model_key", "block", "bits", F.bitmap_count("bits").alias("has"))
+    blocks = ids.groupBy(F.shiftright("id", _BITS).alias("block")).agg(F.count("*").alias("size"))
+    models = counted.groupBy("model_key").agg(F.sum("has").alias("tested"))
+    size = blocks.agg(F.sum("size").alias("n_datasets")).crossJoin(models.agg(F.count("*").alias("n_models")))  # one row
+    rows = models.crossJoin(F.broadcast(size)).where("n_datasets >= 2 AND n_models >= 2 AND tested < n_datasets AND tested > 0")
+    scored = rows.select("model_key", (F.col("n_datasets") - F.col("tested")).alias("untested"), F.round(1 - (F.col("n_datasets") - F.col("tested")) / F.col("n_datasets"), 6).alias("strength"))
+    top = scored.orderBy(F.desc("strength"), "model_key").limit(top_n)
+    every = blocks.crossJoin(F.broadcast(top.select("model_key")))  # top_n models for each bitmap of all datasets
+    lacking = every.join(counted, ["model_key", "block"], "left").where(F.coalesce("has", F.lit(0)) < F.col("size"))
+    first = lacking.withColumn("n_th", F.row_number().over(Window.partitionBy("model_key").orderBy("block"))).where("n_th <= 5").select("model_key", "block", "bits")
+    named = ids.select("dataset_key", F.shiftright("id", _BITS).alias("block"), F.col("id").bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int").alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    absent = F.col("bits").isNull() | (F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 0)
+    missing = _firsts(named.join(first, "block").where(absent), ["model_key"], "dataset_key", 5)
+    return top.join(missing, "model_key").select("model_key", "untested", "strength", F.array_join("firsts", ",").alias("missing")).orderBy(F.desc("strength"), "model_key")
 
 
 def stated_gaps(chunks: DataFrame, markers: Sequence[str] = lx.FUTURE_WORK_MARKERS, per_paper: int = 2, last_chunks: int = 12) -> DataFrame:

@@ -58,7 +58,7 @@ def query_terms(query: str, stopwords: Sequence[str] = lx.SEARCH_STOPWORDS) -> l
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: number of documents, of tokens, and tokens per document."""
-    size = F.size(tx.tokens(text))
+    size = F.size(tx.tokens(F.coalesce(F.col(text), F.lit(""))))  # a document without text has no tokens
     return docs.agg(F.count("*").alias("n_docs"), F.sum(size).cast("long").alias("n_tokens"), F.round(F.avg(size), 6).alias("avg_tokens"))
 
 
@@ -81,12 +81,15 @@ def merge_frequencies(index: DataFrame, added: DataFrame, removed: DataFrame | N
 
 
 def bm25(docs: DataFrame, query: str, limit: int = 10, key: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
-    """key, score, rank of the best documents.  Statistics are over all of docs; where restricts candidates only."""
+    """key, score, rank of the best documents.  Statistics are over all of docs; where restricts candidates only.
+
+    Scores have twelve decimals, so that equal ones are equal in whatever order
+    their parts are added.
+    """
     terms = Counter(query_terms(query))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    words = tx.tokens(text)
-    counted = docs.withColumn("__tokens", words)
+    counted = docs.withColumn("__tokens", tx.tokens(F.coalesce(F.col(text), F.lit(""))))
     tf = {t: _tf(t) for t in terms}
     stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("__tokens")).alias("avg"), *(F.count_if(F.array_contains("__tokens", t)).alias(f"df{i}") for i, t in enumerate(terms)))
     matching = counted if where is None else counted.where(where)
@@ -97,7 +100,7 @@ def bm25(docs: DataFrame, query: str, limit: int = 10, key: str = "doc_id", text
     for i, (term, times) in enumerate(terms.items()):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score += times * idf * tf[term] * (lx.BM25_K1 + 1) / (tf[term] + length)
-    return ranked(scored.select(key, score.alias("score")).where("score > 0"), key, limit)
+    return ranked(scored.select(key, F.round(score, 12).alias("score")).where("score > 0"), key, limit)
 
 
 def _tf(term: str) -> Column:
@@ -176,6 +179,19 @@ def _hashed(dim: int):
     return run
 
 
+def hash_vectors(docs: DataFrame, text: str = "text", dim: int = 384, name: str = "vector") -> DataFrame:
+    """docs with the whole embedding of a text as an array; a text without words has a vector of zeros."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([hash_vector(low or "", dim) for low in batch.column(text).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*columns, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, `{name}` array<double>")
+
+
 def hash_vector(query: str, dim: int = 384) -> list[float]:
     """The same embedding of one query string."""
     out = [0.0] * dim
@@ -219,18 +235,29 @@ def rerank(candidates: DataFrame, query: str, key: str = "doc_id", text: str = "
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rerank_score"), "rank", key)))
 
 
+def candidates(limit: int) -> int:
+    """How many hits of each retriever are fused for `limit` results."""
+    return min(lx.CANDIDATE_CAP, max(lx.CANDIDATE_FACTOR * limit, limit))
+
+
+def finished(docs: DataFrame, dense_hits: DataFrame, sparse_hits: DataFrame, query: str, limit: int, key: str, text: str) -> DataFrame:
+    """The hits of both retrievers fused, texts fetched, reranked, with supporting sentences."""
+    wide = candidates(limit)
+    fused = fuse(dense_hits, sparse_hits, key, wide)
+    hits = docs.join(F.broadcast(fused), key)  # `wide` rows at most
+    best = rerank(hits, query, key, text).where(F.col("new_rank") <= limit)
+    return best.withColumn("supporting", tx.supporting(tx.strings(list(dict.fromkeys(query_terms(query)))), F.col(text)))
+
+
 def retrieve(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, key: str = "doc_id", text: str = "text", filters: Filters | None = None) -> DataFrame:
-    """Both retrievers, fused, texts fetched, reranked, with supporting sentences; a blank query finds nothing."""
+    """Both retrievers by scans of docs and vectors (search.retrieve() asks kept indexes); a blank query finds nothing."""
     if not query.strip():
         return docs.select(key).limit(0)
-    wide = min(lx.CANDIDATE_CAP, max(lx.CANDIDATE_FACTOR * limit, limit))
+    wide = candidates(limit)
     where = None if filters is None else filters.predicate()
     sparse = bm25(docs, query, wide, key, text, where)
     scoped = vectors if where is None else vectors.join(docs.where(where).select(key), key, "left_semi")
-    fused = fuse(dense(scoped, query_vector, wide, key), sparse, key, wide)
-    hits = docs.join(F.broadcast(fused), key)  # `wide` rows at most
-    best = rerank(hits, query, key, text).where(F.col("new_rank") <= limit)
-    return best.withColumn("supporting", tx.supporting(tx.strings(list(dict.fromkeys(query_terms(query)))), F.col(text)))
+    return finished(docs, dense(scoped, query_vector, wide, key), sparse, query, limit, key, text)
 
 
 def pack_context(ranked_chunks: DataFrame, query: str, max_tokens: int, reserved: int = 1200, group: str = "query_id", order: str = "rank", text: str = "text") -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import corpus, documents, graph, index, judging, library, retrieval
+from inkwell.operators import corpus, documents, graph, index, judging, library, retrieval, search, vector_index
 from inkwell.operators.lineage import checkpoint_folder
+from inkwell.plans import standing
 from inkwell.sources import views as v
 from inkwell.streaming import metrics
 
@@ -30,7 +31,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return v.table(spark, d, "documents")
+    return v.spread(v.table(spark, d, "documents"))
 
 
 def _vector(spark: SparkSession, d: str) -> list[float]:
@@ -68,36 +69,18 @@ def corpus_stats(spark, d):
 
 @query
 def term_document_frequency(spark, d):
-    return retrieval.document_frequencies(_docs(spark, d)).where("df >= 5")
-
-
-@query
-def postings_of_frequent_terms(spark, d):
-    return retrieval.postings(_docs(spark, d)).where("tf >= 5")
-
-
-@query
-def incremental_frequencies(spark, d):
-    docs = _docs(spark, d)
-    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    third = docs.where("doc_id % 6 = 0")
-    return retrieval.merge_frequencies(retrieval.document_frequencies(even), odd, third).where("df >= 5")
-
-
-@query
-def term_document_frequency_whole(spark, d):
     return retrieval.document_frequencies(_docs(spark, d))
 
 
 @query
-def postings_whole(spark, d):
+def postings(spark, d):
     """Every posting, as one hash of each document's sorted list."""
     listed = F.array_join(F.array_sort(F.collect_list(F.concat("term", F.lit(":"), F.col("tf").cast("string")))), " ")
     return retrieval.postings(_docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.md5(listed).alias("postings_md5"))
 
 
 @query
-def incremental_frequencies_whole(spark, d):
+def incremental_frequencies(spark, d):
     docs = _docs(spark, d)
     even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     return retrieval.merge_frequencies(retrieval.document_frequencies(even), odd, docs.where("doc_id % 6 = 0"))
@@ -122,14 +105,31 @@ def bm25_repeated_term(spark, d):
 def bm25_from_index(spark, d):
     """The index after adding half of the table, then the other half, writing a third again and removing and adding a tenth; as a whole it is the table."""
     docs, path = _docs(spark, d), f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
-    index.add(docs.where("doc_id % 2 = 0"), path, 0)
-    index.add(docs.where("doc_id % 2 = 1"), path, 1)
-    index.add(docs.where("doc_id % 3 = 0"), path, 2)
-    index.remove(docs.where("doc_id % 10 = 1"), path, 3)
-    index.add(docs.where("doc_id % 10 = 1"), path, 4)
+    index.add(docs.where("doc_id % 2 = 0"), path)
+    index.add(docs.where("doc_id % 2 = 1"), path)
+    index.add(docs.where("doc_id % 3 = 0"), path)
+    index.remove(docs.where("doc_id % 10 = 1"), path)
+    index.add(docs.where("doc_id % 10 = 1"), path)
     return _rounded(index.search(spark, path, QUESTION, 10)).withColumnRenamed("key", "doc_id")
 
 
+@query
+def index_frequencies(spark, d):
+    """Every term's document frequency as the kept index has it, after a removal."""
+    docs, path = _docs(spark, d), f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.add(docs, path)
+    index.remove(docs.where("doc_id % 6 = 0"), path)
+    return index.frequencies(spark, path)
+
+
+@query
+def benchmark_keyword_hits(spark, d):
+    """Every benchmark item as a query of the kept index, in one plan."""
+    items = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = index.search_many(spark, standing.keywords(spark, d), items, 10)
+    return hits.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def _rounded(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
@@ -152,6 +152,38 @@ def dense_topk_filtered(spark, d):
     return _rounded(retrieval.dense(v.table(spark, d, "embeddings"), _vector(spark, d), 10, where=F.col("label").isin(1, 2, 3)))
 
 
+@query
+def vector_index_search(spark, d):
+    """The kept vector index with all cells read is exact."""
+    hits = vector_index.search(spark, standing.vectors(spark, d), _vector(spark, d), 10)
+    return _rounded(hits).withColumnRenamed("key", "vec_id")
+
+
+@query
+def vector_index_filtered(spark, d):
+    hits = vector_index.search(spark, standing.vectors(spark, d), _vector(spark, d), 10, where=F.col("label").isin(1, 2, 3))
+    return _rounded(hits).withColumnRenamed("key", "vec_id")
+
+
+@query
+def vector_index_many(spark, d):
+    """Every twentieth vector as a query of one plan."""
+    asked = v.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _rounded(vector_index.search_many(spark, standing.vectors(spark, d), asked, 10)).withColumnRenamed("key", "vec_id")
+
+
+@query
+def vector_index_updates(spark, d):
+    """The live vectors after adding two thirds, replacing and adding with every vector turned round, and removing a seventh."""
+    vectors, path = v.table(spark, d, "embeddings"), f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    turned = vectors.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    vector_index.add(vectors.where("vec_id % 3 > 0"), path, keep=["label"], cells=8)
+    vector_index.add(turned.where("vec_id % 3 < 2"), path, keep=["label"])
+    vector_index.remove(vectors.where("vec_id % 7 = 0"), path)
+    hits = vector_index.search(spark, path, _vector(spark, d), 100)
+    return _rounded(hits).withColumnRenamed("key", "vec_id")
+
+
 @query
 def vector_norms(spark, d):
     return v.table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), F.size("embedding").alias("dim"))
@@ -163,34 +195,74 @@ def cosine_to_query(spark, d):
     return v.table(spark, d, "embeddings").select("vec_id", F.round(retrieval.cosine(F.col("embedding"), q), 6).alias("cosine"))
 
 
+def _keyword_hits(spark, d, limit: int) -> DataFrame:
+    return index.search(spark, standing.keywords(spark, d), QUESTION, limit).withColumnRenamed("key", "doc_id")
+
+
 @query
 def rrf_fusion(spark, d):
-    sparse = retrieval.bm25(_docs(spark, d), QUESTION, 40)
     dense = retrieval.dense(_vectors(spark, d), _vector(spark, d), 40, "doc_id")
-    return _rounded(retrieval.fuse(dense, sparse, "doc_id", 20))
+    return _rounded(retrieval.fuse(dense, _keyword_hits(spark, d, 40), "doc_id", 20))
 
 
 @query
 def retrieval_overlap(spark, d):
-    sparse = retrieval.bm25(_docs(spark, d), QUESTION, 100).select("doc_id")
+    sparse = _keyword_hits(spark, d, 100).select("doc_id")
     dense = retrieval.dense(_vectors(spark, d), _vector(spark, d), 100, "doc_id").select("doc_id")
     return sparse.agg(F.count("*").alias("n_sparse")).crossJoin(dense.agg(F.count("*").alias("n_dense"))).crossJoin(sparse.join(dense, "doc_id").agg(F.count("*").alias("n_both")))
 
 
 @query
 def lexical_rerank(spark, d):
-    docs = _docs(spark, d)
-    hits = retrieval.bm25(docs, QUESTION, 40)
-    out = retrieval.rerank(docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id"), QUESTION)
+    hits = _keyword_hits(spark, d, 40)
+    out = retrieval.rerank(v.table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(hits), "doc_id"), QUESTION)  # 40 rows
     return out.select("doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 
 
 @query
 def hybrid_search(spark, d):
-    out = retrieval.retrieve(_docs(spark, d), _vectors(spark, d), QUESTION, _vector(spark, d), 10)
+    """Both kept indexes asked, hits fused and reranked."""
+    out = search.retrieve(spark, v.table(spark, d, "documents"), standing.keywords(spark, d), standing.vectors(spark, d), QUESTION, _vector(spark, d), 10)
     return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "new_rank", F.size("supporting").alias("n_supporting"))
 
 
+@query
+def hybrid_scan(spark, d):
+    """The same by scans of documents and vectors, restricted to two languages."""
+    out = retrieval.retrieve(_docs(spark, d), _vectors(spark, d), QUESTION, _vector(spark, d), 10, filters=retrieval.Filters(equals={"lang": ("en", "de")}))
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
+
+
+@query
+def hybrid_filtered(spark, d):
+    """Both kept indexes, restricted to two languages before anything is ranked."""
+    scope = retrieval.Filters(equals={"lang": ("en", "de")})
+    out = search.retrieve(spark, v.table(spark, d, "documents"), standing.keywords(spark, d), standing.vectors(spark, d), QUESTION, _vector(spark, d), 10, filters=scope)
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
+
+
+def _benchmark_hits(spark, d, limit: int = 10) -> DataFrame:
+    items = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = retrieval.hash_vectors(items, "query")
+    return search.retrieve_many(spark, standing.keywords(spark, d), standing.text_vectors(spark, d), asked, limit)
+
+
+@query
+def benchmark_retrieval(spark, d):
+    """Every benchmark item as a question to both kept indexes, in one plan."""
+    out = _benchmark_hits(spark, d)
+    return out.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), "dense_rank", "sparse_rank", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def benchmark_run(spark, d):
+    """A whole benchmark run: items as cases with retrieved contexts and extracted answers; a fifth needs a model, one in eleven has no question."""
+    items = v.table(spark, d, "benchmark")
+    cases = items.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 11 == 10, F.lit(" ")).otherwise(F.col("text")).alias("question"), F.col("text").alias("ground_truth"), (F.col("item_id") % 5 == 4).alias("requires_llm"), F.lit(False).alias("should_refuse"))
+    hits = _benchmark_hits(spark, d, 6)
+    return search.run_benchmark(cases, search.contexts(hits, v.table(spark, d, "documents"))).select("case_id", "status", "n_sources", *judging.MEASURES, "overall", "failures", "passed")
+
+
 @query
 def supporting_sentences(spark, d):
     terms = tx.strings(retrieval.query_terms(QUESTION))
@@ -200,8 +272,7 @@ def supporting_sentences(spark, d):
 
 @query
 def context_packing(spark, d):
-    docs = _docs(spark, d)
-    hits = docs.join(F.broadcast(retrieval.bm25(docs, QUESTION, 200)), "doc_id").select(F.col("lang").alias("query_id"), "rank", "text")
+    hits = v.table(spark, d, "documents").join(F.broadcast(_keyword_hits(spark, d, 200)), "doc_id").select(F.col("lang").alias("query_id"), "rank", "text")
     return retrieval.pack_context(hits, QUESTION, 6000).select("query_id", "at", "action", "tokens", F.md5("content").alias("content_md5"))
 
 
@@ -275,6 +346,12 @@ def numeric_conflicts(spark, d):
     return corpus.numeric_conflicts(v.results(spark, d))
 
 
+@query
+def conflict_ranges(spark, d):
+    """The conflicts of every value as counts and limits, without pairs."""
+    return corpus.conflict_ranges(v.results(spark, d))
+
+
 @query
 def claim_extraction(spark, d):
     out = corpus.claims(v.chunks(spark, d), markers=MARKERS)
@@ -291,11 +368,6 @@ def coverage_gaps(spark, d):
     return corpus.coverage_gaps(v.entities(spark, d), v.papers(spark, d), ["Task", "Metric"])
 
 
-@query
-def evaluation_gaps(spark, d):
-    return corpus.evaluation_gaps(v.results(spark, d).where("paper_id < 300"))
-
-
 def _fine_results(spark, d) -> DataFrame:
     """Results with brand and type as the dataset: fine enough to leave pairs untested in the whole table."""
     kinds = v.table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("kind"))
@@ -304,7 +376,7 @@ def _fine_results(spark, d) -> DataFrame:
 
 
 @query
-def evaluation_gaps_whole(spark, d):
+def evaluation_gaps(spark, d):
     return corpus.evaluation_gaps(_fine_results(spark, d))
 
 
@@ -316,12 +388,6 @@ def stated_gaps(spark, d):
 
 @query
 def structural_gaps(spark, d):
-    r, e, p = v.results(spark, d), v.entities(spark, d), v.papers(spark, d)
-    return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(r.where("paper_id < 300")), corpus.top_conflicts(r))
-
-
-@query
-def structural_gaps_whole(spark, d):
     r, e, p = v.results(spark, d), v.entities(spark, d), v.papers(spark, d)
     return corpus.structural_gaps(corpus.coverage_gaps(e, p, ["Task", "Metric"]), corpus.evaluation_gaps(_fine_results(spark, d)), corpus.top_conflicts(r))
 
@@ -329,7 +395,7 @@ def structural_gaps_whole(spark, d):
 @query
 def all_gaps(spark, d):
     stated = corpus.stated_gaps(v.chunks(spark, d), MARKERS).withColumn("excerpt", F.md5("excerpt"))
-    return corpus.all_gaps(structural_gaps_whole(spark, d), stated)
+    return corpus.all_gaps(structural_gaps(spark, d), stated)
 
 
 @query
@@ -502,21 +568,11 @@ def pack_paragraphs(spark, d):
 
 @query
 def gazetteer_entities(spark, d):
-    return documents.gazetteer(_docs(spark, d), TERMS).select("doc_id", "label", "name", F.md5("evidence").alias("evidence_md5"))
-
-
-@query
-def default_gazetteer_counts(spark, d):
-    return documents.gazetteer(_docs(spark, d)).groupBy("label", "name").agg(F.count("*").alias("n"))
-
-
-@query
-def gazetteer_entities_whole(spark, d):
     return documents.gazetteer(_docs(spark, d), TERMS, limit=None).select("doc_id", "label", "name", F.md5("evidence").alias("evidence_md5"))
 
 
 @query
-def default_gazetteer_counts_whole(spark, d):
+def default_gazetteer_counts(spark, d):
     return documents.gazetteer(_docs(spark, d), limit=None).groupBy("label", "name").agg(F.count("*").alias("n"))
 
 
@@ -588,29 +644,19 @@ def metric_keys(spark, d):
     return rows.select("p_partkey", tx.canonical_metric("raw").alias("metric"), tx.higher_is_better("raw").alias("higher"))
 
 
-@query
-def sanitize_pages(spark, d):
-    return v.table(spark, d, "pages").select("page_id", F.md5(documents.html_text("html")).alias("snippet_md5"), F.length(documents.html_text("html")).alias("n_chars"))
-
-
 @query
 def title_from_html(spark, d):
     return v.table(spark, d, "pages").select("page_id", documents.html_title("html").alias("title"))
 
 
 @query
-def injection_flags(spark, d):
-    return _flags(spark, d, documents.html_text("html"))
-
-
-@query
-def sanitize_pages_whole(spark, d):
+def sanitize_pages(spark, d):
     text = documents.html_text("html", None)
     return v.table(spark, d, "pages").select("page_id", F.md5(text).alias("snippet_md5"), F.length(text).alias("n_chars"))
 
 
 @query
-def injection_flags_whole(spark, d):
+def injection_flags(spark, d):
     return _flags(spark, d, documents.html_text("html", None))
 
 
@@ -652,15 +698,6 @@ def eval_report(spark, d):
 
 @query
 def eval_case_hits(spark, d):
-    """Which documents hold a benchmark question's first eight words, word for word."""
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    cases = v.table(spark, d, "benchmark").select("item_id", F.split("text", r"\s+")[0].alias("w"), head.alias("head"))
-    words = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return words.join(cases, "w").where(F.contains("text", F.col("head"))).select("item_id", "doc_id").distinct()
-
-
-@query
-def eval_case_hits_whole(spark, d):
     """Which documents hold a benchmark item's whole text."""
     return judging.case_hits(_docs(spark, d), v.table(spark, d, "benchmark"))
 

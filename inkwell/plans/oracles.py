@@ -73,7 +73,7 @@ def bm25(query: str, limit: int, where: str = "true", key: str = "doc_id") -> st
     words = query_terms(query)
     rows = ", ".join(f"({quote(t)}, {words.count(t)})" for t in dict.fromkeys(words))
     return f"""SELECT *, row_number() OVER (ORDER BY score DESC, {key}) AS rank FROM (
-      SELECT {key}, sum(q.times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))) AS score FROM (
+      SELECT {key}, round(sum(q.times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))), 12) AS score FROM (
         SELECT d.{key}, q.term, q.times, len(list_filter(tok, lambda t: t = q.term)) AS tf, len(tok) AS dl FROM tk d, (VALUES {rows}) q(term, times) WHERE {where}) c
       JOIN (SELECT term, count(*) FILTER (WHERE list_contains(tok, term)) AS df FROM tk, (VALUES {rows}) v(term, times) GROUP BY term) f ON c.term = f.term
       JOIN (VALUES {rows}) q(term, times) ON q.term = c.term
@@ -88,8 +88,8 @@ def dense(limit: int, where: str = "true", key: str = "vec_id") -> str:
       SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where}) ORDER BY score DESC, vec_id LIMIT {limit}"""
 
 
-def fused(wide: int, limit: int) -> str:
-    return f"""s AS ({bm25(QUESTION, wide)}), v AS ({dense(wide, key="doc_id")}),
+def fused(wide: int, limit: int, docs: str = "true", vectors: str = "true") -> str:
+    return f"""s AS ({bm25(QUESTION, wide, docs)}), v AS ({dense(wide, vectors, key="doc_id")}),
     f AS (SELECT coalesce(s.doc_id, v.doc_id) AS doc_id, v.rank AS dense_rank, s.rank AS sparse_rank, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score
       FROM v FULL JOIN s ON s.doc_id = v.doc_id),
     g AS (SELECT *, row_number() OVER (ORDER BY score DESC, CASE WHEN dense_rank IS NOT NULL AND sparse_rank IS NOT NULL THEN 1 ELSE 0 END DESC, doc_id) AS rank FROM f ORDER BY rank LIMIT {limit})"""
@@ -148,16 +148,12 @@ COVERAGE = """scope AS (SELECT DISTINCT paper_id FROM papers), total AS (SELECT
  topc AS (SELECT label, name, covered, covered / n AS ratio FROM cov, total WHERE n >= 3 AND covered / n >= 0.4 AND covered / n < 1 ORDER BY ratio DESC, label, name LIMIT 12),
  lack AS (SELECT t.label, t.name, list_sort(list(s.paper_id))[1:5] AS ids FROM topc t, scope s WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.label = t.label AND e.name = t.name AND e.paper_id = s.paper_id) GROUP BY t.label, t.name),
  coverage AS (SELECT label, name, covered, round(ratio, 6) AS ratio, array_to_string(ids, ',') AS missing FROM topc JOIN lack USING (label, name))"""
-EVALUATION = """tested AS (SELECT DISTINCT model_key, dataset_key FROM results WHERE dataset_key IS NOT NULL AND paper_id < 300),
+#: Over all papers, with brand and type as the dataset.
+EVALUATION = """tested AS (SELECT DISTINCT model_key, dataset_key || ' / ' || lower(p_type) AS dataset_key FROM results JOIN part ON k3 = p_partkey WHERE dataset_key IS NOT NULL),
  ds AS (SELECT DISTINCT dataset_key FROM tested), ms AS (SELECT DISTINCT model_key FROM tested),
  un AS (SELECT model_key, list_sort(list(dataset_key)) AS lack FROM (SELECT model_key, dataset_key FROM ms, ds EXCEPT SELECT * FROM tested) GROUP BY model_key),
  evaluation AS (SELECT model_key, len(lack) AS untested, round(1 - len(lack) / (SELECT count(*) FROM ds), 6) AS strength, array_to_string(lack[1:5], ',') AS missing
    FROM un WHERE (SELECT count(*) FROM ds) >= 2 AND (SELECT count(*) FROM ms) >= 2 AND len(lack) < (SELECT count(*) FROM ds) ORDER BY strength DESC, model_key LIMIT 12)"""
-#: Over all papers, with brand and type as the dataset.
-EVALUATION_WHOLE = EVALUATION.replace(
-    "SELECT DISTINCT model_key, dataset_key FROM results WHERE dataset_key IS NOT NULL AND paper_id < 300",
-    "SELECT DISTINCT model_key, dataset_key || ' / ' || lower(p_type) AS dataset_key FROM results JOIN part ON k3 = p_partkey WHERE dataset_key IS NOT NULL",
-)
 CLAIMS = rf"""cl AS (SELECT paper_id, claim_no, claim FROM (
    SELECT paper_id, claim, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index, pos) AS claim_no FROM (
      SELECT paper_id, chunk_index, unnest(range(len(c))) AS pos, unnest(c) AS claim FROM (
@@ -208,10 +204,7 @@ GATED = f"""ga AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN CASE WHEN {' OR '.jo
    ELSE array_to_string(list_filter([CASE WHEN faithfulness < 0.6 THEN 'faithfulness' END, CASE WHEN context_precision < 0.3 THEN 'context_precision' END, CASE WHEN citation_validity < 0 THEN 'citation_validity' END], lambda x: x IS NOT NULL), ',') END AS failures FROM sc)"""
 
 HTML = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-SNIPPET = rf"left(trim(regexp_replace(regexp_replace({HTML}, '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '\s+', ' ', 'g')), 2000)"
-
-
-SNIPPET_WHOLE = SNIPPET.removeprefix("left(").removesuffix(", 2000)")
+SNIPPET = rf"trim(regexp_replace(regexp_replace({HTML}, '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def _first_match(text: str, patterns) -> str:
@@ -221,14 +214,10 @@ def _first_match(text: str, patterns) -> str:
 def _gaz(terms_by_label: dict, out: str) -> str:
     rows = ", ".join(f"({quote(label)}, {quote(t)}, {quote('(^|[^A-Za-z0-9_])(' + _escape(t) + ')([^A-Za-z0-9_]|$)')})" for label, ts in terms_by_label.items() for t in ts)
     at = "length(regexp_extract(low, '(?s)^(.*?)' || pattern, 1)) + length(regexp_extract(low, pattern, 1)) + 1"
-    return rf"""WITH l AS (SELECT doc_id, left(text, 12000) AS t, lower(left(text, 12000)) AS low FROM documents), g(label, name, pattern) AS (VALUES {rows}),
+    return rf"""WITH l AS (SELECT doc_id, text AS t, lower(text) AS low FROM documents), g(label, name, pattern) AS (VALUES {rows}),
 h AS (SELECT doc_id, label, name, t, {at} AS pos FROM l, g WHERE contains(low, name) AND regexp_matches(low, pattern)) {out}"""
 
 
-def _gaz_whole(terms_by_label: dict, out: str) -> str:
-    return _gaz(terms_by_label, out).replace("left(text, 12000)", "text")
-
-
 def _escape(x: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != " " else c for c in x)
 
@@ -252,12 +241,9 @@ ORACLES = {
     "content_term_sets": f"SELECT doc_id, md5(array_to_string(list_sort({terms('text')}), ' ')) AS terms_md5 FROM documents",
     "sentence_counts": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, len({cut('text')}) AS n_cut, greatest(1, length(text) // 4) AS token_estimate FROM documents",
     "corpus_stats": f"SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, round(avg(len(w)), 6) AS avg_tokens FROM (SELECT {tokens('text')} AS w FROM documents)",
-    "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term HAVING count(*) >= 5",
-    "term_document_frequency_whole": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term",
-    "postings_whole": f"SELECT doc_id, count(*) AS n_terms, md5(string_agg(term || ':' || tf, ' ' ORDER BY term || ':' || tf)) AS postings_md5 FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY doc_id",
-    "incremental_frequencies_whole": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents WHERE doc_id % 6 <> 0) GROUP BY term",
-    "postings_of_frequent_terms": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 5",
-    "incremental_frequencies": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents WHERE doc_id % 6 <> 0) GROUP BY term HAVING count(*) >= 5",
+    "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term",
+    "postings": f"SELECT doc_id, count(*) AS n_terms, md5(string_agg(term || ':' || tf, ' ' ORDER BY term || ':' || tf)) AS postings_md5 FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY doc_id",
+    "incremental_frequencies": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents WHERE doc_id % 6 <> 0) GROUP BY term",
     "bm25_search": f"WITH {TK} {_ROUNDED} ({bm25(QUESTION, 10)})",
     "bm25_filtered": f"WITH {TK} {_ROUNDED} ({bm25(QUESTION, 10, 'lang IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'de' + chr(39) + ')')})",
     "bm25_repeated_term": f"WITH {TK} {_ROUNDED} ({bm25('thtion thtion ertion', 20)})",
@@ -302,7 +288,6 @@ ORACLES = {
         "chunks", extra=CLAIMS + r", lw AS (SELECT paper_id, claim_no, list_distinct(list_filter(string_split_regex(lower(claim), '\s+'), lambda w: length(w) > 4)) AS w FROM cl)"),
     "coverage_gaps": sql("SELECT * FROM coverage", "papers", "entities", extra=COVERAGE),
     "evaluation_gaps": sql("SELECT * FROM evaluation", "results", extra=EVALUATION),
-    "evaluation_gaps_whole": sql("SELECT * FROM evaluation", "results", extra=EVALUATION_WHOLE),
     "stated_gaps": sql(
         rf"""SELECT paper_id, chunk_index, gap_no, marker, md5(trim(regexp_replace(substring(content, greatest(1, pos - 80), pos + 320 - greatest(1, pos - 80)), '\s+', ' ', 'g'))) AS excerpt_md5 FROM (
         SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index DESC) AS gap_no FROM (
@@ -313,10 +298,6 @@ ORACLES = {
         """SELECT 'coverage' AS kind, label || ' / ' || name AS subject, ratio AS strength FROM coverage UNION ALL SELECT 'evaluation', model_key, strength FROM evaluation UNION ALL
         SELECT 'unresolved_conflict', model_key || ' / ' || dataset_key || ' / ' || metric_key || ' / ' || left_paper || ' / ' || right_paper, least(1.0, gap) FROM (SELECT * FROM conflicts ORDER BY gap DESC, model_key, dataset_key, metric_key, left_paper, right_paper LIMIT 5)""",
         "papers", "results", "entities", extra=", ".join((COVERAGE, EVALUATION, CONFLICTS))),
-    "structural_gaps_whole": sql(
-        """SELECT 'coverage' AS kind, label || ' / ' || name AS subject, ratio AS strength FROM coverage UNION ALL SELECT 'evaluation', model_key, strength FROM evaluation UNION ALL
-        SELECT 'unresolved_conflict', model_key || ' / ' || dataset_key || ' / ' || metric_key || ' / ' || left_paper || ' / ' || right_paper, least(1.0, gap) FROM (SELECT * FROM conflicts ORDER BY gap DESC, model_key, dataset_key, metric_key, left_paper, right_paper LIMIT 5)""",
-        "papers", "results", "entities", extra=", ".join((COVERAGE, EVALUATION_WHOLE, CONFLICTS))),
     "review_sources": sql("SELECT row_number() OVER (ORDER BY coalesce(published_year, 0) DESC, paper_id) AS source_index, paper_id, title FROM papers ORDER BY source_index LIMIT 40", "papers"),
     "coauthorship_nodes": sql("SELECT * FROM an", "authors", extra=AUTHORS),
     "coauthorship_edges": sql('SELECT l.author AS "left", r.author AS "right", count(*) AS weight FROM authors l JOIN authors r ON l.paper_id = r.paper_id AND l.author < r.author WHERE l.author IN (SELECT author FROM an) AND r.author IN (SELECT author FROM an) GROUP BY ALL', "authors", extra=AUTHORS),
@@ -342,8 +323,6 @@ ORACLES = {
     "graph_dangling": sql("SELECT type, count(*) AS n FROM edges WHERE split_part(dst, ':', 1) <> 'Venue' GROUP BY type", "edges"),
     "chunk_token_stats": sql("SELECT kind, count(*) AS n, CAST(sum(greatest(1, length(content) // 4)) AS BIGINT) AS tokens, max(length(content)) AS longest FROM chunks GROUP BY kind", "chunks"),
     "default_gazetteer_counts": _gaz(lx.ENTITY_TERMS, "SELECT label, name, count(*) AS n FROM h GROUP BY ALL"),
-    "default_gazetteer_counts_whole": _gaz_whole(lx.ENTITY_TERMS, "SELECT label, name, count(*) AS n FROM h GROUP BY ALL"),
-    "gazetteer_entities_whole": _gaz_whole(TERMS, "SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"),
     "gazetteer_entities": _gaz(TERMS, "SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"),
     "breadcrumbs": sql(
         """SELECT paper_id, chunk_index, level, concat_ws(' > ', CASE WHEN level >= 1 THEN t1 END, CASE WHEN level >= 2 AND (c2 IS NULL OR c2 < o2) THEN t2 END, CASE WHEN level >= 3 AND (c3 IS NULL OR c3 < o3) THEN t3 END) AS path FROM (
@@ -357,18 +336,15 @@ ORACLES = {
     "split_author_strings": "SELECT c_custkey, c_name || '|A|'  || c_mktsegment || '|Wu Wei' AS authors FROM customer".replace("'|A|'  ||", "'|' ||"),
     "citation_markers": r"""SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('As [' || turn || '] and [2], [2], [77] say, [123].', '\[(\d{1,2})\]', 1), lambda x: CAST(x AS INTEGER)), lambda i: i BETWEEN 1 AND 5))), lambda x: CAST(x AS VARCHAR)), ',') AS cited FROM conversations""",
     "metric_keys": "SELECT p_partkey, (['f1', 'exact match', 'ndcg', 'ndcg@5', 'roc-auc', 'latency', 'bleu'])[p_partkey % 7 + 1] AS metric, p_partkey % 7 <> 5 AS higher FROM part",
-    "sanitize_pages": f"SELECT page_id, md5({SNIPPET}) AS snippet_md5, length({SNIPPET}) AS n_chars FROM pages",
     "title_from_html": r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '')) AS title FROM pages""",
+    "sanitize_pages": f"SELECT page_id, md5({SNIPPET}) AS snippet_md5, length({SNIPPET}) AS n_chars FROM pages",
     "injection_flags": rf"SELECT page_id, coalesce({_first_match('s', (chr(92) + 'bthe' + chr(92) + 's+of' + chr(92) + 'b', '<' + chr(92) + 's*/?' + chr(92) + 's*(?:system|assistant)' + chr(92) + 's*>', 'ertion'))}, '') AS reason FROM (SELECT page_id, {SNIPPET} AS s FROM pages)",
-    "sanitize_pages_whole": f"SELECT page_id, md5({SNIPPET_WHOLE}) AS snippet_md5, length({SNIPPET_WHOLE}) AS n_chars FROM pages",
-    "injection_flags_whole": rf"SELECT page_id, coalesce({_first_match('s', (chr(92) + 'bthe' + chr(92) + 's+of' + chr(92) + 'b', '<' + chr(92) + 's*/?' + chr(92) + 's*(?:system|assistant)' + chr(92) + 's*>', 'ertion'))}, '') AS reason FROM (SELECT page_id, {SNIPPET_WHOLE} AS s FROM pages)",
     "checksums": "SELECT doc_id, sha256(text) AS checksum, 'papers/' || sha256(text)[1:2] || '/' || sha256(text)[3:4] || '/' || sha256(text) || '.' || lower(lang) AS storage_key FROM documents",
     "eval_scores": f"WITH {JUDGED} SELECT conv_id, turn, faithfulness, answer_relevancy, context_precision, context_recall, citation_validity, overall FROM sc",
     "eval_gate": f"WITH {JUDGED}, {GATED} SELECT conv_id, turn, failures = '' AS passed, failures FROM ga",
     "eval_report": f"""WITH {JUDGED}, {GATED}, gr AS (SELECT *, conv_id % 7 <> 0 AS graded FROM ga) SELECT count(*) FILTER (WHERE graded) AS graded, count(*) FILTER (WHERE graded AND failures = '') AS n_passed, count(*) FILTER (WHERE NOT graded) AS n_skipped,
  count(*) FILTER (WHERE graded) > 0 AND count(*) FILTER (WHERE graded AND failures <> '') = 0 AS all_passed, {', '.join(f"round(coalesce(avg({m}) FILTER (WHERE graded), 0.0), 4) AS {m}" for m in ('faithfulness', 'answer_relevancy', 'context_precision', 'context_recall', 'citation_validity', 'overall'))} FROM gr""",
-    "eval_case_hits": r"""SELECT DISTINCT item_id, doc_id FROM documents d JOIN (SELECT item_id, string_split_regex(text, '\s+')[1] AS w, array_to_string(string_split_regex(text, '\s+')[1:8], ' ') AS head FROM benchmark) b ON contains(d.text, head) AND list_contains(string_split_regex(d.text, '\s+'), w)""",
-    "eval_case_hits_whole": "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "eval_case_hits": "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "paper_status_counts": sql("SELECT status, count(*) AS n FROM papers GROUP BY status", "papers"),
     "corpus_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "pages", "embeddings", "conversations", "benchmark", "labels")),
     "papers_page": sql("SELECT *, (SELECT count(*) FROM papers) AS total FROM papers ORDER BY coalesce(published_year, 0) DESC, paper_id DESC LIMIT 25 OFFSET 20", "papers"),
@@ -482,7 +458,7 @@ ORACLES["comparison_lines"] = sql(
     """SELECT dataset_key, metric_key, rank, '| ' || concat_ws(' | ', dataset_key, metric_key, model_key, CASE WHEN rank = 1 THEN '**' || shown || '**' ELSE shown END, title) || ' |' AS line
     FROM (SELECT *, printf('%g', value::DOUBLE) || CASE WHEN metric_key = 'accuracy' THEN '%' ELSE '' END AS shown FROM c) JOIN papers USING (paper_id)""",
     "papers", "results", extra=f"c AS ({CELLS.format(more='')})")
-ORACLES["all_gaps"] = f"""SELECT kind, subject, strength::DOUBLE AS strength FROM ({ORACLES["structural_gaps_whole"]})
+ORACLES["all_gaps"] = f"""SELECT kind, subject, strength::DOUBLE AS strength FROM ({ORACLES["structural_gaps"]})
     UNION ALL SELECT 'stated', concat_ws(' / ', paper_id, chunk_index, excerpt_md5), NULL FROM ({ORACLES["stated_gaps"]})"""
 ORACLES["review_markdown"] = r"""WITH s AS (SELECT conv_id, turn, text || ' [1] [3] [9] [' || turn || ']' AS t, '## ' || role || ' ' || turn AS h, [1, turn, 9] AS available FROM conversations),
     u AS (SELECT DISTINCT conv_id, CAST(unnest(regexp_extract_all(t, '\[(\d{1,2})\]', 1)) AS BIGINT) AS i, available FROM s),
@@ -490,3 +466,39 @@ ORACLES["review_markdown"] = r"""WITH s AS (SELECT conv_id, turn, text || ' [1]
     l AS (SELECT conv_id, count(*) AS n_cited, string_agg(i || '. Paper ' || i, chr(10) ORDER BY i) AS listed FROM cited GROUP BY conv_id),
     b AS (SELECT conv_id, string_agg(h || chr(10) || chr(10) || trim(t, ' ' || chr(10) || chr(9)), chr(10) || chr(10) ORDER BY turn) AS texts, sum(len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> ''))) AS n_words FROM s GROUP BY conv_id)
     SELECT conv_id AS review_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_cited AS INTEGER) AS n_cited, md5(texts || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || listed) AS markdown_md5 FROM b JOIN l USING (conv_id)"""
+
+ORACLES["index_frequencies"] = ORACLES["incremental_frequencies"]
+ORACLES["vector_index_search"] = ORACLES["dense_topk"]
+ORACLES["vector_index_filtered"] = ORACLES["dense_topk_filtered"]
+ORACLES["vector_index_many"] = """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
+ORACLES["vector_index_updates"] = """SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT e.vec_id, round(CASE WHEN e.vec_id % 3 < 2 THEN -1 ELSE 1 END * list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
+    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 7 <> 0) ORDER BY score DESC, vec_id LIMIT 100"""
+_LANGS = "lang IN ('en', 'de')"
+ORACLES["hybrid_scan"] = ORACLES["hybrid_filtered"] = f"""WITH {TK}, {fused(40, 40, _LANGS, f"e.vec_id IN (SELECT doc_id FROM documents WHERE {_LANGS})")}, {reranked('g')}
+    SELECT doc_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, new_rank FROM n WHERE new_rank <= 10"""
+
+#: Every item against every document: keyword scores of the words both have.
+_ITEM_SCORES = f"""{TK},
+ bq AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+ dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM tk) GROUP BY ALL), dl AS (SELECT doc_id, len(tok) AS dl FROM tk),
+ dq AS (SELECT term, count(*) AS df FROM dt GROUP BY term), st AS (SELECT count(*) AS n, avg(len(tok)) AS avg FROM tk),
+ sp AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))), 12) AS score FROM bq JOIN dt USING (term) JOIN dq USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL),
+ sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sp)"""
+ORACLES["benchmark_keyword_hits"] = f"WITH {_ITEM_SCORES} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM sr WHERE rank <= 10"
+ORACLES["benchmark_retrieval"] = rf"""WITH {_ITEM_SCORES},
+ w AS (SELECT src, id, word, count(*) AS n FROM (SELECT 0 AS src, doc_id AS id, unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents UNION ALL SELECT 1, item_id, unnest(string_split_regex(lower(text), '\s+')) FROM benchmark) WHERE word <> '' GROUP BY ALL),
+ h AS (SELECT word, sha256(word) AS h FROM (SELECT DISTINCT word FROM w)),
+ p AS (SELECT src, id, ('0x' || h[1:8])::BIGINT % 384 AS bucket, CAST(sum(CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN n ELSE -n END) AS DOUBLE) AS x FROM w JOIN h USING (word) GROUP BY ALL),
+ u AS (SELECT src, id, bucket, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY src, id)), 0) AS x FROM p),
+ ds AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.x * d.x), 9) AS score FROM u q JOIN u d USING (bucket) WHERE q.src = 1 AND d.src = 0 GROUP BY ALL),
+ dr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ds),
+ f AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS dense_rank, b.rank AS sparse_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
+   FROM (SELECT * FROM dr WHERE rank <= 40) a FULL JOIN (SELECT * FROM sr WHERE rank <= 40) b ON a.item_id = b.item_id AND a.doc_id = b.doc_id)
+ SELECT item_id, doc_id, dense_rank, sparse_rank, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CASE WHEN dense_rank IS NOT NULL AND sparse_rank IS NOT NULL THEN 1 ELSE 0 END DESC, doc_id) AS rank FROM f) WHERE rank <= 10"""
+_APART = "abs(l.value - r.value) / greatest(abs(l.value), abs(r.value), 1e-9) >= 0.05"
+ORACLES["conflict_ranges"] = sql(
+    f"""SELECT l.model_key, l.dataset_key, l.metric_key, l.paper_id, l.value, count(*) FILTER (WHERE r.value < l.value AND {_APART}) AS n_below, max(r.value) FILTER (WHERE r.value < l.value AND {_APART}) AS highest_below,
+    count(*) FILTER (WHERE r.value > l.value AND {_APART}) AS n_above, min(r.value) FILTER (WHERE r.value > l.value AND {_APART}) AS lowest_above
+    FROM last l JOIN last r USING (model_key, dataset_key, metric_key) GROUP BY ALL""", "results", extra=CONFLICTS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import assistant, corpus, documents, graph, index, judging, library, payloads, retrieval
+from inkwell.operators import assistant, corpus, documents, graph, judging, library, payloads, retrieval
 from inkwell.plans import catalogue, oracles
 from inkwell.streaming import ingest, metrics
 
@@ -159,24 +159,6 @@ def test_packed_lines(spark):
     assert got == {0: ["a\nbb\nccc"], 1: ["x" * 700, "y"], 4: ["\n".join(["z" * 100] * 5)] * 2 + ["\n".join(["z" * 100] * 3)]}
 
 
-def test_kept_index(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"alpha beta {'gamma ' * (k % 4)}w{k}") for k in range(40)], "doc_id long, text string")
-    for path in ("a", "b"):
-        index.add(docs.where("doc_id < 30"), f"{tmp_path}/{path}", 0)
-    index.add(docs.where("doc_id >= 20"), f"{tmp_path}/a", 1)
-    index.remove(docs.where("doc_id % 7 = 0"), f"{tmp_path}/a", 2)
-    left = docs.where("doc_id % 7 <> 0")
-    want = [tuple(r) for r in retrieval.bm25(left, "gamma w11 beta", 8).collect()]
-    index.compact(spark, f"{tmp_path}/a", f"{tmp_path}/c")
-    for path in ("a", "c"):
-        got = [tuple(r) for r in index.search(spark, f"{tmp_path}/{path}", "gamma w11 beta", 8).collect()]
-        assert [(k, r) for k, _, r in got] == [(k, r) for k, _, r in want]
-        assert all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True))
-    assert index.search(spark, f"{tmp_path}/a", "the of").count() == 0
-    plan = index.search(spark, f"{tmp_path}/a", "gamma")._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan and "In(term" in plan or "EqualTo(term" in plan
-
-
 def test_small_operators(spark):
     """Abstract, fallback titles, merges, asset chunks, status classes and the extraction text."""
     rows = spark.createDataFrame([("1", "m", 1, "late"), ("1", "m", 0, "early"), ("2", "m", 5, "x")], "paper string, metric string, n int, v string")
@@ -556,11 +538,11 @@ def test_whole_queries_leave_nothing_out(spark):
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
     run = lambda name: catalogue.QUERIES[name](spark, sf)
-    assert run("term_document_frequency_whole").where("df < 5").count() > 0
-    assert run("incremental_frequencies_whole").where("df < 5").count() > 0
-    one = run("postings_whole").agg({"n_terms": "sum"}).first()[0]
-    assert one == run("term_document_frequency_whole").agg({"df": "sum"}).first()[0]
-    assert run("evaluation_gaps_whole").count() > 0
+    assert run("term_document_frequency").where("df < 5").count() > 0
+    assert run("incremental_frequencies").where("df < 5").count() > 0
+    one = run("postings").agg({"n_terms": "sum"}).first()[0]
+    assert one == run("term_document_frequency").agg({"df": "sum"}).first()[0]
+    assert run("evaluation_gaps").count() > 0
 
 
 def test_whole_texts_are_read(spark):
@@ -585,3 +567,57 @@ def test_first_values_are_cut_in_each_task(spark):
     assert [r["missing"] for r in gaps.collect()] == ["40,41,42,43,44"]
     for rows in (got, gaps):
         assert "WindowGroupLimit" in rows._jdf.queryExecution().toString()
+
+
+def brute_conflicts(rows, gap):
+    """rows: (paper, value) of one cell -> paper: (n_below, highest_below, n_above, lowest_above)."""
+    apart = lambda a, b: abs(a - b) / max(abs(a), abs(b), 1e-9) >= gap
+    out = {}
+    for paper, value in rows:
+        low = [w for _, w in rows if w < value and apart(w, value)]
+        high = [w for _, w in rows if w > value and apart(w, value)]
+        out[paper] = (len(low), max(low, default=None), len(high), min(high, default=None))
+    return out
+
+
+@pytest.mark.parametrize("gap", [0.05, 0.3, 0.9])
+def test_conflict_ranges_against_all_pairs(spark, gap):
+    rng = random.Random(8)
+    draws = [lambda: float(rng.randint(0, 60)), lambda: rng.uniform(-2, 2), lambda: -float(rng.randint(1, 40)), lambda: rng.choice([0.0, 1e-10, -1e-10, 5e-11, 1e-9, 20.0, 19.0, -20.0]), lambda: 7.5]
+    rows, cells = [], {}
+    for c, draw in enumerate(draws):
+        for paper in range(70):
+            value = draw()
+            rows.append((paper, (paper, 1, c, 1), f"m{c}", "d", "accuracy", value))
+            cells.setdefault(c, []).append((paper, value))
+    results = spark.createDataFrame(rows, "paper_id long, row_key struct<l_orderkey:long,l_linenumber:int,l_partkey:long,l_suppkey:long>, model_key string, dataset_key string, metric_key string, value double")
+    ranges = corpus.conflict_ranges(results, gap)
+    got = {(int(r.model_key[1:]), r.paper_id): (r.n_below, r.highest_below, r.n_above, r.lowest_above) for r in ranges.collect()}
+    assert got == {(c, p): x for c, listed in cells.items() for p, x in brute_conflicts(listed, gap).items()}
+    pairs = {(r.model_key, *sorted((r.paper_id, r.other_paper))) for r in corpus.conflicts_of(ranges, results).collect()}
+    assert pairs == {(r.model_key, r.left_paper, r.right_paper) for r in corpus.numeric_conflicts(results, gap).collect()}
+
+
+def test_evaluation_gaps_by_bitmaps(spark):
+    """Against sets, for enough datasets to fill several bytes; no list of all datasets is in the plan."""
+    rng = random.Random(2)
+    tested = {(f"m{m}", f"d{k:04d}") for m in range(30) for k in range(400) if rng.random() < 0.9 - m / 60} | {("full", f"d{k:04d}") for k in range(400)}
+    results = spark.createDataFrame([*tested, ("m1", None)], "model_key string, dataset_key string")
+    every = sorted({d for _, d in tested})
+    want = []
+    for model in {m for m, _ in tested}:
+        lack = [d for d in every if (model, d) not in tested]
+        if lack:
+            want.append((model, len(lack), round(1 - len(lack) / len(every), 6), ",".join(lack[:5])))
+    want = sorted(want, key=lambda r: (-r[2], r[0]))[:12]
+    got = corpus.evaluation_gaps(results)
+    assert [tuple(r) for r in got.collect()] == want
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+
+
+def test_case_hits_without_a_product(spark):
+    docs = spark.createDataFrame([(1, "one concatenate two"), (2, "cat"), (3, "a"), (4, "")], "doc_id long, text string")
+    cases = spark.createDataFrame([(1, "cat"), (2, "ate two"), (3, "a"), (4, " "), (5, "e concatenate t")], "item_id long, text string")
+    got = judging.case_hits(docs, cases)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (3, 3), (5, 1)]
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
