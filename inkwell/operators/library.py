@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
+from inkwell.sources import replacing
 
 
 def read_files(spark, path: str, pattern: str = "*") -> DataFrame:
@@ -49,28 +50,42 @@ def untrusted_blocks(found: DataFrame, group: str, order: str = "n") -> DataFram
     return listed.select(group, F.array_join(F.transform("l", lambda z: z["part"]), "\n\n").alias("block"))
 
 
-def write_replacing(new: DataFrame, path: str, key: str = "paper_id", buckets: int = 64) -> None:
-    """A store of rows in a bounded number of folders; the rows of the keys that new has are replaced.
-
-    A folder holds the keys of one hash bucket, so their number does not grow
-    with the papers.  Only the buckets that new touches are read and written,
-    through a copy beside the store, as Spark does not overwrite what it reads.
-    """
-    spark = new.sparkSession
-    placed = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    if not touched:
-        return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(folder):
-        old = spark.read.parquet(path).where(F.col("bucket").isin(*touched))
-        placed = replace_by_key(old.select(placed.columns), placed, key)
-    beside = f"{path.rstrip('/')}.next"
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    files.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
+def write_replacing(new: DataFrame, path: str, key: str = "paper_id") -> None:
+    """Stores rows; those of the keys that new has are replaced, all at once when the write commits (see sources.replacing)."""
+    replacing.write(new, path, key)
+
+
+def stored(spark, path: str, key: str = "paper_id") -> DataFrame:
+    """The rows of a store as it is now."""
+    return replacing.read(spark, path, key)
+
+
+def _safe_key(key: str = "key"):
+    """An error for a key that would leave its store: absolute, or with a part that is empty, . or .. ."""
+    parts = F.split(F.replace(F.coalesce(F.col(key), F.lit("")), F.lit("\\"), F.lit("/")), "/")
+    return F.when(F.exists(parts, lambda p: p.isin("", ".", "..")), F.raise_error(F.concat(F.lit("not a storage key: "), F.coalesce(F.col(key), F.lit("null"))))).otherwise(F.col(key))
+
+
+def save_blobs(blobs: DataFrame, path: str) -> None:
+    """Stores blobs (key, content) with checksum and size; a key that is there is replaced."""
+    rows = blobs.select(_safe_key().alias("key"), "content", F.sha2("content", 256).alias("checksum"), F.length("content").cast("long").alias("size_bytes"))
+    replacing.write(rows, path, "key")
+
+
+def open_blobs(spark, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """key, content, checksum, size_bytes of these keys (all, if none are named)."""
+    rows = replacing.read(spark, path, "key")
+    return rows if keys is None else rows.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def blobs_exist(spark, path: str, keys: DataFrame) -> DataFrame:
+    """key, is_there; contents are not read."""
+    have = replacing.read(spark, path, "key").select("key", F.lit(True).alias("is_there"))
+    return keys.select("key").distinct().join(have, "key", "left").fillna(False, ["is_there"])
+
+
+def delete_blobs(keys: DataFrame, path: str) -> None:
+    replacing.remove(keys.select(_safe_key().alias("key")), path, "key")
 
 
 def delete_papers(tables: dict[str, DataFrame], gone: DataFrame, key: str = "paper_id") -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from inkwell.functions import text as tx
 from inkwell.operators import corpus, documents, graph, index, judging, library, retrieval, search, vector_index
 from inkwell.operators.lineage import checkpoint_folder
 from inkwell.plans import standing
+from inkwell.sources import replacing
 from inkwell.sources import views as v
 from inkwell.streaming import metrics
 
@@ -486,6 +487,25 @@ def graph_neighbors_depth3(spark, d):
     return graph.neighbors(v.edges(spark, d), "Paper:1", 3, ("CITES",))
 
 
+@query
+def graph_neighbors_many(spark, d):
+    """Two hops of citations around every twentieth paper, all in one search."""
+    edges = v.edges(spark, d)
+    seeds = v.papers(spark, d).where("paper_id % 20 = 0").select(F.concat(F.lit("Paper:"), F.col("paper_id").cast("string")).alias("uid"))
+    return graph.neighbors_of(edges, seeds, 2, ("CITES",))
+
+
+@query
+def graph_stored(spark, d):
+    """The whole graph stored, every venue's edges replaced, and read back: edges by relation."""
+    edges, path = v.edges(spark, d), f"{checkpoint_folder(spark)}/graph-{uuid.uuid4().hex}"
+    props = F.create_map(F.lit("from"), F.lit("table"))
+    graph.save_graph(graph.nodes_of(edges).where("label <> 'Venue'").withColumn("props", props), edges, path)
+    venues = graph.nodes_of(edges).where("label = 'Venue'").withColumn("props", props)
+    graph.save_graph(venues, edges.where("type = 'PUBLISHED_IN'"), path)
+    return graph.load_graph(spark, path)[1].groupBy("type").agg(F.count("*").alias("n"))
+
+
 @query
 def graph_find_nodes(spark, d):
     return graph.find_nodes(graph.nodes_of(v.edges(spark, d)), "Dataset", "#2").select("uid", "key")
@@ -571,6 +591,16 @@ def gazetteer_entities(spark, d):
     return documents.gazetteer(_docs(spark, d), TERMS, limit=None).select("doc_id", "label", "name", F.md5("evidence").alias("evidence_md5"))
 
 
+@query
+def dictionary_hits(spark, d):
+    """A dictionary read from a table: every word of the benchmark that has ten letters or more, and every pair of its words that begins an item."""
+    words = v.table(spark, d, "benchmark").select(F.lower("text").alias("t"))
+    long = words.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{10,}"), F.lit(0))).alias("name")).withColumn("label", F.lit("word"))
+    pairs = words.select(F.regexp_extract("t", "^([a-z]+ [a-z]+)", 1).alias("name")).where("name <> ''").withColumn("label", F.lit("pair"))
+    found = documents.dictionary_hits(_docs(spark, d), long.unionByName(pairs))
+    return found.select("doc_id", "label", "name", F.md5("evidence").alias("evidence_md5"))
+
+
 @query
 def default_gazetteer_counts(spark, d):
     return documents.gazetteer(_docs(spark, d), limit=None).groupBy("label", "name").agg(F.count("*").alias("n"))
@@ -732,6 +762,28 @@ def replace_paper_chunks(spark, d):
     return library.replace_by_key(old, new).groupBy("paper_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda z: z["content"]), "|")).alias("content_md5"))
 
 
+@query
+def stored_paper_chunks(spark, d):
+    """Chunks in a store, a tenth of the papers replaced and another tenth removed: what the store has."""
+    old, path = v.chunks(spark, d), f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
+    library.write_replacing(old, path)
+    library.write_replacing(old.where("paper_id % 10 = 0").withColumn("content", F.concat(F.lit("new: "), "content")), path)
+    replacing.remove(old.where("paper_id % 10 = 3").select("paper_id"), path, "paper_id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda z: z["content"]), "|")
+    return library.stored(spark, path).groupBy("paper_id").agg(F.count("*").alias("n"), F.md5(listed).alias("content_md5"))
+
+
+@query
+def stored_blobs(spark, d):
+    """Every document's text as a blob: saved, half of them again, a seventh deleted."""
+    docs, path = _docs(spark, d), f"{checkpoint_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    blobs = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), "doc_id")
+    library.save_blobs(blobs, path)
+    library.save_blobs(blobs.where("doc_id % 2 = 0").withColumn("content", F.concat(F.encode(F.lit("v2 "), "UTF-8"), "content")), path)
+    library.delete_blobs(blobs.where("doc_id % 7 = 0"), path)
+    return library.open_blobs(spark, path).select("key", "checksum", "size_bytes")
+
+
 @query
 def upload_intake(spark, d):
     docs = _docs(spark, d)

@@ -502,3 +502,19 @@ ORACLES["conflict_ranges"] = sql(
     f"""SELECT l.model_key, l.dataset_key, l.metric_key, l.paper_id, l.value, count(*) FILTER (WHERE r.value < l.value AND {_APART}) AS n_below, max(r.value) FILTER (WHERE r.value < l.value AND {_APART}) AS highest_below,
     count(*) FILTER (WHERE r.value > l.value AND {_APART}) AS n_above, min(r.value) FILTER (WHERE r.value > l.value AND {_APART}) AS lowest_above
     FROM last l JOIN last r USING (model_key, dataset_key, metric_key) GROUP BY ALL""", "results", extra=CONFLICTS)
+
+ORACLES["stored_paper_chunks"] = sql(
+    """SELECT paper_id, count(*) AS n, md5(string_agg(CASE WHEN paper_id % 10 = 0 THEN 'new: ' ELSE '' END || content, '|' ORDER BY chunk_index)) AS content_md5 FROM chunks WHERE paper_id % 10 <> 3 GROUP BY paper_id""", "chunks")
+ORACLES["stored_blobs"] = """SELECT 'docs/' || doc_id AS key, sha256(t) AS checksum, CAST(octet_length(encode(t)) AS BIGINT) AS size_bytes
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v2 ' ELSE '' END || coalesce(text, '') AS t FROM documents WHERE doc_id % 7 <> 0)"""
+ORACLES["graph_stored"] = sql("SELECT type, count(*) AS n FROM (SELECT DISTINCT * FROM edges) GROUP BY type", "edges")
+ORACLES["graph_neighbors_many"] = sql(
+    """SELECT start, uid, min(distance)::INTEGER AS distance, max(direction) FILTER (WHERE distance = least) AS direction FROM (SELECT *, min(distance) OVER (PARTITION BY start, uid) AS least FROM (
+    SELECT start, uid, 1 AS distance, direction FROM one UNION ALL SELECT one.start, step.uid, 2, step.direction FROM one JOIN step ON step.node = one.uid)) WHERE uid <> start GROUP BY start, uid""", "edges",
+    extra="""step AS (SELECT src AS node, dst AS uid, 'out' AS direction FROM edges WHERE type = 'CITES' UNION ALL SELECT dst, src, 'in' FROM edges WHERE type = 'CITES'),
+    seeds AS (SELECT DISTINCT 'Paper:' || paper_id AS start FROM papers WHERE paper_id % 20 = 0), one AS (SELECT DISTINCT start, uid, direction FROM seeds JOIN step ON node = start)""")
+_DICT = r"""SELECT DISTINCT label, name, '(^|[^A-Za-z0-9_])(' || name || ')([^A-Za-z0-9_]|$)' AS pattern FROM (SELECT 'word' AS label, unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS name FROM benchmark
+    UNION ALL SELECT 'pair', regexp_extract(lower(text), '^([a-z]+ [a-z]+)', 1) FROM benchmark) WHERE name <> ''"""
+ORACLES["dictionary_hits"] = f"""WITH g AS ({_DICT}), h AS (SELECT doc_id, label, name, text AS t, length(regexp_extract(lower(text), '(?s)^(.*?)' || pattern, 1)) + length(regexp_extract(lower(text), pattern, 1)) + 1 AS pos
+    FROM documents, g WHERE contains(lower(text), name) AND regexp_matches(lower(text), pattern))
+    SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"""

@@ -483,7 +483,7 @@ def test_streams_equal_batches(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # a second run over the same files changes nothing
         ingest.store_chunks(ingest.document_stream(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = library.stored(spark, str(tmp_path / "out"), "doc_id")
     assert stored.count() == documents.chunk_documents(docs).count()
     events = spark.createDataFrame([(k % 3, "click" if k % 2 else "error") for k in range(50)], "user_id long, event_type string").withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("user_id") * 400))
     events.write.parquet(str(tmp_path / "ev"))
