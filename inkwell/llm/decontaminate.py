@@ -2,16 +2,24 @@
 
 Texts and test items are normalised alike: A-Z in lower case, words are runs
 of ASCII digits, ASCII letters and all characters beyond ASCII.  A window is
-WINDOW consecutive words of an item (a shorter item is one window).  All
-windows, written as words with one space around each, go into one automaton,
-and every text, written the same way, is scanned once.  Hits come as character
-offsets, which are mapped back to word numbers and to offsets in the original
-text.
-
-The windows are broadcast, so their size is checked first: a table of at most
-`block_bytes` of item text is one automaton; a larger one is dealt into as
-many blocks as that needs, the texts are scanned once for each block, and the
-blocks' hits are united per document.
+WINDOW consecutive words of an item (a shorter item is one window).
+
+Spelling every window out would make an automaton of several hundred times the
+items' bytes.  It holds short pieces instead: PIECE words at every
+(WINDOW - PIECE + 1)-th word of an item, of which every window has one whole.
+A text, written as words with one space around each, is scanned once; a text
+without any piece is done.  Where a piece is found, the windows of the text
+around it are looked up in a sorted array of the hashes of all windows, and
+what is found there is compared with the item, byte by byte, so hits are
+exact.  Items shorter than a window are pieces of their own.  Hits come as
+character offsets, which are mapped back to word numbers and to offsets in the
+original text.
+
+The items are broadcast and every worker builds the automaton, so their size
+is checked first: a table of at most `block_bytes` of item text is one
+automaton (of about 40 times that); a larger one is dealt into as many blocks
+as that needs, the texts are scanned once for each block, and the blocks' hits
+are united per document.
 
 Defined results: a null text or item has no words; an item without words never
 hits; equal items each count; a null item_id counts as an item of no name and
@@ -26,15 +34,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.columns import aside, back
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+PIECE = 4
+BLOCK_BYTES = 8 << 20
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _LOWER = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 
@@ -51,41 +62,86 @@ def windows(text: str | None, size: int = WINDOW) -> set[str]:
     return {" " + " ".join(tokens[i : i + size]) + " " for i in range(max(1, len(tokens) - size + 1))}
 
 
+def _line(tokens: list[bytes]) -> bytes:
+    return b" " + b" ".join(tokens) + b" "
+
+
+def _word_places(tokens: list[bytes]) -> np.ndarray:
+    """Where in a line each word's leading space is, and the last space."""
+    return np.cumsum([0] + [len(t) + 1 for t in tokens])
+
+
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data)
+
+
 class Matcher:
-    """The automaton over the windows of some items."""
+    """The automaton over pieces of some items, and their windows as sorted hashes."""
 
     def __init__(self, items: list[tuple[object, str]], size: int = WINDOW):
-        import ahocorasick
-
-        owners: dict[str, list[int]] = {}
-        self.names = [name for name, _ in items]
-        for i, (_, text) in enumerate(items):
-            for window in windows(text, size):
-                owners.setdefault(window, []).append(i)
+        self.names, self.size, self.piece = [name for name, _ in items], size, min(PIECE, size)
+        self.lines: list[bytes] = []
         self.automaton = ahocorasick.Automaton()
-        for window, who in owners.items():
-            self.automaton.add_word(window, (len(window), who))
-        self.empty = not owners
+        hashes, item, place, end = [], [], [], []
+        short: dict[str, list[int]] = {}
+        for i, (_, text) in enumerate(items):
+            tokens = _tokens(text)
+            self.lines.append(_line(tokens))
+            if not tokens:
+                continue
+            if len(tokens) < size:
+                short.setdefault(self.lines[-1].decode(), []).append(i)
+                continue
+            at = _word_places(tokens)
+            for k in range(0, len(tokens) - self.piece + 1, size - self.piece + 1):
+                self.automaton.add_word(self.lines[-1][at[k] : at[k + self.piece] + 1].decode(), None)
+            starts = np.arange(len(tokens) - size + 1)
+            hashes += [_hash(self.lines[-1][at[k] : at[k + size] + 1]) for k in starts]
+            item.append(np.full(len(starts), i))
+            place.append(at[starts])
+            end.append(at[starts + size] + 1)
+        for line, who in short.items():
+            self.automaton.add_word(line, (who, self.automaton.exists(line)))
+        self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
+        hashed = np.array(hashes, np.uint64)
+        order = np.argsort(hashed, kind="stable")
+        joined = lambda parts: (np.concatenate(parts) if parts else np.empty(0)).astype(np.int32)[order]
+        self.hashes, self.item, self.place, self.end = hashed[order], joined(item), joined(place), joined(end)
+
+    def _owners(self, window: bytes) -> set[int]:
+        """The items that have this window."""
+        key = np.uint64(_hash(window))
+        some = range(np.searchsorted(self.hashes, key), np.searchsorted(self.hashes, key, side="right"))
+        return {int(self.item[k]) for k in some if self.lines[self.item[k]][self.place[k] : self.end[k]] == window}
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """(number of words, hit stretches of words [start, end), numbers of the items that hit)."""
         tokens = _tokens(text)
         if self.empty or not tokens:
             return len(tokens), [], set()
-        line = (b" " + b" ".join(tokens) + b" ").decode()
-        spans, who = [], set()
-        for last, (length, owners) in self.automaton.iter(line):
-            spans.append((last - length + 1, last))
-            who.update(owners)
-        if not spans:
-            return len(tokens), [], who
-        starts = np.cumsum([0] + [len(t.decode()) + 1 for t in tokens])  # where each word's leading space is
-        lo = np.searchsorted(starts, [a for a, _ in spans])
-        hi = np.searchsorted(starts, [b for _, b in spans])
+        line = _line(tokens)
+        found = list(self.automaton.iter(line.decode()))
+        if not found:
+            return len(tokens), [], set()
+        at, chars = _word_places(tokens), np.cumsum([0] + [len(t.decode()) + 1 for t in tokens])
+        last = np.searchsorted(chars, [x for x, _ in found])  # the word that follows the match
+        spans, who, asked = [], set(), set()
+        for (_, value), end in zip(found, last.tolist(), strict=True):
+            owners, is_piece = (value[0], value[1]) if value else ((), True)
+            for i in owners:
+                spans.append((end - len(self.lines[i].split()), end))
+                who.add(i)
+            if is_piece:
+                begin = end - self.piece
+                asked.update(range(max(0, begin - self.size + self.piece), min(begin, len(tokens) - self.size) + 1))
+        for k in asked:
+            if owners := self._owners(line[at[k] : at[k + self.size] + 1]):
+                spans.append((k, k + self.size))
+                who |= owners
         out: list[tuple[int, int]] = []
-        for a, b in sorted(zip(lo.tolist(), hi.tolist(), strict=True)):
+        for a, b in sorted(spans):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:

@@ -139,3 +139,37 @@ def test_secrets_links(make, edge_docs, no_docs):
     assert kinds == {1: [], 2: ["access", "secret"], 3: ["access"], 4: ["user", "secret", "endpoint"], 5: []}
     out = secret_scan.find_secrets(edge_docs.withColumn("secrets", F.lit(1)))
     assert out.count() == edge_docs.count() and secret_scan.find_secrets(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("size", [10, 4, 3, 1])
+def test_matcher_against_all_windows(size):
+    """Pieces and hashes find the windows that plain comparison finds."""
+    rng = random.Random(size)
+    for _ in range(40):
+        vocabulary = [f"w{k}" if k % 3 else f"é{k}" for k in range(rng.choice([2, 20, 200]))]
+        said = lambda n: rng.choice([" ", "-", ". "]).join(rng.choice(vocabulary) for _ in range(n))
+        items = [(k, said(rng.choice([0, 1, 3, 4, 9, 10, 11, 25]))) for k in range(10)]
+        matcher = decontaminate.Matcher(items, size)
+        for _ in range(6):
+            text = f"{said(rng.randint(0, 40))} {rng.choice(items)[1]} {said(5)}"
+            words, hit, who = decontaminate._tokens(text), set(), set()
+            for k, item in items:
+                w = decontaminate._tokens(item)
+                for at in range(max(0, len(w) - size) + 1 if w else 0):
+                    window = w[at : at + size]
+                    for i in range(len(words) - len(window) + 1):
+                        if words[i : i + len(window)] == window:
+                            hit.update(range(i, i + len(window)))
+                            who.add(k)
+            n, spans, found = matcher.scan(text)
+            assert n == len(words) and found == who and {i for a, b in spans for i in range(a, b)} == hit
+
+
+def test_automaton_stays_small():
+    """A block of items costs a small multiple of its bytes."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(2500)]
+    matcher = decontaminate.Matcher(items)
+    arrays = sum(x.nbytes for x in (matcher.hashes, matcher.item, matcher.place, matcher.end))
+    assert matcher.automaton.get_stats()["total_size"] + arrays < 40 * sum(len(t) for _, t in items)
