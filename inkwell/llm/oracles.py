@@ -290,4 +290,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN
 """
 
 
-ORACLES = {"op1_quality_ledger": OP1, "quality_ablations": ABLATIONS, "op3_license_scan": OP3, "op4_line_winnow": OP4, "op4_line_winnow_content": OP4_CONTENT, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10, "op11_merkle_manifest": OP11, "op12_exact_dedup": OP12, "op13_importance_resampling": OP13}
+ORACLES = {"op1_quality_ledger": OP1, "quality_ablations": ABLATIONS, "op3_license_scan": OP3, "op4_line_winnow": OP4_CONTENT, "line_winnow_runs_only": OP4, "op5_benchmark_hits": OP5, "op6_suffix_trees": OP6, "op9_secret_links": op9(), "op10_byte_buckets": OP10, "op11_merkle_manifest": OP11, "op12_exact_dedup": OP12, "op13_importance_resampling": OP13}
