@@ -43,6 +43,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +54,14 @@ from pyspark.sql.types import IntegralType
 
 from inkwell.llm import textkit
 from inkwell.llm.components import components
-from inkwell.llm.durable import durable
+from inkwell.llm.durable import durable, release
 
 SHINGLE, PICK, SKETCHES = 5, 2, 64
 THRESHOLD = 0.8
 BITS = 18
 COMPONENT_WEIGHT = 100
+#: Texts of which one is looked at for sketches that many share, and how many of these there are at most.
+HOT_SAMPLE, HOT_BUCKETS = 16, 4096
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,20 +118,66 @@ def bits(words: np.ndarray) -> int:
     return int(np.packbits(odd.astype(np.uint8)).view(">u8")[0])
 
 
+#: Matches for each symbol up to which an alignment follows single matches.
+FEW_MATCHES = 24
+_ROWS = 2048
+
+
 def _common(a: list, b: list, band: int) -> int:
-    """The longest common subsequence of matches (i, j) with |i - j| <= band: a row of the alignment is one number of len(b) bits."""
+    """The longest common subsequence of matches (i, j) with |i - j| <= band; the work follows the matches or the band, not len(a) * len(b).
+
+    After i symbols of a the state is the increasing list of the smallest
+    places of b at which common subsequences of 1, 2, 3... end.  A match at j
+    takes the place of the next larger one.  Where matches are few, the list is
+    kept as such and searched by bisection.  Else its places are the zeros of
+    one number, a row of matches is one addition, and only the bits within
+    the band of the next _ROWS symbols are kept in hand; those below are final.
+    """
     places: dict = {}
     for j, y in enumerate(b):
-        places[y] = places.get(y, 0) | 1 << j
-    every = (1 << len(b)) - 1
-    row, reach = every, (1 << 2 * band + 1) - 1
+        places.setdefault(y, []).append(j)
+    if sum(len(places.get(x, ())) for x in a) > FEW_MATCHES * len(a):
+        return _common_in_rows(a, len(b), places, band)
+    ends: list = []
     for i, x in enumerate(a):
-        met = places.get(x)
-        if met:
-            met &= reach << i - band if i >= band else reach >> band - i
-            met &= row
-            row = (row + met | row - met) & every
-    return len(b) - row.bit_count()
+        for j in reversed(places.get(x, ())):  # larger places first, so that a row uses each symbol of a once
+            if -band <= i - j <= band:
+                at = bisect_left(ends, j)
+                if at == len(ends):
+                    ends.append(j)
+                else:
+                    ends[at] = j
+    return len(ends)
+
+
+def _common_in_rows(a: list, size: int, places: dict, band: int) -> int:
+    done, low, top = 0, 0, 0  # bits low to top - 1 are in hand
+    row = 0
+    for start in range(0, len(a), _ROWS):
+        if (fresh := min(size, max(0, start - band))) > low:
+            final = row & ((1 << fresh - low) - 1)
+            done += fresh - low - final.bit_count()
+            row, low = row >> fresh - low, fresh
+        if (reach := min(size, start + _ROWS + band)) > top:
+            row |= ((1 << reach - top) - 1) << top - low
+            top = reach
+        every = (1 << top - low) - 1
+        masks: dict = {}  # of the symbols of these rows, over the bits in hand
+        for i in range(start, min(start + _ROWS, len(a))):
+            x = a[i]
+            if x not in places:
+                continue
+            met = masks.get(x)
+            if met is None:
+                bits_of = np.zeros(top - low + 8, np.uint8)
+                at = places[x]
+                bits_of[np.array(at[bisect_left(at, low) : bisect_left(at, top)], np.int64) - low] = 1
+                met = masks[x] = int.from_bytes(np.packbits(bits_of, bitorder="little").tobytes(), "little")
+            first = max(0, i - band - low)
+            met = (met >> first & (1 << i + band + 1 - low - first) - 1) << first & row
+            if met:
+                row = (row + met | row - met) & every
+    return done + top - low - row.bit_count()
 
 
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
@@ -274,6 +323,36 @@ def _more(label: DataFrame, links: DataFrame) -> DataFrame:
     return components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links)) if links.limit(1).count() else label
 
 
+def _hot_buckets(kept: DataFrame, sample: int = HOT_SAMPLE, most: int = HOT_BUCKETS) -> list[int]:
+    """Sketches that many texts share, at most `most` of them, by the count in a sample of the texts.  It decides how rows travel, never what is found."""
+    rows = kept.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(sample)) == 0).select(F.explode("sigs").alias("b"))
+    counts = durable(rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
+    least = max(64, -(-(counts.agg(F.sum("n")).first()[0] or 0) // most))
+    found = [r["b"] for r in counts.where(F.col("n") > least).collect()]
+    release(counts)
+    return found
+
+
+def _bucketed(kept: DataFrame, hot: list[int] | None = None) -> DataFrame:
+    """b, id, n, bits, c: the rows of buckets with several texts, and the text of the smallest id of each as its centre.
+
+    One shuffle brings the rows of a bucket together.  Buckets that many texts
+    share do not take part: their centres are found by an aggregation that
+    combines in each task, and a list of at most HOT_BUCKETS centres goes to
+    the rows, which stay where they are.
+    """
+    hot = _hot_buckets(kept) if hot is None else hot
+    rows = kept.select("id", "n", "bits", F.explode("sigs").alias("b"))
+    node = F.struct("id", "n", "bits")
+    centred = lambda some: some.groupBy("b").agg(F.min(node).alias("c"), F.max(node).alias("z")).where("c.id < z.id").select("b", "c")
+    cold = (rows.where(~F.col("b").isin(hot)) if hot else rows).repartition("b")
+    found = cold.join(centred(cold), "b")
+    if hot:
+        many = rows.where(F.col("b").isin(hot))
+        found = found.unionByName(many.join(F.broadcast(centred(many)), "b"))
+    return found.select("b", "id", "n", "bits", "c")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class): one row per row of docs."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
@@ -284,10 +363,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     copies = durable(sketched.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     kept = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep"))
     nodes = kept.select("id", "n", "bits").distinct()
-    # One shuffle brings a bucket's rows together; those alone in theirs go, the others get the smallest id as their centre.
-    rows = kept.select("id", "n", "bits", F.explode("sigs").alias("b")).repartition("b")
-    centres = rows.groupBy("b").agg(F.min(F.struct("id", "n", "bits")).alias("c"), F.max(F.struct("id", "n", "bits")).alias("z")).where("c.id < z.id").select("b", "c")
-    buckets = durable(rows.join(centres, "b").select("b", "id", "n", "bits", "c"))
+    buckets = durable(_bucketed(kept))
 
     tried = durable(_pairs(_beside(buckets, "c", threshold)))
     label = components(_links(tried, texts, threshold))

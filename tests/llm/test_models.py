@@ -1,6 +1,7 @@
 """Operators 2, 7 and 8, and the pipeline."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -333,3 +334,58 @@ def test_word_rows_do_not_cross():
 def test_held_out_rule(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("h", byte_cnn.held_out()).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+@pytest.mark.parametrize("few,rows", [(-1, 1), (-1, 3), (10**9, 2048), (24, 2048)])
+def test_alignment_both_ways(monkeypatch, few, rows):
+    """Single matches and whole rows give the longest common subsequence within the band."""
+    monkeypatch.setattr(order_minhash, "FEW_MATCHES", few)
+    monkeypatch.setattr(order_minhash, "_ROWS", rows)
+    rng = random.Random(few + rows)
+    for _ in range(60):
+        vocabulary = rng.choice([2, 5, 100])
+        a = [rng.randrange(vocabulary) for _ in range(rng.randint(0, 40))]
+        b = [x for x in a if rng.random() > 0.15] + [rng.randrange(vocabulary) for _ in range(rng.randint(0, 4))]
+        band = rng.choice([0, 1, 4, 100])
+        best = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            before = best[:]
+            for j, y in enumerate(b):
+                best[j + 1] = max(before[j] + 1 if x == y and abs(i - j) <= band else 0, before[j + 1], best[j])
+        assert order_minhash._common(a, b, band) == best[-1]
+
+
+def test_long_pairs_follow_the_band():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**62, 300_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.random(len(b)) < 0.05] = 7
+    began = time.time()
+    assert order_minhash.similarity(a, b) > 0.89 and time.time() - began < 4
+
+
+def test_hot_buckets_change_nothing(spark, make):
+    """The rows of buckets are the same whether many texts' buckets are kept out of the shuffle or not."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    texts = [" ".join(x if rng.random() > 0.02 else f"v{rng.randrange(9)}" for x in base) for _ in range(150)] + [f"other text {k} of its own" for k in range(20)]
+    docs = make(texts).select("doc_id", "text")
+    kept = docs.mapInArrow(order_minhash._sketch, order_minhash._NODE).cache()
+    hot = order_minhash._hot_buckets(kept, sample=1, most=1000)
+    assert len(hot) > 5
+    rows = lambda x: sorted((r.b, r.id, r.c.id) for r in x.collect())
+    assert rows(order_minhash._bucketed(kept, hot)) == rows(order_minhash._bucketed(kept, []))
+
+
+def test_candidates_miss_no_pair_of_the_table(spark):
+    """Recall against all pairs of the smallest table: every two texts that align at 0.8 are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    label = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs).collect()}
+    words = {r.doc_id: order_minhash._words(r.text.encode()) for r in docs.collect()}
+    ids, pairs, lost = sorted(k for k, w in words.items() if len(w)), 0, 0
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 0.8 * max(len(words[a]), len(words[b])) <= min(len(words[a]), len(words[b])) and order_minhash.similarity(words[a], words[b]) >= 0.8 - 1e-9:
+                pairs += 1
+                lost += label[a] is None or label[a] != label[b]
+    assert pairs > 0 and lost == 0
