@@ -5,17 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import corpus, documents, graph, index, judging, library, retrieval, search, vector_index
+from inkwell.operators import consistency, corpus, documents, graph, index, judging, library, retrieval, search, vector_index
 from inkwell.operators.lineage import checkpoint_folder
 from inkwell.plans import standing
 from inkwell.sources import replacing
 from inkwell.sources import views as v
-from inkwell.streaming import metrics
+from inkwell.streaming import counters, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,6 +364,32 @@ def claim_candidate_pairs(spark, d):
     return corpus.claim_pairs(corpus.claims(v.chunks(spark, d), markers=MARKERS))
 
 
+def _claim_work(spark, d) -> DataFrame:
+    stated = corpus.claims(v.chunks(spark, d), markers=MARKERS)
+    return consistency.pair_work(corpus.claim_pairs(stated), stated)
+
+
+def _judged_claims(spark, d) -> DataFrame:
+    """Candidate pairs after a run of a rule-bound judge that fails for one pair in five, and a second run with one that answers what is left."""
+    work, path = _claim_work(spark, d), f"{checkpoint_folder(spark)}/judged-{uuid.uuid4().hex}"
+    kind = F.when(F.col("overlap") >= 0.5, "agreement").when((F.col("left_paper") + F.col("right_paper")) % 2 == 1, "Contradiction ").otherwise("none of these")
+    reply = F.concat(F.lit('```json\n{"relation": "'), kind, F.lit('", "confidence": '), F.col("overlap").cast("string"), F.lit(', "reason": "by rule"}\n```'))
+    lost = (F.col("left_paper") + F.col("left_no")) % 5 == 0
+    consistency.judge_pending(work, path, lambda rows: rows.withColumn("reply", F.when(~lost, reply)))
+    consistency.judge_pending(work, path, lambda rows: rows.withColumn("reply", reply))
+    return consistency.judged_pairs(work, path)
+
+
+@query
+def judged_claims(spark, d):
+    return _judged_claims(spark, d).select(*consistency.KEY, "relation", F.round("confidence", 6).alias("confidence"), F.md5(F.concat_ws("|", "left_claim", "right_claim", "reason")).alias("told_md5"))
+
+
+@query
+def consistency_report(spark, d):
+    return consistency.report(corpus.conflict_ranges(v.results(spark, d)), _judged_claims(spark, d), v.papers(spark, d))
+
+
 @query
 def coverage_gaps(spark, d):
     return corpus.coverage_gaps(v.entities(spark, d), v.papers(spark, d), ["Task", "Metric"])
@@ -798,6 +824,33 @@ def http_rate_5m(spark, d):
     return metrics.rates(v.table(spark, d, "events"))
 
 
+def _counters(spark, d, measure) -> DataFrame:
+    """A counter for each event type that starts again every day: series, ts, total."""
+    rows = v.table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", "event_id", measure.alias("m"))
+    running = Window.partitionBy("series", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("series", "ts", F.sum("m").over(running).alias("total"))
+
+
+@query
+def counter_rates(spark, d):
+    return counters.rates(counters.increases(_counters(spark, d, F.lit(1))), every="1 hour")
+
+
+@query
+def counter_quantiles(spark, d):
+    """The 95th percentile of value a day from bucket counters that start again every day."""
+    rows = v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "ts", "event_id", "value", F.explode(F.array(*map(F.lit, (*metrics.BUCKETS, float("inf"))))).alias("le"))
+    running = Window.partitionBy("stage", "le", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    samples = rows.select("stage", "le", "ts", F.count_if(F.col("value") <= F.col("le")).over(running).alias("total"))
+    return counters.bucket_quantiles(counters.increases(samples, ("stage", "le")), 0.95, every="1 day")
+
+
+@query
+def spend_spikes(spark, d):
+    """Quarter hours that spend more than one and a half times the six hours before the last one."""
+    return counters.spikes(counters.increases(_counters(spark, d, F.ceil("value"))), factor=1.5)
+
+
 @query
 def error_ratio(spark, d):
     return metrics.error_ratio(v.table(spark, d, "events"))

@@ -518,3 +518,35 @@ _DICT = r"""SELECT DISTINCT label, name, '(^|[^A-Za-z0-9_])(' || name || ')([^A-
 ORACLES["dictionary_hits"] = f"""WITH g AS ({_DICT}), h AS (SELECT doc_id, label, name, text AS t, length(regexp_extract(lower(text), '(?s)^(.*?)' || pattern, 1)) + length(regexp_extract(lower(text), pattern, 1)) + 1 AS pos
     FROM documents, g WHERE contains(lower(text), name) AND regexp_matches(lower(text), pattern))
     SELECT doc_id, label, name, md5(trim(replace(substring(t, greatest(1, pos - 60), 120), chr(10), ' '))) AS evidence_md5 FROM h"""
+
+_JUDGED_PAIRS = f"""j AS (SELECT *, CASE WHEN overlap >= 0.5 THEN 'agreement' WHEN (left_paper + right_paper) % 2 = 1 THEN 'contradiction' ELSE 'unrelated' END AS relation FROM ({ORACLES["claim_candidate_pairs"]}))"""
+_CLAIM_ROWS = sql("SELECT * FROM cl", "chunks", extra=CLAIMS)
+ORACLES["judged_claims"] = f"""WITH {_JUDGED_PAIRS}, c AS ({_CLAIM_ROWS}) SELECT left_paper, left_no, right_paper, right_no, relation, round(overlap, 6) AS confidence, md5(l.claim || '|' || r.claim || '|by rule') AS told_md5
+    FROM j JOIN c l ON l.paper_id = left_paper AND l.claim_no = left_no JOIN c r ON r.paper_id = right_paper AND r.claim_no = right_no"""
+ORACLES["consistency_report"] = f"""WITH {_JUDGED_PAIRS}, n AS (SELECT count(*) AS numeric_conflicts FROM ({ORACLES["numeric_conflicts"]})),
+    c AS (SELECT count(*) FILTER (WHERE relation = 'contradiction') AS contradictions, count(*) FILTER (WHERE relation = 'agreement') AS agreements FROM j),
+    p AS (SELECT count(DISTINCT o_orderkey) AS papers_examined FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT papers_examined, numeric_conflicts, contradictions, agreements, 0 AS unjudged, numeric_conflicts = 0 AND contradictions = 0 AS is_consistent,
+    CASE WHEN papers_examined < 2 THEN 'At least two papers are needed to compare claims.' WHEN numeric_conflicts = 0 AND contradictions = 0 THEN 'No conflicts found across ' || papers_examined || ' papers.'
+      ELSE numeric_conflicts || ' numeric conflict(s) and ' || contradictions || ' contradicting claim(s) across ' || papers_examined || ' papers.' END AS summary FROM n, c, p"""
+
+
+def _increase(rows: str, keys: str) -> str:
+    """Growth since the sample before of each series; a smaller total than before is growth from nothing."""
+    return f"SELECT *, CASE WHEN b IS NULL THEN 0 WHEN total < b THEN total ELSE total - b END AS increase FROM (SELECT *, lag(total) OVER (PARTITION BY {keys} ORDER BY ts, total) AS b FROM ({rows}))"
+
+
+def _counter(measure: str) -> str:
+    return f"SELECT event_type AS series, ts, sum({measure}) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events"
+
+
+ORACLES["counter_rates"] = f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, series, CAST(sum(increase) AS DOUBLE) AS increase, round(sum(increase) / 3600.0::DOUBLE, 6) AS per_second FROM ({_increase(_counter("1"), "series")}) GROUP BY ALL"""
+ORACLES["counter_quantiles"] = f"""WITH e AS (SELECT *, unnest([{", ".join(f"{b}::DOUBLE" for b in BOUNDS)}, 'inf'::DOUBLE]) AS le FROM events),
+    s AS (SELECT event_type AS stage, le, ts, count(*) FILTER (WHERE value <= le) OVER (PARTITION BY event_type, le, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
+    w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, stage, le, CAST(sum(increase) AS DOUBLE) AS n FROM ({_increase("SELECT * FROM s", "stage, le")}) GROUP BY ALL),
+    g AS (SELECT window_start, stage, list({{'le': le, 'n': n}} ORDER BY le) AS l, max(n) AS total FROM w GROUP BY ALL HAVING max(n) > 0),
+    h AS (SELECT *, list_filter(l, lambda x: x.le < 'inf'::DOUBLE AND x.n >= 0.95::DOUBLE * total)[1] AS hit, list_filter(l, lambda x: x.le < 'inf'::DOUBLE AND x.n < 0.95::DOUBLE * total)[-1] AS low FROM g)
+    SELECT window_start, stage, round(CASE WHEN hit IS NULL THEN {float(BOUNDS[-1])}::DOUBLE ELSE coalesce(low.le, 0) + (hit.le - coalesce(low.le, 0)) * (0.95::DOUBLE * total - coalesce(low.n, 0)) / (hit.n - coalesce(low.n, 0)) END, 6) AS quantile FROM h"""
+ORACLES["spend_spikes"] = f"""WITH s AS (SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) AS n, CAST(sum(increase) AS DOUBLE) AS grown FROM ({_increase(_counter("ceil(value)"), "series")}) GROUP BY 1),
+    r AS (SELECT n, grown / 900 AS recent, coalesce(sum(grown) OVER (ORDER BY n RANGE BETWEEN 27 PRECEDING AND 4 PRECEDING), 0) / 21600 AS baseline FROM s)
+    SELECT CAST(to_timestamp(n * 900) AS TIMESTAMP) AS window_start, round(recent, 6) AS recent, round(baseline, 6) AS baseline FROM r WHERE recent > 1.5 * baseline"""
