@@ -145,6 +145,7 @@ ENTRY_PATTERN = r"(?m)^\s*(?:\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)\s+"
 INITIAL_PATTERN = r"\b[A-Z]\."
 ET_AL_PATTERN = r"(?i)\bet al\.?"
 VENUE_PATTERN = r"^(In|Proceedings|Proc\.|Journal|Trans\.|Advances|IEEE|ACM|Vol\.?|pp\.?)\b"
+CAPTION_PATTERN = r"^\s*(?:Table|TABLE|Figure|FIGURE|Fig\.?|FIG\.?)\s*(\d+|[IVXLC]+)\s*[.:—-]?\s*(.*)$"
 #: A figure smaller than this (in points squared) is a rule, a logo or a separator.
 MIN_FIGURE_AREA = 5000.0
 # End of fixed values.

@@ -170,13 +170,15 @@ def general(value: Column | str) -> Column:
     return F.when(number == 0, "0").when(power.between(-4, 5), plain).otherwise(F.regexp_replace(digits, r"\.?0+e", "e"))
 
 
-def safe_filename(name: Column, limit: int = 255) -> Column:
-    """Base name only, unusual characters to _, runs of dots to one, reserved device names prefixed."""
+def safe_filename(name: Column, limit: int = 255, fallback: str = "upload.pdf") -> Column:
+    """Base name only, unusual characters to _, runs of dots to one; a reserved device name gets a prefix, a long name loses the end of its stem, and one of which nothing is left becomes the fallback."""
     base = F.element_at(F.split(name, r"[/\\]"), -1)
     clean = F.regexp_replace(F.regexp_replace(base, r"[^\w.\- ]", "_"), r"\.{2,}", ".")
     clean = F.regexp_replace(clean, r"^[. ]+|[. ]+$", "")
-    clean = F.when(clean.rlike(r"(?i)^(con|prn|aux|nul|com\d|lpt\d)(\.|$)"), F.concat(F.lit("_"), clean)).otherwise(clean)
-    return F.when(clean == "", "file").otherwise(F.substring(clean, 1, limit))
+    clean = F.when(clean.rlike(r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])\.[^.]*$"), F.concat(F.lit("file_"), clean)).otherwise(clean)
+    ending = F.regexp_extract(clean, r"(\.[^.]*)$", 1)
+    short = F.concat(F.substring(clean, F.lit(1), F.lit(limit) - F.length(ending)), ending)
+    return F.when(F.coalesce(clean, F.lit("")) == "", fallback).when(F.length(clean) > limit, short).otherwise(clean)
 
 
 def status_class(code: Column) -> Column:

@@ -80,6 +80,11 @@ def timeline(papers: DataFrame, titles: int = 20) -> DataFrame:
     return both.select("published_year", "n_papers", F.coalesce(F.array_join("firsts", "|"), F.lit("")).alias("titles"))
 
 
+def timeline_span(papers: DataFrame) -> DataFrame:
+    """One row: first_year, last_year, total_papers and undated_papers."""
+    return papers.agg(F.min("published_year").alias("first_year"), F.max("published_year").alias("last_year"), F.count("*").alias("total_papers"), F.count_if(F.col("published_year").isNull()).alias("undated_papers"))
+
+
 def entity_trends(entities: DataFrame, papers: DataFrame, labels: Sequence[str] = (), top_n: int = 15) -> DataFrame:
     """label, name, total, first_year, direction of the entities with the most dated papers."""
     scoped = entities.where(F.col("label").isin(*labels)) if labels else entities

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as lx
 from inkwell.functions import text as tx
-from inkwell.operators import consistency, corpus, documents, graph, index, judging, library, retrieval, search, vector_index
+from inkwell.operators import composites, consistency, corpus, documents, graph, index, judging, library, retrieval, search, vector_index
 from inkwell.operators.lineage import checkpoint_folder
 from inkwell.plans import standing
 from inkwell.sources import replacing
@@ -321,6 +321,11 @@ def timeline(spark, d):
     return corpus.timeline(v.papers(spark, d))
 
 
+@query
+def timeline_span(spark, d):
+    return corpus.timeline_span(v.papers(spark, d))
+
+
 @query
 def entity_trends(spark, d):
     return corpus.entity_trends(v.entities(spark, d), v.papers(spark, d))
@@ -435,6 +440,32 @@ def review_markdown(spark, d):
     return out.select("review_id", F.col("n_words").cast("long").alias("n_words"), "n_cited", F.md5("markdown").alias("markdown_md5"))
 
 
+def _reviews(spark, d) -> tuple[DataFrame, ...]:
+    """A review for each source of documents: its topic is a benchmark item, its papers are its documents (the newest 40)."""
+    docs = v.table(spark, d, "documents")
+    papers = docs.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("Paper "), F.col("doc_id").cast("string")).alias("title"), (2000 + F.col("doc_id") % 25).cast("int").alias("published_year"))
+    sources = composites.sources_of(docs.select(F.col("source").alias("review_id"), F.col("doc_id").alias("paper_id")), papers)
+    topics = sources.select("review_id").distinct().withColumn("item_id", F.substring("review_id", 4, 9).cast("long")).join(v.table(spark, d, "benchmark"), "item_id")
+    aims = F.posexplode(F.array(F.struct(F.lit("Overview").alias("heading"), F.lit("thtion attion").alias("focus")), F.struct(F.lit("Methods").alias("heading"), F.lit("ertion thanea").alias("focus"))))
+    sections = topics.select("review_id", F.col("text").alias("topic"), aims.alias("section_no", "aim")).select("review_id", "section_no", "topic", "aim.heading", "aim.focus")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("paper_id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("").alias("section_path"))
+    passages = composites.section_passages(spark, standing.keywords(spark, d), standing.text_vectors(spark, d), sections, sources, chunks)
+    return sections, sources, passages
+
+
+@query
+def review_passages(spark, d):
+    """What every section of every review may draw on, found in one search that sees each review's own papers only."""
+    return _reviews(spark, d)[2].select("review_id", "section_no", "source_index", "rank", "chunk_id", F.md5("body").alias("body_md5"))
+
+
+@query
+def literature_reviews(spark, d):
+    sections, sources, passages = _reviews(spark, d)
+    out = composites.literature_reviews(sections, sources, passages, composites.extracted_passages(passages, sections))
+    return out.select("review_id", F.col("n_words").cast("long").alias("n_words"), "n_cited", F.md5("markdown").alias("markdown_md5"))
+
+
 @query
 def review_sources(spark, d):
     return corpus.review_sources(v.papers(spark, d))

@@ -550,3 +550,25 @@ ORACLES["counter_quantiles"] = f"""WITH e AS (SELECT *, unnest([{", ".join(f"{b}
 ORACLES["spend_spikes"] = f"""WITH s AS (SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) AS n, CAST(sum(increase) AS DOUBLE) AS grown FROM ({_increase(_counter("ceil(value)"), "series")}) GROUP BY 1),
     r AS (SELECT n, grown / 900 AS recent, coalesce(sum(grown) OVER (ORDER BY n RANGE BETWEEN 27 PRECEDING AND 4 PRECEDING), 0) / 21600 AS baseline FROM s)
     SELECT CAST(to_timestamp(n * 900) AS TIMESTAMP) AS window_start, round(recent, 6) AS recent, round(baseline, 6) AS baseline FROM r WHERE recent > 1.5 * baseline"""
+
+ORACLES["timeline_span"] = sql("SELECT min(published_year) AS first_year, max(published_year) AS last_year, count(*) AS total_papers, count(*) FILTER (WHERE published_year IS NULL) AS undated_papers FROM papers", "papers")
+
+_HASHED_WORDS = r"""CAST(('0x' || sha256(word)[1:8])::BIGINT % 384 AS BIGINT) AS bucket, CAST(sum(CASE WHEN ('0x' || sha256(word)[9:10])::BIGINT % 2 = 0 THEN n ELSE -n END) AS DOUBLE) AS x"""
+#: A section only sees the documents of its review; keyword statistics are those of all documents.
+ORACLES["review_passages"] = rf"""WITH {TK},
+ src AS (SELECT source AS review_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY 2000 + doc_id % 25 DESC, doc_id) AS source_index FROM documents QUALIFY source_index <= 40),
+ aims(section_no, aim) AS (VALUES (0, 'Overview. thtion attion'), (1, 'Methods. ertion thanea')),
+ q AS (SELECT DISTINCT review_id, section_no, trim(text || '. ' || aim) AS query FROM src JOIN benchmark ON item_id = CAST(substring(review_id, 4) AS BIGINT), aims),
+ qt AS (SELECT review_id, section_no, term, count(*) AS times FROM (SELECT review_id, section_no, unnest({tokens('query')}) AS term FROM q) GROUP BY ALL),
+ dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM tk) GROUP BY ALL), dl AS (SELECT doc_id, len(tok) AS dl FROM tk),
+ dq AS (SELECT term, count(*) AS df FROM dt GROUP BY term), st AS (SELECT count(*) AS n, avg(len(tok)) AS avg FROM tk),
+ sp AS (SELECT review_id, section_no, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))), 12) AS score FROM qt JOIN src USING (review_id) JOIN dt USING (doc_id, term) JOIN dq USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL),
+ a AS (SELECT *, row_number() OVER (PARTITION BY review_id, section_no ORDER BY score DESC, doc_id) AS r FROM sp QUALIFY r <= 24),
+ w AS (SELECT 'd' || doc_id AS id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL
+   UNION ALL SELECT review_id || '/' || section_no, word, count(*) FROM (SELECT review_id, section_no, unnest(string_split_regex(lower(query), '\s+')) AS word FROM q) WHERE word <> '' GROUP BY ALL),
+ p AS (SELECT id, {_HASHED_WORDS} FROM w GROUP BY id, bucket), u AS (SELECT id, bucket, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS x FROM p),
+ ds AS (SELECT review_id, section_no, doc_id, round(coalesce(sum(uq.x * ud.x), 0), 9) AS score FROM q JOIN src USING (review_id) LEFT JOIN u uq ON uq.id = review_id || '/' || section_no LEFT JOIN u ud ON ud.id = 'd' || doc_id AND ud.bucket = uq.bucket GROUP BY ALL),
+ b AS (SELECT *, row_number() OVER (PARTITION BY review_id, section_no ORDER BY score DESC, doc_id) AS r FROM ds QUALIFY r <= 24),
+ f AS (SELECT review_id, section_no, doc_id, a.r AS sr, b.r AS dr, coalesce(1.0::DOUBLE / (60 + b.r), 0) + coalesce(1.0::DOUBLE / (60 + a.r), 0) AS score FROM a FULL JOIN b USING (review_id, section_no, doc_id)),
+ h AS (SELECT *, row_number() OVER (PARTITION BY review_id, section_no ORDER BY score DESC, CASE WHEN sr IS NOT NULL AND dr IS NOT NULL THEN 1 ELSE 0 END DESC, doc_id) AS rank FROM f QUALIFY rank <= 6)
+ SELECT review_id, section_no, source_index, rank, doc_id AS chunk_id, md5('[' || source_index || '] Paper ' || doc_id || ' (body)' || chr(10) || trim(text, ' ')) AS body_md5 FROM h JOIN src USING (review_id, doc_id) JOIN documents USING (doc_id)"""

@@ -194,7 +194,11 @@ def test_small_columns(spark, tmp_path):
     assert [one(tx.general(F.lit(x))) for x in numbers] == [f"{x:g}" for x in numbers]
     assert one(documents.paragraphs(F.lit("a\nb\n \n\n c \n\t\n"))) == ["a\nb", "c"]
     names = spark.createDataFrame([("dir\uff0fa\uff0eb.pdf",), ("x/CON.pdf",), (None,), ("a..b",)], "n string")
-    assert [r[0] for r in names.select(tx.safe_filename(tx.nfkc("n"))).collect()] == ["a.b.pdf", "_CON.pdf", None, "a.b"]
+    assert [r[0] for r in names.select(tx.safe_filename(tx.nfkc("n"))).collect()] == ["a.b.pdf", "file_CON.pdf", "upload.pdf", "a.b"]
+    long = one(tx.safe_filename(F.lit("x" * 400 + ".pdf")))
+    assert (len(long), long[-5:], one(tx.safe_filename(F.lit(" .. "))), one(tx.safe_filename(F.lit("com0.txt"))), one(tx.safe_filename(F.lit("y" * 300)))) == (255, "x.pdf", "upload.pdf", "com0.txt", "y" * 255)
+    blocks = spark.createDataFrame([(1, 1, 0.0, 1.0, "Table  3: Results"), (1, 2, 0.0, 1.0, "Fig. 2. A plot"), (1, 3, 0.0, 1.0, "The table 3 shows"), (1, 4, 0.0, 1.0, "FIGURE IV")], "page int, cap_id int, top double, bottom double, text string")
+    assert [[r.text for r in documents.caption_blocks(blocks, k).orderBy("cap_id").collect()] for k in ("table", "fig")] == [["Table 3: Results"], ["Fig. 2. A plot", "FIGURE IV"]]
     found = spark.createDataFrame([(1, "Dataset", "SQuAD"), (2, "Task", "QA")], "doc_id long, label string, name string")
     papers = spark.createDataFrame([(1, "T"), (2, "")], "doc_id long, title string")
     assert [tuple(r) for r in documents.gazetteer_relations(found, papers).collect()] == [("Paper:1", "USES_DATASET", "Dataset:squad")]
