@@ -60,8 +60,8 @@ SHINGLE, PICK, SKETCHES = 5, 2, 64
 THRESHOLD = 0.8
 BITS = 18
 COMPONENT_WEIGHT = 100
-#: Texts of which one is looked at for sketches that many share, and how many of these there are at most.
-HOT_SAMPLE, HOT_BUCKETS = 16, 4096
+#: Texts of which one is looked at for sketches that many share, how many texts are many, and how many such sketches there are at most.
+HOT_SAMPLE, HOT_TEXTS, HOT_BUCKETS = 16, 4096, 4096
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -118,21 +118,39 @@ def bits(words: np.ndarray) -> int:
     return int(np.packbits(odd.astype(np.uint8)).view(">u8")[0])
 
 
-#: Matches for each symbol up to which an alignment follows single matches.
-FEW_MATCHES = 24
+#: Up to this length a row of an alignment is one number; beyond, up to so many matches a symbol single matches are followed.
+SHORT, FEW_MATCHES = 8192, 24
 _ROWS = 2048
 
 
 def _common(a: list, b: list, band: int) -> int:
-    """The longest common subsequence of matches (i, j) with |i - j| <= band; the work follows the matches or the band, not len(a) * len(b).
+    """The longest common subsequence of matches (i, j) with |i - j| <= band.
 
     After i symbols of a the state is the increasing list of the smallest
-    places of b at which common subsequences of 1, 2, 3... end.  A match at j
-    takes the place of the next larger one.  Where matches are few, the list is
-    kept as such and searched by bisection.  Else its places are the zeros of
-    one number, a row of matches is one addition, and only the bits within
-    the band of the next _ROWS symbols are kept in hand; those below are final.
+    places of b at which common subsequences of 1, 2, 3... end; a match at j
+    takes the place of the next larger one.  The places are the zeros of one
+    number of len(b) bits, and a row of matches is one addition.  For long
+    texts the work follows the matches or the band, not len(a) * len(b): where
+    matches are few, the list is kept as such and searched by bisection; else
+    only the bits near the band are kept in hand.
     """
+    if len(b) > SHORT:
+        return _common_of_long(a, b, band)
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row, reach = every, (1 << 2 * band + 1) - 1
+    for i, x in enumerate(a):
+        met = places.get(x)
+        if met:
+            met &= reach << i - band if i >= band else reach >> band - i
+            met &= row
+            row = (row + met | row - met) & every
+    return len(b) - row.bit_count()
+
+
+def _common_of_long(a: list, b: list, band: int) -> int:
     places: dict = {}
     for j, y in enumerate(b):
         places.setdefault(y, []).append(j)
@@ -151,6 +169,7 @@ def _common(a: list, b: list, band: int) -> int:
 
 
 def _common_in_rows(a: list, size: int, places: dict, band: int) -> int:
+    """The same with only the bits within the band of the next _ROWS symbols in hand; those below are final."""
     done, low, top = 0, 0, 0  # bits low to top - 1 are in hand
     row = 0
     for start in range(0, len(a), _ROWS):
@@ -323,11 +342,11 @@ def _more(label: DataFrame, links: DataFrame) -> DataFrame:
     return components(label.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links)) if links.limit(1).count() else label
 
 
-def _hot_buckets(kept: DataFrame, sample: int = HOT_SAMPLE, most: int = HOT_BUCKETS) -> list[int]:
+def _hot_buckets(kept: DataFrame, sample: int = HOT_SAMPLE, many: int = HOT_TEXTS, most: int = HOT_BUCKETS) -> list[int]:
     """Sketches that many texts share, at most `most` of them, by the count in a sample of the texts.  It decides how rows travel, never what is found."""
     rows = kept.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(sample)) == 0).select(F.explode("sigs").alias("b"))
     counts = durable(rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
-    least = max(64, -(-(counts.agg(F.sum("n")).first()[0] or 0) // most))
+    least = max(many // sample, -(-(counts.agg(F.sum("n")).first()[0] or 0) // most))
     found = [r["b"] for r in counts.where(F.col("n") > least).collect()]
     release(counts)
     return found

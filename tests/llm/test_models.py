@@ -336,9 +336,10 @@ def test_held_out_rule(spark):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
-@pytest.mark.parametrize("few,rows", [(-1, 1), (-1, 3), (10**9, 2048), (24, 2048)])
-def test_alignment_both_ways(monkeypatch, few, rows):
-    """Single matches and whole rows give the longest common subsequence within the band."""
+@pytest.mark.parametrize("short,few,rows", [(0, -1, 1), (0, -1, 3), (0, 10**9, 2048), (0, 24, 2048), (8192, 24, 2048)])
+def test_alignment_all_ways(monkeypatch, short, few, rows):
+    """One number, single matches and rows in hand all give the longest common subsequence within the band."""
+    monkeypatch.setattr(order_minhash, "SHORT", short)
     monkeypatch.setattr(order_minhash, "FEW_MATCHES", few)
     monkeypatch.setattr(order_minhash, "_ROWS", rows)
     rng = random.Random(few + rows)
@@ -371,7 +372,7 @@ def test_hot_buckets_change_nothing(spark, make):
     texts = [" ".join(x if rng.random() > 0.02 else f"v{rng.randrange(9)}" for x in base) for _ in range(150)] + [f"other text {k} of its own" for k in range(20)]
     docs = make(texts).select("doc_id", "text")
     kept = docs.mapInArrow(order_minhash._sketch, order_minhash._NODE).cache()
-    hot = order_minhash._hot_buckets(kept, sample=1, most=1000)
+    hot = order_minhash._hot_buckets(kept, sample=1, many=64, most=1000)
     assert len(hot) > 5
     rows = lambda x: sorted((r.b, r.id, r.c.id) for r in x.collect())
     assert rows(order_minhash._bucketed(kept, hot)) == rows(order_minhash._bucketed(kept, []))
