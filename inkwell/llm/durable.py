@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -42,6 +43,21 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A name for a table's files as they are now, within this application: their places, sizes and times of change."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(at)
+    told = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join([context.applicationId, *told]).encode()).hexdigest()[:24]
+
+
 def release(df: DataFrame) -> None:
     """Deletes a table of durable() that nothing will read again."""
     folder = shared_folder(df.sparkSession).rstrip("/")

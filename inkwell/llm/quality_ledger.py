@@ -4,6 +4,7 @@ Every rule is evaluated once per document.  The ledger row keeps the measured
 numbers and one bit per failed rule; a policy is a named, versioned mask over
 those bits, so a new policy, or what a policy would keep without one of its
 rules, is a bitwise question over the ledger and never reads a text again.
+store() keeps a ledger under the version of its rules.
 
 Defined results: a null text has no words (all counts 0); repeated rows each
 get their own ledger row; other columns, whatever their names, are not looked
@@ -12,15 +13,18 @@ at; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.durable import exists
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -111,6 +115,29 @@ def ledger(docs: DataFrame) -> DataFrame:
     return rows.withColumn("fail_bits", F.expr(bits))
 
 
+def rules_version() -> str:
+    """A name for the rules as they are now: a ledger of other rules does not answer for them."""
+    return hashlib.sha256("\n".join(f"{r.bit} {r.name} {r.fails}" for r in RULES).encode()).hexdigest()[:16]
+
+
+def _folder(path: str) -> str:
+    return f"{path}/rules={rules_version()}"
+
+
+def store(docs: DataFrame, path: str) -> None:
+    """Measures all texts once and keeps the ledger; policies and ablations read it from there."""
+    ledger(docs).write.mode("overwrite").parquet(_folder(path))
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a whole ledger of the present rules is kept there."""
+    return exists(spark, f"{_folder(path)}/_SUCCESS")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(_folder(path))
+
+
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     """Adds kept: no rule of the policy failed."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)

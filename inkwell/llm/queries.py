@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import byte_buckets, byte_cnn, decontaminate, exact_dedup, license_scan, line_winnow, merkle, order_minhash, packing, quality_ledger, resample, secret_scan, suffix_trees
+from inkwell.llm.durable import shared_folder, state_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of documents, measured by the first query that asks and kept for the others."""
+    path = f"{shared_folder(spark)}/ledger-{state_of(spark, f'{sf_dir}/documents.parquet')}"
+    if not quality_ledger.is_stored(spark, path):
+        quality_ledger.store(_table(spark, sf_dir, "documents"), path)
+    return quality_ledger.stored(spark, path)
+
+
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_ledger.apply_policy(quality_ledger.ledger(_table(spark, sf_dir, "documents")), quality_ledger.POLICIES[-1])
+    rows = quality_ledger.apply_policy(_ledger(spark, sf_dir), quality_ledger.POLICIES[-1])
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_ledger.POLICIES[0].mask)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 1's ledger asked what each policy keeps, whole ('') and without each of its rules."""
-    return quality_ledger.ablations(quality_ledger.ledger(_table(spark, sf_dir, "documents"))).fillna("", ["without_rule"])
+    return quality_ledger.ablations(_ledger(spark, sf_dir)).fillna("", ["without_rule"])
 
 
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_helpers import random_texts
 
-from inkwell.llm import decontaminate, license_scan, quality_ledger, secret_scan
+from inkwell.llm import decontaminate, license_scan, quality_ledger, queries, secret_scan
+from inkwell.llm.durable import shared_folder, state_of
 
 
 def test_ledger_counts():
@@ -173,3 +174,25 @@ def test_automaton_stays_small():
     matcher = decontaminate.Matcher(items)
     arrays = sum(x.nbytes for x in (matcher.hashes, matcher.item, matcher.place, matcher.end))
     assert matcher.automaton.get_stats()["total_size"] + arrays < 40 * sum(len(t) for _, t in items)
+
+
+def test_a_stored_ledger_answers_without_texts(spark, make, tmp_path, monkeypatch):
+    path, docs = str(tmp_path / "l"), make(["a b c", "word " * 40, "# # # x", None])
+    assert not quality_ledger.is_stored(spark, path)
+    quality_ledger.store(docs, path)
+    assert quality_ledger.is_stored(spark, path)
+    rows = lambda x: sorted(map(str, x.collect()))
+    kept = quality_ledger.stored(spark, path)
+    assert "text" not in kept.columns and rows(kept) == rows(quality_ledger.ledger(docs))
+    assert rows(quality_ledger.ablations(kept)) == rows(quality_ledger.ablations(quality_ledger.ledger(docs)))
+    monkeypatch.setattr(quality_ledger, "RULES", quality_ledger.RULES[:-1])
+    assert not quality_ledger.is_stored(spark, path)  # other rules need a ledger of their own
+
+
+def test_the_ledger_is_measured_once_for_both_queries(spark, make, tmp_path):
+    make(["a b c", "word " * 40]).write.parquet(str(tmp_path / "documents.parquet"))
+    queries.op1_quality_ledger(spark, str(tmp_path)).collect()
+    path = f"{shared_folder(spark)}/ledger-{state_of(spark, str(tmp_path / 'documents.parquet'))}"
+    assert quality_ledger.is_stored(spark, path)
+    plan = queries.quality_ablations(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
