@@ -190,9 +190,9 @@ def counting_sort(rows: DataFrame, digit: Column, block: int) -> DataFrame:
 
 def radix_ranked(rows: DataFrame, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """rows (doc_id, score, ...) with rank from 1: higher scores first, then smaller doc_id, null last."""
-    kept = numbered(rows.withColumn("__all", F.lit("")), "__all").drop("__all", "n")
-    key = F.col("doc_id").cast("long")
-    kept = durable(kept.withColumn("id_key", F.coalesce(key, F.lit(0).cast("long"))))
+    placed = numbered(rows.withColumn("__all", F.lit("")), "__all").drop("__all", "n")
+    kept = durable(placed.withColumn("id_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))))
+    release(placed)
     ends = kept.agg(F.count("*").alias("n"), F.min("id_key").alias("a"), F.max("id_key").alias("b"), F.min("score").alias("low"), F.max("score").alias("high")).first()
     if not ends["n"]:
         return kept.drop("id_key", "position").withColumn("rank", F.lit(0).cast("long"))
