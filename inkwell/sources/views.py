@@ -105,7 +105,7 @@ def edges(spark, sf_dir) -> DataFrame:
 
 def chunks(spark, sf_dir) -> DataFrame:
     """documents cut at line ends: paper_id, chunk_index, content, kind."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     rows = docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     return rows.withColumn("kind", F.when(F.col("content").contains("|"), "table").otherwise("text"))
 
