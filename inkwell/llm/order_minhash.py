@@ -21,12 +21,14 @@ No bucket is expanded into all its pairs:
    outside the largest one are compared with one text of it, picked by a hash
    that differs from bucket to bucket, and components are formed again;
 3. texts that are then still outside their bucket's largest component are
-   compared with that component's texts, and with each other, through an exact
-   prefix filter: two texts that reach the threshold share so many labelled
-   words that they share one among the rarest of each, wherever "rare" is
-   measured.  Words of a passage that is in many texts are frequent there and
-   join nobody; a copy with too many edits has its own edits as its rarest
-   words.  So the pairs follow real likeness, not the square of a bucket.
+   compared with that component's texts, and with all others outside it,
+   through an exact prefix filter: two texts that reach the threshold share so
+   many labelled words that they share one among the rarest of each, wherever
+   "rare" is measured.  Words of a passage that is in many texts are frequent
+   there and join nobody; a copy with too many edits has its own edits as its
+   rarest words.  So the pairs follow real likeness, not the square of a
+   bucket.  Texts outside meet by their component, not by each bucket they
+   share, and rare words that only one component has are left out before.
 
 Before texts are fetched for a pair it must pass two bounds on data that each
 node carries: the numbers of words, and 64 one-bit minima over labelled words.
@@ -287,6 +289,22 @@ def _prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return listed.select("id", "n", "bits", "label", alone.alias("alone"), F.posexplode(cut).alias("at", "s")).select("id", "n", "bits", "label", F.col("s.w").alias("w"), (F.col("at") + F.col("alone") + 1).alias("rank"))
 
 
+def _met(prefix: DataFrame) -> DataFrame:
+    """The rows of _prefixes whose word is in the prefixes of two components; the others join nobody."""
+    met = prefix.groupBy("w").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("w")
+    return prefix.join(met, "w", "left_semi").select(*prefix.columns)
+
+
+def _apart(prefix: DataFrame, outside: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs from different components that share a prefix word: the texts of outside (id, main) that have one main, and these with the texts of main."""
+    apart = (F.col("labelx") != F.col("labely")) & _able("x", "y", threshold) & _in_prefixes("x", "y", threshold)
+    outer = durable(prefix.join(outside.distinct(), "id"))
+    mains = prefix.join(outside.select(F.col("main").alias("label")).distinct(), "label", "left_semi")
+    within = _side(outer, "x").join(_side(outer, "y"), (F.col("mainx") == F.col("mainy")) & (F.col("wx") == F.col("wy")) & (F.col("idx") < F.col("idy")) & apart)
+    across = _side(outer, "x").join(_side(mains, "y"), (F.col("mainx") == F.col("labely")) & (F.col("wx") == F.col("wy")) & apart)
+    return _pairs(within).unionByName(_pairs(across)).distinct()
+
+
 def _able(x: str, y: str, threshold: float):
     """Bounds that two nodes have to meet before their texts are compared."""
     n = lambda s: F.col(f"n{s}").cast("double")
@@ -393,17 +411,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     label = _more(label, _links(new, texts, threshold))
     few = durable(_relabelled(few.select("b", "id", "main"), label))
 
-    # What is left, exactly: with the texts outside of the same bucket, and with the texts of the main component.
+    # What is left, exactly: with the texts outside of the same main component, and with the texts of that component.
     named = nodes.join(label, nodes["id"] == label["u"], "left").select("id", "n", "bits", F.coalesce("v", "id").alias("label"))
     asked = few.select(F.col("main").alias("label")).unionByName(few.select("label")).distinct()
-    prefix = durable(_prefixes(named.join(asked, "label", "left_semi"), texts, threshold))
-    apart = (F.col("labelx") != F.col("labely")) & _able("x", "y", threshold) & _in_prefixes("x", "y", threshold)
-    inner = prefix.join(few.select("b", "id").distinct(), "id")
-    within = _side(inner, "x").join(_side(inner, "y"), (F.col("bx") == F.col("by")) & (F.col("wx") == F.col("wy")) & (F.col("idx") < F.col("idy")) & apart)
-    outer = prefix.join(few.select("id", "main").distinct(), "id")
-    mains = prefix.join(few.select(F.col("main").alias("label")).distinct(), "label", "left_semi")
-    across = _side(outer, "x").join(_side(mains, "y"), (F.col("mainx") == F.col("labely")) & (F.col("wx") == F.col("wy")) & apart)
-    new = durable(_pairs(within).unionByName(_pairs(across)).distinct().join(tried, ["a", "b"], "left_anti"))
+    every = durable(_prefixes(named.join(asked, "label", "left_semi"), texts, threshold))
+    prefix = durable(_met(every))
+    release(every)
+    new = durable(_apart(prefix, few.select("id", "main"), threshold).join(tried, ["a", "b"], "left_anti"))
     label = _more(label, _links(new, texts, threshold))
 
     # A document's class is the class of its text; several texts of one id are one document.

@@ -390,3 +390,30 @@ def test_candidates_miss_no_pair_of_the_table(spark):
                 pairs += 1
                 lost += label[a] is None or label[a] != label[b]
     assert pairs > 0 and lost == 0
+
+
+def test_texts_around_a_passage_meet_by_component_not_by_bucket(spark, make):
+    rng = random.Random(12)
+    word = lambda kind, n: f"{kind}{rng.randrange(n)}"
+    passage = [word("p", 10**6) for _ in range(150)]
+    around = lambda n: [" ".join([word("a", n) for _ in range(35)] + passage + [word("z", n) for _ in range(35)])]
+    copied = around(400)[0].split()
+    texts = [" ".join(x if k % 40 != n % 40 else f"v{n}" for k, x in enumerate(copied)) for n in range(40)]  # near copies: one component
+    texts += [t for _ in range(60) for t in around(400)]  # too far from these and from each other
+    texts += [" ".join([*t.split()[:-2], "other", "end"]) for t in texts[40::6]]  # each a link to one of the 60
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(make(texts)).collect()}
+    assert got == {i: 1 if i <= 40 else i if i <= 100 else 41 + 6 * (i - 101) for i in range(1, len(texts) + 1)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    made = {"Join": 0, "posexplode": 0}
+    for k in range(before, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(k).executionId()), store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            kind = "posexplode" if "posexplode" in node.desc() else "Join" if "Join [id#" in node.desc() and node.desc().count("[id#") == 2 else None
+            for m in map(node.metrics().apply, range(node.metrics().size())) if kind else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made[kind] = max(made[kind], int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert made["posexplode"] > 500  # rare words of the texts outside
+    assert made["Join"] <= 6 * made["posexplode"]  # a text outside is so by a few components, but shares about 20 buckets with others
