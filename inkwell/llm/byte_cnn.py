@@ -32,6 +32,7 @@ from pyspark.sql.types import DoubleType, StructField
 
 from inkwell.llm import textkit
 from inkwell.llm.columns import aside, back
+from inkwell.llm.workers import tidy
 
 CHUNK, STRIDE = 512, 448
 DIM, WIDTH, HOP, FILTERS = 8, 8, 2, 32
@@ -189,5 +190,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             got = [np.full(b - a, 0.5) if model is None else score_block(model, data, offsets) for a, b, data, offsets in textkit.blocks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], [*batch.schema.names, "score"])
 
-    scored = docs.mapInArrow(run, type(schema)([*schema.fields, StructField("score", DoubleType())]))
+    scored = docs.mapInArrow(tidy(run), type(schema)([*schema.fields, StructField("score", DoubleType())]))
     return back(scored, given, ("text",), ("score",))

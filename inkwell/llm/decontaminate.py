@@ -31,7 +31,6 @@ and hit_offsets replace columns of those names in any case.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.columns import aside, back
+from inkwell.llm.workers import tidy
 
 WINDOW = 10
 PIECE = 4
@@ -159,18 +159,9 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(point[starts[a]]), int(point[ends[b - 1]])) for a, b in spans]
 
 
-_MATCHERS: dict[tuple[str, int], Matcher] = {}
-
-
 def _scanner(shared, size: int, with_offsets: bool):
-    shared_id = uuid.uuid4().hex  # workers live on between tasks and keep the automaton they have built
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared_id, size)
-        matcher = _MATCHERS.get(key)
-        if matcher is None:
-            _MATCHERS.clear()
-            matcher = _MATCHERS[key] = Matcher(shared.value, size)
+        matcher = Matcher(shared.value, size)
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             n, spans, items, places = [], [], [], []
@@ -183,7 +174,7 @@ def _scanner(shared, size: int, with_offsets: bool):
             own = [pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string())), pa.array(places, spans_type)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "n_words", "hit_words", "items", "hit_offsets"])
 
-    return run
+    return tidy(run)
 
 
 _SPANS = "array<struct<start:long,end:long>>"

@@ -57,6 +57,7 @@ from pyspark.sql.types import IntegralType
 from inkwell.llm import textkit
 from inkwell.llm.components import components
 from inkwell.llm.durable import durable, release
+from inkwell.llm.workers import tidy
 
 SHINGLE, PICK, SKETCHES = 5, 2, 64
 THRESHOLD = 0.8
@@ -277,7 +278,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """id, n, bits, label, w, rank: of each node the rarest labelled words (counted over these nodes), one of which every partner has too."""
     some = nodes.select("id", "n", "bits", "label").distinct()
-    words = durable(texts.join(some.select("id", "label"), texts["doc_id"] == F.col("id")).select("id", "label", "text").mapInArrow(_word_rows, "id long, label long, w long"))
+    words = durable(texts.join(some.select("id", "label"), texts["doc_id"] == F.col("id")).select("id", "label", "text").mapInArrow(tidy(_word_rows), "id long, label long, w long"))
     # Any order of the words is exact.  In this one, words that make up a component come last, so that what sets a text apart from it is rare.
     counts = words.groupBy("w", "label").agg(F.count("*").alias("n"))
     known = counts.groupBy("w").agg((F.sum("n") + COMPONENT_WEIGHT * F.max("n")).alias("df"), F.sum("n").alias("times")).where("times > 1").drop("times")
@@ -330,7 +331,7 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the threshold."""
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return durable(both.mapInArrow(_verify(threshold), "a long, b long"))
+    return durable(both.mapInArrow(tidy(_verify(threshold)), "a long, b long"))
 
 
 def _outside(buckets: DataFrame, label: DataFrame) -> DataFrame:
@@ -395,7 +396,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer column; give other ids a number first")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sketched = durable(texts.mapInArrow(_sketch, _NODE))
+    sketched = durable(texts.mapInArrow(tidy(_sketch), _NODE))
     # Equal texts: the smallest id stands for them.
     copies = durable(sketched.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     kept = sketched.join(copies, ["c1", "c2"]).where(F.col("id") == F.col("rep"))

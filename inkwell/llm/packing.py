@@ -44,13 +44,14 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import textkit
 from inkwell.llm.durable import durable
+from inkwell.llm.workers import tidy
 
 CAPACITY = 4096
 END_ID = 1
 GROUPS = 200
 CACHE_WORDS = 350_000  # of each of two generations
 CACHE_PARTS = 500_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20  # the words of one chunk are in hand as strings, ten times its size
 #: Lower-case Latin letters up to U+017F, and all characters whose normal form, class and lower case are those of the
 #: tokenizer letter by letter.  A word with any other character is left to the tokenizer itself.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -137,14 +138,9 @@ class WordIds:
         return [b"".join(map(word, some)) for some in words]
 
 
-_OPEN: dict[str, WordIds] = {}
-
-
 def _tokenise(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _OPEN:
-            _OPEN[path] = WordIds(path)
-        coder, end = _OPEN[path], END_ID.to_bytes(4, "little")
+        coder, end = WordIds(path), END_ID.to_bytes(4, "little")  # its words go with the task
         gc.disable()  # short-lived lists of words only; without cycles there is nothing to search for
         for batch in batches:
             rows, piece, length, crc = [], [], [], []
@@ -162,7 +158,7 @@ def _tokenise(path: str, capacity: int):
             yield pa.RecordBatch.from_arrays([take, pa.array(piece, pa.int32()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "length", "ids_crc32"])
         gc.enable()
 
-    return run
+    return tidy(run)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -302,7 +298,7 @@ def _look_up(keys: np.ndarray, columns: np.ndarray):
             kept = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first + rank - first_rank), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, bucket_rows: int = 200_000) -> DataFrame:

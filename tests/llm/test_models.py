@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -417,3 +418,14 @@ def test_texts_around_a_passage_meet_by_component_not_by_bucket(spark, make):
                     made[kind] = max(made[kind], int(values.apply(m.accumulatorId()).replace(",", "")))
     assert made["posexplode"] > 500  # rare words of the texts outside
     assert made["Join"] <= 6 * made["posexplode"]  # a text outside is so by a few components, but shares about 20 buckets with others
+
+
+def test_workers_give_memory_back_after_a_task():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024  # noqa: E731, SIM115
+    run = packing._tokenise(packing.default_tokenizer(), packing.CAPACITY)
+    word = lambda k: str(k).translate({48 + d: c for d, c in enumerate("etaoinshrd")})
+    batch = lambda a, b: pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(map(word, range(a, b)))]})
+    assert len(list(run(iter([batch(0, 1000)])))) == 1
+    before = resident()
+    assert sum(b.num_rows for b in run(batch(k, k + 200_000) for k in (10**6, 2 * 10**6, 3 * 10**6))) > 100
+    assert resident() - before < 60
