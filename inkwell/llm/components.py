@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from inkwell.llm.durable import durable, release
 
 
+#: A round's table has one file for so many rows of the round before: where Hadoop has no native library, each file costs a child process of the executor.
+ROWS_A_FILE = 20_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
@@ -40,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         before, older = state, edges
-        edges = durable(_star(_star(older, large=True), large=False))
+        edges = durable(_star(_star(older, large=True), large=False).coalesce(1 + state[0] // ROWS_A_FILE))
         state = _state(edges)
         release(older)
         if state == before:

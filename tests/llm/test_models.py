@@ -429,3 +429,17 @@ def test_workers_give_memory_back_after_a_task():
     before = resident()
     assert sum(b.num_rows for b in run(batch(k, k + 200_000) for k in (10**6, 2 * 10**6, 3 * 10**6))) > 100
     assert resident() - before < 60
+
+
+def test_small_components_are_one_file(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROWS_A_FILE", 1000, raising=False)
+    links = spark.range(1, 600).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 20).alias("b")).repartition(4)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = components.components(links)
+        assert len(out.inputFiles()) == 1 and {(r.u, r.v) for r in out.collect()} == {(i, i - i % 20) for i in range(1, 600) if i % 20}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
