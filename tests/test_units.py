@@ -234,6 +234,17 @@ def test_claim_pairs_against_all_pairs(spark, seed):
         assert [(-r["overlap"], *tuple(r)[:4]) for r in got] == sorted(every)[:limit]
 
 
+def test_classes_of_claims_are_joined_only_as_far_as_pairs_lack(spark, monkeypatch):
+    asked, join = [], corpus._class_pairs
+    monkeypatch.setattr(corpus, "_class_pairs", lambda classes, overlap: asked.append(overlap) or join(classes, overlap))
+    copies = [(p, 1, "alphas bravos charlie deltas") for p in range(5)]
+    near = [(9, 1, "alphas bravos charlie deltas echoes"), (9, 2, "alphas foxtrot golfer hotels")]
+    rows = spark.createDataFrame([*copies, *near], "paper_id int, claim_no int, claim string")
+    assert {r["overlap"] for r in corpus.claim_pairs(rows, 0.1, 4).collect()} == {1.0} and asked == []
+    got = [(r["right_paper"], r["right_no"], r["overlap"]) for r in corpus.claim_pairs(rows, 0.1, 20).collect()]
+    assert asked == [0.75, 0.5, 0.1] and sorted(got)[-10:] == sorted([(9, 1, 0.8)] * 5 + [(9, 2, 0.142857)] * 5)
+
+
 def test_review_markdown(spark):
     sections = spark.createDataFrame([(1, 1, "B", "later [2] [7]", [2]), (1, 0, "A", " first words [1] [2] ", [1]), (2, 0, "C", None, [])], "review_id int, section_no int, heading string, text string, available array<int>")
     sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (1, 3, "Three")], "review_id int, source_index int, citation string")
