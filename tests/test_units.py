@@ -217,6 +217,16 @@ def test_top_conflicts_are_the_first_of_all(spark, values):
         assert [tuple(r) for r in corpus.top_conflicts(df, top).collect()] == [tuple(r) for r in want] and want
 
 
+@pytest.mark.parametrize("values", [(0, 9), (-3, 9), (-9, 0), (100, 107)])
+def test_conflicts_are_counted_as_they_are_listed(spark, values):
+    rng = random.Random(sum(values) + 7)
+    rows = [(f"m{rng.randint(0, 6)}", f"d{rng.randint(0, 1)}", "f1", rng.randint(0, 30), i, float(rng.randint(*values))) for i in range(260)]
+    df = spark.createDataFrame(rows, "model_key string, dataset_key string, metric_key string, paper_id int, n int, value double").withColumn("row_key", F.struct("n"))
+    cell = ["model_key", "dataset_key", "metric_key"]
+    want = corpus.numeric_conflicts(df).groupBy(*cell).count().collect()
+    assert sorted(map(tuple, corpus.conflict_counts(df).select(*cell, "n_conflicts").collect())) == sorted(map(tuple, want)) and want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_claim_pairs_against_all_pairs(spark, seed):
     """Copied claims, claims of one paper with equal words, ties; against every pair."""
