@@ -207,3 +207,23 @@ def test_no_reference_is_left_out(spark):
     docs = spark.createDataFrame([(1, "Prose.\nReferences\n" + "\n".join(entry(k) for k in range(1, 901)))], "doc_id long, text string")
     got = documents.references(docs).collect()
     assert len(got) == 900 and max(len(r.raw_text) for r in got) > 3000
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_edges_stay_where_they_are_if_few_ends_are_missing(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "_FEW_ENDS", few)
+    rows = [("Paper:1", "CITES", "Paper:2"), ("Paper:1", "CITES", "Paper:2"), ("Paper:2", "CITES", "Paper:9"), ("Paper:9", "CITES", "Paper:1"), ("Paper:1", "CITES", None)]
+    edges = spark.createDataFrame(rows, "src string, type string, dst string")
+    nodes = spark.createDataFrame([("Paper:1",), ("Paper:2",), (None,)], "uid string")
+    got = graph.drop_dangling(nodes, edges)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == rows[:2] and (not few or "hashpartitioning" not in plan)
+
+
+def test_only_relations_that_are_added_again_are_joined(spark):
+    old = [("a", "CITES", "b"), ("a", "CITES", "c"), ("a", "AUTHORED_BY", "b"), ("a", "AUTHORED_BY", "b"), ("a", None, "b")]
+    schema = "src string, type string, dst string"
+    out = graph.upsert_edges(spark.createDataFrame(old, schema), spark.createDataFrame([("a", "CITES", "b"), ("a", "CITES", "b"), ("b", "CITES", "a")], schema))
+    want = [("a", "CITES", "b"), ("a", "CITES", "c"), ("b", "CITES", "a"), *old[2:]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert graph.upsert_edges(spark.createDataFrame(old, schema), spark.createDataFrame([], schema)).count() == 5
