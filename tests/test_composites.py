@@ -48,3 +48,20 @@ def test_experiments(spark, tmp_path):
     kept = library.stored(spark, path)
     assert [(r.paper_id, r.metric_key, r.dataset_key) for r in kept.collect()] == [(1, "f1", "squad")]  # paper 2 has none any more
     assert kept.where(F.col("model_key").startswith("first")).count() == 1
+
+
+def test_only_texts_of_reviewed_papers_get_a_vector(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from inkwell.plans import catalogue, standing
+    from inkwell.operators import vector_index
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    embedded, index_chunks = [], vector_index.index_chunks
+    monkeypatch.setattr(vector_index, "index_chunks", lambda chunks, *a, **b: embedded.append(chunks.count()) or index_chunks(chunks, *a, **b))
+    monkeypatch.setattr(standing, "text_vectors", None)  # the index of all documents is not asked for
+    assert catalogue._reviews(spark, "/root/testdata/sf0.01")[2].count() > 0
+    assert len(embedded) == 1 and embedded[0] <= 20 * 40
